@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from orbweave.llm import exact_dedup
+from orbweave.llm import exact_dedup, jaccard_join
 
 
 def queries() -> dict:
-    return {"op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op10_ngram_jaccard": jaccard_join.op10_ngram_jaccard,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
