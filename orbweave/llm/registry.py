@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orbweave.llm import decontaminate, exact_dedup, jaccard_join, token_files
+from orbweave.llm import decontaminate, exact_dedup, jaccard_join, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_token_files": token_files.op3_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op10_ngram_jaccard": jaccard_join.op10_ngram_jaccard,
