@@ -4,15 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import exact_dedup
+from orbweave.llm import decontaminate, exact_dedup, jaccard_join, piece_sampling, toxicity
 from orbweave.llm.shared import stage, table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar's score rejects go."""
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"), docs)
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids beside the documents' columns."""
+    return piece_sampling.encode(docs, piece_sampling.vocabulary_path())
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("ngram_jaccard", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("piece_encoding", encoding_stage),
+]
 
 #: Scoring, shingle links and sampled segmentation have no DuckDB form; tests/llm hold run() against brute force.
 ORACLE_SQL = None

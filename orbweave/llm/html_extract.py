@@ -207,7 +207,7 @@ class Extractor:
 
 _SYLLABLES = "ba ce di fo gu la me ni po ra se ti vo xa ze lo mi nu pa re so ta".split()
 # How layouts name their parts.
-MAIN_AREAS = ('<article>', '<main>', '<main><article>', '<div class="content">', '<div id="main-content">', '<div class="post-body">', '<section class="entry">', '<div class="article-text">', '<div role="main">', '<article class="post">', '<div><article>', '<div>', '<section>', '<div class="page"><div>')
+MAIN_AREAS = ('<article>', '<main>', '<main><article>', '<div class="content">', '<div id="main-content">', '<div class="post-body">', '<section class="entry">', '<div class="article-text">', '<div role="main">', '<article class="post">', '<div><article>', '<div>', '<section>', '<div class="page"><div>', '', '', '', '')
 REST_AREAS = {
     "menu": ('<nav>', '<div class="menu">', '<div id="navigation">', '<div class="navbar">', '<div class="breadcrumb">', '<header>', '<header class="site-header">'),
     "header": ('<header>', '<div id="header">', '<div class="masthead">', '<div class="top-bar">', '<div class="site-title">'),
@@ -266,8 +266,8 @@ def labelled_pages(count: int, seed: int = 7) -> list[str]:
                 body.append(f"<p><b>{MARK_MAIN}{_sentence(r, 2, 30)}<br>")
             else:
                 body.append("<table><tr>" + "".join(f"<td>{MARK_MAIN}{_sentence(r, 1, 4)[:-1]}</td>" for _ in range(3)) + "</tr></table>")
-        for kind in r.sample(("advert", "sidebar", "comments", "social", "form", "notice"), r.choice((0, 0, 1, 2))):
-            body.insert(r.randint(1, len(body)) if kind in ("advert", "sidebar") else len(body), _rest_part(r, kind))
+        for kind in r.sample(("advert", "sidebar", "comments", "social", "form", "notice"), r.choice((0, 0, 1, 2, 3))):
+            body.insert(r.randint(1, len(body)) if body and kind in ("advert", "sidebar") else len(body), _rest_part(r, kind))
         before = [_rest_part(r, k) for k in ("menu", "header", "advert", "notice", "form", "sidebar") if r.random() < (0.85 if k == "menu" else 0.35)]
         after = [_rest_part(r, k) for k in ("comments", "sidebar", "advert", "social", "form", "notice") if r.random() < 0.3]
         if r.random() < 0.85:
@@ -277,7 +277,7 @@ def labelled_pages(count: int, seed: int = 7) -> list[str]:
     return pages
 
 
-def train(pages: list[str], rounds: int = 120, rate: float = 0.2, penalty: float = 0.3) -> Field:
+def train(pages: list[str], rounds: int = 200, rate: float = 0.2, penalty: float = 0.05) -> Field:
     """Maximum likelihood with a Gaussian prior, by Adam; all pages advance side by side."""
     contexts, rows, truth = Contexts(), [], []
     for page in pages:
