@@ -141,14 +141,10 @@ def leaf_blocks(page: str, contexts: Contexts) -> list[Block]:
     return out
 
 
-def text_features(block: Block, place: int, count: int) -> list[str]:
+def text_features(block: Block) -> list[str]:
     text, n = block.text, len(block.text)
     out = ["bias", f"size:{min(7, int(math.log2(1 + n) / 1.5))}", f"links:{min(4, 5 * block.linked // max(n, 1))}", f"tag:{'h' if block.tag in HEADINGS else block.tag if block.tag in ('p', 'li', 'td', 'div', 'pre', 'blockquote') else 'other'}"]
     out.append("stop" if text[-1] in ".!?…:;。" else "nostop")
-    if place == 0:
-        out.append("first")
-    if place == count - 1:
-        out.append("last")
     if n < 400:
         out += [k for k, clue in _CLUES.items() if clue.search(text)]
     return out
@@ -199,7 +195,7 @@ class Extractor:
         weights = self.field.weights
         for known in self.contexts.sets[len(self.scores) :]:
             self.scores.append(sum(weights[x] for x in known))
-        scores = [self.scores[b.context] + sum(weights.get(x, 0.0) for x in text_features(b, i, len(blocks))) for i, b in enumerate(blocks)]
+        scores = [self.scores[b.context] + sum(weights.get(x, 0.0) for x in text_features(b)) for b in blocks]
         return [b.text for b, y in zip(blocks, self.field.label(scores), strict=True) if y]
 
 
@@ -285,7 +281,7 @@ def train(pages: list[str], rounds: int = 200, rate: float = 0.2, penalty: float
         labels = [int(b.text[0] == MARK_MAIN) for b in blocks]
         for b in blocks:
             b.text = b.text[1:].strip() or "."
-        rows.append([contexts.sets[b.context] | set(text_features(b, i, len(blocks))) for i, b in enumerate(blocks)])
+        rows.append([contexts.sets[b.context] | set(text_features(b)) for b in blocks])
         truth.append(labels)
     names = sorted({x for row in rows for b in row for x in b})
     number = {x: i for i, x in enumerate(names)}
