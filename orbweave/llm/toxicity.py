@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +31,8 @@ FIT_ROWS = 20_000  # bound of the labelled sample that the model is fitted on
 CANDIDATES = 4_000  # bound of the terminals that the greedy selection looks at
 TERMINALS = 200  # bound of the terminals it keeps
 LEAST_SUPPORT, LEAST_PRECISION = 5, 0.9
-STEM_BYTES = (3, 4, 5, 6, 7)
+STEM_BYTES = (3, 4, 5, 6, 7, 8, 9)
+TWICE = "\x02"  # before a terminal that counts only where two different words of a document match it
 
 # Starting lists of the grammar (English, French, German, Spanish).
 INSULTS = "idiot moron imbecile scumbag dumbass asshole bastard crétin connard salaud trottel vollidiot arschloch imbécil pendejo cabrón".split()
@@ -50,28 +51,34 @@ _NEGATION_REACH = 3
 
 @dataclass(frozen=True)
 class Grammar:
-    """Terminals with weights: whole words, beginnings ('^ab') and endings ('ab$') of words."""
+    """Terminals with weights: whole words, beginnings ('^ab') and endings ('ab$') of words, once or twice."""
 
     insults: dict[str, float]
 
-    def terminal(self, word: str) -> tuple[str, float] | None:
+    def terms(self, word: str) -> list[str]:
+        """The grammar's terms that a word matches, twice-terms by their plain name."""
+        return [t for t in word_terms(word) if t in self.insults or TWICE + t in self.insults]
+
+    def twice(self, text: str) -> frozenset[str]:
+        """Terms that at least two different words of the text match."""
+        seen = Counter(t for x in {x.strip("'") for x in _WORD.findall(text)} for t in self.terms(x))
+        return frozenset(t for t, n in seen.items() if n > 1)
+
+    def terminal(self, word: str, twice: frozenset[str] = frozenset()) -> tuple[str, float] | None:
         if word in _FIXED:
             return _FIXED[word], 1.0
-        best = self.insults.get(word, 0.0)
-        raw = word.encode()
-        for n in STEM_BYTES:
-            if len(raw) >= n:
-                best = max(best, self.insults.get("^" + raw[:n].decode("utf-8", "ignore"), 0.0) if _whole(raw[:n]) else 0.0)
-                best = max(best, self.insults.get(raw[-n:].decode("utf-8", "ignore") + "$", 0.0) if _whole_end(raw[-n:]) else 0.0)
+        best = max((max(self.insults.get(t, 0.0), self.insults.get(TWICE + t, 0.0) if t in twice else 0.0) for t in self.terms(word)), default=0.0)
         return (INSULT, best) if best > 0 else None
 
     def clauses(self, text: str) -> Iterator[dict[str, float]]:
         """What the composed transducers accept, clause by clause; clauses without insult or threat are empty."""
-        for clause in _CLAUSE.split(text.translate(_LOWER)):
+        text = text.translate(_LOWER)
+        twice = self.twice(text)
+        for clause in _CLAUSE.split(text):
             insult = threat = aimed = denied = reported = False
             weight, negated_until = 0.0, -1
             for at, word in enumerate(_WORD.findall(clause)):
-                found = self.terminal(word.strip("'"))
+                found = self.terminal(word.strip("'"), twice)
                 if found is None:
                     continue
                 kind, value = found
@@ -131,10 +138,10 @@ class Spotter:
     """Finds quickly which documents hold an insult or threat terminal at all, on hashes of a batch's words."""
 
     def __init__(self, grammar: Grammar):
-        words = [x for x in grammar.insults if x[0] != "^" and x[-1] != "$"] + THREATS
-        self.words = self._hashes(words)
-        self.heads = {n: self._hashes([x[1:] for x in grammar.insults if x[0] == "^" and len(x[1:].encode()) == n]) for n in STEM_BYTES}
-        self.tails = {n: self._hashes([x[:-1] for x in grammar.insults if x[-1] == "$" and len(x[:-1].encode()) == n]) for n in STEM_BYTES}
+        terms = {x.removeprefix(TWICE) for x in grammar.insults}
+        self.words = self._hashes([x for x in terms if x[0] != "^" and x[-1] != "$"] + THREATS)
+        self.heads = {n: self._hashes([x[1:] for x in terms if x[0] == "^" and len(x[1:].encode()) == n]) for n in STEM_BYTES}
+        self.tails = {n: self._hashes([x[:-1] for x in terms if x[-1] == "$" and len(x[:-1].encode()) == n]) for n in STEM_BYTES}
 
     @staticmethod
     def _hashes(words: list[str]) -> np.ndarray:
@@ -166,6 +173,12 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+def text_terms(text: str) -> list[str]:
+    """All terms that a text's words could teach; those of two different words also as twice-terms."""
+    seen = Counter(t for x in {x.strip("'") for x in _WORD.findall(text.translate(_LOWER))} if x for t in word_terms(x))
+    return [*seen, *(TWICE + t for t, n in seen.items() if n > 1)]
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic documents, clean documents) of a partition of the bounded sample."""
     counts: dict[str, list[int]] = {}
@@ -175,8 +188,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = {x.strip("'") for x in _WORD.findall(text.translate(_LOWER))}
-            for term in {t for x in words if x for t in word_terms(x)}:
+            for term in text_terms(text):
                 counts.setdefault(term, [0, 0])[toxic] += 1
         if len(counts) > 400_000:
             yield out()
@@ -192,8 +204,7 @@ def _find_terms(candidates: list[str]):
         for batch in batches:
             hits = []
             for text in batch.column(0).to_pylist():
-                words = {x.strip("'") for x in _WORD.findall(text.translate(_LOWER))}
-                hits.append(sorted({number[t] for x in words if x for t in word_terms(x) if t in known}))
+                hits.append(sorted(number[t] for t in text_terms(text) if t in known))
             yield pa.record_batch([batch.column(1).cast(pa.int64()), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "hits"])
 
     return run
@@ -213,7 +224,7 @@ def choose_terminals(candidates: list[str], rows: list[tuple[int, list[int]]]) -
         sets = {t: s for t, s in sets.items() if gain[t] >= LEAST_SUPPORT and len(s[1]) >= LEAST_PRECISION * (len(s[0]) + len(s[1]))}
         if not sets:
             break
-        best = max(sets, key=lambda t: (gain[t] - 3 * len(sets[t][0]), candidates[t].startswith("^"), -len(candidates[t]), candidates[t]))
+        best = max(sets, key=lambda t: (gain[t] - 3 * len(sets[t][0]), TWICE not in candidates[t], "^" in candidates[t], -len(candidates[t]), candidates[t]))
         clean, toxic = sets.pop(best)
         chosen[candidates[best]] = float(np.log((len(toxic) + 0.5) / (len(clean) + 0.5)))
         covered[toxic] = True
