@@ -27,7 +27,7 @@ from orbweave.llm import words as w
 from orbweave.llm.shared import table, whole_text, without
 
 THRESHOLD = 0.3
-FIT_ROWS = 20_000  # bound of the labelled sample that the model is fitted on
+FIT_ROWS = 8_000  # bound of the labelled sample that the model is fitted on
 CANDIDATES = 4_000  # bound of the terminals that the greedy selection looks at
 TERMINALS = 200  # bound of the terminals it keeps
 LEAST_SUPPORT, LEAST_PRECISION = 5, 0.9
