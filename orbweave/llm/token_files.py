@@ -27,7 +27,7 @@ SHARD_CHARS = 4 << 20
 MOST_SHARDS = 100_000
 RANK_BLOCK = 512  # bits between entries of a rank directory
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000  # pre-tokens that a Python worker remembers from task to task
 _SCHEMA = "shard int, segment int, n_tokens long, width int, zeros array<long>, planes array<binary>, ranks array<binary>, doc_ids array<long>, lengths array<long>"
 
 # Texts of these characters are cut into the vocabulary's pre-tokens here (its published pattern, with the
@@ -78,6 +78,16 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a vocabulary: loaded once, with what earlier tasks of the worker have learnt."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 @dataclass
 class WaveletMatrix:
     """Bit-planes with rank directories over ``n`` ids of ``width`` bits."""
@@ -91,6 +101,7 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         zeros, planes, ranks = [], [], []
+        ids = ids.astype(np.uint16 if width <= 16 else np.uint32)
         for level in range(width - 1, -1, -1):
             bit = ((ids >> level) & 1).astype(bool)
             packed = np.packbits(bit, bitorder="little")
@@ -162,14 +173,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order, undoing the planes' partings from the last to the first."""
-        ids = np.zeros(self.n, dtype=np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        ids = np.zeros(self.n, dtype=kind)
         for level in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(ids)
             back[~bit] = ids[: self.zeros[level]]
-            back[bit] = ids[self.zeros[level] :] | np.uint32(1 << (self.width - 1 - level))
+            back[bit] = ids[self.zeros[level] :] | kind(1 << (self.width - 1 - level))
             ids = back
-        return ids
+        return ids.astype(np.uint32)
 
 
 def _segment(shard: int, segment: int, parts: list[bytes], doc_ids: list, lengths: list[int], width: int) -> pa.RecordBatch:
@@ -185,14 +197,14 @@ def _write(path: str, vocabulary: int):
     width = max(1, (vocabulary - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         shard, segment, size = TaskContext.get().partitionId(), 0, 0
         parts, ids, lengths = [], [], []
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                for doc, made in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for doc, made in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
                     made += end
                     if size and size + len(made) // 4 > SEGMENT_TOKENS:
                         yield _segment(shard, segment, parts, ids, lengths, width)
