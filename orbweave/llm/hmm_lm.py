@@ -36,7 +36,7 @@ CLASSES = END + 1
 CHUNK_BYTES = 2 << 20
 TAIL_BYTES = 3
 BLOCK = 512  # tokens that advance one after the other
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 18
 _CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, words binary, counts binary, tails binary, tokens binary"
 
 
