@@ -91,3 +91,39 @@ def choose_events(df: DataFrame, key: str, order: str, current: str, proposed: s
     done = rows.select(key, "rows", F.aggregate("rows", start, step, lambda s: better(s["keep"], s["take"])).alias("best"))
     zipped = done.select(key, F.col("best.s").alias("total"), F.explode(F.arrays_zip(F.col("rows.o").alias("o"), F.col("best.path").alias("d"))).alias("z"))
     return zipped.select(key, F.col("z.o").alias(order), F.col("z.d").alias("decision"), "total")
+
+
+def greedy_hysteresis(df: DataFrame, key: str, at: str, candidate: str, utility: str, dwell: float, margin: float, hold: float) -> DataFrame:
+    """One selection for each key and time: (key, at, selected, reason, switched).
+
+    The best candidate (ties: least name) replaces a present incumbent only after its dwell, by at least
+    ``margin``, and once it has led for ``hold`` seconds; an absent incumbent is replaced at once.
+    """
+    ranked = df.groupBy(key, F.col(at).alias("o")).agg(F.sort_array(F.collect_list(F.struct((-F.col(utility)).alias("s"), F.col(candidate).alias("id")))).alias("c"))
+    rows = ordered(ranked, [key], ["o", "c"])
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    start = F.struct(text.alias("own"), number.alias("since"), text.alias("rival"), number.alias("rival_since"), F.array().cast("array<struct<o:double,selected:string,reason:string,switched:boolean>>").alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        best = r["c"][0]
+        mine = F.filter(r["c"], lambda c: c["id"] == s["own"])
+        led = F.when(s["rival"] == best["id"], s["rival_since"]).otherwise(r["o"])
+        reason = (
+            F.when(s["own"].isNull(), "initial_best").when(F.size(mine) == 0, "incumbent_missing_fallback").when(best["id"] == s["own"], "incumbent_best")
+            .when(r["o"] - s["since"] < dwell, "minimum_dwell").when(-best["s"] < -F.get(mine, F.lit(0))["s"] + margin, "switch_margin").when(r["o"] - led < hold, "challenger_hysteresis").otherwise("sustained_challenger")
+        )
+        # a struct of the verdict is handed on by one more fold, so that the cascade is written once
+        verdict = F.array(F.struct(reason.alias("why"), led.cast("double").alias("led")))
+
+        def settle(_: Column, v: Column) -> Column:
+            takes = v["why"].isin("initial_best", "incumbent_missing_fallback", "sustained_challenger")
+            chosen = F.when(takes, best["id"]).otherwise(s["own"])
+            waits = v["why"] == "challenger_hysteresis"
+            row = F.struct(r["o"].cast("double").alias("o"), chosen.alias("selected"), v["why"].alias("reason"), (takes & s["own"].isNotNull()).alias("switched"))
+            since = F.when(takes, r["o"].cast("double")).otherwise(s["since"])
+            return F.struct(chosen.alias("own"), since.alias("since"), F.when(waits, best["id"]).alias("rival"), F.when(waits, v["led"]).alias("rival_since"), F.concat(s["out"], F.array(row)).alias("out"))
+
+        return F.aggregate(verdict, s, settle)
+
+    done = rows.select(key, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r"))
+    return done.select(key, F.col("r.o").alias(at), "r.selected", "r.reason", "r.switched")

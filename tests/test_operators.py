@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from orbweave.operators import folds, intervals, rotation, validation
-from orbweave.plans import catalog
+from orbweave.plans import catalog, sequences  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +95,47 @@ def test_validation(spark):
     assert [r["id"] for r in validation.repeated_keys(df, "id").collect()] == ["ok"]
     assert validation.out_of_order(df, "id", "start", "start", "end").count() == 1
     assert validation.difference(df, df).count() == 0 and validation.difference(df, df.limit(2)).count() == 1
+
+
+def greedy(frames, dwell, margin, hold):
+    own = since = rival = rival_since = None
+    for t, candidates in frames:
+        best = min(candidates, key=lambda c: (-candidates[c], c))
+        waiting = False
+        if own is None:
+            reason = "initial_best"
+        elif own not in candidates:
+            reason = "incumbent_missing_fallback"
+        elif best == own:
+            reason = "incumbent_best"
+        elif t - since < dwell:
+            reason = "minimum_dwell"
+        elif candidates[best] < candidates[own] + margin:
+            reason = "switch_margin"
+        else:
+            if rival != best:
+                rival_since = t
+            waiting = t - rival_since < hold
+            rival = best
+            reason = "challenger_hysteresis" if waiting else "sustained_challenger"
+        takes = reason in ("initial_best", "incumbent_missing_fallback", "sustained_challenger")
+        yield t, best if takes else own, reason, takes and own is not None
+        if takes:
+            own, since = best, t
+        if not waiting:
+            rival = None
+
+
+def test_greedy_hysteresis_follows_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, float(t), k, float(rng.integers(0, 12)) / 4) for s in range(12) for t in range(60) for k in "abc" if k == "a" or rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "s int, t double, k string, u double")
+    got = sorted(tuple(r) for r in folds.greedy_hysteresis(df, "s", "t", "k", "u", 3.0, 0.5, 2.0).collect())
+    want, reasons = [], set()
+    for s in range(12):
+        frames = [(float(t), {k: u for a, b, k, u in rows if a == s and b == t}) for t in range(60)]
+        for row in greedy(frames, 3.0, 0.5, 2.0):
+            want.append((s, *row))
+            reasons.add(row[2])
+    assert got == want and len(reasons) == 7
+    assert folds.greedy_hysteresis(df.limit(0), "s", "t", "k", "u", 3.0, 0.5, 2.0).count() == 0
