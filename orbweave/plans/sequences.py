@@ -117,3 +117,22 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 def st08_greedy_planner(spark: SparkSession, sf: str) -> DataFrame:
     """ST-08: one selection a slot, with dwell, margin and hold (tested against a plain loop)."""
     return folds.greedy_hysteresis(observations(spark, sf), "source_id", "t", "kind", "utility", DAY, 0.05, 12 * HOUR)
+
+
+@query(f"""WITH {r.CANDIDATE}, s AS (SELECT frame, yaw, pitch, radians(90) AS h_fov FROM candidate QUALIFY row_number() OVER (PARTITION BY frame ORDER BY id) = 1),
+ g AS (SELECT s.frame, s.pitch, median(a.pitch) AS target, count(a.pitch) AS anchors FROM s LEFT JOIN candidate a ON a.frame = s.frame AND a.kind = 'view' AND abs({r.sql_wrap("a.yaw - s.yaw")}) <= s.h_fov / 2 GROUP BY s.frame, s.pitch)
+ SELECT frame, anchors, round(greatest(-pi() / 2, least(pi() / 2, pitch + greatest(-radians(25), least(radians(25), coalesce(target - pitch, 0))))), 6) AS pitch FROM g""")
+def agg26_vertical_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-26: a frame's first view, moved up or down to the middle of what it shows."""
+    c = r.candidate(spark, sf)
+    first = c.groupBy("frame").agg(F.min_by(F.struct("yaw", "pitch"), "id").alias("v")).select("frame", "v.*", F.lit(math.radians(90)).alias("h_fov"))
+    return paths.vertical_anchors(first, c.where("kind = 'view'").select("frame", "yaw", "pitch"), "frame", math.radians(25)).select("frame", "anchors", r6(F.col("pitch")).alias("pitch"))
+
+
+@query(f"""WITH {r.CANDIDATE}, d AS (SELECT frame, 5 + id % 7 AS seconds, greatest(acos(greatest(-1, least(1, cos(pitch) * cos(yaw)))), abs(h_fov - radians(30))) AS change FROM candidate),
+ g AS (SELECT frame, max(change) AS m, sum(CASE WHEN change >= 0.5 THEN seconds ELSE 0 END)::DOUBLE AS distinct_seconds, greatest(2, sum(seconds) * 0.1::DOUBLE) AS required FROM d GROUP BY frame)
+ SELECT frame, round(m, 6) AS maximum_change, distinct_seconds, round(required, 6) AS required_seconds, distinct_seconds >= required AS passed FROM g""")
+def agg29_shot_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-29: seconds in which a frame's shots differ from the view ahead by half a radian or more."""
+    shots = r.candidate(spark, sf).select("frame", "yaw", "pitch", "h_fov", F.lit(0.0).alias("start"), (5 + F.col("id") % 7).cast("double").alias("end"))
+    return rounded(paths.shot_difference(shots, "frame", 0.5, math.radians(30)), "maximum_change", "required_seconds")
