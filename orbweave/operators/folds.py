@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.functions import sphere
+
 
 def ordered(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """One row for each key with ``rows``: its rows as structs, sorted by the fields from left to right."""
@@ -127,3 +129,18 @@ def greedy_hysteresis(df: DataFrame, key: str, at: str, candidate: str, utility:
 
     done = rows.select(key, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r"))
     return done.select(key, F.col("r.o").alias(at), "r.selected", "r.reason", "r.switched")
+
+
+def box_nms(df: DataFrame, keys: list[str], box: list[str], score: str, row_id: list[str], most_overlap: float) -> DataFrame:
+    """Rows kept by greedy suppression within each key: best score first, then the id columns' order.
+
+    A row stays unless it overlaps a kept one by more than ``most_overlap``. With the class among the keys
+    suppression is class-aware; a key is a frame's boxes of one class. Equal rows keep one of them if the
+    overlap of a box with itself is above the bound; boxes without area overlap nothing.
+    """
+    fields = [(-F.col(score)).alias("s"), *[F.col(c).alias(f"i{n}") for n, c in enumerate(row_id)], *[F.col(c).alias(f"b{n}") for n, c in enumerate(box)]]
+    grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    sides = lambda r: [r[f"b{n}"] for n in range(4)]
+    keep = F.aggregate("rows", F.slice("rows", 1, 0), lambda kept, r: F.when(F.exists(kept, lambda k: sphere.box_iou(sides(k), sides(r), 0.0) > most_overlap), kept).otherwise(F.concat(kept, F.array(r))))
+    rows = grouped.select(*keys, F.explode(keep).alias("r"))
+    return rows.select(*keys, *[F.col(f"r.i{n}").alias(c) for n, c in enumerate(row_id)], (-F.col("r.s")).alias(score))

@@ -338,7 +338,7 @@ def agg28_interest_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def top02_temporal_nms(spark: SparkSession, sf: str) -> DataFrame:
-    """TOP-02, TOP-03: best events a day apart at least (tested against a plain loop)."""
+    """TOP-02: best events a day apart at least (tested against a plain loop)."""
     return folds.temporal_nms(r.signal(spark, sf).where("score >= 0.08"), "source_id", "t", "score", "id", DAY)
 
 

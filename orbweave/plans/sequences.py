@@ -136,3 +136,22 @@ def agg29_shot_difference(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-29: seconds in which a frame's shots differ from the view ahead by half a radian or more."""
     shots = r.candidate(spark, sf).select("frame", "yaw", "pitch", "h_fov", F.lit(0.0).alias("start"), (5 + F.col("id") % 7).cast("double").alias("end"))
     return rounded(paths.shot_difference(shots, "frame", 0.5, math.radians(30)), "maximum_change", "required_seconds")
+
+
+@query()
+def top03_box_nms(spark: SparkSession, sf: str) -> DataFrame:
+    """TOP-03: a frame's boxes of one class without those that overlap a better one by half (tested against a plain loop)."""
+    kept = folds.box_nms(r.detection(spark, sf), ["frame", "class"], ["x", "top", "w", "h"], "score", ["line", "part", "supp"], 0.5)
+    return rounded(kept, "score")
+
+
+@query(f"""WITH {r.SIGNAL}, {_SPAN}, {_MERGED}, shown AS (SELECT source_id, t AS v_start, t + 172800 AS v_end FROM signal WHERE kind = 'view'), bought AS (SELECT DISTINCT source_id, t - 10800 AS start FROM signal WHERE kind = 'purchase')
+ SELECT m.source_id, round(greatest(m.start, v.v_start), 6) AS start, round(least(m."end", v.v_end), 6) AS "end" FROM merged m JOIN bought b ON b.source_id = m.source_id AND b.start = m.start
+ JOIN shown v ON v.source_id = m.source_id AND m.start >= v.v_start AND m.start < v.v_end WHERE least(m."end", v.v_end) > greatest(m.start, v.v_start)""")
+def join08_onset_gated(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN-08: promoted intervals cut to the visible ranges that hold their onset."""
+    s = r.signal(spark, sf)
+    shown = s.where("kind = 'view'").select("source_id", F.col("t").alias("start"), (F.col("t") + 2 * DAY).alias("end"))
+    promoted = _merged(spark, sf).join(s.where("kind = 'purchase'").select("source_id", (F.col("t") - 10800).alias("start")), ["source_id", "start"], "left_semi")
+    found = intervals.overlaps(promoted.select("source_id", "start", "end"), shown, ["source_id"]).where("start >= start_right and start < end_right and clip_end > clip_start")
+    return rounded(found.select("source_id", F.col("clip_start").alias("start"), F.col("clip_end").alias("end")), "start", "end")

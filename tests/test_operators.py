@@ -139,3 +139,24 @@ def test_greedy_hysteresis_follows_a_plain_loop(spark):
             reasons.add(row[2])
     assert got == want and len(reasons) == 7
     assert folds.greedy_hysteresis(df.limit(0), "s", "t", "k", "u", 3.0, 0.5, 2.0).count() == 0
+
+
+def test_box_nms_follows_a_plain_loop(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f, "ab"[int(rng.integers(2))], i, *(float(x) / 8 for x in rng.integers(0, 6, 2)), *(float(x) / 8 for x in rng.integers(0, 6, 2)), float(rng.integers(1, 5)) / 4) for f in range(10) for i in range(25)]
+    df = spark.createDataFrame(rows, "f int, c string, i int, x double, y double, w double, h double, s double")
+    want = []
+    for f, c in itertools.product(range(10), "ab"):
+        kept = []
+        for r in sorted((r for r in rows if r[:2] == (f, c)), key=lambda r: (-r[7], r[2])):
+            def iou(k, r=r):
+                wide, high = (max(0.0, min(k[n] + k[n + 2], r[n] + r[n + 2]) - max(k[n], r[n])) for n in (3, 4))
+                union = k[5] * k[6] + r[5] * r[6] - wide * high
+                return wide * high / union if union > 0 else 0.0
+
+            if all(iou(k) <= 0.25 for k in kept):
+                kept.append(r)
+        want += [(f, c, r[2], r[7]) for r in kept]
+    got = folds.box_nms(df, ["f", "c"], ["x", "y", "w", "h"], "s", ["i"], 0.25)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert folds.box_nms(df.limit(0), ["f", "c"], ["x", "y", "w", "h"], "s", ["i"], 0.25).count() == 0
