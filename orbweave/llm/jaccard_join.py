@@ -114,7 +114,9 @@ def _shorten(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     A run is a shingle's sets in order of size, cut where the next set is too large for the one before; any
     two sets of the shingle that can reach the threshold are in one run. The run's first set is linked with
-    each other one, and its first and last sets stand for it.
+    each other one. A chain of its sets stands for it, from the first to the last, in which each next one is the
+    largest that is not too large for the one before: whatever fits a set of the run fits one of the chain, and
+    a chain has few sets, as any two of its steps exceed the threshold's ratio.
     """
     p = p[np.lexsort((p["set_id"], p["n"], p["shingle"]))]
     if len(p) < 2:
@@ -125,9 +127,14 @@ def _shorten(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mine = np.repeat(head, np.diff(np.append(head, len(p))))
     edges = np.stack([p["set_id"][mine], p["set_id"]], axis=1)
     edges = edges[edges[:, 0] != edges[:, 1]]
-    ends = np.zeros(len(p), dtype=bool)
-    ends[head] = ends[np.append(head[1:], len(p)) - 1] = True
-    return np.unique(edges, axis=0), p[ends]
+    place = (np.cumsum(~np.concatenate([[False], joined])) << 35) + n  # by run and size; sizes have 32 bits
+    step = np.searchsorted(place, place - n + DENOMINATOR * n // NUMERATOR, "right") - 1
+    stands = np.zeros(len(p), dtype=bool)
+    at = head
+    while len(at):
+        stands[at] = True
+        at = step[at][step[at] > at]
+    return np.unique(edges, axis=0), p[stands]
 
 
 def _send(levels, buckets: int):

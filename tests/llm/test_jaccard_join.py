@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -81,3 +82,44 @@ def test_tile_links_connect_like_all_links(sets):
 
     every = [(a, b) for a in range(n) for b in range(a) if 100 * j.overlap(arrays[a], arrays[b]) >= 75 * len(set(arrays[a].tolist()) | set(arrays[b].tolist()))]
     assert groups(links) == groups(every)
+
+
+def candidate_groups(monkeypatch, tasks, flush):
+    """Component of each set after the postings of ``tasks`` (lists of (shingle, set, size)) met in one bucket."""
+    monkeypatch.setattr(j, "BUCKET_POSTINGS", flush)
+    edges, blobs = [], []
+    for task in tasks:
+        found, rest = j._shorten(np.array(task, dtype=j._POSTING))
+        edges += found.tolist()
+        blobs.append(rest.tobytes())
+    sent = [pa.record_batch([pa.array([0], pa.int32()), pa.array([b], pa.binary())], names=["bucket", "postings"]) for b in blobs]
+    for batch in j._meet(iter(sent)):
+        edges += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+    label = {s: s for task in tasks for _, s, _ in task}
+    for a, b in edges:
+        was, now = label[a], label[b]
+        label = {s: now if x == was else x for s, x in label.items()}
+    return label
+
+
+def test_a_size_inside_a_shortened_run_meets_it(monkeypatch):
+    tasks = [[(7, k, n) for k, n in enumerate((100, 130, 170, 220, 290))], [(7, 9, 165)]]
+    assert len(set(candidate_groups(monkeypatch, tasks, 1 << 20).values())) == 1
+
+
+def test_shortened_runs_lose_no_compatible_pair(monkeypatch):
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        sets = [(int(rng.integers(3)), k, int(2 ** rng.uniform(0, 12))) for k in range(60)]
+        tasks = [sets[k::20] for k in range(20)]
+        for flush in (1, 3, 1 << 20):
+            label = candidate_groups(monkeypatch, tasks, flush)
+            for x, a, n in sets:
+                for y, b, m in sets:
+                    assert x != y or 100 * n < 75 * m or n > m or label[a] == label[b]
+
+
+def test_a_run_is_stood_for_by_few_sets():
+    _, rest = j._shorten(np.array([(1, k, 1000 + k) for k in range(100_000)], dtype=j._POSTING))
+    n = rest["n"].astype(int)
+    assert n[0] == 1000 and n[-1] == 100_999 and len(n) < 40 and (100 * n[:-1] >= 75 * n[1:]).all()
