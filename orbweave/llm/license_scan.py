@@ -8,8 +8,9 @@ in the corpus first, counted over all documents). Filters that lose nothing come
 * length: it holds at least ``need`` template words;
 * position: at a shared word, the words that follow on both sides bound what the overlap can still become.
 
-A block is a line, cut into windows of ``BLOCK_WORDS`` words that overlap by half, so any passage of up to
-half a window is whole in one of them.
+A block is a window of ``BLOCK_WORDS`` words. Windows overlap by half, so any passage of up to half a window is
+whole in one of them. They slide over each line, and over the document's whole word sequence, as notices are
+often wrapped; only between two lines of a single word each (lists, cells) does the sequence break.
 """
 
 from __future__ import annotations
@@ -156,40 +157,71 @@ def phrase_places(ws: w.Words, phrase: str) -> np.ndarray:
     return np.array([i for i in at.tolist() if all(ws.text(i + k) == x for k, x in enumerate(names))], dtype=np.int64)
 
 
-def block_matches(index: Index, ws: w.Words) -> list[tuple[int, dict]]:
-    """(document, match) of all blocks of a slice."""
-    at, number = index.vocabulary.find(ws)
-    if not len(at):
-        return []
-    doc = np.searchsorted(ws.first, at, "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(ws.low == 0x0A)])
-    line_of = lambda i: breaks[ws.starts[i]]  # noqa: E731  lines are numbered through the slice
-    line = line_of(at)
-    # a line's first word: the first of its document, or the first after its line break
-    begins = np.flatnonzero(np.concatenate([[True], np.diff(line_of(np.arange(len(ws.starts)))) > 0]))
-    begins = np.union1d(begins, ws.first[:-1][np.diff(ws.first) > 0])
+def _reached(index: Index, begins: np.ndarray, at: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first word of the window, template, overlap, first template word as a place in ``at``), windows in order.
+
+    Windows slide over each stretch of words from one of ``begins`` to the next. Of neighbouring windows that
+    reach one template the best stands for all.
+    """
     first = begins[np.searchsorted(begins, at, "right") - 1]
     cell = (at - first) // (BLOCK_WORDS // 2)
     where = np.concatenate([np.arange(len(at)), np.flatnonzero(cell > 0)])
     window = np.concatenate([cell, cell[cell > 0] - 1])
-    rank = index.rank[number][where]
+    rank = rank[where]
     order = np.lexsort((rank, window, first[where]))
     where, window, rank = where[order], window[order], rank[order]
     head = first[where]
     cut = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (window[1:] != window[:-1])]))
     able = np.add.reduceat(index.starts_candidate[rank].astype(np.int64), cut) > 0
-    found, seen = [], set()
-    line_start = lambda d: breaks[ws.starts[ws.first[d]]] if ws.first[d] < len(ws.starts) else 0
+    held: dict[int, tuple[int, int, tuple]] = {}
     for lo, hi in zip(cut[able], np.append(cut[1:], len(where))[able], strict=True):
         for t, overlap in index.matches(np.unique(rank[lo:hi])):
-            key = (int(head[lo]), t)
-            d = int(doc[where[lo]])
-            if key in seen:  # windows of one line overlap: a line's first match stands for it
-                continue
-            seen.add(key)
-            template = index.templates[t]
-            found.append((d, {"template": t, "label": template.label, "line": int(line[where[lo]] - line_start(d)), "first_word": int(head[lo] - ws.first[d] + window[lo] * (BLOCK_WORDS // 2)), "overlap": overlap, "containment": overlap / len(template.members)}))
-    return found
+            h, k = int(head[lo]), int(window[lo])
+            made = (h + k * (BLOCK_WORDS // 2), t, overlap, int(where[lo:hi].min()))
+            was = held.get(t)
+            if was and was[:2] == (h, k - 1):
+                made = max(was[2], made, key=lambda m: m[2])
+            elif was:
+                yield was[2]
+            held[t] = (h, k, made)
+    for was in held.values():
+        yield was[2]
+
+
+def block_matches(index: Index, ws: w.Words) -> list[tuple[int, dict]]:
+    """(document, match) of all blocks of a slice."""
+    at, number = index.vocabulary.find(ws)
+    if not len(at):
+        return []
+    rank = index.rank[number]
+    doc = np.searchsorted(ws.first, at, "right") - 1
+    breaks = np.concatenate([[0], np.cumsum(ws.low == 0x0A)])
+    line_of = lambda i: breaks[ws.starts[i]]  # noqa: E731  lines are numbered through the slice
+    line = line_of(at)
+    # a line's first word: the first of its document, or the first after its line break
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(line_of(np.arange(len(ws.starts)))) > 0]))
+    own = ws.first[:-1][np.diff(ws.first) > 0]
+    begins = np.union1d(begins, own)
+    found = list(_reached(index, begins, at, rank))
+    # stretches of several lines: their windows add what no line has as well
+    single = np.diff(np.append(begins, len(ws.starts))) == 1
+    stays = np.isin(begins, own) | (single & np.concatenate([[False], single[:-1]]))
+    heads = begins[stays]
+    lines = np.diff(np.append(np.flatnonzero(stays), len(begins)))
+    wide = np.flatnonzero(lines[np.searchsorted(heads, at, "right") - 1] > 1)
+    if len(wide):
+        near: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for begin, t, overlap, k in found:
+            near[int(doc[k]), t].append((begin, overlap))
+        for begin, t, overlap, k in _reached(index, heads, at[wide], rank[wide]):
+            k = int(wide[k])
+            if not any(abs(b - begin) < BLOCK_WORDS and o >= overlap for b, o in near[int(doc[k]), t]):
+                found.append((begin, t, overlap, k))
+    out = []
+    for begin, t, overlap, k in sorted(found):
+        d, template = int(doc[k]), index.templates[t]
+        out.append((d, {"template": t, "label": template.label, "line": int(line[k] - line_of(ws.first[d])), "first_word": int(begin - ws.first[d]), "overlap": overlap, "containment": overlap / len(template.members)}))
+    return out
 
 
 def _scan(shared_index):
@@ -228,8 +260,9 @@ def _scan(shared_index):
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, matches.
 
-    ``matches`` lists every line that holds at least THRESHOLD of a template's words: template, label, line
-    (from 0), first_word of the block, overlap and containment. Null and empty texts have no words and no
+    ``matches`` lists every block that holds at least THRESHOLD of a template's words: template, label, line
+    (of the block's first template word, from 0), first_word of the block, overlap and containment. The best of
+    neighbouring blocks stands for them, and blocks across lines are listed where no line nearby does as well. Null and empty texts have no words and no
     matches; null and repeated doc_ids keep their rows; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))

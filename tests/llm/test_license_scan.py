@@ -1,6 +1,10 @@
+import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from orbweave.llm import license_scan as s
 from tests.llm.helpers import SF, lower, odd_documents, plain_words
 
@@ -63,3 +67,71 @@ def test_rare_words_come_first():
 
 def test_empty_table(spark):
     assert s.scan_licenses(odd_documents(spark).where("false")).collect() == []
+
+
+def brute_blocks(text):
+    """Template -> best containment over half-overlapping windows of lines and of stretches of joined lines."""
+    lines = [x for x in map(plain_words, lower(text).split("\n")) if x]
+    stretches = []
+    for k, words in enumerate(lines):
+        if k and not (len(words) == 1 and len(lines[k - 1]) == 1):
+            stretches[-1] += words
+        else:
+            stretches.append(list(words))
+    best = {}
+    for have in lines + stretches:
+        for begin in range(0, len(have), s.BLOCK_WORDS // 2):
+            block = set(have[begin : begin + s.BLOCK_WORDS])
+            for t, (_, template) in enumerate(s.TEMPLATES):
+                members = set(template.split())
+                if 10 * len(block & members) >= 9 * len(members):
+                    best[t] = max(best.get(t, 0), len(block & members) / len(members))
+    return best
+
+
+def found_blocks(texts):
+    out = [{} for _ in texts]
+    index = s.Index({})
+    for i, _, data, offsets in s.w.slices(pa.array(texts)):
+        for d, m in s.block_matches(index, s.w.split_words(data, offsets, s.w.LETTERS_DIGITS)):
+            out[i + d][m["template"]] = max(out[i + d].get(m["template"], 0), m["containment"])
+    return out
+
+
+WRAPPED = [
+    ("mit", "Copyright (c) 2020\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"),
+    ("bsd", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"),
+    ("apache-2", "   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0"),
+    ("all-rights-reserved", "All rights\nreserved"),
+]
+
+
+def test_wrapped_notices(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(WRAPPED)], "doc_id long, text string")
+    got, _ = rows(spark, docs, tmp_path)
+    assert [label in g[6].split(",") for (label, _), g in zip(WRAPPED, got, strict=True)] == [True] * 4
+
+
+def test_best_of_neighbouring_windows_and_every_passage():
+    mit = s.TEMPLATES[1][1].split()
+    pad = lambda n: ["x"] * n
+    text = " ".join(pad(110) + mit + pad(300) + mit)  # the first window misses the notice's last words
+    index = s.Index({})
+    (_, _, data, offsets), = s.w.slices(pa.array([text]))
+    got = [m for _, m in s.block_matches(index, s.w.split_words(data, offsets, s.w.LETTERS_DIGITS)) if m["template"] == 1]
+    assert [m["containment"] for m in got] == [1.0, 1.0] and got[0]["first_word"] == 64 and got[1]["first_word"] > 300
+    assert found_blocks([text]) == [brute_blocks(text)]
+
+
+def test_blocks_against_brute_force():
+    rng, texts = random.Random(3), []
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            words += ["filler"] * rng.choice([0, 1, 5, 60, 130])
+            words += [x for x in rng.choice(s.TEMPLATES)[1].split() if rng.random() < 0.97]
+        wrap = rng.choice([0, 0.02, 0.1, 0.5, 0.9])
+        texts.append("".join(x + ("\n" if rng.random() < wrap else " ") for x in words))
+    got = found_blocks(["", *texts, "\n"])
+    want = [brute_blocks(t) for t in ["", *texts, "\n"]]
+    assert got == want and np.mean([bool(x) for x in want]) > 0.5
