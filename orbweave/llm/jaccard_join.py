@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
 from orbweave.llm.components import connected_components
-from orbweave.llm.shared import stage, table, whole_text, without
+from orbweave.llm.shared import stage, table, text_digest, whole_text, without
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -53,12 +53,12 @@ def set_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, set_id), and at the end the partition's shingle counters by block."""
+    """Rows (doc_id, digest, n, set_id), and at the end the partition's shingle counters by block."""
     counters = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
-    names = ["doc_id", "n", "set_id", "block", "at", "counts"]
+    names = ["doc_id", "digest", "n", "set_id", "block", "at", "counts"]
 
-    def rows(ids, n, sets, block, at, counts):
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(block, pa.int32()), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], names=names)
+    def rows(ids, digests, n, sets, block, at, counts):
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(block, pa.int32()), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], names=names)
 
     waiting, size = [], 0
 
@@ -69,8 +69,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting.clear()
 
     for batch in batches:
-        ids, n, sets = batch.column(0).to_pylist(), [], []
-        for _, hashes, first in document_sets(batch.column(1)):
+        ids, digests, n, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
+        for _, hashes, first in document_sets(batch.column(2)):
             waiting.append((hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.uint32))
             size += len(hashes)
             k = np.diff(first)
@@ -80,13 +80,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 add()
                 size = 0
         none = [None] * len(ids)
-        yield rows(ids, n, sets, none, none, none)
+        yield rows(ids, digests, n, sets, none, none, none)
     add()
     for b in range(1 << (COUNTER_BITS - BLOCK_BITS)):
         part = counters[b << BLOCK_BITS : (b + 1) << BLOCK_BITS]
         at = np.flatnonzero(part)
         if len(at):
-            yield rows([None], [None], [None], [b], [at.astype("<u2").tobytes()], [part[at].astype("<u4").tobytes()])
+            yield rows([None], [None], [None], [None], [b], [at.astype("<u2").tobytes()], [part[at].astype("<u4").tobytes()])
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,48 +267,55 @@ def link_tile(arrays: list[np.ndarray], side: np.ndarray, guest: np.ndarray, cro
 
 def _link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in tile order: one tile's sets are in memory at a time."""
-    held, members = None, []
+    held, sets = None, {}
 
     def close():
-        sets = {}
-        for block, guest, set_id, blob in members:
-            sets.setdefault(set_id, (block, guest, blob))
         ids = sorted(sets, key=lambda s: (len(sets[s][2]), s))
         pairs = link_tile([np.frombuffer(sets[s][2], "<u8") for s in ids], np.array([sets[s][0] for s in ids]), np.array([sets[s][1] for s in ids], dtype=bool), held[2] != held[3])
-        members.clear()
+        sets.clear()
         return _edge_rows(np.array([(ids[i], ids[j]) for i, j in pairs], dtype=np.int64).reshape(-1, 2))
 
     for batch in batches:
         for c, band, i, j, block, guest, set_id, blob in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-            if held != (c, band, i, j) and members:
+            if held != (c, band, i, j) and sets:
                 yield close()
             held = (c, band, i, j)
-            members.append((block, guest, set_id, blob))
-    if members:
+            sets.setdefault(set_id, (block, guest, blob))  # rows that repeat id and text repeat the set
+    if sets:
         yield close()
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set_id, tiles, text) to (set_id, tiles, shingles), for texts that have the wanted set.
+
+    Rows that repeat an id and its text come one after another; the first stands for them.
+    """
+    last = None
     for batch in batches:
-        blobs = []
-        for _, hashes, first in document_sets(batch.column(batch.num_columns - 1)):
-            blobs += [hashes[i:j].astype("<u8").tobytes() for i, j in zip(first, first[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blobs, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
+        wanted, blobs, kept = batch.column(0).to_pylist(), [], []
+        for i, hashes, first in document_sets(batch.column(2)):
+            for k, has in enumerate(set_ids(hashes, first).tolist(), i):
+                if has == wanted[k] != last:
+                    last = has
+                    kept.append(k)
+                    blobs.append(hashes[first[k - i] : first[k - i + 1]].astype("<u8").tobytes())
+        rows = batch.take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(blobs, pa.binary())], names=["set_id", "tiles", "shingles"])
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """(component, band, i, j, block, guest, set_id, doc_id) for (component, set_id, doc_id, n)."""
+    """(component, band, i, j, block, guest, set_id, doc_id, digest) for (component, set_id, doc_id, digest, n)."""
     whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     blocks = lambda: F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
     sized = members.join(whole.select("component", (blocks() > 1).alias("wide")), "component")
     band = F.floor(F.log("n") / F.lit(math.log(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
     # a set is an owner of its band and a guest of the band below: sizes within the ratio are at most one band apart
     roles = F.when(F.col("wide"), F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band - 1).alias("band"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.lit(-1).alias("band"), F.lit(False).alias("guest"))))
-    placed = sized.withColumn("role", F.explode(roles)).select("component", "role.*", "set_id", "doc_id", "n")
+    placed = sized.withColumn("role", F.explode(roles)).select("component", "role.*", "set_id", "doc_id", "digest", "n")
     count = placed.groupBy("component", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).select("component", "band", blocks().alias("blocks"))
     placed = placed.join(count, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return placed.withColumn("other", other).select("component", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "set_id", "doc_id")
+    return placed.withColumn("other", other).select("component", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "set_id", "doc_id", "digest")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -322,9 +329,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    profile = stage(texts.mapInArrow(_profile, "doc_id long, n long, set_id long, block int, at binary, counts binary"), "jaccard-profile")
-    rows = profile.where("block is null").select("doc_id", "n", "set_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), whole_text().alias("text"))
+    profile = stage(texts.mapInArrow(_profile, "doc_id long, digest long, n long, set_id long, block int, at binary, counts binary"), "jaccard-profile")
+    rows = profile.where("block is null").select("doc_id", "digest", "n", "set_id")
     blocks = profile.where("block is not null").select("block", "at", "counts")
     levels = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
     for b, made in blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block int, levels binary").collect():  # 2**COUNTER_BITS bytes in all
@@ -335,13 +342,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spread = F.when(F.col("bucket") < 0, F.xxhash64("postings")).otherwise(F.col("bucket"))
     edges = sent.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long")
     near = connected_components(edges)
-    sets = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    # one row speaks for its class: of those with an id, if there are any, the one with the least
+    speaker = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "digest")
+    sets = rows.where("set_id is not null").groupBy("set_id").agg(F.min(speaker).alias("own"), F.first("n").alias("n")).select("set_id", "own", "own.doc_id", "own.digest", "n")
     members = near.withColumnRenamed("node", "set_id").join(sets, "set_id")
     tiles = stage(_tiles(members), "jaccard-tiles")
-    # one document speaks for its class, and its text is fetched once for all its tiles
-    wanted = tiles.groupBy("set_id", "doc_id").agg(F.collect_list(F.struct("component", "band", "i", "j", "block", "guest")).alias("tiles"))
+    # the speaker's text is fetched once for all its tiles; its id alone may stand for several texts
+    wanted = tiles.groupBy("set_id", "doc_id", "digest").agg(F.collect_list(F.struct("component", "band", "i", "j", "block", "guest")).alias("tiles"))
     # one plan at every size: Spark would broadcast the wanted rows while they are few
-    spoken = texts.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")))
+    spoken = texts.withColumnsRenamed({"doc_id": "id", "digest": "own"}).join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest")))
     arrays = spoken.select("set_id", "tiles", "text").mapInArrow(_arrays, "set_id long, tiles array<struct<component:long,band:int,i:int,j:int,block:int,guest:boolean>>, shingles binary")
     dealt = arrays.select("set_id", "shingles", F.explode("tiles").alias("t")).select("t.*", "set_id", "shingles")
     key = ["component", "band", "i", "j"]

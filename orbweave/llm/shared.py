@@ -42,6 +42,11 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_digest(column: str = "text"):
+    """64 bits that tell apart texts under one id."""
+    return F.xxhash64(whole_text(column))
+
+
 def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose key isn't among ``ids``; null keys match null keys, columns keep names and order."""
     other = ids.select(F.col(key).alias("__key")).distinct()

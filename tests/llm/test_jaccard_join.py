@@ -51,6 +51,23 @@ def test_chain_of_near_copies_in_small_tiles(spark, monkeypatch):
     assert ran(docs) == brute(rows)
 
 
+def variants(count):
+    """Texts far from each other, and a near copy of each."""
+    texts = [" ".join(f"v{k}x{i}" for i in range(40 + k)) for k in range(count)]
+    return texts, [t + " end" for t in texts]
+
+
+def test_one_id_over_several_texts_and_texts_without_id(spark):
+    texts, copies = variants(6)
+    ids = [5, 5, 5, None, None, None]
+    rows = [*zip(ids, texts, strict=True), *((20 + k, t) for k, t in enumerate(copies)), (5, texts[0]), (None, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ran(docs) == brute(rows)
+    nameless = [(None, t) for t in (*texts, *copies)]
+    rows = [*nameless, (3, texts[1] + " begin")]
+    assert ran(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_keep_one_and_empty(spark):
     docs = odd_documents(spark)
     kept = j.keep_one(docs)
