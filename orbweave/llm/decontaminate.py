@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
-from orbweave.llm.shared import table, whole_text, without
+from orbweave.llm.shared import table, whole_text
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -152,37 +152,43 @@ def windows_near(block: BenchmarkBlock, h: np.ndarray, size: int, places: np.nda
     return best
 
 
+def _hits(block: BenchmarkBlock, texts: pa.Array) -> list[tuple[int, int, tuple]]:
+    """(row, number of the item, its best window) of all pairs that match."""
+    found = []
+    for i, _, data, offsets in w.slices(texts):
+        ws = w.split_words(data, offsets, w.LETTERS_DIGITS)
+        # places by word, for whole five-word runs and for the shorter items' own lengths
+        got = []
+        for size in [*block.short, SHINGLE]:
+            hashes = run_hashes(ws.hashes, size)
+            at, item = block.shared(hashes)
+            doc = np.searchsorted(ws.first, at, "right") - 1
+            ok = at + size <= ws.first[doc + 1]
+            sizes = np.array(block.sizes)[item]
+            ok &= (sizes == size) if size < SHINGLE else (sizes >= SHINGLE)
+            got.append((doc[ok], item[ok], at[ok]))
+        doc, item, at = (np.concatenate(x) for x in zip(*got, strict=True))
+        if not len(doc):
+            continue
+        order = np.lexsort((at, item, doc))
+        doc, item, at = doc[order], item[order], at[order]
+        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
+        for lo, hi in zip(cut, np.append(cut[1:], len(doc)), strict=True):
+            d, k = int(doc[lo]), int(item[lo])
+            if hi - lo < THRESHOLD * block.weights[k]:
+                continue
+            h = ws.hashes[ws.first[d] : ws.first[d + 1]]
+            hit = windows_near(block, h, block.sizes[k], at[lo:hi] - ws.first[d]).get(k)
+            if hit:
+                found.append((i + d, k, hit))
+    return found
+
+
 def _scan(shared_block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: BenchmarkBlock = shared_block.value
         for batch in batches:
-            ids, found = batch.column(0), []
-            for i, _, data, offsets in w.slices(batch.column(1)):
-                ws = w.split_words(data, offsets, w.LETTERS_DIGITS)
-                # places by word, for whole five-word runs and for the shorter items' own lengths
-                got = []
-                for size in [*block.short, SHINGLE]:
-                    hashes = run_hashes(ws.hashes, size)
-                    at, item = block.shared(hashes)
-                    doc = np.searchsorted(ws.first, at, "right") - 1
-                    ok = at + size <= ws.first[doc + 1]
-                    sizes = np.array(block.sizes)[item]
-                    ok &= (sizes == size) if size < SHINGLE else (sizes >= SHINGLE)
-                    got.append((doc[ok], item[ok], at[ok]))
-                doc, item, at = (np.concatenate(x) for x in zip(*got, strict=True))
-                if not len(doc):
-                    continue
-                order = np.lexsort((at, item, doc))
-                doc, item, at = doc[order], item[order], at[order]
-                cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
-                for lo, hi in zip(cut, np.append(cut[1:], len(doc)), strict=True):
-                    d, k = int(doc[lo]), int(item[lo])
-                    if hi - lo < THRESHOLD * block.weights[k]:
-                        continue
-                    h = ws.hashes[ws.first[d] : ws.first[d + 1]]
-                    hit = windows_near(block, h, block.sizes[k], at[lo:hi] - ws.first[d]).get(k)
-                    if hit:
-                        found.append((ids[i + d].as_py(), block.item_ids[k], *hit))
+            found = [(batch.column(0)[row].as_py(), block.item_ids[k], *hit) for row, k, hit in _hits(block, batch.column(1))]
             columns = list(zip(*found, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
@@ -190,6 +196,16 @@ def _scan(shared_block):
     return run
 
 
+def _reject(shared_block, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            clean[[row for row, _, _ in _hits(shared_block.value, batch.column(text).fill_null(""))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[BenchmarkBlock]:
     """The items in blocks of at most about BLOCK_ITEMS items and BLOCK_CHARS characters."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text")).where(F.length("text") > 0)
@@ -217,8 +233,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; columns stay as they are."""
-    return without(docs, contaminated(docs, benchmark))
+    """``docs`` without the documents that hold a benchmark passage, row by row; columns stay as they are."""
+    kept = docs
+    for block in benchmark_blocks(benchmark):
+        kept = kept.mapInArrow(_reject(docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")), docs.schema)
+    return kept
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

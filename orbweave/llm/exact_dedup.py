@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.shared import shared_folder, table, whole_text, without
+from orbweave.llm.shared import settle, shared_folder, table, whole_text
 
 PREFIX_BITS = 16
 BUCKET_CAPACITY = 256
@@ -169,8 +169,8 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that another row's equal text replaces; columns stay as they are."""
-    dropped = exact_duplicates(docs).where("not kept")
-    return without(docs, dropped)
+    decided = exact_duplicates(docs).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+    return settle(docs, decided, F.sha2(whole_text(), 256))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
 from orbweave.llm.components import connected_components
-from orbweave.llm.shared import stage, table, text_digest, whole_text, without
+from orbweave.llm.shared import settle, stage, table, text_digest, whole_text
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -318,15 +318,8 @@ def _tiles(members: DataFrame) -> DataFrame:
     return placed.withColumn("other", other).select("component", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "set_id", "doc_id", "digest")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, set_id.
-
-    Words are runs of non-blank bytes after lower-casing A-Z; a set holds the distinct runs of five words (a
-    shorter text's whole sequence as one). Texts without words and nulls have no set (n_shingles 0, set_id
-    null) and stay alone. Two documents link when 100 * intersection >= 75 * union; component_id is the
-    smallest doc_id reachable. Repeated doc_ids are rows of their own; null doc_ids never name a component
-    unless all its members lack one.
-    """
+def _components(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, digest, n, set_id, and ``best``: the row that speaks for its component."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), whole_text().alias("text"))
@@ -356,18 +349,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     key = ["component", "band", "i", "j"]
     links = dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_link_tiles, "a long, b long")
     joined = connected_components(links).withColumnRenamed("node", "set_id")
-    named = joined.join(sets.select("set_id", "doc_id"), "set_id")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = named.select("set_id", "component").join(least, "component").select("set_id", "component_id")
-    alone = sets.select("set_id", F.col("doc_id").alias("own_id"))
-    by_set = alone.join(linked, "set_id", "left").select("set_id", F.coalesce("component_id", "own_id").alias("component_id"))
-    return rows.join(by_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_id")
+    named = joined.join(sets.select("set_id", "own"), "set_id")
+    least = named.groupBy("component").agg(F.min("own").alias("best"))
+    linked = named.select("set_id", "component").join(least, "component").select("set_id", "best")
+    by_set = sets.select("set_id", "own").join(linked, "set_id", "left").select("set_id", F.coalesce("best", "own").alias("best"))
+    return rows.join(by_set, "set_id", "left").select("doc_id", "digest", "n", "set_id", "best")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, set_id.
+
+    Words are runs of non-blank bytes after lower-casing A-Z; a set holds the distinct runs of five words (a
+    shorter text's whole sequence as one). Texts without words and nulls have no set (n_shingles 0, set_id
+    null) and stay alone. Two documents link when 100 * intersection >= 75 * union; component_id is the
+    smallest doc_id reachable. Repeated doc_ids are rows of their own; null doc_ids never name a component
+    unless all its members lack one.
+    """
+    found = _components(docs)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), "set_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each component; columns stay as they are."""
-    found = jaccard_components(docs)
-    return without(docs, found.where("component_id is not null and not (doc_id <=> component_id)"))
+    """``docs`` with one row (of the smallest doc_id) of each component; columns stay as they are."""
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    return settle(docs, _components(docs).where("set_id is not null").select("doc_id", "digest", kept.alias("kept")), text_digest())
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

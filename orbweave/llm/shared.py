@@ -47,7 +47,21 @@ def text_digest(column: str = "text"):
     return F.xxhash64(whole_text(column))
 
 
-def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose key isn't among ``ids``; null keys match null keys, columns keep names and order."""
-    other = ids.select(F.col(key).alias("__key")).distinct()
-    return df.join(other, df[key].eqNullSafe(other["__key"]), "left_anti")
+def settle(df: DataFrame, decided: DataFrame, digest) -> DataFrame:
+    """``df`` without what ``decided`` (doc_id, digest, kept) rejects, and one of the rows that repeat both.
+
+    ``digest`` makes the digest of a row of ``df``. Decisions hold for an id with its text: other texts of the
+    id stay, and null ids match null ids. Rows that aren't decided stay; columns keep names and order.
+    """
+    marks = decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    marks = stage(marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__made"), "kept"), "decided")
+    marked = df.withColumn("__digest", digest)
+
+    def matched(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        return rows.join(others, rows["doc_id"].eqNullSafe(others["__id"]) & (rows["__digest"] == others["__made"]), how)
+
+    again = marks.where("kept")
+    rest = matched(marked, marks.where("not kept"), "left_anti")
+    if not again.isEmpty():
+        rest = matched(rest, again, "left_anti").unionAll(matched(rest, again, "left_semi").dropDuplicates(["doc_id", "__digest"]))
+    return rest.drop("__digest")

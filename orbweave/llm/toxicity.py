@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
-from orbweave.llm.shared import table, whole_text, without
+from orbweave.llm.shared import table, whole_text
 
 THRESHOLD = 0.3
 FIT_ROWS = 8_000  # bound of the labelled sample that the model is fitted on
@@ -290,16 +290,34 @@ def _features(grammar: Grammar):
     return run
 
 
+def _scorer(model: Model):
+    """Scores of a batch's texts; the grammar reads only those in which a term is spotted."""
+    spotter, base = Spotter(model.grammar), model.score("")
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        found = np.full(len(texts), base)
+        for i, _, data, offsets in w.slices(texts):
+            for d in spotter.documents(w.split_words(data, offsets, w.LETTERS_DIGITS)):
+                found[i + d] = model.score(texts[i + int(d)].as_py())
+        return found
+
+    return scores
+
+
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spotter, base = Spotter(model.grammar), model.score("")
+        scores = _scorer(model)
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array(scores(batch.column(1)))], names=["doc_id", "score"])
+
+    return run
+
+
+def _reject(model: Model, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(model)
         for batch in batches:
-            scores = np.full(batch.num_rows, base)
-            texts = batch.column(1)
-            for i, _, data, offsets in w.slices(texts):
-                for d in spotter.documents(w.split_words(data, offsets, w.LETTERS_DIGITS)):
-                    scores[i + d] = model.score(texts[i + int(d)].as_py())
-            yield pa.record_batch([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
+            yield batch.filter(pa.array(scores(batch.column(text).fill_null("")) < THRESHOLD))
 
     return run
 
@@ -312,8 +330,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, training_docs: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic; columns stay as they are."""
-    return without(docs, score_documents(docs, fit(training_docs, labels)).where("predicted = 1"))
+    """``docs`` without those predicted toxic, row by row; columns stay as they are."""
+    return docs.mapInArrow(_reject(fit(training_docs, labels), docs.columns.index("text")), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
