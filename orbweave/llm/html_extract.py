@@ -25,13 +25,14 @@ from orbweave.llm.shared import table
 # HTML's block-level elements, elements without an end tag, and elements that hold no text.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = "script|style|noscript|template|title|textarea|iframe|object|svg|math|canvas"
+SILENT_TAGS = "script|style|noscript|template|title|textarea|iframe"  # svg too, where it has an end
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT_TAGS})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({SILENT_TAGS})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+_DRAWING_END = re.compile(r"</svg\s*>", re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _CLUES = {  # fixed values: words that notices, forms and adverts use
@@ -105,7 +106,8 @@ def leaf_blocks(page: str, contexts: Contexts) -> list[Block]:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    drawn = max((m.start() for m in _DRAWING_END.finditer(page)), default=-1)  # a drawing that begins later has no end
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if open_tags.get("a"):
@@ -118,6 +120,10 @@ def leaf_blocks(page: str, contexts: Contexts) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
+        if tag == "svg" and not ends:
+            if at <= drawn and not attributes.endswith("/"):
+                at = _DRAWING_END.search(page, at).end()
+            continue
         block = tag in BLOCK_TAGS
         if block:
             flush()

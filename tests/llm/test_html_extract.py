@@ -62,3 +62,18 @@ def test_hostile_markup(crf):
     extractor = h.Extractor(crf)
     for page in ("<div>" * 30_000 + "<p>text", "<a href=\"x>" * 20_000, "<" * 100_000, "<!--" * 20_000, "</p>" * 50_000, "<p class='" + "a " * 100_000 + "'>t"):
         extractor.main_blocks(page)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one <svg viewBox='0 0 1 1'/> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <svg-icon name='x'></svg-icon> two</p><object-view>three</object-view><title-bar>four</title-bar>", ["one two", "threefour"]),
+        ("<p>one <svg><path d='M0'/><text>no</text></svg> two</p><p>three <svg> four</p>", ["one two", "three four"]),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><p>c <object>d</object> <canvas>e</canvas></p>", ["a x=2 b", "c d e"]),
+        ("<p>a <math/> b</p><p>c <object data='x'> d</p><p>e <canvas> f</p>", ["a b", "c d", "e f"]),
+        ("<title>no</title><script >no</script><p>yes</p><SVG\n>no</SVG >", ["yes"]),
+    ],
+)
+def test_only_silent_elements_are_silent(page, want):
+    assert [b.text for b in h.leaf_blocks(page, h.Contexts())] == want
