@@ -47,6 +47,14 @@ def text_digest(column: str = "text"):
     return F.xxhash64(whole_text(column))
 
 
+def fresh_name(columns, name: str) -> str:
+    """``name`` with as many underscores before it as it needs to clash with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def settle(df: DataFrame, decided: DataFrame, digest) -> DataFrame:
     """``df`` without what ``decided`` (doc_id, digest, kept) rejects, and one of the rows that repeat both.
 
