@@ -36,6 +36,7 @@ CLASSES = END + 1
 CHUNK_BYTES = 2 << 20
 TAIL_BYTES = 3
 BLOCK = 512  # tokens that advance one after the other
+RESCALE = 8  # steps that products go without a new scale
 BATCH_TOKENS = 1 << 18
 _CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, words binary, counts binary, tails binary, tokens binary"
 
@@ -221,105 +222,123 @@ class Chain:
 
 
 class Lanes:
-    """Blocks of documents that advance side by side, longest first."""
+    """Blocks of documents that advance side by side, longest first.
+
+    Tables over tokens are kept by step: the first tokens of all blocks, then their second ones, and so on.
+    """
 
     def __init__(self, classes: np.ndarray, first: np.ndarray):
         length = np.diff(first)
-        pieces = -(-length // BLOCK)
-        self.doc = np.repeat(np.arange(len(length)), pieces)
-        self.within = np.arange(len(self.doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        self.begin = first[:-1][self.doc] + self.within * BLOCK
-        self.size = np.minimum(BLOCK, first[1:][self.doc] - self.begin)
-        self.order = np.argsort(-self.size, kind="stable")
-        self.classes, self.docs, self.pieces = classes, len(length), pieces
-        live = np.searchsorted(-self.size[self.order], -np.arange(1, BLOCK + 1), "right")
+        self.pieces = -(-length // BLOCK)
+        doc = np.repeat(np.arange(len(length)), self.pieces)
+        within = np.arange(len(doc)) - np.repeat(np.cumsum(self.pieces) - self.pieces, self.pieces)
+        begin = first[:-1][doc] + within * BLOCK
+        size = np.minimum(BLOCK, first[1:][doc] - begin)
+        order = np.argsort(-size, kind="stable")
+        self.docs, self.doc, self.size = len(length), doc[order], size[order]
+        # blocks that others follow or precede, in the order of their documents
+        self.lane = np.empty(len(order), dtype=np.int64)
+        self.lane[order] = np.arange(len(order))
+        self.later = np.flatnonzero(within > 0)
+        live = np.searchsorted(-self.size, -np.arange(1, BLOCK + 1), "right")
         self.live = live[live > 0]  # how many blocks have a t-th token
+        self.at = np.concatenate([[0], np.cumsum(self.live)])  # where each step's tokens begin
+        step = np.repeat(np.arange(len(self.live)), self.live)
+        self.classes = classes[begin[order][np.arange(len(step)) - self.at[step]] + step]
+        self.last = self.at[self.size - 1] + np.arange(len(order))  # each block's last token
 
-    def transfer(self, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
-        """For blocks of documents with several: the matrix from a distribution before the block to its end, with a log scale."""
-        many = np.flatnonzero(self.pieces[self.doc[self.order]] > 1)
-        order = self.order[many]
+    def transfer(self, chain: Chain, emit: np.ndarray) -> np.ndarray:
+        """For blocks that another follows: the matrix from a distribution before the block to its end, to a scale."""
         k = len(chain.start)
-        out, scale = np.zeros((len(self.doc), k, k)), np.zeros(len(self.doc))
-        emit = chain.emit.T
-        m = np.broadcast_to(np.eye(k), (len(order), k, k)) * emit[self.classes[self.begin[order]]][:, None, :] if len(order) else np.zeros((0, k, k))
-        logs = np.zeros(len(order))
+        out = np.zeros((len(self.doc), k, k))
+        lanes = self.lane[self.later - 1]
+        if not len(lanes):
+            return out
+        # such blocks are full, so they advance together
+        m = np.eye(k) * emit[self.at[0] + lanes][:, None, :]
         for t in range(1, BLOCK):
-            n = int(np.searchsorted(-self.size[order], -(t + 1), "right"))
-            if not n:
-                break
-            step = (m[:n].reshape(-1, k) @ chain.move).reshape(n, k, k) * emit[self.classes[self.begin[order[:n]] + t]][:, None, :]
-            total = step.sum(axis=(1, 2))
-            m[:n] = step / total[:, None, None]
-            logs[:n] += np.log(total)
-        out[order], scale[order] = m, logs
-        return out, scale
-
-    def incoming(self, chain: Chain, matrix: np.ndarray) -> np.ndarray:
-        """State distribution before each block's first token."""
+            m = (m.reshape(-1, k) @ chain.move).reshape(-1, k, k)
+            m *= emit[self.at[t] + lanes][:, None, :]
+            if t % RESCALE == 0:
+                m /= m.sum(axis=(1, 2))[:, None, None]
+        out[lanes] = m / m.sum(axis=(1, 2))[:, None, None]
+        return out
+
+    def forward(self, chain: Chain, emit: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distributions after each token, the factor that each token's step was divided by)."""
         q = np.tile(chain.start, (len(self.doc), 1))
-        for i in np.flatnonzero(self.within > 0):
-            a = q[i - 1] @ matrix[i - 1]
-            q[i] = (a / a.sum()) @ chain.move
-        return q
+        for i in self.later:
+            a = q[self.lane[i - 1]] @ matrix[self.lane[i - 1]]
+            q[self.lane[i]] = (a / a.sum()) @ chain.move
+        a, scale, ones = np.empty_like(emit), np.empty(len(emit)), np.ones(len(chain.start))
+        before = q
+        for lo, hi, n in zip(self.at, self.at[1:], self.live, strict=False):
+            x = a[lo:hi]
+            np.multiply(before[:n] if lo == 0 else before[:n] @ chain.move, emit[lo:hi], out=x)
+            s = x @ ones
+            scale[lo:hi] = s
+            x /= s[:, None]
+            before = x
+        return a, scale
 
     def score(self, chain: Chain) -> np.ndarray:
         """Natural log likelihood of each document, by the scaled forward recursion."""
-        matrix, _ = self.transfer(chain)
-        a = self.incoming(chain, matrix)[self.order]
-        begin, emit = self.begin[self.order], chain.emit.T
-        total = np.zeros(len(a))
-        for t, n in enumerate(self.live.tolist()):
-            x = (a[:n] if t == 0 else a[:n] @ chain.move) * emit[self.classes[begin[:n] + t]]
-            s = x.sum(axis=1)
-            a[:n] = x / s[:, None]
-            total[:n] += np.log(s)
-        return np.bincount(self.doc[self.order], weights=total, minlength=self.docs)
+        emit = chain.emit.T[self.classes]
+        _, scale = self.forward(chain, emit, self.transfer(chain, emit))
+        lane = np.arange(len(scale)) - np.repeat(self.at[:-1], self.live)
+        return np.bincount(self.doc[lane], weights=np.log(scale), minlength=self.docs)
 
     def expect(self, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, transitions and emissions, by forward and backward passes."""
-        k = len(chain.start)
-        matrix, _ = self.transfer(chain)
-        q = self.incoming(chain, matrix)
-        # likelihood of all that follows a block, by state at its end; and of a block and all after it, by state before it
-        after, from_here = np.ones((len(self.doc), k)), np.ones((len(self.doc), k))
-        for i in np.flatnonzero(self.pieces[self.doc] > 1)[::-1]:
-            if self.within[i] + 1 < self.pieces[self.doc[i]]:
-                after[i] = chain.move @ from_here[i + 1]
-                after[i] /= after[i].sum()
-            from_here[i] = matrix[i] @ after[i]
-            from_here[i] /= from_here[i].sum()
-        begin, emit = self.begin[self.order], chain.emit.T
-        forward = np.zeros((len(self.classes), k), dtype=np.float32)
-        a = q[self.order]
-        for t, n in enumerate(self.live.tolist()):
-            at = begin[:n] + t
-            x = (a[:n] if t == 0 else a[:n] @ chain.move) * emit[self.classes[at]]
-            a[:n] = x / x.sum(axis=1, keepdims=True)
-            forward[at] = a[:n]
-        moves = np.zeros((k, k))
-        for i in np.flatnonzero(self.within > 0):  # transitions between blocks
-            x = forward[self.begin[i] - 1][:, None] * chain.move * from_here[i][None, :]
-            moves += x / x.sum()
-        b = after[self.order]
+        """Expected starts, transitions and emissions, by forward and backward passes with common factors."""
+        k, emit = len(chain.start), chain.emit.T[self.classes]
+        matrix = self.transfer(chain, emit)
+        a, scale = self.forward(chain, emit, matrix)
+        emit /= scale[:, None]
+        # likelihood of all that follows a block, by state at its end
+        after = np.ones((len(self.doc), k))
+        heads = np.zeros((len(self.doc), k))  # and of a block with all after it, by state at its first token
+        last = np.sort(self.lane[np.setdiff1d(self.later, self.later - 1)])  # their last blocks, longest first
+        heads[last] = self._heads(chain, emit, last)
+        for i in self.later[::-1]:
+            lane, before = self.lane[i], self.lane[i - 1]
+            after[before] = chain.move @ heads[lane]
+            x = matrix[before] @ after[before]
+            heads[before] = x / x.sum()
+        after /= (a[self.last] * after).sum(axis=1, keepdims=True)
+        # from here on ``emit`` turns into the likelihood of each token and all after it, by its state
+        back, b = chain.move.T.copy(), after.copy()
+        post = np.empty_like(a)
         for t in range(len(self.live) - 1, -1, -1):
-            n = int(self.live[t])
-            at = begin[:n] + t
-            f = forward[at].astype(np.float64)
-            g = f * b[:n]
-            g /= g.sum(axis=1, keepdims=True)
-            forward[at] = g  # from here on: posteriors
-            y = b[:n] * emit[self.classes[at]]
+            lo, hi, n = self.at[t], self.at[t + 1], self.live[t]
+            np.multiply(a[lo:hi], b[:n], out=post[lo:hi])
+            y = emit[lo:hi]
+            y *= b[:n]
             if t:
-                p = forward[at - 1].astype(np.float64)
-                z = ((p @ chain.move) * y).sum(axis=1)
-                moves += chain.move * (p.T @ (y / z[:, None]))
-                b[:n] = y @ chain.move.T
-                b[:n] /= b[:n].sum(axis=1, keepdims=True)
-        emits = np.stack([np.bincount(self.classes, weights=forward[:, s], minlength=CLASSES) for s in range(k)])
-        starts = forward[self.begin[self.within == 0]].sum(axis=0, dtype=np.float64)
+                b[:n] = y @ back
+        moves = np.zeros((k, k))
+        for t in range(1, len(self.live)):
+            lo, hi, n = self.at[t], self.at[t + 1], self.live[t]
+            moves += a[self.at[t - 1] : self.at[t - 1] + n].T @ emit[lo:hi]
+        moves *= chain.move
+        for i in self.later:  # transitions between blocks
+            x = a[self.last[self.lane[i - 1]]][:, None] * chain.move * emit[self.lane[i]][None, :]
+            moves += x / x.sum()
+        emits = np.stack([np.bincount(self.classes, weights=post[:, s], minlength=CLASSES) for s in range(k)])
+        starts = post[np.setdiff1d(np.arange(len(self.doc)), self.lane[self.later])].sum(axis=0)
         return starts, moves, emits
 
+    def _heads(self, chain: Chain, emit: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """The likelihood of documents' last blocks by state at their first token, to a scale: a backward vector pass."""
+        b, back = np.ones((len(lanes), len(chain.start))), chain.move.T.copy()
+        size = self.size[lanes]
+        for t in range(int(size.max(initial=0)) - 1, -1, -1):
+            n = int(np.searchsorted(-size, -t, "left"))  # blocks longer than t
+            y = emit[self.at[t] + lanes[:n]] * b[:n]
+            b[:n] = y @ back if t else y
+            if t % RESCALE == 0:
+                b[:n] /= b[:n].sum(axis=1, keepdims=True)
+        return b
+
 
 def with_ends(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class sequences of documents with an end token each, and where they begin."""
@@ -438,13 +457,18 @@ def batches_of(sizes: np.ndarray, most: int = BATCH_TOKENS) -> Iterator[tuple[in
         i = j
 
 
-def score_documents(docs: DataFrame, trains_on=None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+@dataclass(frozen=True)
+class Trained:
+    """A trained model with what its corpus was made into: chunks of documents, and the replies to their words."""
 
-    ``trains_on``: a column telling which rows the model learns from (by default those outside the held-out
-    fold). Null texts count as empty: the end token alone. A null doc_id counts as not held out. An empty
-    table, or one without training rows, works with counts of nothing.
-    """
+    chunks: DataFrame
+    replies: DataFrame
+    counts: Counts
+    chain: Chain
+
+
+def train(docs: DataFrame, trains_on=None) -> Trained:
+    """Counts over all training rows of ``docs``, and a chain fitted to them; see ``score_documents``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     trains = ~held_out() if trains_on is None else trains_on
@@ -456,11 +480,23 @@ def score_documents(docs: DataFrame, trains_on=None) -> DataFrame:
     asked = chunks.select("chunk", "words", "counts", "tails").mapInArrow(_ask(buckets), "bucket int, chunk long, words binary, counts binary, tails binary")
     owned = stage(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_own, "kind int, chunk long, bucket int, totals binary, number long, a long, b long"), "hmm-counts")
     counts = corpus_counts(owned, int(ends or 0))
-    chain = baum_welch(chunks, counts)
-    replies = owned.where("kind = 0").select("chunk", "bucket", "totals")
-    rows = chunks.drop("counts").withColumn("bucket", F.lit(-1)).unionByName(replies, allowMissingColumns=True)
-    return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_finish(chain, counts), _SCORES)
+    return Trained(chunks, owned.where("kind = 0").select("chunk", "bucket", "totals"), counts, baum_welch(chunks, counts))
+
+
+def score_documents(docs: DataFrame, trains_on=None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``trains_on``: a column telling which rows the model learns from (by default those outside the held-out
+    fold). Null texts count as empty: the end token alone. A null doc_id counts as not held out. Repeated rows
+    count, and are scored, as often as they stand there. An empty table gives an empty result, and one without
+    training rows works with counts of nothing.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = train(docs, trains_on)
+    rows = made.chunks.drop("counts").withColumn("bucket", F.lit(-1)).unionByName(made.replies, allowMissingColumns=True)
+    return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_finish(made.chain, made.counts), _SCORES)
 
 
 def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text under the model trained outside the held-out fold, beside its smoothed unigram score."""
     return score_documents(table(spark, sf_dir, "documents"))

@@ -60,6 +60,41 @@ def test_small_and_odd_documents(spark, monkeypatch):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_scores_against_a_plain_recursion(spark):
+    """The query's score of every document is the plain forward recursion's, from counts of plain words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionAll(odd_documents(spark).select("doc_id", "text"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    made = m.train(docs)
+    train = Counter()
+    for i, t in rows:
+        if i is None or crc(i) % 7 != 2:
+            train.update(blank_words(t))
+    tail = lambda x: m.w.split_words(np.frombuffer(x.encode()[-m.TAIL_BYTES :], np.uint8), np.array([0, len(x.encode()[-m.TAIL_BYTES :])]), np.ones(256, dtype=bool)).hashes
+    classes, own = {}, {}
+    for x in {x for _, t in rows for x in blank_words(t)}:
+        raw = np.frombuffer(x.encode(), np.uint8)
+        h = m.w.split_words(raw, np.array([0, len(raw)]), np.ones(256, dtype=bool)).hashes
+        classes[x] = int(made.counts.classes(h, (m.w.mix(tail(x)) % np.uint64(m.TAILS)).astype(np.int64))[0])
+    inside = Counter(classes[x] for x in train if classes[x] >= m.TOP)
+    tokens = Counter()
+    for x, n in train.items():
+        tokens[classes[x]] += n
+    for x, c in classes.items():
+        own[x] = 0.0 if c < m.TOP else math.log((train[x] + 1) / (tokens[c] + inside[c] + 1))
+
+    def plain(text):
+        a, total = None, 0.0
+        for c in [*(classes[x] for x in blank_words(text)), m.END]:
+            a = (made.chain.start if a is None else a @ made.chain.move) * made.chain.emit[:, c]
+            total += math.log(a.sum())
+            a = a / a.sum()
+        return (total + sum(own[x] for x in blank_words(text))) / math.log(10)
+
+    want = sorted(((i or 0, round(plain(t), 5)) for i, t in rows))
+    got = sorted(((r["doc_id"] or 0, round(r["score"], 5)) for r in m.score_documents(docs).collect()))
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=2e-5)
+
+
 def test_likelihood_sums_to_one_over_next_words(spark):
     """Over all known words and the unknown one of each class, one-word documents' chances make up what one word may be."""
     words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnop"]
