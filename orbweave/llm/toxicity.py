@@ -1,22 +1,32 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-A text is cut into clauses and a clause's words are mapped to terminals: insult, threat, target, negation,
-reported speech, boundary. Small transducers (insult, threat, target, negation, reported speech) read the
-terminals side by side, which is their composition: one pass yields for each clause whether an insult or a
-threat is asserted, aimed at somebody, negated or only reported, and with what weight. A document is scored
-by its clauses, not by isolated words; a logistic layer over the clause counts calibrates the score.
+A text is cut into clauses and each word becomes a symbol with a weight by a lexicon transducer. Five small
+weighted transducers, written down as arcs, rewrite the sequence of symbols one after the other:
 
-Terminals come from small fixed lists and from the labels: words, word beginnings and word endings that set
+* negation: marks an insult or threat that stands within reach after a negation;
+* report: marks all of them as told if the clause holds a word of reporting, before or after;
+* target: marks all of them as aimed if the clause holds somebody to aim at, before or after;
+* threat: keeps aimed threats and lets the others pass for plain words;
+* insult: ends the chain: it writes one reading for each insult and threat left.
+
+They are composed by product construction into one machine. "Before or after" makes two of them
+nondeterministic: they guess, and only the right guess ends in a final state. The best path of a clause (by
+the sum of its weights) gives the clause's readings, and a document is scored by the readings of its matched
+clauses, not by isolated words; a logistic layer fits what each kind of reading weighs.
+
+The lexicon comes from small fixed lists and from the labels: words, word beginnings and word endings that set
 toxic documents apart are taken greedily while each explains documents that the ones before do not.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
-from orbweave.llm.shared import table, whole_text
+from orbweave.llm.shared import stage, table, whole_text
 
 THRESHOLD = 0.3
 FIT_ROWS = 8_000  # bound of the labelled sample that the model is fitted on
-CANDIDATES = 4_000  # bound of the terminals that the greedy selection looks at
-TERMINALS = 200  # bound of the terminals it keeps
 LEAST_SUPPORT, LEAST_PRECISION = 5, 0.9
 STEM_BYTES = (3, 4, 5, 6, 7, 8, 9)
 TWICE = "\x02"  # before a terminal that counts only where two different words of a document match it
@@ -41,69 +49,204 @@ TARGETS = "you your yours he she him her they them this these toi vous lui eux e
 NEGATIONS = "not never no isn't aren't wasn't don't doesn't pas jamais nicht kein keine nie nunca tampoco".split()
 REPORTS = "said says wrote claimed quoted called dit écrit affirme sagte sagt schrieb behauptete dijo dice escribió afirmó".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = "I", "T", "Y", "N", "R"
+INSULT, THREAT, TARGET, NEGATION, REPORT, WORD = "insult", "threat", "target", "negation", "report", "word"
+SYMBOLS = (INSULT, THREAT, TARGET, NEGATION, REPORT, WORD)
+NEGATED, TOLD, AIMED = "not", "told", "aimed"  # marks that follow a symbol
+NEGATION_REACH = 3
 _CLAUSE = re.compile(r"[.!?;:|\n]+")
 _WORD = re.compile(r"[^\x00-\x26\x28-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD_BYTES = w.LETTERS_DIGITS.copy()  # the same words over bytes; both lose apostrophes at their ends
+WORD_BYTES[0x27] = True
 _LOWER = {c: c + 32 for c in range(65, 91)}
-FEATURES = ("asserted", "aimed", "negated", "reported", "threats", "any")
-_NEGATION_REACH = 3
+FEATURES = ("asserted", "aimed", "negated", "told", "threats", "any")
+_MEMO = 200_000  # words whose symbols a task remembers
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted finite-state transducer: arcs (state, input) -> [(next state, output, weight)], final weights by state."""
+
+    starts: tuple
+    arcs: dict
+    final: dict
+
+    def compose(self, other: Transducer) -> Transducer:
+        """What reads as this one reads, and writes what ``other`` makes of this one's output: the product of both."""
+        starts = tuple((p, q) for p in self.starts for q in other.starts)
+        by_state: dict = defaultdict(list)
+        for (p, x), out in self.arcs.items():
+            by_state[p].append((x, out))
+        arcs, todo, seen = {}, list(starts), set(starts)
+        while todo:
+            p, q = at = todo.pop()
+            for x, out in by_state[p]:
+                made = [((p2, q2), z, a + b) for p2, y, a in out for q2, z, b in other.arcs.get((q, y), ())]
+                if made:
+                    arcs[at, x] = made
+                for to, _, _ in made:
+                    if to not in seen:
+                        seen.add(to)
+                        todo.append(to)
+        final = {(p, q): self.final[p] + other.final[q] for p, q in seen if p in self.final and q in other.final}
+        return Transducer(starts, arcs, final)
+
+    def trim(self) -> Transducer:
+        """The same machine with numbered states, without those from which no final one can be reached."""
+        back: dict = defaultdict(set)
+        for (p, _), out in self.arcs.items():
+            for to, _, _ in out:
+                back[to].add(p)
+        alive, todo = set(self.final), list(self.final)
+        while todo:
+            for p in back[todo.pop()] - alive:
+                alive.add(p)
+                todo.append(p)
+        number = {p: i for i, p in enumerate(sorted(alive, key=repr))}
+        arcs = {(number[p], x): [(number[to], y, a) for to, y, a in out if to in alive] for (p, x), out in self.arcs.items() if p in alive}
+        return Transducer(tuple(number[p] for p in self.starts if p in alive), {k: v for k, v in arcs.items() if v}, {number[p]: v for p, v in self.final.items()})
+
+    def best(self, symbols: list[tuple[str, float]]) -> tuple[float, list[tuple[str, float]]] | None:
+        """(weight, [(output, the input's weight)]) of the heaviest accepted path over weighted inputs.
+
+        Of equal paths the one through the least states stays. None if no path is accepted.
+        """
+        paths = {p: (0.0, None) for p in self.starts}
+        for x, weight in symbols:
+            grown: dict = {}
+            for p in sorted(paths):
+                total, tail = paths[p]
+                for to, y, a in self.arcs.get((p, x), ()):
+                    if to not in grown or total + weight + a > grown[to][0]:
+                        grown[to] = (total + weight + a, (tail, y, weight) if y else tail)
+            paths = grown
+        ended = [(total + self.final[p], tail) for p, (total, tail) in sorted(paths.items(), key=lambda e: e[0]) if p in self.final]
+        if not ended:
+            return None
+        total, tail = max(ended, key=lambda e: e[0])  # the first of equal ones
+        out = []
+        while tail is not None:
+            tail, y, weight = tail
+            out.append((y, weight))
+        return total, out[::-1]
+
+
+def _marked(symbols: tuple, marks: tuple) -> list[str]:
+    """The symbols with every combination of marks, in the order in which the machines add them."""
+    out = list(symbols)
+    for mark in marks:
+        out += [f"{x} {mark}" for x in out]
+    return out
+
+
+def negation(reach: int = NEGATION_REACH) -> Transducer:
+    """State k: the next k words are negated."""
+    arcs = {}
+    for k in range(reach + 1):
+        for x in SYMBOLS:
+            y = f"{x} {NEGATED}" if k and x in (INSULT, THREAT) else x
+            arcs[k, x] = [(reach if x == NEGATION else max(k - 1, 0), y, 0.0)]
+    return Transducer((0,), arcs, dict.fromkeys(range(reach + 1), 0.0))
+
+
+def _context(sign: str, mark: str, before: tuple) -> Transducer:
+    """Marks insults and threats if ``sign`` stands anywhere: a guess at the start that the sign must bear out."""
+    hot = _marked((INSULT, THREAT), before)
+    arcs = {}
+    for x in [*hot, *(y for y in SYMBOLS if y not in (INSULT, THREAT))]:
+        y = f"{x} {mark}" if x in hot else x
+        if x != sign:
+            arcs["absent", x] = [("absent", x, 0.0)]
+        arcs["awaited", x] = [("met" if x == sign else "awaited", y, 0.0)]
+        arcs["met", x] = [("met", y, 0.0)]
+    return Transducer(("absent", "awaited"), arcs, {"absent": 0.0, "met": 0.0})
+
+
+def report() -> Transducer:
+    return _context(REPORT, TOLD, (NEGATED,))
+
+
+def target() -> Transducer:
+    return _context(TARGET, AIMED, (NEGATED, TOLD))
+
+
+def _relay(rule, before: tuple) -> Transducer:
+    """One state that rewrites each symbol by ``rule``."""
+    symbols = [*_marked((INSULT, THREAT), before), *(y for y in SYMBOLS if y not in (INSULT, THREAT))]
+    return Transducer((0,), {(0, x): [(0, rule(x), 0.0)] for x in symbols}, {0: 0.0})
+
+
+def threat() -> Transducer:
+    """A threat at nobody ("kill the process") is a plain word."""
+    return _relay(lambda x: WORD if x.startswith(THREAT) and not x.endswith(AIMED) else x, (NEGATED, TOLD, AIMED))
+
+
+def insult() -> Transducer:
+    """The chain's end: readings of insults and threats stay, all else falls silent."""
+    return _relay(lambda x: x if x.startswith((INSULT, THREAT)) else "", (NEGATED, TOLD, AIMED))
+
+
+@cache
+def machine() -> Transducer:
+    """The five machines in one."""
+    return negation().compose(report()).trim().compose(target()).trim().compose(threat()).compose(insult()).trim()
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """Terminals with weights: whole words, beginnings ('^ab') and endings ('ab$') of words, once or twice."""
+    """The machine with a lexicon: whole words, beginnings ('^ab') and endings ('ab$') of words, once or twice."""
 
     insults: dict[str, float]
+    _memo: dict = field(default_factory=dict, compare=False, repr=False)
 
     def terms(self, word: str) -> list[str]:
         """The grammar's terms that a word matches, twice-terms by their plain name."""
         return [t for t in word_terms(word) if t in self.insults or TWICE + t in self.insults]
 
-    def twice(self, text: str) -> frozenset[str]:
-        """Terms that at least two different words of the text match."""
-        seen = Counter(t for x in {x.strip("'") for x in _WORD.findall(text)} for t in self.terms(x))
+    def _known(self, word: str) -> tuple[str | None, tuple[str, ...]]:
+        """(fixed symbol, terms) of a word, remembered within a bound."""
+        found = self._memo.get(word)
+        if found is None:
+            if len(self._memo) >= _MEMO:
+                self._memo.clear()
+            found = self._memo[word] = (_FIXED.get(word), tuple(self.terms(word)))
+        return found
+
+    def twice(self, words) -> frozenset[str]:
+        """Terms that at least two different ones of the words match."""
+        seen = Counter(t for x in set(words) for t in self._known(x)[1])
         return frozenset(t for t, n in seen.items() if n > 1)
 
-    def terminal(self, word: str, twice: frozenset[str] = frozenset()) -> tuple[str, float] | None:
-        if word in _FIXED:
-            return _FIXED[word], 1.0
-        best = max((max(self.insults.get(t, 0.0), self.insults.get(TWICE + t, 0.0) if t in twice else 0.0) for t in self.terms(word)), default=0.0)
-        return (INSULT, best) if best > 0 else None
+    def symbol(self, word: str, twice: frozenset[str] = frozenset()) -> tuple[str, float]:
+        """The lexicon's heaviest arc for a word."""
+        fixed, terms = self._known(word)
+        if fixed:
+            return fixed, 0.0
+        best = max((max(self.insults.get(t, 0.0), self.insults.get(TWICE + t, 0.0) if t in twice else 0.0) for t in terms), default=0.0)
+        return (INSULT, best) if best > 0 else (WORD, 0.0)
 
-    def clauses(self, text: str) -> Iterator[dict[str, float]]:
-        """What the composed transducers accept, clause by clause; clauses without insult or threat are empty."""
+    def clauses(self, text: str) -> Iterator[tuple[float, list[tuple[str, float]]]]:
+        """(path weight, readings) of the clauses in which the machine leaves an insult or threat."""
         text = text.translate(_LOWER)
-        twice = self.twice(text)
-        for clause in _CLAUSE.split(text):
-            insult = threat = aimed = denied = reported = False
-            weight, negated_until = 0.0, -1
-            for at, word in enumerate(_WORD.findall(clause)):
-                found = self.terminal(word.strip("'"), twice)
-                if found is None:
-                    continue
-                kind, value = found
-                if kind == NEGATION:
-                    negated_until = at + _NEGATION_REACH
-                elif kind == REPORT:
-                    reported = True
-                elif kind == TARGET:
-                    aimed = True
-                elif kind == INSULT:
-                    insult, weight = True, max(weight, value)
-                    denied |= at <= negated_until
-                elif kind == THREAT:
-                    threat = True
-                    denied |= at <= negated_until
-            if insult or (threat and aimed):
-                yield {"asserted": weight if insult and not denied and not reported else 0.0, "aimed": float(insult and aimed), "negated": float(denied), "reported": float(reported), "threats": float(threat and aimed)}
+        clauses = [[y for x in _WORD.findall(c) if (y := x.strip("'"))] for c in _CLAUSE.split(text)]
+        twice = self.twice(x for c in clauses for x in c)
+        for words in clauses:
+            symbols = [self.symbol(x, twice) for x in words]
+            if any(x in (INSULT, THREAT) for x, _ in symbols):
+                found = machine().best(symbols)
+                if found and found[1]:
+                    yield found
 
     def features(self, text: str) -> np.ndarray:
-        total: dict[str, float] = defaultdict(float)
-        for c in self.clauses(text):
+        """By document: weights of asserted insults, and numbers of clauses by what is read in them."""
+        total = dict.fromkeys(FEATURES, 0.0)
+        for _, readings in self.clauses(text):
             total["any"] = 1.0
-            for k, v in c.items():
-                total[k] += v
-        return np.array([np.log1p(total[k]) if k != "any" else total[k] for k in FEATURES])
+            total["asserted"] += max((a for y, a in readings if y.startswith(INSULT) and NEGATED not in y and TOLD not in y), default=0.0)
+            total["aimed"] += any(y.startswith(INSULT) and y.endswith(AIMED) for y, _ in readings)
+            total["negated"] += any(NEGATED in y for y, _ in readings)
+            total["told"] += any(TOLD in y for y, _ in readings)
+            total["threats"] += any(y.startswith(THREAT) for y, _ in readings)
+        return np.array([np.log1p(v) if k != "any" else v for k, v in total.items()])
 
 
 _FIXED = {x: k for k, xs in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (THREAT, THREATS)) for x in xs}
@@ -134,6 +277,19 @@ def word_terms(word: str) -> Iterator[str]:
                 yield raw[-n:].decode() + "$"
 
 
+_terms_memo: dict[str, tuple[str, ...]] = {}
+
+
+def _terms_of(word: str) -> tuple[str, ...]:
+    """``word_terms``, remembered within a bound: it is the same for every model."""
+    found = _terms_memo.get(word)
+    if found is None:
+        if len(_terms_memo) >= _MEMO:
+            _terms_memo.clear()
+        found = _terms_memo[word] = tuple(word_terms(word))
+    return found
+
+
 class Spotter:
     """Finds quickly which documents hold an insult or threat terminal at all, on hashes of a batch's words."""
 
@@ -155,6 +311,11 @@ class Spotter:
         at[at == len(known)] = 0
         return known[at] == hashes
 
+    @staticmethod
+    def words_of(data: np.ndarray, offsets: np.ndarray) -> w.Words:
+        """The grammar's words of a slice."""
+        return w.split_words(data, offsets, WORD_BYTES, strip=0x27)
+
     def documents(self, ws: w.Words) -> np.ndarray:
         """Numbers of the slice's documents to parse."""
         hit = self._among(ws.hashes, self.words)
@@ -175,7 +336,7 @@ def held_out(doc_id="doc_id"):
 
 def text_terms(text: str) -> list[str]:
     """All terms that a text's words could teach; those of two different words also as twice-terms."""
-    seen = Counter(t for x in {x.strip("'") for x in _WORD.findall(text.translate(_LOWER))} if x for t in word_terms(x))
+    seen = Counter(t for x in {x.strip("'") for x in _WORD.findall(text.translate(_LOWER))} if x for t in _terms_of(x))
     return [*seen, *(TWICE + t for t, n in seen.items() if n > 1)]
 
 
@@ -211,23 +372,37 @@ def _find_terms(candidates: list[str]):
 
 
 def choose_terminals(candidates: list[str], rows: list[tuple[int, list[int]]]) -> dict[str, float]:
-    """Greedy cover: the term that explains most toxic documents not yet explained, while it is precise there."""
-    by_term: dict[int, list[list[int]]] = {}
+    """Greedy cover: the term that explains most toxic documents not yet explained, while it is precise there.
+
+    Gains only fall while documents get covered, so a term is looked at again only when it leads.
+    """
+    by_term: dict[int, tuple[list[int], list[int]]] = {}
     for d, (toxic, hits) in enumerate(rows):
         for t in hits:
-            by_term.setdefault(t, [[], []])[toxic].append(d)
+            by_term.setdefault(t, ([], []))[toxic].append(d)
     covered = np.zeros(len(rows), dtype=bool)
-    sets = {t: (np.array(clean, dtype=np.int64), np.array(toxic, dtype=np.int64)) for t, (clean, toxic) in by_term.items()}
+
+    def place(t: int) -> tuple:
+        """Best first: by gain less three times the clean documents, then by kind of term."""
+        clean, toxic = by_term[t]
+        name = candidates[t]
+        return (3 * len(clean) - int((~covered[toxic]).sum()), TWICE in name, "^" not in name, len(name), [-ord(c) for c in name], t)
+
+    heap = [place(t) for t, (clean, toxic) in by_term.items() if len(toxic) >= LEAST_PRECISION * (len(clean) + len(toxic))]
+    heapq.heapify(heap)
     chosen: dict[str, float] = {}
-    while sets and len(chosen) < TERMINALS:
-        gain = {t: int((~covered[toxic]).sum()) for t, (_, toxic) in sets.items()}
-        sets = {t: s for t, s in sets.items() if gain[t] >= LEAST_SUPPORT and len(s[1]) >= LEAST_PRECISION * (len(s[0]) + len(s[1]))}
-        if not sets:
-            break
-        best = max(sets, key=lambda t: (gain[t] - 3 * len(sets[t][0]), TWICE not in candidates[t], "^" in candidates[t], -len(candidates[t]), candidates[t]))
-        clean, toxic = sets.pop(best)
-        chosen[candidates[best]] = float(np.log((len(toxic) + 0.5) / (len(clean) + 0.5)))
-        covered[toxic] = True
+    while heap:
+        *_, t = heap[0]
+        now = place(t)
+        clean, toxic = by_term[t]
+        if 3 * len(clean) - now[0] < LEAST_SUPPORT:
+            heapq.heappop(heap)
+        elif now != heap[0]:
+            heapq.heapreplace(heap, now)
+        else:
+            heapq.heappop(heap)
+            chosen[candidates[t]] = float(np.log((len(toxic) + 0.5) / (len(clean) + 0.5)))
+            covered[toxic] = True
     return chosen
 
 
@@ -262,16 +437,18 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most FIT_ROWS labelled rows outside the held-out fold (those least by a hash of doc_id).
 
-    Equal texts of the sample count once; rows with null labels or ids are left out. Without any labelled
-    rows the fixed lists alone score, with fixed weights.
+    Equal texts of the sample count once, repeated labels included; rows with null labels or ids are left out.
+    Without any labelled rows, as in empty tables, the fixed lists alone score, with fixed weights. The sample's
+    texts are written to the shared folder once, so ``docs`` is read once.
     """
     sample = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("label_id"), "toxic").limit(FIT_ROWS)
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))  # FIT_ROWS rows of two numbers
     rows = rows.groupBy(F.xxhash64("text").alias("same")).agg(F.max_by("text", "doc_id").alias("text"), F.max_by("toxic", "doc_id").alias("toxic")).select("text", "toxic")
+    rows = stage(rows, "toxicity-sample")
     terms = rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     good = terms.where((F.col("toxic") >= LEAST_SUPPORT) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean"))))
-    candidates = [r["term"] for r in good.orderBy(F.desc(F.col("toxic") - 3 * F.col("clean")), "term").limit(CANDIDATES).collect()]
+    candidates = [r["term"] for r in good.orderBy("term").select("term").collect()]  # terms of FIT_ROWS texts
     seen = [(int(r["toxic"]), list(r["hits"])) for r in rows.mapInArrow(_find_terms(candidates), "toxic long, hits array<int>").collect()]  # FIT_ROWS rows
     grammar = Grammar({x: 1.0 for x in INSULTS} | choose_terminals(candidates, seen))
     made = rows.mapInArrow(_features(grammar), "toxic long, features array<double>").collect()
@@ -297,7 +474,7 @@ def _scorer(model: Model):
     def scores(texts: pa.Array) -> np.ndarray:
         found = np.full(len(texts), base)
         for i, _, data, offsets in w.slices(texts):
-            for d in spotter.documents(w.split_words(data, offsets, w.LETTERS_DIGITS)):
+            for d in spotter.documents(spotter.words_of(data, offsets)):
                 found[i + d] = model.score(texts[i + int(d)].as_py())
         return found
 
@@ -323,17 +500,24 @@ def _reject(model: Model, text: int):
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; null and empty texts get the score of no clause."""
+    """(doc_id, held_out, score, predicted) of every row; null and empty texts get the score of no clause.
+
+    A null doc_id isn't held out. Repeated rows are scored each for itself; an empty table gives an empty result.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     scored = rows.mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, training_docs: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic, row by row; columns stay as they are."""
+    """``docs`` without those predicted toxic, row by row; columns stay as they are.
+
+    Each row is judged by its own text, whether its doc_id is null, repeated or neither; an empty table stays empty.
+    """
     return docs.mapInArrow(_reject(fit(training_docs, labels), docs.columns.index("text")), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, fitted on labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -1,5 +1,8 @@
+import itertools
+import random
+
 from orbweave.llm import toxicity as t
-from tests.llm.helpers import odd_documents
+from tests.llm.helpers import SF, odd_documents
 
 BIG = "/root/testdata/sf0.1"
 
@@ -13,28 +16,108 @@ def test_held_out_accuracy(spark):
     assert wins >= 0.95 * len(bad) * len(good)
 
 
+def readings(g, text):
+    return [[y for y, _ in found] for _, found in g.clauses(text)]
+
+
 def test_clauses():
     g = t.Grammar({"idiot": 1.0, "^dumm": 2.0, "wurst$": 1.5})
-    kinds = lambda text: [{k for k, v in c.items() if v} for c in g.clauses(text)]
-    assert kinds("You are an idiot.") == [{"asserted", "aimed"}]
-    assert kinds("You are not an idiot.") == [{"aimed", "negated"}]
-    assert kinds("He said you are an idiot.") == [{"aimed", "reported"}]
-    assert kinds("I will kill you! Nice day.") == [{"threats"}]
-    assert kinds("Kill the process.") == []
-    assert kinds("idiot; fine") == [{"asserted"}]
-    assert kinds("DUMMkopf") == [{"asserted"}] and kinds("hanswurst") == [{"asserted"}]
-    assert g.terminal("dummheit") == (t.INSULT, 2.0) and g.terminal("you") == (t.TARGET, 1.0) and g.terminal("tree") is None
+    assert readings(g, "You are an idiot.") == [["insult aimed"]]
+    assert readings(g, "You are not an idiot.") == [["insult not aimed"]]
+    assert readings(g, "He said you are an idiot.") == [["insult told aimed"]]
+    assert readings(g, "You are an idiot, she wrote") == [["insult told aimed"]]
+    assert readings(g, "not a very wise but an idiot") == [["insult"]]
+    assert readings(g, "I will kill you! Nice day.") == [["threat aimed"]]
+    assert readings(g, "I will not kill you, you idiot") == [["threat not aimed", "insult aimed"]]
+    assert readings(g, "Kill the process.") == []
+    assert readings(g, "idiot; fine. they said nothing") == [["insult"]]
+    assert readings(g, "DUMMkopf") == [["insult"]] and readings(g, "hanswurst") == [["insult"]]
+    assert g.symbol("dummheit") == (t.INSULT, 2.0) and g.symbol("you")[0] == t.TARGET and g.symbol("tree")[0] == t.WORD
+    assert [x for x, _ in g.clauses("a dummkopf and an idiot")] == [3.0]
 
 
-def test_spotter_finds_what_the_grammar_finds():
+def all_paths(m, symbols, state=None):
+    """Every accepted path of a machine: (weight, outputs), by plain recursion."""
+    if state is None:
+        return [p for s in m.starts for p in all_paths(m, symbols, s)]
+    if not symbols:
+        return [(m.final[state], ())] if state in m.final else []
+    return [(a + w, (y, *rest)) for to, y, a in m.arcs.get((state, symbols[0]), ()) for w, rest in all_paths(m, symbols[1:], to)]
+
+
+def test_the_composed_machine_is_the_chain_of_its_parts():
+    parts = [t.negation(), t.report(), t.target(), t.threat(), t.insult()]
+    for n in range(5):
+        for clause in itertools.product(t.SYMBOLS, repeat=n):
+            found = [(0.0, clause)]
+            for m in parts:
+                found = [(w + a, out) for w, x in found for a, out in all_paths(m, x)]
+            got = all_paths(t.machine(), clause)
+            assert len(got) == len(found) == 1  # the guesses leave one path
+            assert [y for y in got[0][1] if y] == [y for y in found[0][1] if y]
+            total, out = t.machine().best([(x, 0.5) for x in clause])
+            assert total == 0.5 * n and [y for y, _ in out] == [y for y in found[0][1] if y]
+
+
+def test_best_path_is_the_heaviest_of_all():
+    a = t.Transducer((0, 1), {(0, "a"): [(0, "x", 1.0), (1, "y", 2.0)], (1, "a"): [(0, "z", 0.5)], (1, "b"): [(1, "w", 3.0), (0, "", 0.0)], (0, "b"): [(0, "v", 1.0)]}, {0: 0.0, 1: -1.0})
+    b = t.Transducer(("s",), {("s", y): [("s", y.upper(), k / 8)] for k, y in enumerate("vwxyz")} | {("s", ""): [("s", "", 0.0)]}, {"s": 0.25})
+    both = a.compose(b).trim()
+    for n in range(6):
+        for clause in itertools.product("ab", repeat=n):
+            weights = [0.1 * i for i in range(n)]
+            plain = [(w + v + sum(weights), out) for w, x in all_paths(a, clause) for v, out in all_paths(b, x)]
+            got = both.best(list(zip(clause, weights)))
+            assert (got is None) == (not plain)
+            if plain:
+                assert abs(got[0] - max(w for w, _ in plain)) < 1e-9
+
+
+def spotted(g, texts):
     import pyarrow as pa
 
-    g = t.Grammar({"idiot": 1.0, "^dumm": 2.0, "wurst$": 1.5, "^été": 1.0})
-    texts = ["an idiot", "a DUMMY", "hanswurst!", "nothing", "", None, "étéx", "they kill", "x" * 1000 + " idiot"]
     found = []
     for i, _, data, offsets in t.w.slices(pa.array(texts)):
-        found += [i + int(d) for d in t.Spotter(g).documents(t.w.split_words(data, offsets, t.w.LETTERS_DIGITS))]
-    assert found == [0, 1, 2, 6, 7, 8]
+        found += [i + int(d) for d in t.Spotter(g).documents(t.Spotter.words_of(data, offsets))]
+    return found
+
+
+def test_spotter_finds_what_the_grammar_finds():
+    g = t.Grammar({"idiot": 1.0, "^dumm": 2.0, "wurst$": 1.5, "^été": 1.0, "^l'as": 1.0, "n't$": 1.0, "d'enf": 1.0})
+    texts = ["an idiot", "a DUMMY", "hanswurst!", "nothing", "", None, "étéx", "they kill", "x" * 1000 + " idiot", "l'assassin", "'l'assaut'", "don''t isn't'", "d'enf", "''", "'idiot'", "d enf"]
+    assert spotted(g, texts) == [0, 1, 2, 6, 7, 8, 9, 10, 11, 12, 14]
+
+
+def test_every_score_is_the_model_s(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    extra = spark.createDataFrame([(10**9 + k, f"{a} d'enfoiré l'assommant {b} n'importe qu'idiot") for k, (a, b) in enumerate([("tu es", "!"), ("'tu", "'l'as"), ("", "il l'a dit")])], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionAll(extra)
+    model = t.fit(docs, labels)
+    model = t.Model(t.Grammar(model.grammar.insults | {"^d'enf": 1.0, "^l'as": 2.0}), model.weights)
+    got = {r["doc_id"]: r["score"] for r in t.score_documents(rows, model).collect()}
+    assert all(abs(got[r["doc_id"]] - model.score(r["text"])) < 1e-12 for r in rows.collect())
+    assert len({got[10**9 + k] for k in range(3)} | {model.score("")}) > 1
+
+
+def test_greedy_choice_without_bounds():
+    rng = random.Random(1)
+    candidates = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(400):
+        toxic = d % 2
+        rows.append((toxic, sorted({i for i in range(60) if rng.random() < (0.06 if toxic else 0.002)})))
+    covered, chosen, left = set(), [], dict(enumerate(candidates))
+    by = {i: ([d for d, (x, h) in enumerate(rows) if not x and i in h], [d for d, (x, h) in enumerate(rows) if x and i in h]) for i in left}
+    while True:
+        fit = {i: len(set(by[i][1]) - covered) for i in left}
+        fit = {i: n for i, n in fit.items() if n >= t.LEAST_SUPPORT and len(by[i][1]) >= t.LEAST_PRECISION * (len(by[i][0]) + len(by[i][1]))}
+        if not fit:
+            break
+        best = min(fit, key=lambda i: (3 * len(by[i][0]) - fit[i], len(candidates[i]), [-ord(c) for c in candidates[i]]))
+        chosen.append(candidates[best])
+        covered |= set(by[best][1])
+        del left[best]
+    assert list(t.choose_terminals(candidates, rows)) == chosen and len(chosen) > 3
 
 
 def test_odd_documents(spark):
