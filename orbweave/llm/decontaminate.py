@@ -1,15 +1,18 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 The benchmark is the stated query set: it is read in blocks of bounded size, and each block meets all
-documents. A document is only looked at more closely near five-word shingles it shares with an item, and only
-if it has enough of them for that item to reach the threshold at all; both tests lose nothing, since a window
-that passes holds at least ``threshold`` of the item's shingle weight. Around them, every window as long as
-the item gets a 64-bit SimHash of its weighted shingles. A multi-index over blocks of the fingerprints finds
-all items within ``RADIUS`` bits (by the pigeonhole principle one block differs in few bits), and exact
-weighted-shingle similarity (sum of smaller over sum of larger counts) decides.
+documents. Windows are looked at where they can matter: near five-word shingles that a document shares with
+items of their size, if an item has enough of them there to reach the threshold at all (a window that passes
+holds at least ``threshold`` of the item's shingle weight, so this loses nothing). Every such window, as long
+as the items of one size, gets a 64-bit SimHash of its weighted shingles. A multi-index over blocks of the
+fingerprints then names the candidates: all items of that size within ``RADIUS`` bits (by the pigeonhole
+principle one block differs in few bits). Exact weighted-shingle similarity (sum of smaller over sum of larger
+counts) decides, after a bound from the number of shared places in the window.
 
 At similarity 0.75 the fingerprints of 64 bits differ in about 11 bits (standard deviation 3); the radius
-leaves five standard deviations.
+leaves five standard deviations. A block of 7 bits may then differ in 2, which most random values do, so it is
+the exact count of differing bits that parts most windows from an item (random ones differ in 32 bits,
+standard deviation 4).
 """
 
 from __future__ import annotations
@@ -127,34 +130,45 @@ class BenchmarkBlock:
         return np.repeat(at, n), self.owners[np.repeat(self.begin[k], n) + inside]
 
 
-def windows_near(block: BenchmarkBlock, h: np.ndarray, size: int, places: np.ndarray) -> dict[int, tuple[float, int, int, int]]:
-    """Best verified window of each item of one size among windows of a document that hold a shared place."""
+def windows_near(block: BenchmarkBlock, h: np.ndarray, size: int, places: dict[int, np.ndarray]) -> dict[int, tuple[float, int, int, int]]:
+    """Best verified window of each item of one size in a document: (similarity, start, words, differing bits).
+
+    ``places``: by item, where the document has its shingles, in order. Windows that hold one of them get a
+    fingerprint; the index names the items that each comes near to.
+    """
     best: dict[int, tuple[float, int, int, int]] = {}
     n = min(size, len(h))
     run = min(SHINGLE, size)
-    last = len(h) - n
-    reach = np.unique(np.clip(places[:, None] - np.arange(max(1, n - run + 1))[None, :], 0, last))
+    last, span = len(h) - n, n - run + 1
+    if span < 1:
+        return best
+    index = block.index[size]
+    reach = np.unique(np.clip(np.concatenate(list(places.values()))[:, None] - np.arange(span)[None, :], 0, last))
     for part in np.split(reach, np.flatnonzero(np.diff(reach) > 1) + 1):
         for lo in range(0, len(part), 2048):
             starts = part[lo : lo + 2048]
             shingles = run_hashes(h[starts[0] : starts[-1] + n], run)
-            span = n - run + 1
-            if span < 1:
-                continue
             total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes(shingles), axis=0, dtype=np.int32)])
-            i, j, far = block.index[size].within(fingerprints(total[starts - starts[0] + span] - total[starts - starts[0]]))
-            for x, y, d in zip(i.tolist(), j.tolist(), far.tolist(), strict=True):
-                item = int(block.index[size].items[y])
-                at = int(starts[x] - starts[0])
-                score = similarity(Counter(shingles[at : at + span].tolist()), block.bags[item])
-                if score >= THRESHOLD and (item not in best or (score, -starts[x]) > (best[item][0], -best[item][1])):
-                    best[item] = (score, int(starts[x]), n, d)
+            i, j, far = index.within(fingerprints(total[starts - starts[0] + span] - total[starts - starts[0]]))
+            for y in np.unique(j).tolist():
+                item, mine = int(index.items[y]), j == y
+                at = places.get(item)
+                if at is None:
+                    continue
+                begin = starts[i[mine]]
+                shared = np.searchsorted(at, begin + span) - np.searchsorted(at, begin)
+                able = (1 + THRESHOLD) * shared >= THRESHOLD * (span + block.weights[item])
+                for x, d in zip(begin[able].tolist(), far[mine][able].tolist(), strict=True):
+                    score = similarity(Counter(shingles[x - starts[0] : x - starts[0] + span].tolist()), block.bags[item])
+                    if score >= THRESHOLD and (item not in best or (score, -x) > (best[item][0], -best[item][1])):
+                        best[item] = (score, x, n, d)
     return best
 
 
 def _hits(block: BenchmarkBlock, texts: pa.Array) -> list[tuple[int, int, tuple]]:
     """(row, number of the item, its best window) of all pairs that match."""
     found = []
+    item_sizes = np.array(block.sizes)
     for i, _, data, offsets in w.slices(texts):
         ws = w.split_words(data, offsets, w.LETTERS_DIGITS)
         # places by word, for whole five-word runs and for the shorter items' own lengths
@@ -164,8 +178,7 @@ def _hits(block: BenchmarkBlock, texts: pa.Array) -> list[tuple[int, int, tuple]
             at, item = block.shared(hashes)
             doc = np.searchsorted(ws.first, at, "right") - 1
             ok = at + size <= ws.first[doc + 1]
-            sizes = np.array(block.sizes)[item]
-            ok &= (sizes == size) if size < SHINGLE else (sizes >= SHINGLE)
+            ok &= (item_sizes[item] == size) if size < SHINGLE else (item_sizes[item] >= SHINGLE)
             got.append((doc[ok], item[ok], at[ok]))
         doc, item, at = (np.concatenate(x) for x in zip(*got, strict=True))
         if not len(doc):
@@ -173,14 +186,14 @@ def _hits(block: BenchmarkBlock, texts: pa.Array) -> list[tuple[int, int, tuple]
         order = np.lexsort((at, item, doc))
         doc, item, at = doc[order], item[order], at[order]
         cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
-        for lo, hi in zip(cut, np.append(cut[1:], len(doc)), strict=True):
+        near: dict[tuple[int, int], dict[int, np.ndarray]] = {}  # by document and size: each item's places
+        for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(doc)).tolist(), strict=True):
             d, k = int(doc[lo]), int(item[lo])
-            if hi - lo < THRESHOLD * block.weights[k]:
-                continue
-            h = ws.hashes[ws.first[d] : ws.first[d + 1]]
-            hit = windows_near(block, h, block.sizes[k], at[lo:hi] - ws.first[d]).get(k)
-            if hit:
-                found.append((i + d, k, hit))
+            if hi - lo >= THRESHOLD * block.weights[k]:
+                near.setdefault((d, block.sizes[k]), {})[k] = at[lo:hi] - ws.first[d]
+        for (d, size), places in near.items():
+            hits = windows_near(block, ws.hashes[ws.first[d] : ws.first[d + 1]], size, places)
+            found += [(i + d, k, hit) for k, hit in sorted(hits.items())]
     return found
 
 
@@ -233,7 +246,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage, row by row; columns stay as they are."""
+    """``docs`` without the documents that hold a benchmark passage, row by row; columns stay as they are.
+
+    Each row is judged by its own text, whether its doc_id is null, repeated or neither; null and empty texts
+    stay, and an empty table or benchmark changes nothing.
+    """
     kept = docs
     for block in benchmark_blocks(benchmark):
         kept = kept.mapInArrow(_reject(docs.sparkSession.sparkContext.broadcast(block), docs.columns.index("text")), docs.schema)
@@ -241,4 +258,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item it holds."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,6 +1,10 @@
+import random
 from collections import Counter
 
+import numpy as np
+
 from orbweave.llm import decontaminate as d
+from orbweave.llm import decontaminate as d_
 from tests.llm.helpers import SF, odd_documents, odd_rows, plain_words, shingles
 
 
@@ -53,3 +57,33 @@ def test_partly_changed_passage_is_found_and_other_text_is_not(spark):
     docs = spark.createDataFrame([(1, " ".join(["lead"] * 30 + changed + ["tail"] * 9)), (2, " ".join(far))], "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(passage))], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"], r["start_word"]) for r in d.contaminated(docs, bench).collect()] == [(1, 7, 30)]
+
+
+def test_one_index_names_all_items_of_a_size(spark):
+    """Items of one size that share most words are all found, each by its own best window."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(40)]
+    items = []
+    for k in range(12):
+        words = list(base)
+        for i in rng.sample(range(40), k // 4):
+            words[i] = f"x{k}_{i}"
+        items.append((k, " ".join(words)))
+    docs = []
+    for d in range(20):
+        words = [f"f{rng.randrange(50)}" for _ in range(rng.randrange(30))] + items[rng.randrange(12)][1].split() + [f"g{d}"] * rng.randrange(5) + base[: rng.randrange(40)]
+        docs.append((d, " ".join(words)))
+    got = {(r["doc_id"], r["item_id"]) for r in d_.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items) and len(got) > 40
+
+
+def test_the_index_finds_all_fingerprints_within_the_radius():
+    rng = np.random.default_rng(2)
+    mine = rng.integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 50).astype(np.uint64)
+    asked = mine[rng.integers(0, 50, 4000)]
+    for _ in range(d_.RADIUS):
+        asked = asked ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64))
+    i, j, far = d_.HammingIndex(np.arange(50), mine).within(asked)
+    plain = np.bitwise_count(asked[:, None] ^ mine[None, :])
+    want = np.argwhere(plain <= d_.RADIUS)
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, want.tolist())) and (plain[i, j] == far).all()
