@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.shared import table
+from orbweave.llm.shared import fresh_name, table
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -41,13 +41,20 @@ FIRST_DAY, DAYS = "2024-01-01", 366
 def validity(changes: DataFrame) -> DataFrame:
     """(entry, action, active_from, active_to) of a change log (entry, action, change, dated).
 
-    The interval is half-open; active_to is null while the entry stays. Changes of one day apply in the order
-    add, remove. Rows with a null in any of the four columns are left out; repeated rows count once.
+    The interval is half-open; active_to is null while the entry stays. Entries are the same whatever the case
+    of their host. Where an entry is both removed and added on one day, it stays (added last) if it was active before
+    that day, and is not added otherwise: an entry removed and put back keeps one stretch, and one that is added
+    and taken off within a day never counts. An entry added again while active begins a new stretch. Rows with a
+    null in any of the four columns are left out; repeated rows count once; an empty log gives no intervals.
     """
-    known = changes.select("entry", "action", "change", F.to_date("dated").alias("dated")).dropna().distinct()
-    later = Window.partitionBy("entry", "action").orderBy("dated", "change")
-    spans = known.withColumn("active_to", F.lead("dated").over(later)).where("change = 'add'")
-    return spans.select(F.lower("entry").alias("entry"), "action", F.col("dated").alias("active_from"), "active_to").where("active_to is null or active_to > active_from")
+    same = Window.partitionBy("entry", "action").orderBy("dated")
+    host = F.substring_index("entry", "/", 1)  # a path keeps its case
+    known = changes.select(F.concat(F.lower(host), F.substr("entry", F.length(host) + 1)).alias("entry"), "action", "change", F.to_date("dated").alias("dated")).where("change in ('add', 'remove')").dropna()
+    days = known.groupBy("entry", "action", "dated").agg(F.max((F.col("change") == "add").cast("int")).alias("added"), F.max((F.col("change") == "remove").cast("int")).alias("removed"))
+    # after a day with one kind of change the entry is on or off; a day with both leaves it as it was
+    plain = F.when((F.col("added") == 1) & (F.col("removed") == 0), True).when(F.col("added") == 0, False)
+    kept = days.withColumn("on", plain).where("on is not null")
+    return kept.withColumn("active_to", F.lead("dated").over(same)).where("on").select("entry", "action", F.col("dated").alias("active_from"), "active_to")
 
 
 def host_of(url):
@@ -79,10 +86,11 @@ def filter_urls(captures: DataFrame, changes: DataFrame) -> DataFrame:
     found = keys.join(spans, (F.col("key") == F.col("entry")) & active)
     # longest entry first; then allow before block
     best = F.max(F.struct(F.length("entry").alias("size"), (F.col("action") == "allow").alias("allow"), "entry", "action", F.col("active_from").cast("string").alias("since")))
-    decided = found.groupBy(F.col("url").alias("_url"), F.col("fetched").alias("_fetched")).agg(best.alias("best"))
-    out = rows.join(decided, (F.col("url") == F.col("_url")) & (F.col("fetched") == F.col("_fetched")), "left")
+    at, day, won = (fresh_name(rows.columns, x) for x in ("asked_url", "asked_day", "best"))
+    decided = found.groupBy(F.col("url").alias(at), F.col("fetched").alias(day)).agg(best.alias(won))
+    out = rows.join(decided, (F.col("url") == F.col(at)) & (F.col("fetched") == F.col(day)), "left")
     kept = [F.col(f"`{c}`") for c in rows.columns]
-    return out.select(*kept, host_of(F.col("url")).alias("host"), F.coalesce("best.action", F.lit("unlisted")).alias("verdict"), F.col("best.entry").alias("entry"), F.col("best.since").alias("since"))
+    return out.select(*kept, host_of(F.col("url")).alias("host"), F.coalesce(f"{won}.action", F.lit("unlisted")).alias("verdict"), F.col(f"{won}.entry").alias("entry"), F.col(f"{won}.since").alias("since"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

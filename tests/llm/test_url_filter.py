@@ -36,3 +36,20 @@ def test_entries_active_at_fetch_time(spark):
     assert len(found) == 2 * len(rows) and {(r["page_id"], r["verdict"]) for r in found} == {(k, r[2]) for k, r in enumerate(rows)}
     assert {r["verdict"] for r in u.filter_urls(captures, changes.where("false")).collect()} == {"unlisted"}
     assert u.filter_urls(captures.where("false"), changes).collect() == []
+
+
+def test_changes_of_one_day_and_of_any_case(spark):
+    log = [
+        ("Bad.org", "block", "add", "2024-01-10"), ("bad.org", "block", "remove", "2024-02-01"),
+        ("back.org", "block", "add", "2024-01-01"), ("back.org", "block", "remove", "2024-01-20"), ("back.org", "block", "add", "2024-01-20"), ("BACK.org", "block", "remove", "2024-03-01"),
+        ("never.org", "block", "remove", "2024-01-03"), ("never.org", "block", "add", "2024-01-03"),
+        ("Case.org/En/", "block", "add", "2024-01-01"), ("twice.org", "block", "add", "2024-01-01"), ("twice.org", "block", "add", "2024-01-05"), ("odd.org", "block", "rename", "2024-01-01"),
+    ]
+    changes = spark.createDataFrame(log, "entry string, action string, change string, dated string")
+    got = sorted((r["entry"], str(r["active_from"]), str(r["active_to"])) for r in u.validity(changes).collect())
+    assert got == [("back.org", "2024-01-01", "2024-03-01"), ("bad.org", "2024-01-10", "2024-02-01"), ("case.org/En/", "2024-01-01", "None"), ("twice.org", "2024-01-01", "2024-01-05"), ("twice.org", "2024-01-05", "None")]
+    rows = [(1, "http://CASE.org/En/x", day("2024-01-02"), 1, 2, 3), (2, "http://case.org/en/x", day("2024-01-02"), 1, 2, 3)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched date, best int, asked_url int, _url int")
+    got = u.filter_urls(captures, changes).collect()
+    assert [(r["page_id"], r["verdict"], r["best"], r["asked_url"]) for r in sorted(got)] == [(1, "block", 1, 2), (2, "unlisted", 1, 2)]
+    assert u.validity(changes.where("false")).collect() == []
