@@ -25,14 +25,15 @@ from orbweave.llm.shared import table
 # HTML's block-level elements, elements without an end tag, and elements that hold no text.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = "script|style|noscript|template|title|textarea|iframe"  # svg too, where it has an end
+SILENT_TAGS = "script|style|template|title|textarea|iframe"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({SILENT_TAGS})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_DRAWING_END = re.compile(r"</svg\s*>", re.I)
+FOREIGN_TAGS = ("svg", "math")  # in them a slash before ">" ends an element; HTML's own elements ignore it
+_VALUE_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")  # the end of an unquoted value
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _CLUES = {  # fixed values: words that notices, forms and adverts use
@@ -106,7 +107,6 @@ def leaf_blocks(page: str, contexts: Contexts) -> list[Block]:
                 return
 
     at = 0
-    drawn = max((m.start() for m in _DRAWING_END.finditer(page)), default=-1)  # a drawing that begins later has no end
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
@@ -120,10 +120,6 @@ def leaf_blocks(page: str, contexts: Contexts) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag == "svg" and not ends:
-            if at <= drawn and not attributes.endswith("/"):
-                at = _DRAWING_END.search(page, at).end()
-            continue
         block = tag in BLOCK_TAGS
         if block:
             flush()
@@ -135,7 +131,9 @@ def leaf_blocks(page: str, contexts: Contexts) -> list[Block]:
             close("p")
         if tag in ("li", "option", "tr", "td", "th", "dt", "dd") and stack[-1][0] == tag:
             close(tag)
-        if tag in VOID_TAGS or attributes.endswith("/"):
+        if tag in VOID_TAGS:
+            continue
+        if attributes.endswith("/") and (tag in FOREIGN_TAGS or any(open_tags.get(x) for x in FOREIGN_TAGS)) and not _VALUE_SLASH.search(attributes):
             continue
         # inline tags only matter for their links; they keep their parent's features
         context = contexts.enter(stack[-1][1], tag, attributes) if block else stack[-1][1]
@@ -149,10 +147,10 @@ def leaf_blocks(page: str, contexts: Contexts) -> list[Block]:
 
 def text_features(block: Block) -> list[str]:
     text, n = block.text, len(block.text)
-    out = ["bias", f"size:{min(7, int(math.log2(1 + n) / 1.5))}", f"links:{min(4, 5 * block.linked // max(n, 1))}", f"tag:{'h' if block.tag in HEADINGS else block.tag if block.tag in ('p', 'li', 'td', 'div', 'pre', 'blockquote') else 'other'}"]
+    size = min(7, int(math.log2(1 + n) / 1.5))
+    out = ["bias", f"size:{size}", f"links:{min(4, 5 * block.linked // max(n, 1))}", f"tag:{'h' if block.tag in HEADINGS else block.tag if block.tag in ('p', 'li', 'td', 'div', 'pre', 'blockquote') else 'other'}"]
     out.append("stop" if text[-1] in ".!?…:;。" else "nostop")
-    if n < 400:
-        out += [k for k, clue in _CLUES.items() if clue.search(text)]
+    out += [f"{k}:{size}" for k, clue in _CLUES.items() if clue.search(text)]  # a clue says less in a long text
     return out
 
 
@@ -354,5 +352,6 @@ def extract_main_text(pages: DataFrame, crf: Field) -> DataFrame:
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by a field trained on generated labelled pages."""
     found = extract_main_text(table(spark, sf_dir, "pages"), train(labelled_pages(TRAINING_PAGES)))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -69,11 +69,21 @@ def test_hostile_markup(crf):
     [
         ("<p>one <svg viewBox='0 0 1 1'/> two</p><p>three</p>", ["one two", "three"]),
         ("<p>one <svg-icon name='x'></svg-icon> two</p><object-view>three</object-view><title-bar>four</title-bar>", ["one two", "threefour"]),
-        ("<p>one <svg><path d='M0'/><text>no</text></svg> two</p><p>three <svg> four</p>", ["one two", "three four"]),
+        ("<p>one <svg><title>no</title><path d='M0'/><text>label</text></svg> two</p><p>three <svg> four</p>", ["one label two", "three four"]),
+        ("<p>a <noscript>b</noscript> c</p><form><textarea>no</textarea></form>", ["a b c"]),
+        ("<p>a <a href=/x/>b</a> c</p><div class=y/>d<p>e</p></div>", ["a b c", "d", "e"]),
         ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><p>c <object>d</object> <canvas>e</canvas></p>", ["a x=2 b", "c d e"]),
         ("<p>a <math/> b</p><p>c <object data='x'> d</p><p>e <canvas> f</p>", ["a b", "c d", "e f"]),
-        ("<title>no</title><script >no</script><p>yes</p><SVG\n>no</SVG >", ["yes"]),
+        ("<title>no</title><script >no</script><p>yes</p><SVG\n>too</SVG >", ["yes", "too"]),
     ],
 )
 def test_only_silent_elements_are_silent(page, want):
     assert [b.text for b in h.leaf_blocks(page, h.Contexts())] == want
+
+
+def test_a_slash_in_a_link_is_no_end():
+    """Links with unquoted addresses that end with a slash still count as links; blocks keep their context."""
+    with_slash, plain = (h.leaf_blocks(f"<nav><a href={q}/x/{q}>Some link</a></nav><aside class=menu/><p>text</p></aside>", h.Contexts()) for q in ("", '"'))
+    assert [(b.text, b.linked) for b in with_slash] == [(b.text, b.linked) for b in plain] == [("Some link", 9), ("text", 0)]
+    contexts = h.Contexts()
+    assert "<aside>" in contexts.sets[h.leaf_blocks("<aside class=menu/><p>text</p></aside>", contexts)[0].context]
