@@ -57,13 +57,22 @@ def text_words(texts: list[str]) -> w.Words:
     return w.split_words(data, offsets, w.LETTERS_DIGITS)
 
 
+def normalised(templates) -> tuple[tuple[str, str], ...]:
+    """Templates (label, text) with their words in the documents' form; those without words go."""
+    found = []
+    for label, text in templates:
+        ws = text_words([text])
+        found.append((label, " ".join(ws.text(i) for i in range(len(ws.starts)))))
+    return tuple(t for t in found if t[1])
+
+
 class Vocabulary:
     """The templates' words by hash, each with a number."""
 
     def __init__(self, templates=TEMPLATES):
         self.names = sorted({x for _, t in templates for x in t.split()})
         ws = text_words([x + " " for x in self.names])
-        order = np.argsort(ws.hashes)
+        order = np.argsort(ws.hashes) if self.names else np.zeros(0, dtype=np.int64)
         self.hashes, self.number = ws.hashes[order], order.astype(np.int64)
         self.table = np.zeros(1 << 16, dtype=bool)
         self.table[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
@@ -71,6 +80,8 @@ class Vocabulary:
     def find(self, ws: w.Words) -> tuple[np.ndarray, np.ndarray]:
         """(word index, number) of all template words of a slice; equal hashes are checked as text."""
         at = np.flatnonzero(self.table[(ws.hashes >> np.uint64(48)).astype(np.int64)])
+        if not len(at):
+            return at, at
         k = np.searchsorted(self.hashes, ws.hashes[at])
         k[k == len(self.hashes)] = 0
         same = self.hashes[k] == ws.hashes[at]
@@ -104,7 +115,7 @@ class Index:
             self.templates.append(Template(label, members, need))
             for i in range(len(members) - need + 1):
                 self.postings[int(members[i])].append((t, i))
-        self.least = min(t.need for t in self.templates)
+        self.least = min((t.need for t in self.templates), default=1)
         self.starts_candidate = np.zeros(len(names), dtype=bool)
         self.starts_candidate[list(self.postings)] = True
 
@@ -129,16 +140,20 @@ class Index:
         return found
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(templates):
     """How often the partition has each template word: at most one row for each."""
-    vocabulary = Vocabulary()
-    total = np.zeros(len(vocabulary.names), dtype=np.int64)
-    for batch in batches:
-        for _, _, data, offsets in w.slices(batch.column(0)):
-            _, number = vocabulary.find(w.split_words(data, offsets, w.LETTERS_DIGITS))
-            total += np.bincount(number, minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(templates)
+        total = np.zeros(len(vocabulary.names), dtype=np.int64)
+        for batch in batches:
+            for _, _, data, offsets in w.slices(batch.column(0)):
+                _, number = vocabulary.find(w.split_words(data, offsets, w.LETTERS_DIGITS))
+                total += np.bincount(number, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["word", "n"])
+
+    return run
 
 
 def phrase_places(ws: w.Words, phrase: str) -> np.ndarray:
@@ -257,21 +272,25 @@ def _scan(shared_index):
     return run
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, matches.
 
+    ``templates``: (label, text) of the notices to join with, a list that fits the driver and every task.
+
     ``matches`` lists every block that holds at least THRESHOLD of a template's words: template, label, line
     (of the block's first template word, from 0), first_word of the block, overlap and containment. The best of
     neighbouring blocks stands for them, and blocks across lines are listed where no line nearby does as well. Null and empty texts have no words and no
     matches; null and repeated doc_ids keep their rows; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    counts = texts.select("text").mapInArrow(_count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    index = Index({r["word"]: r["n"] for r in counts.collect()})  # one row for each template word
+    templates = normalised(templates)
+    counts = texts.select("text").mapInArrow(_count(templates), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    index = Index({r["word"]: r["n"] for r in counts.collect()}, templates)  # one row for each template word
     return texts.mapInArrow(_scan(index), _SCHEMA)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and template labels of every document."""
     found = scan_licenses(table(spark, sf_dir, "documents"))
     base, own = F.col("base_labels"), F.transform("matches", lambda m: m["label"])
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))

@@ -135,3 +135,10 @@ def test_blocks_against_brute_force():
     got = found_blocks(["", *texts, "\n"])
     want = [brute_blocks(t) for t in ["", *texts, "\n"]]
     assert got == want and np.mean([bool(x) for x in want]) > 0.5
+
+
+def test_templates_are_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "Free for all; even for Cats and dogs alike."), (2, "all rights reserved")], "doc_id long, text string")
+    got = {r["doc_id"]: [m["label"] for m in r["matches"]] for r in s.scan_licenses(docs, [("pets", "EVEN for cats, and dogs!"), ("none", " - ")]).collect()}
+    assert got == {1: ["pets"], 2: []}
+    assert all(r["matches"] == [] for r in s.scan_licenses(docs, []).collect())
