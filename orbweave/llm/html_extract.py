@@ -36,11 +36,11 @@ FOREIGN_TAGS = ("svg", "math")  # in them a slash before ">" ends an element; HT
 _VALUE_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")  # the end of an unquoted value
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
-_CLUES = {  # fixed values: words that notices, forms and adverts use
-    "legal": re.compile(r"©|copyright|all rights reserved|privacy|terms of", re.I),
-    "consent": re.compile(r"cookie|consent|accept", re.I),
-    "social": re.compile(r"subscribe|newsletter|share this|follow us|sign up|log in|reply", re.I),
-    "advert": re.compile(r"advert|sponsored|promo", re.I),
+_CLUES = {  # fixed values: words that notices, forms and adverts use, in lower case
+    "legal": ("©", "copyright", "all rights reserved", "privacy", "terms of"),
+    "consent": ("cookie", "consent", "accept"),
+    "social": ("subscribe", "newsletter", "share this", "follow us", "sign up", "log in", "reply"),
+    "advert": ("advert", "sponsored", "promo"),
 }
 MARK_REST, MARK_MAIN = "\ue000", "\ue001"  # first characters of labelled blocks
 
@@ -150,7 +150,8 @@ def text_features(block: Block) -> list[str]:
     size = min(7, int(math.log2(1 + n) / 1.5))
     out = ["bias", f"size:{size}", f"links:{min(4, 5 * block.linked // max(n, 1))}", f"tag:{'h' if block.tag in HEADINGS else block.tag if block.tag in ('p', 'li', 'td', 'div', 'pre', 'blockquote') else 'other'}"]
     out.append("stop" if text[-1] in ".!?…:;。" else "nostop")
-    out += [f"{k}:{size}" for k, clue in _CLUES.items() if clue.search(text)]  # a clue says less in a long text
+    low = text.lower()
+    out += [f"{k}:{size}" for k, clues in _CLUES.items() if any(x in low for x in clues)]  # a clue says less in a long text
     return out
 
 
