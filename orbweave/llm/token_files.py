@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from orbweave.llm.shared import shared_folder, table, whole_text
 
 SEGMENT_TOKENS = 1 << 20
-SHARD_CHARS = 4 << 20
 MOST_SHARDS = 100_000
 RANK_BLOCK = 512  # bits between entries of a rank directory
 END_ID = 0
@@ -63,10 +62,11 @@ class Encoder:
         for begin in range(0, len(texts), 256):
             part = texts[begin : begin + 256]
             cut: list[list[str] | None] = [_PRETOKEN.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in part]
-            fresh = {w for words in cut if words for w in words}.difference(self.cache)
+            words_here = set().union(*filter(None, cut))
+            fresh = words_here.difference(self.cache)
             if fresh:
                 if len(self.cache) + len(fresh) > CACHE_WORDS:
-                    fresh = {w for words in cut if words for w in words}
+                    fresh = words_here
                 self._learn(list(fresh))
             get = self.cache.__getitem__
             for text, words in zip(part, cut, strict=True):
@@ -109,8 +109,8 @@ class WaveletMatrix:
             padded[: len(packed)] = packed
             ones = np.bitwise_count(padded.reshape(-1, RANK_BLOCK // 8)).sum(axis=1, dtype=np.int64)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4"))
-            ids = np.concatenate([ids[~bit], ids[bit]])
-            zeros.append(int(len(bit) - bit.sum()))
+            ids = np.concatenate([np.compress(~bit, ids), np.compress(bit, ids)])
+            zeros.append(int(len(bit) - np.count_nonzero(bit)))
         return cls(len(ids), width, zeros, planes, ranks)
 
     def _ones(self, level: int, i: int) -> int:
@@ -177,8 +177,8 @@ class WaveletMatrix:
         for level in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(ids)
-            back[~bit] = ids[: self.zeros[level]]
-            back[bit] = ids[self.zeros[level] :] | kind(1 << (self.width - 1 - level))
+            back[np.flatnonzero(~bit)] = ids[: self.zeros[level]]
+            back[np.flatnonzero(bit)] = ids[self.zeros[level] :] | kind(1 << (self.width - 1 - level))
             ids = back
         return ids.astype(np.uint32)
 
@@ -221,12 +221,14 @@ def _write(path: str, vocabulary: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, vocabulary: int) -> None:
     """Write ``docs`` (doc_id, text; null texts count as empty) below ``path``, in ascending doc_id order.
 
-    Null doc_ids come first; rows of one doc_id follow each other in the order of a hash of their texts.
+    Null doc_ids come first; rows of one doc_id follow each other in the order of a hash of their texts. There are
+    as many shards as splits of the input (or shuffle partitions, if that is more), so a shard is about a split;
+    its rows are segments of bounded size. An empty table writes files without segments.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = int(min(MOST_SHARDS, max(1, chars // SHARD_CHARS + 1)))
-    dealt = texts.repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    shards = min(MOST_SHARDS, max(texts.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    order = (F.asc_nulls_first("doc_id"), F.xxhash64("text"))  # rows of one doc_id may go to several shards
+    dealt = texts.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     dealt.mapInArrow(_write(tokenizer_file, vocabulary), _SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -275,6 +277,7 @@ def read_documents(spark: SparkSession, path: str, digest_only: bool = False) ->
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as token ids in wavelet matrices on shared files, read back from them."""
     import public_tokenizers
 
     path = shared_folder(spark, "token-files")
