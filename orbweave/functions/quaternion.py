@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Q = list[Column]
 
 
+LEAST_NORM, POLE = 1e-12, 1e-7  # fixed values: a norm that counts as zero, and the cosine of pitch at a pole
+
+
 def unit(q: Q) -> Q:
+    """The rotation at length 1; null without a length."""
     n = F.sqrt(sum((c * c for c in q[1:]), q[0] * q[0]))
-    return [c / n for c in q]
+    return [F.when(n >= LEAST_NORM, c / n) for c in q]
 
 
 def conjugate(q: Q) -> Q:
@@ -39,8 +41,8 @@ def rotate(q: Q, ray: list[Column]) -> list[Column]:
 
 
 def correction(raw: Q, smooth: Q) -> Q:
-    """What turns the raw orientation into the smooth one."""
-    return multiply(conjugate(raw), smooth)
+    """What turns the raw orientation into the smooth one; both may have any length."""
+    return multiply(conjugate(unit(raw)), unit(smooth))
 
 
 def slerp(a: Q, b: Q, t: Column) -> Q:
@@ -60,17 +62,16 @@ def from_axis(axis: tuple[float, float, float], radians: Column) -> Q:
     return [F.lit(k) * F.sin(radians / 2) for k in axis] + [F.cos(radians / 2)]
 
 
-def from_yaw_pitch(yaw: Column, pitch: Column) -> Q:
-    return multiply(from_axis((0.0, 1.0, 0.0), yaw), from_axis((1.0, 0.0, 0.0), -pitch))
+def from_yaw_pitch_roll(yaw: Column, pitch: Column, roll: Column) -> Q:
+    """Roll about the view axis, then pitch, then yaw."""
+    return unit(multiply(from_axis((0.0, 1.0, 0.0), yaw), multiply(from_axis((1.0, 0.0, 0.0), -pitch), from_axis((0.0, 0.0, 1.0), roll))))
 
 
-def yaw_pitch_roll_degrees(q: Q) -> list[Column]:
+def yaw_pitch_roll(q: Q) -> list[Column]:
     """Yaw about +Y, pitch up, roll about the view axis; null at the poles, where yaw and roll can't be told apart."""
+    q = unit(q)
     fx, fy, fz = rotate(q, [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
     up, right = rotate(q, [F.lit(0.0), F.lit(1.0), F.lit(0.0)]), rotate(q, [F.lit(1.0), F.lit(0.0), F.lit(0.0)])
-    pole = F.abs(fy) > 1 - 1e-12
-    safe = F.greatest(F.least(fy, F.lit(1.0)), F.lit(-1.0))
-    return [F.when(~pole, F.degrees(x)) for x in (F.atan2(fx, fz), F.asin(safe), F.atan2(right[1], up[1]))]
-
-
-HALF_TURN = math.pi
+    pitch = F.asin(F.greatest(F.least(fy, F.lit(1.0)), F.lit(-1.0)))
+    pole = F.cos(pitch) < POLE
+    return [F.when(~pole, x) for x in (F.atan2(fx, fz), pitch, F.atan2(right[1], up[1]))]

@@ -56,20 +56,51 @@ def forward_distance(yaw: Column, pitch: Column) -> Column:
     return F.acos(F.greatest(F.least(F.cos(pitch) * F.cos(yaw), F.lit(1.0)), F.lit(-1.0)))
 
 
-def viewport_ray(x: Column, y: Column, yaw: Column, pitch: Column, h_fov: Column, aspect: float) -> tuple[Column, Column, Column]:
-    """World ray of a normalised top-left viewport point."""
+def viewport_ray(x: Column, y: Column, yaw: Column, pitch: Column, h_fov: Column, aspect: float | Column, roll: Column | None = None) -> tuple[Column, Column, Column]:
+    """World ray of a normalised top-left viewport point: roll about the view axis, then pitch, then yaw."""
     half = F.tan(h_fov / 2)
     u, v = (2 * x - 1) * half, (1 - 2 * y) * half / aspect
     n = F.sqrt(u * u + v * v + 1)
     dx, dy, dz = u / n, v / n, 1 / n
+    if roll is not None:
+        dx, dy = dx * F.cos(roll) - dy * F.sin(roll), dx * F.sin(roll) + dy * F.cos(roll)
     ry, rz = dy * F.cos(pitch) + dz * F.sin(pitch), dz * F.cos(pitch) - dy * F.sin(pitch)
     return dx * F.cos(yaw) + rz * F.sin(yaw), ry, rz * F.cos(yaw) - dx * F.sin(yaw)
 
 
-def box_centre_angles(x: Column, y: Column, yaw: Column, pitch: Column, h_fov: Column, aspect: float) -> tuple[Column, Column]:
-    """The pinhole approximation by one arctangent an axis."""
+def pixel_ray(px: Column, py: Column, width: Column | float, height: Column | float, yaw: Column, pitch: Column, h_fov: Column, roll: Column | None = None) -> tuple[Column, Column, Column]:
+    """World ray through a viewport pixel's centre; null outside the viewport."""
+    ray = viewport_ray((px + 0.5) / width, (py + 0.5) / height, yaw, pitch, h_fov, width / height, roll)
+    return tuple(F.when(inside_viewport(px, py, width, height), k) for k in ray)
+
+
+def inside_viewport(px: Column, py: Column, width: Column | float, height: Column | float) -> Column:
+    """Whether a pixel coordinate lies on the image, its edges included."""
+    return F.coalesce((px >= -0.5) & (px <= width - 0.5) & (py >= -0.5) & (py <= height - 0.5), F.lit(False))
+
+
+def box_centre_angles(box: list[Column], yaw: Column, pitch: Column, h_fov: Column, aspect: float) -> tuple[Column, Column]:
+    """(yaw, pitch) of the middle of a box (x, y, width, height from the bottom left), by one arctangent an axis."""
     half = F.tan(h_fov / 2)
-    return wrap_yaw(yaw + F.atan((2 * x - 1) * half)), pitch + F.atan((1 - 2 * y) * half / aspect)
+    mx, my = box[0] + box[2] / 2, box[1] + box[3] / 2
+    up = pitch + F.atan((2 * my - 1) * half / aspect)
+    return wrap_yaw(yaw + F.atan((2 * mx - 1) * half)), F.greatest(-F.pi() / 2, F.least(F.pi() / 2, up))
+
+
+def box_extent(width: Column, h_fov: Column) -> Column:
+    """The horizontal extent of a box of a viewport, at least 0.01 and just under half a turn."""
+    return F.least(F.lit(math.pi - 0.001), F.greatest(F.lit(0.01), 2 * F.atan(width * F.tan(h_fov / 2))))
+
+
+def seed_box(x: Column, top: Column, width: Column, height: Column, view_width: float, view_height: float, tolerance: float = 0.0) -> dict[str, Column]:
+    """A top-left box as one from the bottom left, cut to the viewport where it stands out by ``tolerance`` pixels at most.
+
+    All parts are null for a box that has no size, begins outside, or stands out further.
+    """
+    right, lower = x + width, top + height
+    ok = (width > 0) & (height > 0) & (x >= 0) & (top >= 0) & (right <= 1 + tolerance / view_width) & (lower <= 1 + tolerance / view_height)
+    made = {"x": x, "y": F.when(lower > 1, 0.0).otherwise(1.0 - top - height), "width": F.when(right > 1, 1.0 - x).otherwise(width), "height": F.when(lower > 1, 1.0 - top).otherwise(height)}
+    return {k: F.when(ok, v) for k, v in made.items()}
 
 
 def smoothstep(s: Column) -> Column:

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-FIT = "x double, y double, z double, w double, inlier_ratio double, residual double, confidence double"
+from orbweave.operators.ordered import fold, kind_of
+
+FIT = "x double, y double, z double, w double, inlier_ratio double, inlier_count long, matches long, iterations int, residual double, confidence double, fit_failure string"
+
+# Fixed values of the robust fit: rounds, inlier bound in radians, the Gaussian factor of the median deviation, Tukey's
+# constant, the least floor of the scale as a part of the bound, the least diversity and the change that ends it.
+ROUNDS, INLIER, MAD_TO_SIGMA, TUKEY, FLOOR_PART, LEAST_DIVERSITY, SETTLED = 12, np.radians(3), 1.4826, 4.685, 6, 1e-4, 1e-7
 
 
 def davenport(source: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -22,60 +27,114 @@ def davenport(source: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.
 
 
 def turn(q: np.ndarray, rays: np.ndarray) -> np.ndarray:
-    t = 2 * np.cross(q[:3], rays)
-    return rays + q[3] * t + np.cross(q[:3], t)
+    x, y, z, w = q
+    matrix = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+    return rays @ matrix.T
+
+
+def middle(values: np.ndarray) -> float:
+    ordered = np.sort(values)
+    return float(ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
+
+
+def spread(rays: np.ndarray, block: int = 512) -> tuple[float, float]:
+    """(sine of the angle between the two lines furthest apart, greatest angle between two rays), block by block."""
+    low, line = 1.0, 1.0
+    for i in range(0, len(rays), block):
+        dots = rays[i : i + block] @ rays.T
+        low, line = min(low, float(dots.min())), min(line, float(np.abs(dots).min()))
+    return float(np.sqrt(max(0.0, 1.0 - line**2))), float(np.arccos(np.clip(low, -1, 1)))
+
 
+def errors_of(q: np.ndarray, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    a, b = turn(q, source).T, target.T
+    x, y, z = a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+    return np.arctan2(np.sqrt(x * x + y * y + z * z), a[0] * b[0] + a[1] * b[1] + a[2] * b[2])
 
-def fit_rotation(source: np.ndarray, target: np.ndarray, rounds: int = 12, threshold: float = np.radians(3)) -> tuple:
-    """Reweighted fit with Tukey's weights; confidence is inlier share x coverage x fit quality."""
-    weight = np.ones(len(source))
-    q = np.array([0.0, 0.0, 0.0, 1.0])
-    for _ in range(rounds):
+
+def fit_rotation(source: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, threshold: float = INLIER) -> tuple:
+    """Reweighted fit with Tukey's weights (x, y, z, w, and the columns of FIT after them).
+
+    Confidence is inlier share x angular coverage x fit quality. Fewer than two matches, or source rays along one
+    line, give no rotation and a reason.
+    """
+    none = (None,) * 4 + (0.0, 0, len(source), 0, float(np.pi), 0.0)
+    if len(source) < 2:
+        return (*none, "insufficient_correspondences")
+    if spread(source)[0] < LEAST_DIVERSITY:
+        return (*none, "insufficient_angular_diversity")
+    weight, done = np.ones(len(source)), 0
+    for done in range(1, rounds + 1):  # noqa: B007
         q = davenport(source, target, weight)
-        moved = turn(q, source)
-        error = np.arctan2(np.linalg.norm(np.cross(moved, target), axis=1), (moved * target).sum(axis=1))
-        scale = 4.685 * max(1.4826 * np.median(np.abs(error - np.median(error))), threshold / 6)
-        weight = np.where(error < scale, (1 - (error / scale) ** 2) ** 2, 0.0)
-        if weight.sum() <= 0:
+        error = errors_of(q, source, target)
+        sigma = max(MAD_TO_SIGMA * middle(np.abs(error - middle(error))), threshold / FLOOR_PART)
+        ratio = error / max(threshold, TUKEY * sigma)
+        fresh = np.where(ratio < 1, (1 - ratio**2) ** 2, 0.0)
+        if np.count_nonzero(fresh) < 2:
+            break
+        change, weight = float(np.abs(fresh - weight).max()), fresh
+        if change < SETTLED:
+            q = davenport(source, target, weight)
             break
+    error = errors_of(q, source, target)
     inside = error <= threshold
+    share = float(inside.mean())
     residual = float(np.sqrt((error[inside] ** 2).mean())) if inside.any() else float(np.pi)
-    kept = source[inside]
-    spread = float(np.arccos(np.clip((kept @ kept.T).min(), -1, 1))) if len(kept) else 0.0
-    confidence = inside.mean() * min(1.0, spread / (np.pi / 2)) * max(0.0, 1 - residual / threshold)
-    return (*q, float(inside.mean()), residual, float(np.clip(confidence, 0, 1)))
+    coverage = min(1.0, spread(source[inside])[1] / (np.pi / 2)) if inside.sum() > 1 else 0.0
+    confidence = float(np.clip(share * coverage * max(0.0, 1 - residual / threshold), 0, 1))
+    return (*q.tolist(), share, int(inside.sum()), len(source), done, residual, confidence, None)
 
 
-def fit_rotations(matches: DataFrame, key: str) -> DataFrame:
-    """(key, x, y, z, w, inlier_ratio, residual, confidence) for groups of unit rays sx, sy, sz -> tx, ty, tz.
+def fit_rotations(matches: DataFrame, *keys: str) -> DataFrame:
+    """(keys and FIT) for groups of unit rays sx, sy, sz -> tx, ty, tz.
 
-    A group is one frame pair's matches, bounded by its sampling grid.
+    A group is one frame pair's matches (of a view, a tile or a variant), bounded by its sampling grid; a task holds
+    one group at a time, in the order of its rays, so that a fit doesn't depend on how rows came.
     """
+    rays, n = ["sx", "sy", "sz", "tx", "ty", "tz"], len(keys)
 
-    def one(keys, pdf: pd.DataFrame) -> pd.DataFrame:
-        made = fit_rotation(pdf[["sx", "sy", "sz"]].to_numpy(), pdf[["tx", "ty", "tz"]].to_numpy())
-        return pd.DataFrame([(keys[0], *made)], columns=[key, "x", "y", "z", "w", "inlier_ratio", "residual", "confidence"])
+    def step(held: list, row: tuple):
+        held.append(row)
+        return ()
 
-    kind = matches.schema[key].dataType.simpleString()
-    return matches.groupBy(key).applyInPandas(one, f"{key} {kind}, {FIT}")
+    def finish(held: list):
+        pairs = np.array([row[n:] for row in held], dtype=float)
+        yield (*held[0][:n], *fit_rotation(pairs[:, :3], pairs[:, 3:]))
+
+    kinds = ", ".join(f"{k} {kind_of(matches, k)}" for k in keys)
+    return fold(matches.select(*keys, *rays), list(keys), rays, list, step, f"{kinds}, {FIT}", finish=finish)
 
 
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([*(a[3] * b[:3] + b[3] * a[:3] + np.cross(a[:3], b[:3])), a[3] * b[3] - a[:3] @ b[:3]])
 
 
-def prefix_products(steps: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, order, x, y, z, w): products of a segment's steps so far, in the hemisphere of the one before."""
+class Segment:
+    number, inside = 0, False
+    at = np.array([0.0, 0.0, 0.0, 1.0])
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        at, out = np.array([0.0, 0.0, 0.0, 1.0]), []
-        for step in pdf[["x", "y", "z", "w"]].to_numpy():
-            new = multiply(at, step)
-            new /= np.linalg.norm(new)
-            at = new if new @ at >= 0 else -new
-            out.append(at)
-        return pd.DataFrame({key: pdf[key], order: pdf[order]} | dict(zip("xyzw", np.array(out).T, strict=True)))
+def relative_segments(steps: DataFrame, key: str, order: str) -> DataFrame:
+    """Orientations relative to where a segment of usable steps began: (key, segment, order, t, x, y, z, w, state).
 
-    kinds = {c: steps.schema[c].dataType.simpleString() for c in (key, order)}
-    return steps.groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, {order} {kinds[order]}, x double, y double, z double, w double")
+    ``steps``: key, order, start, end, state, x, y, z, w. Measured and interpolated steps with a rotation are usable;
+    any other ends the segment. A segment begins with an anchor (the identity, at its first step's start), and each
+    step gives the product so far, in the hemisphere of the one before.
+    """
+    rows = steps.select(key, order, "start", "end", "state", *"xyzw")
+
+    def step(s: Segment, row: tuple):
+        of, at, start, end, state, *q = row
+        if state not in ("measured", "interpolated") or q[0] is None:
+            s.inside, s.at = False, Segment.at
+            return
+        if not s.inside:
+            s.inside, s.number = True, s.number + 1
+            yield of, s.number, at, start, 0.0, 0.0, 0.0, 1.0, "segment_anchor"
+        q = np.array(q)
+        new = multiply(s.at, q / np.linalg.norm(q))
+        new /= np.linalg.norm(new)
+        s.at = new if new @ s.at >= 0 else -new
+        yield of, s.number, at, end, *map(float, s.at), state
+
+    return fold(rows, [key], [order], Segment, step, f"{key} {kind_of(steps, key)}, segment int, {order} {kind_of(steps, order)}, t double, x double, y double, z double, w double, state string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import quaternion as quat
 from orbweave.functions import sphere
-from orbweave.operators import folds, intervals, rotation, spatial, validation
+from orbweave.operators import folds, intervals, spatial, validation
 from orbweave.plans import relations as r
 
 QUERIES: dict = {}
@@ -129,17 +129,25 @@ def win12_dynamics(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("id", r6(F.col("speed")).alias("speed"), r6(F.col("accel")).alias("accel"), r6((F.col("accel") - F.lag("accel").over(w)) / F.col("dt") * HOUR).alias("jerk"))
 
 
-@query(f"""WITH {r.SIGNAL}, s AS (SELECT *, kind <> 'error' AS ok, row_number() OVER (PARTITION BY source_id ORDER BY t, id) AS i FROM signal), g AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY i) AS island FROM s),
- c AS (SELECT *, count(*) OVER (PARTITION BY source_id, island ORDER BY i) AS streak, min(t) OVER (PARTITION BY source_id, island) AS t0 FROM g WHERE ok)
- SELECT source_id, round(min(t), 6) AS acquired_at FROM c WHERE streak >= 3 AND t - t0 >= 3600 GROUP BY source_id""")
+_OUTCOME = "CASE kind WHEN 'error' THEN 'missing' WHEN 'view' THEN 'ambiguous' ELSE 'compatible' END"
+
+
+def _outcomes(spark, sf):
+    outcome = F.when(F.col("kind") == "error", "missing").when(F.col("kind") == "view", "ambiguous").otherwise("compatible")
+    s = r.signal(spark, sf).withColumn("outcome", outcome)
+    return s.groupBy("source_id", "t").agg(F.min_by("outcome", "id").alias("outcome"), F.min_by("score", "id").alias("score"))
+
+
+_OUTCOMES = f"outcomes AS (SELECT source_id, t, arg_min({_OUTCOME}, id) AS outcome, arg_min(score, id) AS score FROM signal GROUP BY source_id, t), numbered AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY t) AS i FROM outcomes)"
+
+
+@query(f"""WITH RECURSIVE {r.SIGNAL}, {_OUTCOMES}, f AS (SELECT source_id, i, t, outcome, CASE WHEN outcome = 'compatible' THEN 1 ELSE 0 END AS consecutive, CASE WHEN outcome = 'compatible' THEN t END AS began, CASE WHEN outcome = 'compatible' THEN t END AS last FROM numbered WHERE i = 1
+ UNION ALL SELECT n.source_id, n.i, n.t, n.outcome, CASE WHEN n.outcome <> 'compatible' THEN 0 WHEN f.last IS NULL OR n.t - f.last > 172800 THEN 1 ELSE f.consecutive + 1 END, CASE WHEN n.outcome <> 'compatible' THEN NULL WHEN f.last IS NULL OR n.t - f.last > 172800 THEN n.t ELSE f.began END, CASE WHEN n.outcome = 'compatible' THEN n.t END FROM f JOIN numbered n ON n.source_id = f.source_id AND n.i = f.i + 1),
+ s AS (SELECT *, coalesce(t - began, 0) AS span FROM f), a AS (SELECT source_id, min(t) AS at FROM s WHERE consecutive >= 2 AND span >= 43200 GROUP BY source_id)
+ SELECT s.source_id, round(s.t, 6) AS t, s.outcome, s.consecutive::INTEGER AS consecutive, round(s.span, 6) AS span, coalesce(s.t = a.at, false) AS acquired FROM s LEFT JOIN a USING (source_id)""")
 def win19_acquisition(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN-19, ST-09: when three good observations in a row first span an hour; a bad one starts over."""
-    w = Window.partitionBy("source_id").orderBy("t", "id")
-    s = r.signal(spark, sf).withColumn("ok", F.col("kind") != "error")
-    s = s.withColumn("island", F.sum((~F.col("ok")).cast("int")).over(w)).where("ok")
-    v = Window.partitionBy("source_id", "island").orderBy("t", "id")
-    s = s.withColumn("streak", F.row_number().over(v)).withColumn("t0", F.first("t").over(v))
-    return rounded(s.where((F.col("streak") >= 3) & (F.col("t") - F.col("t0") >= HOUR)).groupBy("source_id").agg(F.min("t").alias("acquired_at")), "acquired_at")
+    """WIN-19, ST-09: streaks of compatible refreshes, cut by other outcomes and by gaps, and where the first long enough one acquires a track."""
+    return rounded(folds.acquisitions(_outcomes(spark, sf), "source_id", "t", "outcome", 2, 12 * HOUR, 48 * HOUR), "t", "span")
 
 
 @query(f"""WITH {r.SIGNAL}, {_SPAN}, {_MERGED}, whole AS (SELECT source_id, min(start) - 100 AS start, max("end") + 100 AS "end" FROM merged GROUP BY source_id),
@@ -193,10 +201,23 @@ def _clusters(spark, sf):
 
 @query(f"WITH RECURSIVE {r.CANDIDATE}, {_PAIRS}, {_CLUSTERS} SELECT frame, cluster, kind, round(max(h_fov), 6) AS h_fov, count(*) AS members, string_agg(CAST(id AS VARCHAR), '+' ORDER BY id) AS ids, round(atan2(sum(cos(pitch) * sin(yaw)), sum(cos(pitch) * cos(yaw))), 6) AS yaw FROM clustered GROUP BY frame, cluster, kind")
 def agg01_spherical_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-01, AGG-02: duplicates merge along chains into one candidate with the mean direction."""
+    """AGG-01: duplicates merge along chains into one candidate with the mean direction."""
     return rounded(spatial.merge_clusters(_clusters(spark, sf)).select("frame", "cluster", "kind", "h_fov", "members", "ids", "yaw"), "h_fov", "yaw")
 
 
+_BOUNDED = "bounded AS (SELECT *, CASE WHEN id % 3 <> 0 THEN pitch - 0.125::DOUBLE END AS pitch_min, CASE WHEN id % 3 <> 0 THEN pitch + 0.25::DOUBLE END AS pitch_max, 'view:' || (id % 4) AS provenance FROM clustered)"
+
+
+@query(f"""WITH RECURSIVE {r.CANDIDATE}, {_PAIRS}, {_CLUSTERS}, {_BOUNDED}, m AS (SELECT frame, cluster, kind, sum(cos(pitch) * sin(yaw)) AS x, sum(sin(pitch)) AS y, sum(cos(pitch) * cos(yaw)) AS z, count(*) AS members, CASE WHEN count(pitch_min) = count(*) THEN min(pitch_min) END AS low, CASE WHEN count(pitch_max) = count(*) THEN max(pitch_max) END AS high, string_agg(provenance, ';' ORDER BY id) AS provenance FROM bounded GROUP BY frame, cluster, kind)
+ SELECT frame, cluster, kind, members, round(asin(y / sqrt(x * x + y * y + z * z)), 6) AS pitch, round(low, 6) AS pitch_min, round(high, 6) AS pitch_max, provenance FROM m""")
+def agg02_merged_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-02: a cluster's mean direction, joined bounds where all members have them, and its provenance in order."""
+    i = F.col("id")
+    rows = _clusters(spark, sf).select("*", F.when(i % 3 != 0, F.col("pitch") - 0.125).alias("pitch_min"), F.when(i % 3 != 0, F.col("pitch") + 0.25).alias("pitch_max"), F.concat(F.lit("view:"), (i % 4).cast("string")).alias("provenance"))
+    made = spatial.merge_clusters(rows)
+    return rounded(made.select("frame", "cluster", "kind", "members", "pitch", "pitch_min", "pitch_max", "provenance"), "pitch", "pitch_min", "pitch_max")
+
+
 @query(f"WITH RECURSIVE {r.CANDIDATE}, {_PAIRS}, {_CLUSTERS}, m AS (SELECT frame, cluster, kind, count(*) AS n FROM clustered GROUP BY frame, cluster, kind) SELECT kind, sum(n)::BIGINT AS raw_count, count(*) AS merged_count, count(*) FILTER (n > 1) AS duplicate_clusters, max(n) AS largest FROM m GROUP BY GROUPING SETS ((kind), ())")
 def agg03_dedup_report(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-03, AGG-04: counts before and after, by kind and in total."""
@@ -212,20 +233,10 @@ def agg22_group_shots(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spatial.group_shots(r.candidate(spark, sf)), "yaw", "pitch", "radius", "fov")
 
 
-_QANGLE = "2 * acos(least(abs(a.x * b.x + a.y * b.y + a.z * b.z + a.w * b.w), 1))"
-
-
 def _quat(alias):
     return [F.col(f"{alias}.{c}") for c in "xyzw"]
 
 
-@query(f"""WITH {r.QUATERNION}, d AS (SELECT a.label, a.vec_id AS id, sum({_QANGLE}) AS total, count(*) FILTER ({_QANGLE} <= 2) AS near FROM quaternion a JOIN quaternion b USING (label) GROUP BY a.label, a.vec_id),
- k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(total, 9), id) AS place, count(*) OVER (PARTITION BY label) AS members FROM d) SELECT label, id AS medoid, near AS selected, members, near >= 20 AS accepted FROM k WHERE place = 1""")
-def agg17_medoid_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-17..19, JOIN-21, GEO-19: the rotation with the least summed distance, and who agrees with it."""
-    return spatial.medoid_consensus(r.quaternion(spark, sf), "label", "vec_id", lambda a, b: quat.angle(_quat(a), _quat(b)), 2.0, 20)
-
-
 @query(f"""WITH {r.CANDIDATE} SELECT id, round(yaw, 6) AS yaw, round(cos(pitch) * sin(yaw), 6) AS x, round(sin(pitch), 6) AS y, round(cos(pitch) * cos(yaw), 6) AS z, round((yaw + pi()) / (2 * pi()) * 1024 - 0.5, 6) AS px, round((pi() / 2 - pitch) / pi() * 512 - 0.5, 6) AS py,
  round(acos(greatest(least(cos(pitch) * cos(yaw), 1), -1)), 6) AS forward, round(abs((degrees(yaw) - 30 + 180) - 360 * floor((degrees(yaw) - 30 + 180) / 360) - 180), 6) AS from_30 FROM candidate""")
 def geo_angles(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,28 +254,6 @@ def geo03_pixel_to_angles(spark: SparkSession, sf: str) -> DataFrame:
     return r.candidate(spark, sf).select("id", r6(yaw).alias("yaw"), r6(pitch).alias("pitch"))
 
 
-@query(f"""WITH {r.CANDIDATE}, a AS (SELECT *, (2 * 0.3::DOUBLE - 1) * tan(h_fov / 2) AS u, (1 - 2 * 0.8::DOUBLE) * tan(h_fov / 2) / 1.5::DOUBLE AS v FROM candidate), b AS (SELECT *, sqrt(u * u + v * v + 1) AS n FROM a),
- c AS (SELECT *, u / n AS dx, (v * cos(pitch) + sin(pitch)) / n AS ry, (cos(pitch) - v * sin(pitch)) / n AS rz FROM b)
- SELECT id, round(dx * cos(yaw) + rz * sin(yaw), 6) AS x, round(ry, 6) AS y, round(rz * cos(yaw) - dx * sin(yaw), 6) AS z, round(pitch + atan(v), 6) AS centre_pitch FROM c""")
-def geo08_viewport_rays(spark: SparkSession, sf: str) -> DataFrame:
-    """GEO-08, GEO-14, GEO-15: a viewport point's world ray, and the approximate centre."""
-    fixed, args = (F.lit(0.3), F.lit(0.8)), (F.col("yaw"), F.col("pitch"), F.col("h_fov"), 1.5)
-    x, y, z = sphere.viewport_ray(*fixed, *args)
-    _, pitch = sphere.box_centre_angles(*fixed, *args)
-    return r.candidate(spark, sf).select("id", r6(x).alias("x"), r6(y).alias("y"), r6(z).alias("z"), r6(pitch).alias("centre_pitch"))
-
-
-@query(f"""WITH {r.QUATERNION}, p AS (SELECT a.vec_id, a.x AS ax, a.y AS ay, a.z AS az, a.w AS aw, b.x AS bx, b.y AS "by", b.z AS bz, b.w AS bw FROM quaternion a JOIN quaternion b ON b.vec_id = a.vec_id + 1)
- SELECT vec_id, round(aw * bx - ax * bw - ay * bz + az * "by", 6) AS cx, round(aw * bw + ax * bx + ay * "by" + az * bz, 6) AS cw, round(2 * (ax * az + aw * ay), 6) AS fx, round(2 * (ay * az - aw * ax), 6) AS fy, round(1 - 2 * (ax * ax + ay * ay), 6) AS fz, round(degrees(atan2(2 * (ax * az + aw * ay), 1 - 2 * (ax * ax + ay * ay))), 6) AS yaw FROM p""")
-def geo_quaternions(spark: SparkSession, sf: str) -> DataFrame:
-    """GEO-18, 20, 21, 22: corrections, turned rays and view angles."""
-    q = r.quaternion(spark, sf)
-    pairs = q.alias("a").join(q.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1)
-    a, b = _quat("a"), _quat("b")
-    c, f = quat.correction(a, b), quat.rotate(a, [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
-    return pairs.select(F.col("a.vec_id"), r6(c[0]).alias("cx"), r6(c[3]).alias("cw"), r6(f[0]).alias("fx"), r6(f[1]).alias("fy"), r6(f[2]).alias("fz"), r6(quat.yaw_pitch_roll_degrees(a)[0]).alias("yaw"))
-
-
 @query(f"""WITH {r.QUATERNION}, p AS (SELECT a.vec_id, a.x AS ax, a.w AS aw, b.x AS bx, b.w AS bw, a.x * b.x + a.y * b.y + a.z * b.z + a.w * b.w AS d FROM quaternion a JOIN quaternion b ON b.vec_id = a.vec_id + 1), q AS (SELECT *, acos(abs(d)) AS th, CASE WHEN d < 0 THEN -1 ELSE 1 END AS s FROM p)
  SELECT vec_id, round(sin(0.7::DOUBLE * th) / sin(th) * ax + s * sin(0.3::DOUBLE * th) / sin(th) * bx, 6) AS x, round(sin(0.7::DOUBLE * th) / sin(th) * aw + s * sin(0.3::DOUBLE * th) / sin(th) * bw, 6) AS w FROM q""")
 def geo24_slerp(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,14 +299,6 @@ def agg09_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return r.signal(spark, sf).groupBy("source_id").agg(r6(F.median("score")).alias("median"), r6(p).alias("p95"), r6(F.percentile("score", 0.95)).alias("p95_linear"), r6(F.max("score")).alias("largest"), r6(F.sqrt(F.avg(F.col("score") * F.col("score")))).alias("rms"))
 
 
-@query(f"""WITH {r.SIGNAL} SELECT kind, source_id, count(*) AS n, round(sum(score), 6) AS total FROM signal GROUP BY GROUPING SETS ((source_id, kind), (kind), ())""")
-def agg05_batch_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-05..07, AGG-11..16, AGG-31, AGG-36: histograms by sample, by kind and in total."""
-    s = r.signal(spark, sf)
-    made = s.groupingSets([["source_id", "kind"], ["kind"], []], "source_id", "kind").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("score")).alias("total"))
-    return made.select("kind", "source_id", "n", "total")
-
-
 @query(f"""WITH {r.SIGNAL}, t AS (SELECT DISTINCT source_id, t FROM signal), d AS (SELECT source_id, t - lag(t) OVER (PARTITION BY source_id ORDER BY t) AS d FROM t) SELECT source_id, round(median(d), 6) AS cadence FROM d GROUP BY source_id""")
 def agg33_cadence(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-33: the median step between distinct times."""
@@ -325,20 +306,73 @@ def agg33_cadence(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("d", F.col("t") - F.lag("t").over(Window.partitionBy("source_id").orderBy("t"))).groupBy("source_id").agg(r6(F.median("d")).alias("cadence"))
 
 
-_INTEREST = f"greatest(0, 1 - abs(pitch) / radians(45.0::DOUBLE)) AS composition, greatest(0, 1 - acos(greatest(least(cos(pitch) * cos(yaw), 1), -1)) / radians(90.0::DOUBLE)) AS forward_prior"
+_INTEREST = """kinds AS (SELECT *, CASE id % 6 WHEN 0 THEN 'context' WHEN 1 THEN 'group_context' WHEN 2 THEN 'human' ELSE kind END AS candidate_type, id % 5 <> 0 AS observed, id % 9 AS observed_frames, CASE id % 4 WHEN 0 THEN 'tracker_identity' WHEN 1 THEN 'human_geometric' ELSE 'geometric_only' END AS provenance, id % 5 AS covered FROM candidate),
+ i AS (SELECT *, CASE WHEN candidate_type <> 'context' AND observed THEN 1.0 ELSE 0.0 END::DOUBLE AS presence, CASE WHEN candidate_type <> 'context' AND provenance <> 'geometric_only' THEN least(1, observed_frames / 5) ELSE 0 END AS persistence, greatest(0, 1 - abs(pitch) / radians(45.0::DOUBLE)) AS composition,
+ greatest(0, 1 - acos(greatest(least(cos(pitch) * cos(yaw), 1), -1)) / radians(90.0::DOUBLE)) AS forward_prior, CASE WHEN candidate_type = 'group_context' THEN least(1, covered / 3) ELSE 0 END AS group_coverage FROM kinds)"""
+#: The editorial weights of the first slice.
+INTEREST_WEIGHTS = {"presence": 0.35, "persistence": 0.3, "composition": 0.2, "forward_prior": 0.15}
+
 
+def _interest(spark, sf):
+    i = F.col("id")
+    kind = F.when(i % 6 == 0, "context").when(i % 6 == 1, "group_context").when(i % 6 == 2, "human").otherwise(F.col("kind"))
+    provenance = F.when(i % 4 == 0, "tracker_identity").when(i % 4 == 1, "human_geometric").otherwise("geometric_only")
+    rows = r.candidate(spark, sf).select("*", kind.alias("candidate_type"), (i % 5 != 0).alias("observed"), (i % 9).alias("observed_frames"), provenance.alias("provenance"), (i % 5).alias("covered"))
+    return spatial.interest_signals(rows)
 
-@query(f"""WITH {r.CANDIDATE}, i AS (SELECT *, {_INTEREST} FROM candidate), u AS (SELECT *, 0.35::DOUBLE + 0.2::DOUBLE * composition + 0.15::DOUBLE * forward_prior AS utility FROM i), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(utility, 9) DESC, id) AS place FROM u) SELECT frame, id, place, round(composition, 6) AS composition, round(forward_prior, 6) AS forward_prior, round(utility, 6) AS utility FROM k""")
+
+@query(f"""WITH {r.CANDIDATE}, {_INTEREST}, u AS (SELECT *, 0.35::DOUBLE * presence + 0.3::DOUBLE * persistence + 0.2::DOUBLE * composition + 0.15::DOUBLE * forward_prior AS utility FROM i), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(utility, 9) DESC, id) AS place FROM u)
+ SELECT frame, id, place, presence, round(persistence, 6) AS persistence, round(composition, 6) AS composition, round(forward_prior, 6) AS forward_prior, round(group_coverage, 6) AS group_coverage, round(utility, 6) AS utility FROM k""")
 def agg28_interest_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-27, AGG-28, TOP-01, JOIN-15, PLN-12: signals, their weighted sum and the rank in the frame."""
-    i = spatial.interest_signals(r.candidate(spark, sf)).withColumn("utility", 0.35 * F.col("presence") + 0.2 * F.col("composition") + 0.15 * F.col("forward_prior"))
+    """AGG-27, AGG-28, TOP-01: five signals, their weighted sum and the rank in the frame."""
+    i = _interest(spark, sf)
+    utility = sum((F.col(n) * w for n, w in list(INTEREST_WEIGHTS.items())[1:]), F.col("presence") * INTEREST_WEIGHTS["presence"])
+    i = i.withColumn("utility", utility)
     place = F.row_number().over(Window.partitionBy("frame").orderBy(F.round("utility", 9).desc(), "id")).cast("long")
-    return rounded(i.select("frame", "id", place.alias("place"), "composition", "forward_prior", "utility"), "composition", "forward_prior", "utility")
+    return rounded(i.select("frame", "id", place.alias("place"), *spatial.SIGNALS, "utility"), *spatial.SIGNALS[1:], "utility")
+
+
+_REPORTED = f"""{r.CANDIDATE}, {_INTEREST}, said AS (SELECT frame, id, 'presence' AS name, presence AS v FROM i UNION ALL SELECT frame, id, 'persistence', persistence FROM i WHERE id % 8 <> 0 UNION ALL SELECT frame, id, 'composition', CASE WHEN id % 7 = 0 THEN NULL ELSE composition END FROM i UNION ALL SELECT frame, id, 'forward_prior', forward_prior FROM i UNION ALL SELECT frame, id, 'group_coverage', group_coverage FROM i),
+ w AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in INTEREST_WEIGHTS.items())}) w(name, weight)), both_sides AS (SELECT c.frame, c.id, w.name, w.weight, s.v, s.name IS NOT NULL AS said FROM candidate c CROSS JOIN w LEFT JOIN said s ON s.frame = c.frame AND s.id = c.id AND s.name = w.name)"""
+
+
+def _reported(spark, sf):
+    i = _interest(spark, sf)
+    lost = F.col("id") % 7 == 0
+    said = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.when(~lost, F.col(n)) if n == "composition" else F.col(n)).alias("normalized")) for n in spatial.SIGNALS]))
+    rows = i.select("frame", "id", said.alias("s")).select("frame", "id", "s.*").where("name != 'persistence' or id % 8 != 0")
+    reason = F.when(F.col("normalized").isNull(), "occluded")
+    rows = rows.select("*", F.col("normalized").alias("raw"), F.lit("interest:v1").alias("provenance"), reason.alias("missing_reason"))
+    weights = spark.createDataFrame(list(INTEREST_WEIGHTS.items()), "name string, weight double")
+    return rows, weights
+
 
+@query(f"""WITH {_REPORTED} SELECT frame, id, round(sum(v * weight), 6) AS utility FROM both_sides GROUP BY frame, id HAVING count(v) = 4""")
+def pln12_strict_utilities(spark: SparkSession, sf: str) -> DataFrame:
+    """PLN-12, JOIN-15: weighted sums of candidates that report every declared signal."""
+    rows, weights = _reported(spark, sf)
+    return rounded(spatial.weighted(rows, ["frame", "id"], weights)[0], "utility")
 
-@query()
+
+@query(f"""WITH {_REPORTED} SELECT frame, id, name, CASE WHEN said THEN 'missing:occluded' ELSE 'missing:not_reported' END AS provenance FROM both_sides WHERE v IS NULL""")
+def pln12_missing_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """PLN-12, JOIN-16: declared signals that a candidate lacks, and why."""
+    rows, weights = _reported(spark, sf)
+    return spatial.weighted(rows, ["frame", "id"], weights)[1]
+
+
+@query(f"""WITH {_REPORTED} SELECT frame, id, round(sum(coalesce(v, 0) * weight), 6) AS utility FROM both_sides GROUP BY frame, id""")
+def pln12_default_utilities(spark: SparkSession, sf: str) -> DataFrame:
+    """PLN-12: weighted sums in which what is missing counts 0, and signals without a weight don't count."""
+    rows, weights = _reported(spark, sf)
+    return rounded(spatial.weighted(rows, ["frame", "id"], weights, strict=False)[0], "utility")
+
+
+@query(f"""WITH RECURSIVE {r.SIGNAL}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, t, id) AS i FROM signal WHERE score >= 0.08),
+ f AS (SELECT source_id, i, [t] AS kept, true AS stays FROM n WHERE i = 1 UNION ALL SELECT n.source_id, n.i, CASE WHEN len(list_filter(f.kept, lambda k: abs(k - n.t) < 86400)) = 0 THEN list_append(f.kept, n.t) ELSE f.kept END, len(list_filter(f.kept, lambda k: abs(k - n.t) < 86400)) = 0 FROM f JOIN n ON n.source_id = f.source_id AND n.i = f.i + 1)
+ SELECT n.source_id, n.id, n.t, n.score FROM f JOIN n USING (source_id, i) WHERE f.stays""")
 def top02_temporal_nms(spark: SparkSession, sf: str) -> DataFrame:
-    """TOP-02: best events a day apart at least (tested against a plain loop)."""
+    """TOP-02: best events a day apart at least."""
     return folds.temporal_nms(r.signal(spark, sf).where("score >= 0.08"), "source_id", "t", "score", "id", DAY)
 
 
@@ -348,62 +382,66 @@ def _track(spark, sf):
     return r.signal(spark, sf).select("source_id", F.row_number().over(w).cast("long").alias("i"), kind.alias("k"), "score")
 
 
-@query()
-def st01_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-01..04: track states until termination (tested against a plain loop)."""
-    return rounded(folds.lifecycle(_track(spark, sf), "source_id", "i", "k", "score"), "confidence")
-
+_TRACK = f"""{r.SIGNAL}, track AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY t, id) AS i, CASE kind WHEN 'error' THEN 'outside_viewport' WHEN 'view' THEN 'not_observed' ELSE 'observed' END AS k, score FROM signal),
+ firsts AS (SELECT source_id, min(i) AS i FROM track WHERE k = 'observed' GROUP BY source_id)"""
+_STATES = """states AS (SELECT t.source_id, t.i, 'active' AS phase, t.score AS confidence, 0 AS missing, 0 AS outside FROM track t JOIN firsts USING (source_id, i)
+ UNION ALL SELECT source_id, i, CASE WHEN k = 'observed' THEN 'active' WHEN m > 2 OR o > 1 THEN 'terminated' WHEN k = 'not_observed' THEN 'grace' ELSE 'viewport_exit' END, c, m, o FROM
+ (SELECT t.source_id, t.i, t.k, CASE t.k WHEN 'observed' THEN t.score ELSE s.confidence * 0.75::DOUBLE END AS c, CASE t.k WHEN 'not_observed' THEN s.missing + 1 ELSE 0 END AS m, CASE t.k WHEN 'outside_viewport' THEN s.outside + 1 ELSE 0 END AS o FROM states s JOIN track t ON t.source_id = s.source_id AND t.i = s.i + 1 WHERE s.phase <> 'terminated'))"""
 
-_NUMBERED = f"{r.SIGNAL}, n AS (SELECT source_id, score, row_number() OVER (PARTITION BY source_id ORDER BY t, id) AS i FROM signal)"
 
+@query(f"WITH RECURSIVE {_TRACK}, {_STATES} SELECT source_id, i, phase, round(confidence, 6) AS confidence, missing, outside FROM states")
+def st01_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-01, ST-04: track states from the first observation to termination, two counters that set each other back."""
+    return rounded(folds.lifecycle(_track(spark, sf), "source_id", "i", "k", "score"), "confidence")
 
-@query(f"""WITH RECURSIVE {_NUMBERED}, f AS (SELECT source_id, i, score AS last, true AS emitted, score FROM n WHERE i = 1 UNION ALL SELECT n.source_id, n.i, CASE WHEN abs(n.score - f.last) >= 0.3 THEN n.score ELSE f.last END, abs(n.score - f.last) >= 0.3, n.score FROM f JOIN n ON n.source_id = f.source_id AND n.i = f.i + 1) SELECT source_id, i, round(score, 6) AS score FROM f WHERE emitted""")
-def win07_keyframes(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN-07: rows far enough from the last emitted one."""
-    return rounded(folds.sparse_keyframes(_track(spark, sf), "source_id", "i", "score", 0.3), "score")
 
+_TRACE = f"""{r.SIGNAL}, {_OUTCOMES}, track AS (SELECT source_id, i, CASE outcome WHEN 'compatible' THEN 'observed' ELSE 'not_observed' END AS k, outcome, CASE WHEN i % 13 <> 0 THEN score END AS score FROM numbered), firsts AS (SELECT source_id, min(i) AS i FROM track WHERE k = 'observed' GROUP BY source_id)"""
 
-@query(f"""WITH RECURSIVE {_NUMBERED}, f AS (SELECT source_id, i, CAST(NULL AS DOUBLE) AS before, score AS e FROM n WHERE i = 1 UNION ALL SELECT n.source_id, n.i, f.e, 0.2::DOUBLE * n.score + 0.8::DOUBLE * f.e FROM f JOIN n ON n.source_id = f.source_id AND n.i = f.i + 1) SELECT source_id, i, round(before, 6) AS reliability FROM f""")
-def win17_causal_average(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN-17, ST-12: an exponential average from the past only."""
-    return rounded(folds.causal_average(_track(spark, sf), "source_id", "i", "score", 0.2), "reliability")
 
+@query(f"""WITH RECURSIVE {_TRACE}, {_STATES}, ended AS (SELECT source_id, i FROM states WHERE phase = 'terminated') SELECT 'starts_without_match' AS rule_id, source_id, i FROM track WHERE i = 1 AND outcome <> 'compatible'
+ UNION ALL SELECT 'match_without_confidence', source_id, i FROM track WHERE outcome = 'compatible' AND score IS NULL UNION ALL SELECT 'after_termination', t.source_id, t.i FROM track t JOIN ended e ON e.source_id = t.source_id AND t.i > e.i""")
+def st03_trace_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-02, ST-03: refresh outcomes as track events, and the rules a lifecycle trace must keep."""
+    w = Window.partitionBy("source_id").orderBy("t")
+    rows = folds.refresh_kinds(_outcomes(spark, sf).withColumn("i", F.row_number().over(w).cast("long")), "outcome")
+    rows = rows.withColumn("sure", F.when(F.col("i") % 13 != 0, F.col("score")))
+    states = folds.lifecycle(rows, "source_id", "i", "kind", "sure")
+    return folds.lifecycle_violations(rows, states, "source_id", "i", "outcome", "sure")
 
-@query()
-def pln01_event_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """PLN-01: keep or switch at every event, best in total (tested against all sequences)."""
-    e = _track(spark, sf).select("source_id", "i", F.lit(0.4).alias("cur"), (F.col("score") * 2).alias("pro"), "k", (F.col("score") > 0.2).alias("e"))
-    return rounded(folds.choose_events(e, "source_id", "i", "cur", "pro", "k", "e", 0.25, 0.3), "total")
 
-
-@query()
-def agg20_rotation_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-20, AGG-21, PLN-19: a robust rotation for each label between rays of neighbouring vectors."""
-    q = r.quaternion(spark, sf)
-    n = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    rays = q.select("label", *[(F.col(c) / n).alias(f"s{c}") for c in "xyz"])
-    angle = F.radians((F.col("label") + 1).cast("double"))
-    turned = quat.rotate(quat.from_axis((0.0, 1.0, 0.0), angle), [F.col("sx"), F.col("sy"), F.col("sz")])
-    fits = rotation.fit_rotations(rays.select("*", *[c.alias(k) for c, k in zip(turned, ("tx", "ty", "tz"), strict=True)]), "label")
-    return rounded(fits, "x", "y", "z", "w", "residual", "confidence")
+@query(f"""WITH RECURSIVE {r.SIGNAL}, {r.CANDIDATE}, {r.POSE}, f AS (SELECT source_id, i, kind AS k, yaw, pitch, true AS emitted FROM pose WHERE i = 1
+ UNION ALL SELECT source_id, i, CASE WHEN e THEN kind ELSE k END, CASE WHEN e THEN ny ELSE yaw END, CASE WHEN e THEN np ELSE pitch END, e FROM (SELECT n.source_id, n.i, n.kind, f.k, n.yaw AS ny, n.pitch AS np, f.yaw, f.pitch, n.kind <> f.k OR {r.sql_distance("f", "n")} >= {math.radians(40)!r}::DOUBLE AS e FROM f JOIN pose n ON n.source_id = f.source_id AND n.i = f.i + 1)),
+ ends AS (SELECT source_id, max(i) AS i FROM pose GROUP BY source_id)
+ SELECT p.source_id, p.t, p.kind AS selected, round(p.yaw, 6) AS yaw, round(p.pitch, 6) AS pitch, round(p.h_fov, 6) AS h_fov FROM f JOIN pose p USING (source_id, i) LEFT JOIN ends e USING (source_id, i) WHERE f.emitted OR e.i IS NOT NULL""")
+def win07_keyframes(spark: SparkSession, sf: str) -> DataFrame:
+    """WIN-07: keyframes where the selection changes or has moved far enough from the last one, and at the end."""
+    p = r.pose(spark, sf)
+    made = folds.sparse_keyframes(p.groupBy("source_id", "t").agg(*[F.min_by(c, "id").alias(c) for c in ("kind", "yaw", "pitch", "h_fov")]), "source_id", "t", "kind", "yaw", "pitch", "h_fov", math.radians(40))
+    return rounded(made.withColumnRenamed("kind", "selected"), "yaw", "pitch", "h_fov")
 
 
-@query("""SELECT rule_id, CAST(key AS VARCHAR) AS key FROM (SELECT 'discount_range' AS rule_id, l_orderkey AS key FROM lineitem WHERE NOT l_discount < 0.1 UNION ALL SELECT 'quantity_low', l_orderkey FROM lineitem WHERE NOT l_quantity > 1)""")
-def fil09_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """FIL-09..11, FIL-13, FIL-16: broken rules as a table."""
-    return validation.violations(r.table(spark, sf, "lineitem"), "l_orderkey", {"discount_range": F.col("l_discount") < 0.1, "quantity_low": F.col("l_quantity") > 1})
+def _events(spark, sf):
+    """Proposals to cut away: a source's signals as events, two of five candidates each."""
+    w = Window.partitionBy("source_id").orderBy("t", "id")
+    s = r.pose(spark, sf).withColumn("i", F.row_number().over(w).cast("long"))
+    name = lambda n: F.concat(F.lit("view:"), n.cast("string"))
+    return s.select(
+        "source_id", "i", F.lit(0.0).alias("start"), (1.0 + F.col("id") % 4).cast("double").alias("end"), name(F.col("id") % 2).alias("current_id"), name(2 + F.col("id") % 3).alias("proposed_id"),
+        ((F.col("id") % 5) / 8).alias("current_total"), ((F.col("id") % 13) / 8).alias("proposed_total"), (F.col("kind") != "error").alias("observed"), ((F.col("id") % 7) / 4).alias("angle"),
+    )
 
 
-@query(f"""WITH {r.SIGNAL}, o AS (SELECT id, source_id, t, unnest([0, 1, 2, 3, 4]) AS place FROM signal WHERE kind = 'purchase') SELECT id, place::BIGINT AS place, CASE place WHEN 0 THEN 'before' WHEN 4 THEN 'after' ELSE 'inside' END AS role, round(t + CASE place WHEN 0 THEN -2 WHEN 4 THEN 602 ELSE 150 * place END, 6) AS sample_t FROM o""")
-def win22_review_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN-22, WIN-23, PLN-08: five sampling times around each event."""
-    s = r.signal(spark, sf).where("kind = 'purchase'").select("id", "t", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("place"))
-    shift = F.when(F.col("place") == 0, -2).when(F.col("place") == 4, 602).otherwise(150 * F.col("place"))
-    return s.select("id", F.col("place").cast("long").alias("place"), F.when(F.col("place") == 0, "before").when(F.col("place") == 4, "after").otherwise("inside").alias("role"), r6(F.col("t") + shift).alias("sample_t"))
+_PLAN = f"""{r.SIGNAL}, e AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY t, id) AS i, 'view:' || (id % 2) AS cur, 'view:' || (2 + id % 3) AS pro, (id % 5) / 8 AS here, (id % 13) / 8 AS there, 0.25::DOUBLE * 2 + 2 * ((id % 7) / 4) * 0.125::DOUBLE AS cost,
+ kind <> 'error' AND 1 + id % 4 >= 2 AND (id % 13) / 8 >= (id % 5) / 8 + 0.125::DOUBLE AS ok FROM signal)"""
+_PLAN_STEPS = """f AS (SELECT source_id, i, here AS s0, [cur] AS p0, CASE WHEN ok THEN there - cost END AS s1, CASE WHEN ok THEN [pro] END AS p1, pro AS last FROM e WHERE i = 1
+ UNION ALL SELECT source_id, i, CASE WHEN s1 IS NOT NULL AND (s1 + here > s0 + here OR (s1 + here = s0 + here AND p1 < p0)) THEN s1 + here ELSE s0 + here END, list_append(CASE WHEN s1 IS NOT NULL AND (s1 + here > s0 + here OR (s1 + here = s0 + here AND p1 < p0)) THEN p1 ELSE p0 END, cur),
+ CASE WHEN ok THEN CASE WHEN s1 IS NOT NULL AND (again > fresh OR (again = fresh AND p1 < p0)) THEN again ELSE fresh END END, CASE WHEN ok THEN list_append(CASE WHEN s1 IS NOT NULL AND (again > fresh OR (again = fresh AND p1 < p0)) THEN p1 ELSE p0 END, pro) END, pro FROM
+ (SELECT e.*, f.s0, f.p0, f.s1, f.p1, f.s0 + e.there - e.cost AS fresh, f.s1 + e.there - (e.cost + CASE WHEN f.last = e.pro THEN 0.5::DOUBLE ELSE 0 END) AS again FROM f JOIN e ON e.source_id = f.source_id AND e.i = f.i + 1)),
+ done AS (SELECT f.source_id, CASE WHEN s1 IS NOT NULL AND (s1 > s0 OR (s1 = s0 AND p1 < p0)) THEN s1 ELSE s0 END AS objective, CASE WHEN s1 IS NOT NULL AND (s1 > s0 OR (s1 = s0 AND p1 < p0)) THEN p1 ELSE p0 END AS path FROM f JOIN (SELECT source_id, max(i) AS i FROM e GROUP BY source_id) USING (source_id, i))"""
 
 
-@query(f"""WITH {r.CANDIDATE}, x AS (SELECT frame, id, row_number() OVER (PARTITION BY frame ORDER BY id) - 1 AS i, degrees(yaw) AS y, degrees(pitch) AS p FROM candidate) SELECT frame, id, printf('%.9f v360 yaw %.9f;', i::DOUBLE, round(y, 6)) AS line FROM x""")
-def snk04_command_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-04, SNK-05: camera commands as text."""
-    i = (F.row_number().over(Window.partitionBy("frame").orderBy("id")) - 1).cast("double")
-    return r.candidate(spark, sf).select("frame", "id", F.format_string("%.9f v360 yaw %.9f;", i, F.round(F.degrees("yaw"), 6)).alias("line"))
+@query(f"""WITH RECURSIVE {_PLAN}, {_PLAN_STEPS} SELECT e.source_id, e.i, d.path[e.i] AS selected, e.ok AS eligible, round(d.objective, 6) AS objective FROM done d JOIN e USING (source_id)""")
+def pln01_event_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """PLN-01: which events to cut away for, best in total: switches, turns and repetitions cost, short or weak proposals aren't eligible."""
+    made = folds.choose_events(_events(spark, sf), "source_id", "i", switch=0.25, angular=0.125, repeat=0.5, least_dwell=2.0, least_advantage=0.125)
+    return rounded(made.select("source_id", "i", "selected", "eligible", "objective"), "objective")

@@ -40,7 +40,7 @@ def read_scene_metadata(spark: SparkSession, path: str) -> DataFrame:
     kind was a frame. Lines of other kinds don't matter. ``valid``: time at least 0, score from 0 to 1. A file
     describes one recording and is read whole.
     """
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     lines = files.select("path", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line", "said")).withColumn("said", F.trim("said"))
     number = lambda pattern: F.expr(f"try_cast(nullif(regexp_extract(said, '{pattern}', 1), '') as double)")
     # The two kinds of line.

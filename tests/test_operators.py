@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from orbweave.operators import folds, intervals, rotation, validation
-from orbweave.plans import catalog, sequences  # noqa: F401
+from orbweave.plans import catalog, documents, events, geometry, motion, rules, sequences, summaries, tracking  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    for name in ("events", "lineitem", "orders", "embeddings"):
+    for name in ("events", "lineitem", "orders", "embeddings", "documents"):
         con.execute(f"create view {name} as select * from read_parquet('{SF}/{name}.parquet')")
     return con
 
@@ -54,20 +54,25 @@ def test_lifecycle(spark):
 
 def test_event_plan_is_the_best_of_all(spark):
     r = np.random.default_rng(3)
-    rows = [(s, i, float(r.integers(0, 5)) / 4, float(r.integers(0, 9)) / 4, "ab"[r.integers(0, 2)], bool(r.integers(0, 4))) for s in range(12) for i in range(6)]
-    df = spark.createDataFrame(rows, "s int, i long, cur double, pro double, c string, e boolean")
+    names = ("start", "end", "current_id", "proposed_id", "current_total", "proposed_total", "observed", "angle")
+    rows = [(s, i, 0.0, float(r.integers(1, 4)), "m", "ab"[r.integers(0, 2)], float(r.integers(0, 5)) / 4, float(r.integers(0, 9)) / 4, bool(r.integers(0, 4)), float(r.integers(0, 3)) / 4) for s in range(12) for i in range(6)]
+    df = spark.createDataFrame(rows, "s int, i long, " + ", ".join(f"{n} {'string' if n.endswith('id') else 'boolean' if n == 'observed' else 'double'}" for n in names))
     got = {}
-    for x in folds.choose_events(df, "s", "i", "cur", "pro", "c", "e", 0.25, 0.5).collect():
-        got.setdefault(x["s"], []).append((x["i"], x["decision"], x["total"]))
+    for x in folds.choose_events(df, "s", "i", switch=0.25, angular=0.25, repeat=0.5, least_dwell=2.0, least_advantage=0.25).collect():
+        got.setdefault(x["s"], []).append((x["i"], x["selected"], x["objective"], x["eligible"]))
     for s in range(12):
-        mine = [x for x in rows if x[0] == s]
+        mine = [dict(zip(names, x[2:])) for x in rows if x[0] == s]
+        able = [x["observed"] and x["end"] >= 2 and x["proposed_total"] >= x["current_total"] + 0.25 for x in mine]
         totals = {}
         for path in itertools.product((0, 1), repeat=6):
-            if any(p and not x[5] for p, x in zip(path, mine, strict=True)):
-                continue
-            totals[path] = sum(x[3] - 0.5 if p else x[2] for p, x in zip(path, mine, strict=True)) - sum(0.5 for k in range(1, 6) if path[k] and path[k - 1] and mine[k][4] == mine[k - 1][4])
-        path = tuple(d for _, d, _ in sorted(got[s]))
-        assert math.isclose(got[s][0][2], max(totals.values())) and math.isclose(totals[path], max(totals.values()))
+            if all(not p or ok for p, ok in zip(path, able)):
+                cost = sum(0.5 + 0.5 * x["angle"] for p, x in zip(path, mine) if p) + sum(0.5 for k in range(1, 6) if path[k] and path[k - 1] and mine[k]["proposed_id"] == mine[k - 1]["proposed_id"])
+                totals[tuple(x["proposed_id"] if p else "m" for p, x in zip(path, mine))] = sum(x["proposed_total"] if p else x["current_total"] for p, x in zip(path, mine)) - cost
+        best = max(totals.values())
+        chosen = tuple(c for _, c, _, _ in sorted(got[s]))
+        assert math.isclose(got[s][0][2], best) and chosen == min(p for p, v in totals.items() if math.isclose(v, best))
+        assert [e for _, _, _, e in sorted(got[s])] == able
+    assert folds.choose_events(df.limit(0), "s", "i", switch=0.25, angular=0.0, repeat=0.5, least_dwell=2.0, least_advantage=0.25).count() == 0
 
 
 def test_rotation_fit_ignores_outliers():
@@ -77,15 +82,52 @@ def test_rotation_fit_ignores_outliers():
     q = np.array([0.0, math.sin(0.05), 0.0, math.cos(0.05)])
     target = rotation.turn(q, rays)
     target[:4] = -target[:4]
-    x, y, z, w, share, residual, confidence = rotation.fit_rotation(rays, target)
-    assert abs(np.array([x, y, z, w]) @ q) > 1 - 1e-9 and math.isclose(share, 0.9) and residual < 1e-6 and confidence > 0.8
+    x, y, z, w, share, count, matches, _, residual, confidence, failure = rotation.fit_rotation(rays, target)
+    assert abs(np.array([x, y, z, w]) @ q) > 1 - 1e-9 and math.isclose(share, 0.9) and (count, matches) == (36, 40) and residual < 1e-6 and confidence > 0.8 and failure is None
 
 
-def test_prefix_products(spark):
+def test_rotation_fit_keeps_rays_up_to_the_inlier_bound():
+    """Rays just within the bound keep a weight, however small the others' errors are."""
+    rays = np.random.default_rng(2).normal(size=(30, 3))
+    rays /= np.linalg.norm(rays, axis=1, keepdims=True)
+    off = np.array([0.0, 0.0, math.sin(math.radians(2.9) / 2), math.cos(math.radians(2.9) / 2)])
+    target = rays.copy()
+    target[:3] = rotation.turn(off, rays[:3])
+    fit = rotation.fit_rotation(rays, target)
+    assert fit[5] == 30 and 2 * math.degrees(math.acos(min(1.0, fit[3]))) > 0.01  # they pull
+
+
+def test_rotation_fit_needs_enough_and_different_rays():
+    one = np.array([[0.0, 0.0, 1.0]])
+    assert rotation.fit_rotation(one, one)[-1] == "insufficient_correspondences"
+    same = np.repeat(one, 5, axis=0)
+    assert rotation.fit_rotation(same, same)[-1] == "insufficient_angular_diversity" and rotation.fit_rotation(same, same)[0] is None
+    assert rotation.fit_rotation(np.concatenate([one, -one]), np.concatenate([one, -one]))[-1] == "insufficient_angular_diversity"
+    rays = np.eye(3)
+    assert rotation.spread(rays)[1] == pytest.approx(math.pi / 2) and rotation.spread(rays, block=2) == pytest.approx(rotation.spread(rays))
+
+
+def test_rotation_fits_by_group(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for g in range(4):
+        q = np.array([0.0, math.sin(0.02 * g), 0.0, math.cos(0.02 * g)])
+        rays = r.normal(size=(20, 3))
+        rays /= np.linalg.norm(rays, axis=1, keepdims=True)
+        rows += [(g, "all", *map(float, s), *map(float, t)) for s, t in zip(rays, rotation.turn(q, rays))]
+    rows.append((9, "all", 0.0, 0.0, 1.0, 0.0, 0.0, 1.0))
+    df = spark.createDataFrame(rows, "g long, v string, sx double, sy double, sz double, tx double, ty double, tz double")
+    got = {x["g"]: x for x in rotation.fit_rotations(df, "g", "v").collect()}
+    assert all(abs(got[g]["y"] - math.sin(0.02 * g)) < 1e-9 and got[g]["inlier_count"] == 20 for g in range(4))
+    assert got[9]["w"] is None and got[9]["fit_failure"] == "insufficient_correspondences"
+
+
+def test_relative_segments(spark):
     a = math.radians(10)
-    df = spark.createDataFrame([(1, i, 0.0, math.sin(a / 2), 0.0, math.cos(a / 2)) for i in range(3)], "s int, i int, x double, y double, z double, w double")
-    got = sorted((r["i"], round(2 * math.degrees(math.atan2(r["y"], r["w"])), 6)) for r in rotation.prefix_products(df, "s", "i").collect())
-    assert got == [(0, 10.0), (1, 20.0), (2, 30.0)]
+    rows = [(1, i, float(i), i + 1.0, s, 0.0, math.sin(a / 2), 0.0, math.cos(a / 2)) for i, s in enumerate(["measured", "interpolated", "invalid", "measured"])]
+    df = spark.createDataFrame(rows, "s int, i int, start double, end double, state string, x double, y double, z double, w double")
+    got = sorted((r["segment"], r["t"], round(2 * math.degrees(math.atan2(r["y"], r["w"])), 6), r["state"]) for r in rotation.relative_segments(df, "s", "i").collect())
+    assert got == [(1, 0.0, 0.0, "segment_anchor"), (1, 1.0, 10.0, "measured"), (1, 2.0, 20.0, "interpolated"), (2, 3.0, 0.0, "segment_anchor"), (2, 4.0, 10.0, "measured")]
 
 
 def test_validation(spark):
@@ -97,48 +139,51 @@ def test_validation(spark):
     assert validation.difference(df, df).count() == 0 and validation.difference(df, df.limit(2)).count() == 1
 
 
-def greedy(frames, dwell, margin, hold):
-    own = since = rival = rival_since = None
-    for t, candidates in frames:
-        best = min(candidates, key=lambda c: (-candidates[c], c))
-        waiting = False
-        if own is None:
-            reason = "initial_best"
-        elif own not in candidates:
-            reason = "incumbent_missing_fallback"
-        elif best == own:
-            reason = "incumbent_best"
-        elif t - since < dwell:
-            reason = "minimum_dwell"
-        elif candidates[best] < candidates[own] + margin:
-            reason = "switch_margin"
-        else:
-            if rival != best:
-                rival_since = t
-            waiting = t - rival_since < hold
-            rival = best
-            reason = "challenger_hysteresis" if waiting else "sustained_challenger"
-        takes = reason in ("initial_best", "incumbent_missing_fallback", "sustained_challenger")
-        yield t, best if takes else own, reason, takes and own is not None
-        if takes:
-            own, since = best, t
-        if not waiting:
-            rival = None
-
-
-def test_greedy_hysteresis_follows_a_plain_loop(spark):
-    rng = np.random.default_rng(3)
-    rows = [(s, float(t), k, float(rng.integers(0, 12)) / 4) for s in range(12) for t in range(60) for k in "abc" if k == "a" or rng.random() < 0.8]
-    df = spark.createDataFrame(rows, "s int, t double, k string, u double")
-    got = sorted(tuple(r) for r in folds.greedy_hysteresis(df, "s", "t", "k", "u", 3.0, 0.5, 2.0).collect())
-    want, reasons = [], set()
-    for s in range(12):
-        frames = [(float(t), {k: u for a, b, k, u in rows if a == s and b == t}) for t in range(60)]
-        for row in greedy(frames, 3.0, 0.5, 2.0):
-            want.append((s, *row))
-            reasons.add(row[2])
-    assert got == want and len(reasons) == 7
-    assert folds.greedy_hysteresis(df.limit(0), "s", "t", "k", "u", 3.0, 0.5, 2.0).count() == 0
+def test_greedy_hysteresis_by_hand(spark):
+    """One case for each reason: dwell 2 s, margin 0.1, hold 0.5 s."""
+    frames = [
+        (0.0, {"a": 0.5, "b": 0.5}, "a", "initial_best", False),  # equal ones: the lesser name
+        (0.5, {"a": 0.6, "b": 0.5}, "a", "incumbent_best", False),
+        (1.0, {"a": 0.1, "b": 0.9}, "a", "minimum_dwell", False),
+        (2.0, {"a": 0.5, "b": 0.59}, "a", "switch_margin", False),
+        (2.2, {"a": 0.5, "b": 0.7}, "a", "challenger_hysteresis", False),
+        (2.4, {"a": 0.5, "c": 0.8, "b": 0.7}, "a", "challenger_hysteresis", False),  # another challenger waits anew
+        (2.8, {"a": 0.5, "c": 0.8}, "a", "challenger_hysteresis", False),
+        (2.9, {"a": 0.5, "c": 0.8}, "c", "sustained_challenger", True),
+        (3.0, {"a": 0.9, "b": 0.2}, "a", "incumbent_missing_fallback", True),
+        (5.5, {"a": 0.2, "b": 0.9}, "a", "challenger_hysteresis", False),
+        (5.7, {"a": 0.9, "b": 0.2}, "a", "incumbent_best", False),  # the challenger's lead is over
+        (6.1, {"a": 0.2, "b": 0.9}, "a", "challenger_hysteresis", False),
+    ]
+    rows = [(s, t, k, u) for s in (1, 2) for t, c, *_ in frames for k, u in c.items()]
+    df = spark.createDataFrame(rows, "s int, t double, k string, u double").repartition(3)
+    got = sorted(tuple(r) for r in folds.greedy_hysteresis(df, "s", "t", "k", "u").collect())
+    assert got == [(s, t, *want) for s in (1, 2) for t, _, *want in frames]
+    assert {w[1] for _, _, *w in frames} == set(folds.REASONS)
+    assert folds.greedy_hysteresis(df.limit(0), "s", "t", "k", "u").count() == 0
+
+
+def test_causal_reliability_by_hand(spark):
+    rows = [(1, p, v, d) for p, ds in enumerate([(0.1, 0.5, 0.3), (0.5, 0.0, 0.3), (0.0, 0.0, 0.0)]) for v, d in zip("abc", ds)]
+    got = sorted(tuple(r) for r in folds.causal_reliability(spark.createDataFrame(rows, "s int, p long, v string, d double"), "s", "p", "v", "d", 2, alpha=0.5).collect())
+    assert [r[2:] for r in got[:3]] == [("a", None, 1, True), ("b", None, 2, True), ("c", None, 3, True)]  # nothing is known yet
+    assert [(r[2], r[3], r[5]) for r in got[3:6]] == [("a", 0.1, True), ("b", 0.5, False), ("c", 0.3, True)]
+    assert [(r[2], round(r[3], 6), r[5]) for r in got[6:]] == [("a", 0.3, True), ("b", 0.25, True), ("c", 0.3, False)]
+
+
+def test_keyframes_by_hand(spark):
+    d = math.radians
+    rows = [(0.0, "a", 0.0), (1.0, "a", d(3)), (2.0, "a", d(6)), (3.0, "b", d(6)), (4.0, "b", d(8)), (5.0, "b", d(9))]
+    df = spark.createDataFrame([(1, t, s, y, 0.0, 1.0) for t, s, y in rows], "k int, t double, s string, y double, p double, f double")
+    got = sorted((r["t"], r["s"]) for r in folds.sparse_keyframes(df, "k", "t", "s", "y", "p", "f", d(5)).collect())
+    assert got == [(0.0, "a"), (2.0, "a"), (3.0, "b"), (5.0, "b")]  # far enough, another selection, and the end
+
+
+def test_acquisition_by_hand(spark):
+    c, m, a = "compatible", "missing", "ambiguous"
+    rows = [(0.0, c), (0.2, c), (0.4, m), (0.6, c), (1.7, c), (1.9, c), (2.0, c), (2.1, a), (2.2, c)]
+    got = sorted(tuple(r)[1:] for r in folds.acquisitions(spark.createDataFrame([(1, *x) for x in rows], "s int, t double, o string"), "s", "t", "o").collect())
+    assert [(x[2], round(x[3], 6), x[4]) for x in got] == [(1, 0.0, False), (2, 0.2, False), (0, 0.0, False), (1, 0.0, False), (1, 0.0, False), (2, 0.2, False), (3, 0.3, True), (0, 0.0, False), (1, 0.0, False)]
 
 
 def test_box_nms_follows_a_plain_loop(spark):
