@@ -389,10 +389,10 @@ _STATES = """states AS (SELECT t.source_id, t.i, 'active' AS phase, t.score AS c
  (SELECT t.source_id, t.i, t.k, CASE t.k WHEN 'observed' THEN t.score ELSE s.confidence * 0.75::DOUBLE END AS c, CASE t.k WHEN 'not_observed' THEN s.missing + 1 ELSE 0 END AS m, CASE t.k WHEN 'outside_viewport' THEN s.outside + 1 ELSE 0 END AS o FROM states s JOIN track t ON t.source_id = s.source_id AND t.i = s.i + 1 WHERE s.phase <> 'terminated'))"""
 
 
-@query(f"WITH RECURSIVE {_TRACK}, {_STATES} SELECT source_id, i, phase, round(confidence, 6) AS confidence, missing, outside FROM states")
+@query(f"WITH RECURSIVE {_TRACK}, {_STATES} SELECT source_id, i, phase, confidence, missing, outside FROM states")
 def st01_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     """ST-01, ST-04: track states from the first observation to termination, two counters that set each other back."""
-    return rounded(folds.lifecycle(_track(spark, sf), "source_id", "i", "k", "score"), "confidence")
+    return folds.lifecycle(_track(spark, sf), "source_id", "i", "k", "score")
 
 
 _TRACE = f"""{r.SIGNAL}, {_OUTCOMES}, track AS (SELECT source_id, i, CASE outcome WHEN 'compatible' THEN 'observed' ELSE 'not_observed' END AS k, outcome, CASE WHEN i % 13 <> 0 THEN score END AS score FROM numbered), firsts AS (SELECT source_id, min(i) AS i FROM track WHERE k = 'observed' GROUP BY source_id)"""

@@ -138,10 +138,10 @@ def _samples(spark, sf):
     return events.review_samples(_timeline(spark, sf), _windows(spark, sf), "source_id")
 
 
-@query(f"""WITH {_TIMELINE}, {_SAMPLE} SELECT source_id, event_id, place, role, round(t, 5) AS t, CASE WHEN t IS NULL THEN '' WHEN sees THEN current_id || ',' || proposed_id ELSE current_id END AS candidates FROM sampled""")
+@query(f"""WITH {_TIMELINE}, {_SAMPLE} SELECT source_id, event_id, place, role, t, CASE WHEN t IS NULL THEN '' WHEN sees THEN current_id || ',' || proposed_id ELSE current_id END AS candidates FROM sampled""")
 def win22_review_samples(spark: SparkSession, sf: str) -> DataFrame:
     """WIN-22: five moments around each event and the views to look at."""
-    return _samples(spark, sf).select("source_id", "event_id", "place", "role", F.round("t", 5).alias("t"), F.array_join("candidates", ",").alias("candidates"))
+    return _samples(spark, sf).select("source_id", "event_id", "place", "role", "t", F.array_join("candidates", ",").alias("candidates"))
 
 
 @query(f"""WITH {_TIMELINE}, {_SAMPLE}, asked AS (SELECT source_id, event_id, place, role, t, current_id AS candidate_id FROM sampled WHERE t IS NOT NULL UNION ALL SELECT source_id, event_id, place, role, t, proposed_id FROM sampled WHERE sees)
@@ -154,12 +154,12 @@ def pln08_render_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_TIMELINE}, e AS (SELECT *, support % 2 = 0 AS neutral FROM timeline), m AS (SELECT e.source_id, e.event_id, e.neutral, e.current_id, e.proposed_id, k AS place, CASE WHEN neutral THEN CASE k WHEN 0 THEN 'before_boundary' ELSE 'after_boundary' END ELSE ['before', 'early', 'mid', 'late', 'after'][k + 1] END AS role,
  "start" + ("end" - "start") * CASE WHEN neutral THEN k ELSE k / 4 END AS t FROM e, range(5) g(k) WHERE NOT neutral OR k < 2), c AS (SELECT *, CASE WHEN neutral THEN 4 WHEN EXISTS (SELECT 1 FROM parts p WHERE p.source_id = m.source_id AND p.event_id = m.event_id AND p.s <= m.t AND m.t < p.e) THEN 2 ELSE 1 END AS n FROM m)
- SELECT source_id, event_id, place::INTEGER AS place, role, round(t, 5) AS t, n AS n_candidates, sum(n) OVER (PARTITION BY source_id, event_id) <= 10 AS within_bound FROM c""")
+ SELECT source_id, event_id, place::INTEGER AS place, role, t, n AS n_candidates, sum(n) OVER (PARTITION BY source_id, event_id) <= 10 AS within_bound FROM c""")
 def win23_scoped_samples(spark: SparkSession, sf: str) -> DataFrame:
     """WIN-23: two moments and all views for neutral events, five moments and two views for role-scoped ones."""
     e = _timeline(spark, sf).withColumn("mode", F.when(F.col("support") % 2 == 0, "all_declared_candidates").otherwise("current_and_available_proposed"))
     made = events.scoped_samples(e, _views(spark, sf), "source_id")
-    return made.select("source_id", "event_id", "place", "role", F.round("t", 5).alias("t"), F.size("candidates").alias("n_candidates"), "within_bound")
+    return made.select("source_id", "event_id", "place", "role", "t", F.size("candidates").alias("n_candidates"), "within_bound")
 
 
 _LABELLED = """answers AS (SELECT source_id, event_id, current_id, proposed_id, CASE k % 6 WHEN 0 THEN 'abstain' WHEN 5 THEN 'maybe' ELSE 'observed' END AS status, CASE WHEN k % 6 = 0 AND k % 4 <> 0 THEN 'unknown' ELSE 'audience_reaction' END AS event_class, CASE WHEN k % 6 = 0 THEN 'unknown' WHEN k % 7 = 0 THEN 'odd' ELSE 'complements_current' END AS relationship, k FROM
