@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.shared import stage
-
-MOST_ROUNDS = 60
+from orbweave.llm.shared import discard, stage
 
 
 def _mark(edges: DataFrame):
@@ -17,12 +15,14 @@ def _mark(edges: DataFrame):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (long columns a and b); component is its least node.
 
-    Every round is written to the shared folder. A round joins the edges with one row for each node, so a
-    node with very many edges can be split by Spark's skew handling. No edges give an empty table.
+    Every round is written to the shared folder, and the one before it is deleted. A round joins the edges with
+    one row for each node, so a node with very many edges can be split by Spark's skew handling. Rounds go on
+    until nothing changes; each brings every node nearer to its component's least one. No edges give an empty
+    table, nodes that only link to themselves have no row, and repeated edges count once.
     """
     edges = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(edges)
-    for _ in range(MOST_ROUNDS):
+    was, mark = None, _mark(edges)
+    while mark != was:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -30,11 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = stage(small.where("a != b").distinct(), "edges")
+        before, edges = edges, stage(small.where("a != b").distinct(), "edges")
         was, mark = mark, _mark(edges)
-        if mark == was:
-            break
-    else:
-        raise RuntimeError("components did not settle")
+        discard(before)
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -168,12 +168,17 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that another row's equal text replaces; columns stay as they are."""
+    """``docs`` without the rows that another row's equal text replaces; columns stay as they are.
+
+    Decisions hold for an id with its text: other texts of a repeated id, or of rows without an id, are judged for
+    themselves, and of rows that repeat both one stays. Null and empty texts are equal. An empty table stays empty.
+    """
     decided = exact_duplicates(docs).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
     return settle(docs, decided, F.sha2(whole_text(), 256))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays for its text."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 

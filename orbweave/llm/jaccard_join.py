@@ -362,7 +362,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Words are runs of non-blank bytes after lower-casing A-Z; a set holds the distinct runs of five words (a
     shorter text's whole sequence as one). Texts without words and nulls have no set (n_shingles 0, set_id
     null) and stay alone. Two documents link when 100 * intersection >= 75 * union; component_id is the
-    smallest doc_id reachable. Repeated doc_ids are rows of their own; null doc_ids never name a component
+    smallest doc_id reachable. An empty table gives an empty result. Repeated doc_ids are rows of their own; null doc_ids never name a component
     unless all its members lack one.
     """
     found = _components(docs)
@@ -370,10 +370,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row (of the smallest doc_id) of each component; columns stay as they are."""
+    """``docs`` with one row (of the smallest doc_id) of each component; columns stay as they are.
+
+    Decisions hold for an id with its text, as in ``deduplicate``; of rows that repeat both one stays. Documents
+    without words stay. An empty table stays empty.
+    """
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
     return settle(docs, _components(docs).where("set_id is not null").select("doc_id", "digest", kept.alias("kept")), text_digest())
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and component."""
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -59,7 +59,7 @@ WORD_BYTES = w.LETTERS_DIGITS.copy()  # the same words over bytes; both lose apo
 WORD_BYTES[0x27] = True
 _LOWER = {c: c + 32 for c in range(65, 91)}
 FEATURES = ("asserted", "aimed", "negated", "told", "threats", "any")
-_MEMO = 200_000  # words whose symbols a task remembers
+_MEMO, _TERM_MEMO = 50_000, 10_000  # words whose symbols, and whose terms, a task remembers
 
 
 @dataclass(frozen=True)
@@ -277,19 +277,6 @@ def word_terms(word: str) -> Iterator[str]:
                 yield raw[-n:].decode() + "$"
 
 
-_terms_memo: dict[str, tuple[str, ...]] = {}
-
-
-def _terms_of(word: str) -> tuple[str, ...]:
-    """``word_terms``, remembered within a bound: it is the same for every model."""
-    found = _terms_memo.get(word)
-    if found is None:
-        if len(_terms_memo) >= _MEMO:
-            _terms_memo.clear()
-        found = _terms_memo[word] = tuple(word_terms(word))
-    return found
-
-
 class Spotter:
     """Finds quickly which documents hold an insult or threat terminal at all, on hashes of a batch's words."""
 
@@ -334,24 +321,36 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def text_terms(text: str) -> list[str]:
-    """All terms that a text's words could teach; those of two different words also as twice-terms."""
-    seen = Counter(t for x in {x.strip("'") for x in _WORD.findall(text.translate(_LOWER))} if x for t in _terms_of(x))
+def text_terms(text: str, memo: dict | None = None) -> list[str]:
+    """All terms that a text's words could teach; those of two different words also as twice-terms.
+
+    ``memo`` keeps the terms of words from text to text, up to a bound.
+    """
+    memo = {} if memo is None else memo
+    seen: Counter = Counter()
+    for word in {x.strip("'") for x in _WORD.findall(text.translate(_LOWER))} - {""}:
+        terms = memo.get(word)
+        if terms is None:
+            if len(memo) >= _TERM_MEMO:
+                memo.clear()
+            terms = memo[word] = tuple(word_terms(word))
+        seen.update(terms)
     return [*seen, *(TWICE + t for t, n in seen.items() if n > 1)]
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic documents, clean documents) of a partition of the bounded sample."""
     counts: dict[str, list[int]] = {}
+    memo: dict = {}
 
     def out():
         return pa.record_batch([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["term", "toxic", "clean"])
 
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for term in text_terms(text):
+            for term in text_terms(text, memo):
                 counts.setdefault(term, [0, 0])[toxic] += 1
-        if len(counts) > 400_000:
+        if len(counts) > 200_000:
             yield out()
             counts.clear()
     yield out()
@@ -362,10 +361,11 @@ def _find_terms(candidates: list[str]):
     number = {t: i for i, t in enumerate(candidates)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for batch in batches:
             hits = []
             for text in batch.column(0).to_pylist():
-                hits.append(sorted(number[t] for t in text_terms(text) if t in known))
+                hits.append(sorted(number[t] for t in text_terms(text, memo) if t in known))
             yield pa.record_batch([batch.column(1).cast(pa.int64()), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "hits"])
 
     return run
