@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import matrix, sphere
 from orbweave.functions import quaternion as quat
+from orbweave.operators.intervals import near_in_time
 from orbweave.operators.ordered import fold, kind_of
 from orbweave.operators.rotation import multiply
 
@@ -175,19 +176,6 @@ def continuous(path: DataFrame, key: str, order: str) -> DataFrame:
     return turned.select(*[(F.col(c) * sign).alias(c) if c in "xyzw" else F.col(c) for c in path.columns if c != "_dot"])
 
 
-def near_in_time(df: DataFrame, key: str, at: str, radius: float, names: list[str]) -> DataFrame:
-    """Each row of ``df`` with each row of its key within ``radius`` of it, as an equality join on slots of time.
-
-    A row meets its own slot and the two beside it, so a dense stretch costs its own neighbours and no more. The
-    other row's columns ``names`` come with the prefix ``near_``.
-    """
-    slot = F.floor(F.col(at) / radius)
-    mine = df.withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1)))
-    theirs = df.select(F.col(key).alias("near_key"), F.col(at).alias("near_at"), slot.alias("_slot"), *[F.col(c).alias(f"near_{c}") for c in names])
-    joined = mine.join(theirs, (F.col(key) == F.col("near_key")) & (mine["_slot"] == theirs["_slot"])).drop(mine["_slot"]).drop("near_key", "_slot")
-    return joined.where(F.abs(F.col("near_at") - F.col(at)) <= radius)
-
-
 def _gauss(at: str, radius: float) -> Column:
     return F.exp(-0.5 * F.pow((F.col("near_at") - F.col(at)) / (radius / 2), F.lit(2)))
 

@@ -156,7 +156,7 @@ def win19_acquisition(spark: SparkSession, sf: str) -> DataFrame:
 def win24_segment_cover(spark: SparkSession, sf: str) -> DataFrame:
     """WIN-24, WIN-25, JOIN-14, PLN-02: the whole time covered by a default view and its overlays."""
     m = _merged(spark, sf).withColumn("value", F.lit("close"))
-    whole = m.groupBy("source_id").agg((F.min("start") - 100).alias("start"), (F.max("end") + 100).alias("end"))
+    whole = _spans(spark, sf).groupBy("source_id").agg((F.min("start") - 100).alias("start"), (F.max("end") + 100).alias("end"))
     return rounded(intervals.elementary_cover(whole, m, "source_id", "value", "wide"), "start", "end")
 
 

@@ -86,7 +86,7 @@ def win06_static_shots(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {r.SIGNAL} SELECT a.id, round(sum(exp(-0.5 * ((b.t - a.t) / 43200) ** 2) * b.score) / sum(exp(-0.5 * ((b.t - a.t) / 43200) ** 2)), 6) AS smooth FROM signal a JOIN signal b ON a.source_id = b.source_id AND b.t BETWEEN a.t - 86400 AND a.t + 86400 GROUP BY a.id""")
 def win13_gaussian(spark: SparkSession, sf: str) -> DataFrame:
     """WIN-13: values smoothed over a day to each side."""
-    return paths.gaussian_smoothing(r.signal(spark, sf).select("source_id", "id", "t", "score"), "source_id", "t", "score", int(DAY)).select("id", r6(F.col("smooth")).alias("smooth"))
+    return rounded(paths.gaussian_smoothing(r.signal(spark, sf), "source_id", "t", "score", "id", DAY), "smooth")
 
 
 @query("""SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best_index, round(CAST(list_max(embedding) AS DOUBLE), 6) AS best_value FROM embeddings""")
@@ -113,9 +113,16 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
     return r.signal(spark, sf).groupBy("source_id", slot.cast("double").alias("t"), "kind").agg(F.max("score").alias("utility"))
 
 
-@query()
+_SLOTS = f"""{r.SIGNAL}, slots AS (SELECT source_id, (floor(t / 21600) * 21600)::DOUBLE AS t, kind, max(score) AS u FROM signal GROUP BY ALL), lists AS (SELECT source_id, t, list(kind ORDER BY u DESC, kind) AS kinds, list(u ORDER BY u DESC, kind) AS us, row_number() OVER (PARTITION BY source_id ORDER BY t) AS n FROM slots GROUP BY source_id, t)"""
+_WHY = """CASE WHEN own IS NULL THEN 'initial_best' WHEN mine IS NULL THEN 'incumbent_missing_fallback' WHEN best = own THEN 'incumbent_best' WHEN t - since < 86400 THEN 'minimum_dwell' WHEN top < mine + 0.05::DOUBLE THEN 'switch_margin' WHEN t - led < 43200 THEN 'challenger_hysteresis' ELSE 'sustained_challenger' END"""
+
+
+@query(f"""WITH RECURSIVE {_SLOTS}, f AS (SELECT source_id, n, t, kinds[1] AS own, t AS since, CAST(NULL AS VARCHAR) AS rival, CAST(NULL AS DOUBLE) AS rival_since, 'initial_best' AS reason, false AS switched FROM lists WHERE n = 1
+ UNION ALL SELECT source_id, n, t, CASE WHEN why IN ('incumbent_missing_fallback', 'sustained_challenger') THEN best ELSE own END, CASE WHEN why IN ('incumbent_missing_fallback', 'sustained_challenger') THEN t ELSE since END, CASE WHEN why = 'challenger_hysteresis' THEN best END, CASE WHEN why = 'challenger_hysteresis' THEN led END, why, why IN ('incumbent_missing_fallback', 'sustained_challenger') FROM
+ (SELECT *, {_WHY} AS why FROM (SELECT l.source_id, l.n, l.t, l.kinds[1] AS best, l.us[1] AS top, f.own, f.since, l.us[list_position(l.kinds, f.own)] AS mine, CASE WHEN f.rival = l.kinds[1] THEN f.rival_since ELSE l.t END AS led FROM f JOIN lists l ON l.source_id = f.source_id AND l.n = f.n + 1)))
+ SELECT source_id, t, own AS selected, reason, switched FROM f""")
 def st08_greedy_planner(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-08: one selection a slot, with dwell, margin and hold (tested against a plain loop)."""
+    """ST-08: one selection a slot, with dwell, margin and hold."""
     return folds.greedy_hysteresis(observations(spark, sf), "source_id", "t", "kind", "utility", DAY, 0.05, 12 * HOUR)
 
 
@@ -138,9 +145,15 @@ def agg29_shot_difference(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(paths.shot_difference(shots, "frame", 0.5, math.radians(30)), "maximum_change", "required_seconds")
 
 
-@query()
+_SHARED = "greatest(0, least(k.x + k.w, n.x + n.w) - greatest(k.x, n.x)) * greatest(0, least(k.top + k.h, n.top + n.h) - greatest(k.top, n.top))"
+_COVERED = f"len(list_filter(f.kept, lambda k: {_SHARED} > 0.5::DOUBLE * (k.w * k.h + n.w * n.h - {_SHARED}))) > 0"
+
+
+@query(f"""WITH RECURSIVE {r.DETECTION}, n AS (SELECT *, row_number() OVER (PARTITION BY frame, class ORDER BY score DESC, line, part, supp) AS i FROM detection),
+ f AS (SELECT frame, class, i, [struct_pack(x := x, top := top, w := w, h := h)] AS kept, true AS stays FROM n WHERE i = 1 UNION ALL SELECT n.frame, n.class, n.i, CASE WHEN {_COVERED} THEN f.kept ELSE list_append(f.kept, struct_pack(x := n.x, top := n.top, w := n.w, h := n.h)) END, NOT ({_COVERED}) FROM f JOIN n ON n.frame = f.frame AND n.class = f.class AND n.i = f.i + 1)
+ SELECT n.frame, n.class, n.line, n.part, n.supp, round(n.score, 6) AS score FROM f JOIN n USING (frame, class, i) WHERE f.stays""")
 def top03_box_nms(spark: SparkSession, sf: str) -> DataFrame:
-    """TOP-03: a frame's boxes of one class without those that overlap a better one by half (tested against a plain loop)."""
+    """TOP-03: a frame's boxes of one class without those that overlap a better one by half."""
     kept = folds.box_nms(r.detection(spark, sf), ["frame", "class"], ["x", "top", "w", "h"], "score", ["line", "part", "supp"], 0.5)
     return rounded(kept, "score")
 
