@@ -72,13 +72,14 @@ def settle(df: DataFrame, decided: DataFrame, digest) -> DataFrame:
     """
     marks = decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
     marks = stage(marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__made"), "kept"), "decided")
-    marked = df.withColumn("__digest", digest)
+    made = fresh_name(df.columns, "digest")
+    marked = df.withColumn(made, digest)
 
     def matched(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
-        return rows.join(others, rows["doc_id"].eqNullSafe(others["__id"]) & (rows["__digest"] == others["__made"]), how)
+        return rows.join(others, rows["doc_id"].eqNullSafe(others["__id"]) & (rows[made] == others["__made"]), how)
 
     again = marks.where("kept")
     rest = matched(marked, marks.where("not kept"), "left_anti")
     if not again.isEmpty():
-        rest = matched(rest, again, "left_anti").unionAll(matched(rest, again, "left_semi").dropDuplicates(["doc_id", "__digest"]))
-    return rest.drop("__digest")
+        rest = matched(rest, again, "left_anti").unionAll(matched(rest, again, "left_semi").dropDuplicates(["doc_id", made]))
+    return rest.drop(made)

@@ -10,6 +10,7 @@ most ``SEGMENT_TOKENS`` ids (and so of bounded memory), each with its planes, ra
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +33,7 @@ _SCHEMA = "shard int, segment int, n_tokens long, width int, zeros array<long>,
 # Texts of these characters are cut into the vocabulary's pre-tokens here (its published pattern, with the
 # letters and digits among these characters spelled out); the library encodes each distinct pre-token once.
 _PLAIN = re.compile("[\\t\\n\\r -~¡-©«¬®-±´¶-¸»¿-ſ–—‘’“”•…€™]*")
+_PLAIN_END = 0x2200  # past the last of them
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
 _PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 
@@ -41,39 +43,39 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            made = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw, owner = np.array(made.ids, dtype="<u4").tobytes(), np.array(made.word_ids)
-            at = (4 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
-            self.cache.update((word, raw[lo:hi]) for word, lo, hi in zip(part, at, at[1:], strict=False))
+        # how the vocabulary spells the bytes of each plain character
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spell = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(_PLAIN_END) if _PLAIN.fullmatch(chr(c))}
+
+    def _learn(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(word.translate(self.spell))]
+        made = self.cache[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return made
+
+    def _plain(self, words: list[str]) -> bytes:
+        """The ids of pre-tokens; what isn't remembered yet is encoded once."""
+        parts = list(map(self.cache.get, words))
+        if None in parts:
+            for i in [i for i, p in enumerate(parts) if p is None]:
+                parts[i] = self.cache.get(words[i]) or self._learn(words[i])
+        return b"".join(parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for begin in range(0, len(texts), 256):
-            part = texts[begin : begin + 256]
-            cut: list[list[str] | None] = [_PRETOKEN.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in part]
-            words_here = set().union(*filter(None, cut))
-            fresh = words_here.difference(self.cache)
-            if fresh:
-                if len(self.cache) + len(fresh) > CACHE_WORDS:
-                    fresh = words_here
-                self._learn(list(fresh))
-            get = self.cache.__getitem__
-            for text, words in zip(part, cut, strict=True):
-                if words is None:
-                    out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-                else:
-                    out.append(b"".join(map(get, words)))
+        for text in texts:
+            if len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+            if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                out.append(self._plain(_PRETOKEN.findall(text)))
+            else:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
         return out
 
 
