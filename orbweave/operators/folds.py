@@ -217,13 +217,8 @@ class Selection:
 REASONS = ("initial_best", "incumbent_missing_fallback", "incumbent_best", "minimum_dwell", "switch_margin", "challenger_hysteresis", "sustained_challenger")
 
 
-def greedy_hysteresis(df: DataFrame, key: str, at: str, candidate: str, utility: str, dwell: float = 2.0, margin: float = 0.1, hold: float = 0.5) -> DataFrame:
-    """One selection for each key and time: (key, at, selected, reason, switched).
-
-    The best candidate (ties: least name) replaces a present incumbent only after its dwell, by at least
-    ``margin``, and once it has led for ``hold`` seconds; an absent incumbent is replaced at once.
-    """
-    rows = df.select(key, F.col(at).cast("double").alias("_o"), (-F.col(utility)).alias("_worst"), F.col(candidate).cast("string").alias("_id"))
+def selection_step(dwell: float, margin: float, hold: float):
+    """What one moment's candidates, best first, as rows (key, time, -utility, candidate), make of a selection."""
 
     def step(s: Selection, rows: list):
         of, now, worst, best = rows[0]
@@ -237,7 +232,18 @@ def greedy_hysteresis(df: DataFrame, key: str, at: str, candidate: str, utility:
         s.rival, s.rival_since = (best, led) if reason == "challenger_hysteresis" else (None, 0.0)
         yield of, now, s.own, reason, takes and had
 
-    return fold(rows, [key], ["_o", "_worst", "_id"], Selection, step, f"{key} {kind_of(df, key)}, {at} double, selected string, reason string, switched boolean", frame=1)
+    return step
+
+
+def greedy_hysteresis(df: DataFrame, key: str, at: str, candidate: str, utility: str, dwell: float = 2.0, margin: float = 0.1, hold: float = 0.5) -> DataFrame:
+    """One selection for each key and time: (key, at, selected, reason, switched).
+
+    The best candidate (ties: least name) replaces a present incumbent only after its dwell, by at least
+    ``margin``, and once it has led for ``hold`` seconds; an absent incumbent is replaced at once.
+    """
+    rows = df.select(key, F.col(at).cast("double").alias("_o"), (-F.col(utility)).alias("_worst"), F.col(candidate).cast("string").alias("_id"))
+    kinds = f"{key} {kind_of(df, key)}, {at} double, selected string, reason string, switched boolean"
+    return fold(rows, [key], ["_o", "_worst", "_id"], Selection, selection_step(dwell, margin, hold), kinds, frame=1)
 
 
 def box_nms(df: DataFrame, keys: list[str], box: list[str], score: str, row_id: list[str], most_overlap: float = 0.45) -> DataFrame:

@@ -225,7 +225,7 @@ def agg03_dedup_report(spark: SparkSession, sf: str) -> DataFrame:
     return m.rollup("kind").agg(F.sum("members").alias("raw_count"), F.count(F.lit(1)).alias("merged_count"), F.count_if(F.col("members") > 1).alias("duplicate_clusters"), F.max("members").alias("largest"))
 
 
-@query(f"""WITH {r.CANDIDATE}, m AS (SELECT frame, count(*) AS members, sum(cos(pitch) * sin(yaw)) AS x, sum(sin(pitch)) AS y, sum(cos(pitch) * cos(yaw)) AS z FROM candidate GROUP BY frame), c AS (SELECT frame, members, atan2(x, z) AS yaw, asin(y / sqrt(x * x + y * y + z * z)) AS pitch FROM m),
+@query(f"""WITH {r.CANDIDATE}, m AS (SELECT frame, count(*) AS members, sum(cos(pitch) * sin(yaw)) AS x, sum(sin(pitch)) AS y, sum(cos(pitch) * cos(yaw)) AS z FROM candidate GROUP BY frame HAVING count(*) > 1), c AS (SELECT frame, members, atan2(x, z) AS yaw, asin(y / sqrt(x * x + y * y + z * z)) AS pitch FROM m),
  s AS (SELECT c.frame, c.members, c.yaw, c.pitch, max({r.sql_distance("k", "c")} + k.h_fov / 2) AS radius FROM c JOIN candidate k USING (frame) GROUP BY ALL)
  SELECT frame, members, round(yaw, 6) AS yaw, round(pitch, 6) AS pitch, round(radius, 6) AS radius, round(greatest(radians(90.0::DOUBLE), least(radians(110.0::DOUBLE), 2 * (radius + radians(10.0::DOUBLE)))), 6) AS fov, 2 * (radius + radians(10.0::DOUBLE)) <= radians(110.0::DOUBLE) AS containable FROM s""")
 def agg22_group_shots(spark: SparkSession, sf: str) -> DataFrame:

@@ -73,14 +73,30 @@ def agg30_edge_summary(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy("source_id", "part").agg(F.count(F.lit(1)).alias("pair_count"), p("score", 0.5).alias("median_step"), p("score", 0.95).alias("p95_step"), p("change", 0.5).alias("median_change"), p("change", 0.95).alias("p95_change"))
 
 
-@query(f"""WITH {r.SIGNAL}, s AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY source_id ORDER BY t, id) THEN 0 ELSE 1 END AS changed FROM signal), n AS (SELECT *, sum(changed) OVER (PARTITION BY source_id ORDER BY t, id) AS run FROM s),
- g AS (SELECT source_id, run, min(kind) AS selected, min(t) AS start, max(t) AS last_t, count(*) AS samples FROM n GROUP BY source_id, run)
- SELECT source_id, selected, round(start, 6) AS start, round(coalesce(lead(start) OVER (PARTITION BY source_id ORDER BY start, run), last_t + 900), 6) AS "end", samples FROM g""")
+_DECIDED = f"""{r.SIGNAL}, {r.CANDIDATE}, {r.POSE}, d AS (SELECT source_id, t, arg_min(kind, id) AS kind, arg_min(yaw, id) AS yaw, arg_min(pitch, id) AS pitch, arg_min(h_fov, id) AS h_fov, arg_min(score, id) AS score FROM pose GROUP BY source_id, t)"""
+
+
+def _decided(spark, sf):
+    return r.pose(spark, sf).groupBy("source_id", "t").agg(*[F.min_by(c, "id").alias(c) for c in ("kind", "yaw", "pitch", "h_fov", "score")])
+
+
+@query(f"""WITH {_DECIDED}, s AS (SELECT *, t - min(t) OVER (PARTITION BY source_id) AS rel, CASE WHEN kind = lag(kind) OVER (PARTITION BY source_id ORDER BY t) THEN 0 ELSE 1 END AS changed FROM d), n AS (SELECT *, sum(changed) OVER (PARTITION BY source_id ORDER BY t) AS run FROM s),
+ y AS (SELECT *, atan2(sum(sin(yaw)) OVER (PARTITION BY source_id, run), sum(cos(yaw)) OVER (PARTITION BY source_id, run)) AS anchor FROM n), g AS (SELECT source_id, run, min(kind) AS selected, min(rel) AS start, median(pitch) AS pitch, median(h_fov) AS h_fov, count(*) AS samples, median(anchor + {r.sql_wrap("yaw - anchor")}) AS yaw FROM y GROUP BY source_id, run)
+ SELECT source_id, selected, start, coalesce(lead(start) OVER (PARTITION BY source_id ORDER BY run), 2678400.0) AS "end", samples, round(cos(yaw), 6) AS yaw_cos, round(sin(yaw), 6) AS yaw_sin, round(pitch, 6) AS pitch, round(h_fov, 6) AS h_fov FROM g""")
 def win06_static_shots(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN-06, SNK-06: runs of one selection as shots; each lasts until the next begins."""
-    runs = intervals.runs_of(r.signal(spark, sf), ["source_id"], ["t", "id"], "kind").groupBy("source_id", "run").agg(F.first("kind").alias("selected"), F.min("t").alias("start"), F.max("t").alias("last"), F.count(F.lit(1)).alias("samples"))
-    ends = F.coalesce(F.lead("start").over(Window.partitionBy("source_id").orderBy("start", "run")), F.col("last") + 900)
-    return rounded(runs.withColumn("end", ends).select("source_id", "selected", "start", "end", "samples"), "start", "end")
+    """WIN-06, AGG-25: runs of one selection as shots with one robust pose; each lasts until the next begins."""
+    made = paths.static_shots(_decided(spark, sf), "source_id", "t", "kind", 31 * DAY)
+    return rounded(made.select("source_id", "selected", "start", "end", "samples", F.cos("yaw").alias("yaw_cos"), F.sin("yaw").alias("yaw_sin"), "pitch", "h_fov"), "yaw_cos", "yaw_sin", "pitch", "h_fov")
+
+
+@query(f"""WITH {_DECIDED}, d0 AS (SELECT source_id, floor(t) AS t, arg_min(kind, d.t) AS kind, arg_min(yaw, d.t) AS yaw, arg_min(pitch, d.t) AS pitch, arg_min(score, d.t) AS score FROM d GROUP BY source_id, floor(t)), s AS (SELECT *, t - min(t) OVER (PARTITION BY source_id) AS rel FROM d0), e AS (SELECT *, coalesce(lead(rel) OVER (PARTITION BY source_id ORDER BY t), 2678400.0) AS until, row_number() OVER (PARTITION BY source_id ORDER BY t) AS place FROM s)
+ SELECT source_id, place::INTEGER AS place, printf('%.9f' || chr(9) || '%.9f' || chr(9) || '%.6f' || chr(9) || '%.6f' || chr(9) || '%.9f' || chr(9) || '%s', rel, until, round(degrees(yaw), 3), round(degrees(pitch), 3), score, kind || ' by rule') AS line FROM e""")
+def snk06_trace_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK-06: decisions with the ends of their intervals as tab-separated text."""
+    second = F.floor("t").cast("double")
+    d = _decided(spark, sf).groupBy("source_id", second.alias("second")).agg(*[F.min_by(c, "t").alias(c) for c in ("kind", "yaw", "pitch", "score")]).withColumnRenamed("second", "t")
+    d = d.select("source_id", "t", *[F.radians(F.round(F.degrees(c), 3)).alias(c) for c in ("yaw", "pitch")], F.col("score").alias("utility"), F.concat("kind", F.lit("\tby\nrule")).alias("reason"))
+    return paths.trace_lines(d, "source_id", "t", 31 * DAY)
 
 
 @query(f"""WITH {r.SIGNAL} SELECT a.id, round(sum(exp(-0.5 * ((b.t - a.t) / 43200) ** 2) * b.score) / sum(exp(-0.5 * ((b.t - a.t) / 43200) ** 2)), 6) AS smooth FROM signal a JOIN signal b ON a.source_id = b.source_id AND b.t BETWEEN a.t - 86400 AND a.t + 86400 GROUP BY a.id""")

@@ -1,4 +1,4 @@
-"""Structured Streaming twins of sessions and track states."""
+"""Structured Streaming twins of sessions, track states and selections."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orbweave.operators.folds import Selection, selection_step
+
 _STATES = "{key} {kind}, o long, phase string, confidence double, missing int, outside int"
 
 
@@ -31,7 +33,7 @@ def lifecycle_stream(df: DataFrame, key: str, order: str, kind: str, confidence:
     key_type = df.schema[key].dataType.simpleString()
 
     def advance(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, phase, sure, missing, outside = state.get if state.exists else (None, "active", 0.0, 0, 0)
+        last, phase, sure, missing, outside = state.get if state.exists else (None, "waiting", 0.0, 0, 0)
         rows = pd.concat(list(frames)).sort_values(["o", "k", "c"])
         out, before = [], last
         for o, k, c in zip(rows["o"].tolist(), rows["k"].tolist(), rows["c"].tolist(), strict=True):
@@ -39,7 +41,7 @@ def lifecycle_stream(df: DataFrame, key: str, order: str, kind: str, confidence:
                 out.append((group[0], o, "late", sure, missing, outside))
                 continue
             last = o
-            if phase == "terminated":
+            if phase == "terminated" or (phase == "waiting" and k != "observed"):
                 continue
             missing = missing + 1 if k == "not_observed" else 0
             outside = outside + 1 if k == "outside_viewport" else 0
@@ -54,3 +56,30 @@ def lifecycle_stream(df: DataFrame, key: str, order: str, kind: str, confidence:
     rows = df.select(key, F.col(order).cast("long").alias("o"), F.col(kind).alias("k"), F.col(confidence).cast("double").alias("c"))
     made = rows.groupBy(key).applyInPandasWithState(advance, _STATES.format(key=key, kind=key_type), "last long, phase string, sure double, missing int, outside int", "append", GroupStateTimeout.NoTimeout)
     return made.withColumnRenamed("o", order)
+
+
+def selections_stream(df: DataFrame, key: str, at: str, candidate: str, utility: str, dwell: float = 2.0, margin: float = 0.1, hold: float = 0.5) -> DataFrame:
+    """Selections as ``operators.folds.greedy_hysteresis`` gives them, for moments that arrive whole and in order.
+
+    State is four values for each key. A micro-batch's moments are put in order; one that isn't later than what an
+    earlier micro-batch brought gets the reason ``late`` with the selection as it stands and changes nothing.
+    """
+    key_type, step = df.schema[key].dataType.simpleString(), selection_step(dwell, margin, hold)
+
+    def advance(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, *held = state.get if state.exists else (None, None, 0.0, None, 0.0)
+        selection, out, before = Selection(*held), [], last
+        rows = pd.concat(list(frames)).sort_values(["o", "worst", "id"])
+        for now, moment in rows.groupby("o", sort=True):
+            if before is not None and now <= before:
+                out.append((group[0], float(now), selection.own, "late", False))
+                continue
+            last = float(now)
+            out += step(selection, list(zip([group[0]] * len(moment), moment["o"].tolist(), moment["worst"].tolist(), moment["id"].tolist(), strict=True)))
+        if last is not None:
+            state.update((float(last), selection.own, float(selection.since), selection.rival, float(selection.rival_since)))
+        yield pd.DataFrame(out, columns=[key, "o", "selected", "reason", "switched"])
+
+    rows = df.select(key, F.col(at).cast("double").alias("o"), (-F.col(utility)).alias("worst"), F.col(candidate).cast("string").alias("id"))
+    made = rows.groupBy(key).applyInPandasWithState(advance, f"{key} {key_type}, o double, selected string, reason string, switched boolean", "last double, own string, since double, rival string, rival_since double", "append", GroupStateTimeout.NoTimeout)
+    return made.withColumnRenamed("o", at)

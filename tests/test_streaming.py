@@ -43,3 +43,15 @@ def test_sessions_close_behind_the_watermark(spark, tmp_path):
     stream = spark.readStream.schema("k string, t timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = drain(spark, observations.sessions_stream(stream, "k", "t", "10 seconds", "30 seconds", 2), tmp_path, "sessions")
     assert got == [("a", at(0), at(25), 3), ("a", at(60), at(75), 2)]
+
+
+def test_selections_equal_the_batch_planner(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(s, float(t), k, float(rng.integers(0, 12)) / 4) for s in range(4) for t in range(45) for k in "abc" if k == "a" or rng.random() < 0.8]
+    schema = "s long, t double, k string, u double"
+    for n in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 15 == n], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drain(spark, observations.selections_stream(stream, "s", "t", "k", "u", 3.0, 0.5, 2.0), tmp_path, "selections")
+    want = sorted(map(tuple, folds.greedy_hysteresis(spark.createDataFrame(rows, schema), "s", "t", "k", "u", 3.0, 0.5, 2.0).collect()))
+    assert got == want and {r[3] for r in got} == set(folds.REASONS)
