@@ -6,7 +6,7 @@
    all rows reaches its owner once per map task, not once per row.
 3. Owner tasks take whole buckets (ranges of the key), read them in key order, chain entries whose keys
    collide, and compare bytes along the chain. The chains are written as the index.
-4. Documents look their entry up by digest; Spark may split that join where one digest is hot.
+4. Documents look their entry up by digest; digests that many rows have don't shuffle together.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.shared import settle, shared_folder, table, whole_text
+from orbweave.llm.shared import look_up, settle, shared_folder, table, whole_text
 
 PREFIX_BITS = 16
 BUCKET_CAPACITY = 256
@@ -164,7 +164,7 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     index = build_index(docs, **options).select("sha", "keep_id", "group_size")
     rows = docs.select("doc_id", F.sha2(whole_text(), 256).alias("sha"))
-    return rows.join(index, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return look_up(rows, index, "sha", "group_size", "doc_id").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

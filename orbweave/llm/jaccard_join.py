@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
 from orbweave.llm.components import connected_components
-from orbweave.llm.shared import settle, stage, table, text_digest, whole_text
+from orbweave.llm.shared import look_up, settle, stage, table, text_digest, whole_text
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -337,7 +337,7 @@ def _components(docs: DataFrame) -> DataFrame:
     near = connected_components(edges)
     # one row speaks for its class: of those with an id, if there are any, the one with the least
     speaker = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "digest")
-    sets = rows.where("set_id is not null").groupBy("set_id").agg(F.min(speaker).alias("own"), F.first("n").alias("n")).select("set_id", "own", "own.doc_id", "own.digest", "n")
+    sets = rows.where("set_id is not null").groupBy("set_id").agg(F.min(speaker).alias("own"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")).select("set_id", "own", "own.doc_id", "own.digest", "n", "rows")
     members = near.withColumnRenamed("node", "set_id").join(sets, "set_id")
     tiles = stage(_tiles(members), "jaccard-tiles")
     # the speaker's text is fetched once for all its tiles; its id alone may stand for several texts
@@ -352,8 +352,8 @@ def _components(docs: DataFrame) -> DataFrame:
     named = joined.join(sets.select("set_id", "own"), "set_id")
     least = named.groupBy("component").agg(F.min("own").alias("best"))
     linked = named.select("set_id", "component").join(least, "component").select("set_id", "best")
-    by_set = sets.select("set_id", "own").join(linked, "set_id", "left").select("set_id", F.coalesce("best", "own").alias("best"))
-    return rows.join(by_set, "set_id", "left").select("doc_id", "digest", "n", "set_id", "best")
+    by_set = stage(sets.select("set_id", "own", "rows").join(linked, "set_id", "left").select("set_id", F.coalesce("best", "own").alias("best"), "rows"), "jaccard-sets")
+    return look_up(rows, by_set, "set_id", "rows", "doc_id").select("doc_id", "digest", "n", "set_id", "best")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -64,6 +64,27 @@ def fresh_name(columns, name: str) -> str:
     return name
 
 
+HEAVY_KEYS = 1_000  # a key is heavy if it has more than one in so many of all rows, so there are fewer than that
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, size: str, spread: str) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has one row for each key and in ``size`` how many rows ask for it.
+
+    Rows of heavy keys take what they look for from a broadcast of the heavy keys alone, fewer than HEAVY_KEYS rows by
+    their definition, and pass the shuffle spread by ``spread``, as do rows with a null key, which find nothing; so a
+    key with a third of all rows fills no task.
+    """
+    names = [c for c in table.columns if c != key]
+    total = table.agg(F.sum(size)).first()[0] or 0
+    heavy = table.where(F.col(size) > max(total // HEAVY_KEYS, 1))
+    first = rows.join(F.broadcast(heavy.select(key, F.struct(*names).alias("_heavy"))), key, "left")
+    dealt = F.when(F.col("_heavy").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.xxhash64(spread).cast(rows.schema[key].dataType))
+    rest = table.select(F.col(key).alias("_key"), F.struct(*names).alias("_light"))
+    both = first.withColumn("_dealt", dealt).join(rest, F.col("_dealt") == F.col("_key"), "left")
+    found = F.when(F.col(key).isNotNull(), F.coalesce("_heavy", "_light"))
+    return both.select(*rows.columns, *[found[c].alias(c) for c in names])
+
+
 def settle(df: DataFrame, decided: DataFrame, digest) -> DataFrame:
     """``df`` without what ``decided`` (doc_id, digest, kept) rejects, and one of the rows that repeat both.
 

@@ -52,3 +52,17 @@ def test_directory_covers_and_splits(counts, capacity):
         at = np.flatnonzero(directory == b)
         inside = sum(sum(counts[i * width : (i + 1) * width]) for i in at)
         assert inside <= capacity or (width == 1 and len(at) == 1)
+
+
+def test_look_ups_of_heavy_and_null_keys(spark):
+    """Every row finds its key's entry once, whether its key is rare, heavy, null or not there."""
+    from orbweave.llm.shared import look_up
+
+    rows = [(i, "hot" if i % 2 else f"k{i}") for i in range(4000)] + [(None, "hot"), (None, None), (4001, None), (4002, "absent")]
+    df = spark.createDataFrame(rows, "doc_id long, key string").repartition(5)
+    sizes = df.where("key is not null and key != 'absent'").groupBy("key").count().withColumnRenamed("count", "size").selectExpr("key", "size", "concat(key, '!') as said")
+    got = look_up(df, sizes, "key", "size", "doc_id")
+    assert got.columns == ["doc_id", "key", "size", "said"]
+    found = sorted(((r["doc_id"] or -1, r["key"] or "", r["said"]) for r in got.collect()), key=str)
+    assert found == sorted(((i or -1, k or "", f"{k}!" if k and k != "absent" else None) for i, k in rows), key=str)
+    assert look_up(df.where("false"), sizes.where("false"), "key", "size", "doc_id").collect() == []
