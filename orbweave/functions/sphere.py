@@ -46,8 +46,12 @@ def ray_angles(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
 
 def distance(yaw_a: Column, pitch_a: Column, yaw_b: Column, pitch_b: Column) -> Column:
     """Great-circle distance in the form that stays exact for near and for opposite directions."""
-    ax, ay, az = direction(yaw_a, pitch_a)
-    bx, by, bz = direction(yaw_b, pitch_b)
+    return ray_distance(direction(yaw_a, pitch_a), direction(yaw_b, pitch_b))
+
+
+def ray_distance(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """The same of two unit rays."""
+    (ax, ay, az), (bx, by, bz) = a, b
     cx, cy, cz = ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
     return F.atan2(F.sqrt(cx * cx + cy * cy + cz * cz), ax * bx + ay * by + az * bz)
 
