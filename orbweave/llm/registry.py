@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.llm import conversation_repair, decontaminate, exact_dedup, hmm_lm, html_extract, jaccard_join, license_scan, piece_sampling, token_files, toxicity, url_filter
+from orbweave.llm import conversation_repair, decontaminate, exact_dedup, hmm_lm, html_extract, jaccard_join, license_scan, packing, piece_sampling, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_html_extraction": html_extract.op9_html_extraction,
         "op10_ngram_jaccard": jaccard_join.op10_ngram_jaccard,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_packing": packing.op13_packing,
     }
 
 
