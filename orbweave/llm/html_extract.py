@@ -25,13 +25,13 @@ from orbweave.llm.shared import table
 # HTML's block-level elements, elements without an end tag, and elements that hold no text.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = "script|style|template|title|textarea|iframe"
+RAW_TAGS = frozenset("script style title textarea iframe noembed noframes".split())  # what they hold is no markup
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT_TAGS})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+_TOKEN = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<!--(?:-?>|.*?--!?>|(.*))|<[!?/][^>]*>", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])(?:{_ATTRIBUTES}>|[^>]*>)", re.S | re.I) for tag in sorted(RAW_TAGS)}
+_SCRIPT_MARK = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
 FOREIGN_TAGS = ("svg", "math")  # in them a slash before ">" ends an element; HTML's own elements ignore it
 _VALUE_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")  # the end of an unquoted value
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -82,8 +82,48 @@ class Contexts:
         return found
 
 
+def _script_end(page: str, at: int) -> int:
+    """Where a script's end tag begins. Inside ``<!-- -->`` a script tag opens another level, which its end tag closes."""
+    escaped = nested = False
+    while m := _SCRIPT_MARK.search(page, at):
+        at = m.end()
+        if m[0] == "<!--":
+            if not escaped:
+                escaped, at = True, at - 2  # its dashes may be those of "-->"
+        elif m[0] == "-->":
+            escaped = nested = False
+        elif m[1] and not nested:
+            return m.start()
+        else:
+            nested = escaped and not m[1]
+    return len(page)
+
+
+def silent_end(page: str, tag: str, at: int) -> int:
+    """Past the end of an element without text of its own that was opened before ``at``; the page's end if nothing ends it.
+
+    End tags may carry white space, attributes and a slash. Templates nest, and end tags in their comments and scripts are none.
+    """
+    last = page.rfind(">") + 1  # no tag ends behind it
+    if tag in RAW_TAGS:
+        m = _RAW_END[tag].search(page, _script_end(page, at) if tag == "script" else at, last)
+        return m.end() if m else len(page)
+    depth = 1
+    while depth and (m := _TOKEN.search(page, at, last)):
+        at, found, ends = m.end(), (m[2] or m[5] or "").lower(), m[1] or m[4]
+        if found in RAW_TAGS and not ends:
+            at = silent_end(page, found, at)
+        elif found == "template":
+            depth += -1 if ends else 1
+    return at if not depth else len(page)
+
+
 def leaf_blocks(page: str, contexts: Contexts) -> list[Block]:
-    """The page's leaf blocks in order, with decoded text and single spaces."""
+    """The page's leaf blocks in order, with decoded text and single spaces.
+
+    Comments end at ``-->``, ``--!>``, ``<!-->`` and ``<!--->``. A comment, script, style, title, text area, frame or template
+    that nothing ends goes to the end of the page, as in browsers, so what follows it is no text.
+    """
     stack: list[tuple[str, int]] = [("", 0)]
     open_tags: dict[str, int] = {}
     out: list[Block] = []
@@ -106,17 +146,26 @@ def leaf_blocks(page: str, contexts: Contexts) -> list[Block]:
             if name == tag:
                 return
 
-    at = 0
-    while m := _TOKEN.search(page, at):
+    at, last = 0, page.rfind(">") + 1  # no tag ends behind it
+    open_comment = page.find("<!--", last)
+    size = len(page) if open_comment < 0 else open_comment
+    while m := _TOKEN.search(page, at, last):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if open_tags.get("a"):
                 linked += m.start() - at
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[2] or m[5]
         if not tag:
+            if m[7] is not None:
+                at = size  # a comment that nothing ends
+            continue
+        tag, ends, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        foreign = tag in FOREIGN_TAGS or any(open_tags.get(x) for x in FOREIGN_TAGS)
+        closed = foreign and attributes.endswith("/") and not _VALUE_SLASH.search(attributes)
+        if (tag in RAW_TAGS or tag == "template") and not (ends or closed):
+            at = silent_end(page, tag, at)
             continue
-        tag, ends, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if tag == "br":
             parts.append(" ")
             continue
@@ -133,14 +182,14 @@ def leaf_blocks(page: str, contexts: Contexts) -> list[Block]:
             close(tag)
         if tag in VOID_TAGS:
             continue
-        if attributes.endswith("/") and (tag in FOREIGN_TAGS or any(open_tags.get(x) for x in FOREIGN_TAGS)) and not _VALUE_SLASH.search(attributes):
+        if closed:
             continue
         # inline tags only matter for their links; they keep their parent's features
         context = contexts.enter(stack[-1][1], tag, attributes) if block else stack[-1][1]
         stack.append((tag, context))
         open_tags[tag] = open_tags.get(tag, 0) + 1
-    if at < len(page):
-        parts.append(page[at:])
+    if at < size:
+        parts.append(page[at:size])
     flush()
     return out
 

@@ -60,7 +60,7 @@ def test_odd_pages(spark, crf):
 
 def test_hostile_markup(crf):
     extractor = h.Extractor(crf)
-    for page in ("<div>" * 30_000 + "<p>text", "<a href=\"x>" * 20_000, "<" * 100_000, "<!--" * 20_000, "</p>" * 50_000, "<p class='" + "a " * 100_000 + "'>t"):
+    for page in ("<div>" * 30_000 + "<p>text", "<a href=\"x>" * 20_000, "<" * 100_000, "<!--" * 20_000, "</p>" * 50_000, "<p class='" + "a " * 100_000 + "'>t", "<a " * 100_000, "<title>" + "</title " * 50_000, "<template>" * 30_000, "<script>" + "<!--<script>" * 30_000):
         extractor.main_blocks(page)
 
 
@@ -87,3 +87,30 @@ def test_a_slash_in_a_link_is_no_end():
     assert [(b.text, b.linked) for b in with_slash] == [(b.text, b.linked) for b in plain] == [("Some link", 9), ("text", 0)]
     contexts = h.Contexts()
     assert "<aside>" in contexts.sets[h.leaf_blocks("<aside class=menu/><p>text</p></aside>", contexts)[0].context]
+
+
+ARTICLE = "<article><p>First text of the page, long enough.</p>{}<p>Last text of the page, long enough.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<script>var a = '<p>no</p>'</script foo=1>", "<script>no</script\n>", "<script>no</script/>", "<script>no</SCRIPT a='>' b=\">\">", "<script>no</scripty>no</script\t\n x>", "<script/>no</script>",
+        "<script><!-- no --></script>", "<script><!-- <script> no </script> no --></script>", "<script><!-- <script> no </script> no </script >", "<script><!--> no </script>", "<script><!---> no <script></script>", "<script><!-- <scripty> no </script>",
+        "<style>p > a {}</style x>", "<style><!-- p {} </style>", "<title>no</title lang=en>", "<textarea><p>no</textarea >", "<iframe><p>no</p></iframe x='y'>", "<noframes><p>no</noframes/>", "<noembed><p>no</noembed>",
+        "<!-->", "<!--->", "<!-- no -->", "<!-- no --!>", "<!---->", "<!----!>", "<!-- <!-- no -->", "<!-- no -- > no -->", "<!-- no --- >-->", "<!-- <p>no</p> <script> -->", "<!no>", "<?no?>", "</ no>", "<![CDATA[no]]>",
+        "<template><p>no</p></template>", "<template><p>no<template>no</template>no</p></template x=1>", "<template><script>'</template>'</script><!-- </template> -->no</template>",
+    ],
+)
+def test_every_way_to_end_what_holds_no_text(crf, inner):
+    assert h.Extractor(crf).main_blocks(ARTICLE.format(inner)) == ["First text of the page, long enough.", "Last text of the page, long enough."]
+
+
+@pytest.mark.parametrize("inner", ["<!-- open", "<!-- open > open", "<script>open", "<script>open</script", "<script><!-- <script></script>", "<style>open</sty>", "<template>open", "<title>open<p>"])
+def test_what_nothing_ends_goes_to_the_end_of_the_page(inner):
+    assert [b.text for b in h.leaf_blocks("<p>one</p>" + inner + ("" if inner.endswith("script") else "<p>two"), h.Contexts())] == ["one"]
+
+
+def test_texts_behind_the_last_tag():
+    for page, want in (("<p>one</p>two < three", ["one", "two < three"]), ("<p>one</p>two<!-- three", ["one", "two"]), ("one", ["one"]), ("one<!--", ["one"]), ("1 > 0", ["1 > 0"])):
+        assert [b.text for b in h.leaf_blocks(page, h.Contexts())] == want
