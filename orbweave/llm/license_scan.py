@@ -1,20 +1,23 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-The join finds every block that holds at least ``THRESHOLD`` of a template's distinct words. Words outside
-all templates never add to an overlap, so a block is its set of template words, in one global order (rarest
-in the corpus first, counted over all documents). Filters that lose nothing come before the exact overlap:
+A block is every run of a template's ``span`` consecutive words of a document, at every place and across all line
+breaks; the span is the template's number of words and half as many again (four at least). The join finds every block that holds at least
+``THRESHOLD`` of a template's distinct words. Words outside all templates never add to an overlap, so a block is
+its set of template words, in one global order (rarest in the corpus first, counted over all documents). Filters
+that lose nothing come before the exact overlap:
 
 * prefix: a block that reaches the threshold holds one of a template's first n - need + 1 words;
 * length: it holds at least ``need`` template words;
 * position: at a shared word, the words that follow on both sides bound what the overlap can still become.
 
-A block is a window of ``BLOCK_WORDS`` words. Windows overlap by half, so any passage of up to half a window is
-whole in one of them. They slide over each line, and over the document's whole word sequence, as notices are
-often wrapped; only between two lines of a single word each (lists, cells) does the sequence break.
+They are put to tiles first: templates with spans of up to 2^k words share tiles of 2^(k+1) words that overlap by half, so
+that every block is whole in a tile, whatever a template's length. A tile that a template can reach is then gone
+through word by word, with a sliding count of the template's distinct words, which gives every block's exact overlap.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +31,6 @@ from orbweave.llm import words as w
 from orbweave.llm.shared import table, whole_text
 
 THRESHOLD = (9, 10)  # of a template's distinct words
-BLOCK_WORDS = 128
 
 # Phrases of the base scan and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -47,7 +49,7 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved"),
 )
 
-_MATCHES = "array<struct<template:int,label:string,line:long,first_word:long,overlap:int,containment:double>>"
+_MATCHES = "array<struct<template:int,label:string,line:long,first_word:long,last_word:long,overlap:int,containment:double>>"
 _SCHEMA = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, matches {_MATCHES}"
 
 
@@ -96,10 +98,41 @@ class Template:
     label: str
     members: np.ndarray  # ranks of its words, ascending: the rarest first
     need: int
+    span: int  # words of a block
+
+
+class Tiles:
+    """Templates that share a length of tiles, with an inverted index over their prefixes."""
+
+    def __init__(self, step: int, words: int):
+        self.step, self.templates = step, {}
+        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.member, self.prefix = np.zeros(words, dtype=bool), np.zeros(words, dtype=bool)  # by rank
+
+    def add(self, number: int, template: Template) -> None:
+        self.templates[number] = template
+        self.member[template.members] = True
+        for i, r in enumerate(template.members[: len(template.members) - template.need + 1].tolist()):
+            self.postings[r].append((number, i))
+            self.prefix[r] = True
+
+    def reachable(self, tile: np.ndarray) -> list[int]:
+        """Templates that a tile (its ranks, ascending and distinct) reaches."""
+        shared: dict[int, int] = defaultdict(int)
+        dead = set()
+        for j, r in enumerate(tile.tolist()):
+            for t, i in self.postings.get(r, ()):
+                template = self.templates[t]
+                rest = min(len(template.members) - i, len(tile) - j)
+                if len(tile) < template.need or shared[t] + rest < template.need:
+                    dead.add(t)
+                shared[t] += 1
+        own = [(t, self.templates[t]) for t in sorted(set(shared) - dead)]
+        return [t for t, x in own if int(np.isin(x.members, tile, assume_unique=True).sum()) >= x.need]
 
 
 class Index:
-    """Templates in the corpus-wide order, with an inverted index over their prefixes."""
+    """Templates in the corpus-wide order of words, by the length of their tiles."""
 
     def __init__(self, counts: dict[int, int], templates=TEMPLATES):
         self.vocabulary = Vocabulary(templates)
@@ -108,36 +141,15 @@ class Index:
         self.rank = np.zeros(len(names), dtype=np.int64)
         self.rank[order] = np.arange(len(names))
         number = {x: i for i, x in enumerate(names)}
-        self.templates, self.postings = [], defaultdict(list)
+        self.templates, tiles = [], {}
         for t, (label, text) in enumerate(templates):
-            members = np.unique(self.rank[[number[x] for x in text.split()]])
-            need = -(-len(members) * THRESHOLD[0] // THRESHOLD[1])
-            self.templates.append(Template(label, members, need))
-            for i in range(len(members) - need + 1):
-                self.postings[int(members[i])].append((t, i))
-        self.least = min((t.need for t in self.templates), default=1)
-        self.starts_candidate = np.zeros(len(names), dtype=bool)
-        self.starts_candidate[list(self.postings)] = True
-
-    def matches(self, block: np.ndarray) -> list[tuple[int, int]]:
-        """(template, overlap) of all templates that a block (its ranks, ascending) reaches."""
-        if len(block) < self.least:
-            return []
-        shared: dict[int, int] = defaultdict(int)
-        dead = set()
-        for j, r in enumerate(block.tolist()):
-            for t, i in self.postings.get(r, ()):
-                template = self.templates[t]
-                rest = min(len(template.members) - i, len(block) - j)
-                if len(block) < template.need or shared[t] + rest < template.need:
-                    dead.add(t)
-                shared[t] += 1
-        found = []
-        for t in sorted(set(shared) - dead):
-            overlap = int(np.isin(self.templates[t].members, block, assume_unique=True).sum())
-            if overlap >= self.templates[t].need:
-                found.append((t, overlap))
-        return found
+            words = text.split()
+            members = np.unique(self.rank[[number[x] for x in words]])
+            need, span = -(-len(members) * THRESHOLD[0] // THRESHOLD[1]), len(words) + max(len(words) // 2, 4)
+            self.templates.append(Template(label, members, need, span))
+            step = 1 << (span - 1).bit_length()
+            tiles.setdefault(step, Tiles(step, len(names))).add(t, self.templates[-1])
+        self.tiles = [tiles[k] for k in sorted(tiles)]
 
 
 def _count(templates):
@@ -172,71 +184,73 @@ def phrase_places(ws: w.Words, phrase: str) -> np.ndarray:
     return np.array([i for i in at.tolist() if all(ws.text(i + k) == x for k, x in enumerate(names))], dtype=np.int64)
 
 
-def _reached(index: Index, begins: np.ndarray, at: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(first word of the window, template, overlap, first template word as a place in ``at``), windows in order.
+def _blocks(template: Template, at: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(first and last template word, overlap) of the runs within ``span`` words that reach a template, for each of its words as the last.
 
-    Windows slide over each stretch of words from one of ``begins`` to the next. Of neighbouring windows that
-    reach one template the best stands for all.
+    ``at``: places of template words in a tile, ascending.
     """
-    first = begins[np.searchsorted(begins, at, "right") - 1]
-    cell = (at - first) // (BLOCK_WORDS // 2)
+    own = np.isin(rank, template.members, assume_unique=False)
+    places, counts, low, distinct = at[own].tolist(), defaultdict(int), 0, 0
+    ranks = rank[own].tolist()
+    for k, (place, r) in enumerate(zip(places, ranks, strict=True)):
+        counts[r] += 1
+        distinct += counts[r] == 1
+        while places[low] <= place - template.span:
+            counts[ranks[low]] -= 1
+            distinct -= counts[ranks[low]] == 0
+            low += 1
+        while counts[ranks[low]] > 1:  # a later one stands for it
+            counts[ranks[low]] -= 1
+            low += 1
+        if distinct >= template.need:
+            yield places[low], places[k], distinct
+
+
+def _candidates(tiles: Tiles, begins: np.ndarray, at: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(template, places, ranks) of the tiles that a template reaches. ``begins``: where documents begin."""
+    own = np.flatnonzero(tiles.member[rank])
+    at, rank = at[own], rank[own]
+    doc = np.searchsorted(begins, at, "right") - 1
+    cell = (at - begins[doc]) // tiles.step
     where = np.concatenate([np.arange(len(at)), np.flatnonzero(cell > 0)])
-    window = np.concatenate([cell, cell[cell > 0] - 1])
-    rank = rank[where]
-    order = np.lexsort((rank, window, first[where]))
-    where, window, rank = where[order], window[order], rank[order]
-    head = first[where]
-    cut = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (window[1:] != window[:-1])]))
-    able = np.add.reduceat(index.starts_candidate[rank].astype(np.int64), cut) > 0
-    held: dict[int, tuple[int, int, tuple]] = {}
-    for lo, hi in zip(cut[able], np.append(cut[1:], len(where))[able], strict=True):
-        for t, overlap in index.matches(np.unique(rank[lo:hi])):
-            h, k = int(head[lo]), int(window[lo])
-            made = (h + k * (BLOCK_WORDS // 2), t, overlap, int(where[lo:hi].min()))
-            was = held.get(t)
-            if was and was[:2] == (h, k - 1):
-                made = max(was[2], made, key=lambda m: m[2])
-            elif was:
-                yield was[2]
-            held[t] = (h, k, made)
-    for was in held.values():
-        yield was[2]
+    tile = np.concatenate([cell, cell[cell > 0] - 1])
+    order = np.lexsort((where, tile, doc[where]))
+    where, tile = where[order], tile[order]
+    head = doc[where]
+    cut = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tile[1:] != tile[:-1])]))
+    if not len(where):
+        return
+    ends = np.append(cut[1:], len(where))
+    able = (np.add.reduceat(tiles.prefix[rank[where]].astype(np.int64), cut) > 0) & (ends - cut >= min(t.need for t in tiles.templates.values()))
+    for lo, hi in zip(cut[able].tolist(), ends[able].tolist(), strict=True):
+        inside = where[lo:hi]
+        for t in tiles.reachable(np.unique(rank[inside])):
+            yield t, at[inside], rank[inside]
 
 
 def block_matches(index: Index, ws: w.Words) -> list[tuple[int, dict]]:
-    """(document, match) of all blocks of a slice."""
+    """(document, match) of all blocks of a slice; of blocks that share words the best is kept."""
     at, number = index.vocabulary.find(ws)
     if not len(at):
         return []
-    rank = index.rank[number]
-    doc = np.searchsorted(ws.first, at, "right") - 1
+    rank, begins = index.rank[number], ws.first[:-1]
+    blocks: dict[tuple[int, int], set[tuple[int, int, int]]] = defaultdict(set)
+    for tiles in index.tiles:
+        for t, places, ranks in _candidates(tiles, begins, at, rank):
+            doc = int(np.searchsorted(begins, places[0], "right")) - 1
+            blocks[doc, t].update(_blocks(index.templates[t], places, ranks))
     breaks = np.concatenate([[0], np.cumsum(ws.low == 0x0A)])
-    line_of = lambda i: breaks[ws.starts[i]]  # noqa: E731  lines are numbered through the slice
-    line = line_of(at)
-    # a line's first word: the first of its document, or the first after its line break
-    begins = np.flatnonzero(np.concatenate([[True], np.diff(line_of(np.arange(len(ws.starts)))) > 0]))
-    own = ws.first[:-1][np.diff(ws.first) > 0]
-    begins = np.union1d(begins, own)
-    found = list(_reached(index, begins, at, rank))
-    # stretches of several lines: their windows add what no line has as well
-    single = np.diff(np.append(begins, len(ws.starts))) == 1
-    stays = np.isin(begins, own) | (single & np.concatenate([[False], single[:-1]]))
-    heads = begins[stays]
-    lines = np.diff(np.append(np.flatnonzero(stays), len(begins)))
-    wide = np.flatnonzero(lines[np.searchsorted(heads, at, "right") - 1] > 1)
-    if len(wide):
-        near: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for begin, t, overlap, k in found:
-            near[int(doc[k]), t].append((begin, overlap))
-        for begin, t, overlap, k in _reached(index, heads, at[wide], rank[wide]):
-            k = int(wide[k])
-            if not any(abs(b - begin) < BLOCK_WORDS and o >= overlap for b, o in near[int(doc[k]), t]):
-                found.append((begin, t, overlap, k))
     out = []
-    for begin, t, overlap, k in sorted(found):
-        d, template = int(doc[k]), index.templates[t]
-        out.append((d, {"template": t, "label": template.label, "line": int(line[k] - line_of(ws.first[d])), "first_word": int(begin - ws.first[d]), "overlap": overlap, "containment": overlap / len(template.members)}))
-    return out
+    for (doc, t), found in blocks.items():
+        template, kept = index.templates[t], []
+        for overlap, size, first in sorted((-overlap, last - first, first) for first, last, overlap in found):
+            k = bisect(kept, (first + size, len(ws.starts), 0))  # what is kept begins no later than this one ends
+            if not k or kept[k - 1][1] < first:
+                kept.insert(k, (first, first + size, -overlap))
+        for first, last, overlap in kept:
+            line = int(breaks[ws.starts[first]] - breaks[ws.starts[ws.first[doc]]])
+            out.append((doc, first, {"template": t, "label": template.label, "line": line, "first_word": int(first - ws.first[doc]), "last_word": int(last - ws.first[doc]), "overlap": overlap, "containment": overlap / len(template.members)}))
+    return [(doc, m) for doc, _, m in sorted(out, key=lambda x: (x[0], x[1], x[2]["template"]))]
 
 
 def _scan(shared_index):
@@ -264,7 +278,7 @@ def _scan(shared_index):
                         pa.array([min(places[d]) if d in places else None for d in range(n)], pa.int64()),
                         pa.array([max(places[d]) if d in places else None for d in range(n)], pa.int64()),
                         pa.array([sorted(labels[d]) if d in labels else [] for d in range(n)], pa.list_(pa.string())),
-                        pa.array([matches.get(d, []) for d in range(n)], pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("line", pa.int64()), ("first_word", pa.int64()), ("overlap", pa.int32()), ("containment", pa.float64())]))),
+                        pa.array([matches.get(d, []) for d in range(n)], pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("line", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("overlap", pa.int32()), ("containment", pa.float64())]))),
                     ],
                     names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "matches"],
                 )
@@ -277,10 +291,11 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     ``templates``: (label, text) of the notices to join with, a list that fits the driver and every task.
 
-    ``matches`` lists every block that holds at least THRESHOLD of a template's words: template, label, line
-    (of the block's first template word, from 0), first_word of the block, overlap and containment. The best of
-    neighbouring blocks stands for them, and blocks across lines are listed where no line nearby does as well. Null and empty texts have no words and no
-    matches; null and repeated doc_ids keep their rows; an empty table gives an empty result.
+    ``matches`` lists the blocks that hold at least THRESHOLD of a template's words: template, label, line (of the block's
+    first template word; a document's first word is in line 0), first_word and last_word (its first and last template
+    word), overlap and containment. Templates may have any length. Of blocks of one template that share words the best
+    is kept (the shortest and first of equal ones), and none that shares a word with it. Null and empty texts have no words and no matches; null and
+    repeated doc_ids keep their rows; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     templates = normalised(templates)

@@ -9,6 +9,18 @@ from orbweave.llm import license_scan as s
 from tests.llm.helpers import SF, lower, odd_documents, plain_words
 
 
+def brute_blocks(text, templates=s.TEMPLATES):
+    """Template -> best containment over every run of its span's words, at every place of the whole text."""
+    have, best = plain_words(text), {}
+    for t, (_, template) in enumerate(templates):
+        words = template.split()
+        members, span = set(words), len(words) + max(len(words) // 2, 4)
+        most = max((len(members.intersection(have[i : i + span])) for i in range(len(have))), default=0)
+        if 10 * most >= 9 * len(members):
+            best[t] = most / len(members)
+    return best
+
+
 def brute(text):
     words = plain_words(text)
     places, base = [], set()
@@ -17,16 +29,7 @@ def brute(text):
         at = [i for i in range(len(words)) if words[i : i + len(parts)] == parts]
         places += at
         base |= {label} if at else set()
-    labels = set(base)
-    for line in lower(text).split("\n"):
-        have = plain_words(line)
-        half = s.BLOCK_WORDS // 2
-        for begin in range(0, max(1, len(have)), half):
-            block = set(have[begin : begin + s.BLOCK_WORDS])
-            for label, template in s.TEMPLATES:
-                members = set(template.split())
-                if 10 * len(block & members) >= 9 * len(members):
-                    labels.add(label)
+    labels = base | {s.TEMPLATES[t][0] for t in brute_blocks(text)}
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels))
 
 
@@ -54,7 +57,7 @@ def test_blocks(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got, _ = rows(spark, docs, tmp_path)
     assert got == sorted([(i, *brute(t)) for i, t in enumerate(texts)], key=str)
-    assert [g[6] for g in got] == ["mit", "", "", "", "all-rights-reserved", "", "", ""]
+    assert [g[6] for g in got] == ["mit", "", "", "all-rights-reserved", "all-rights-reserved", "", "", ""]
 
 
 def test_rare_words_come_first():
@@ -69,29 +72,9 @@ def test_empty_table(spark):
     assert s.scan_licenses(odd_documents(spark).where("false")).collect() == []
 
 
-def brute_blocks(text):
-    """Template -> best containment over half-overlapping windows of lines and of stretches of joined lines."""
-    lines = [x for x in map(plain_words, lower(text).split("\n")) if x]
-    stretches = []
-    for k, words in enumerate(lines):
-        if k and not (len(words) == 1 and len(lines[k - 1]) == 1):
-            stretches[-1] += words
-        else:
-            stretches.append(list(words))
-    best = {}
-    for have in lines + stretches:
-        for begin in range(0, len(have), s.BLOCK_WORDS // 2):
-            block = set(have[begin : begin + s.BLOCK_WORDS])
-            for t, (_, template) in enumerate(s.TEMPLATES):
-                members = set(template.split())
-                if 10 * len(block & members) >= 9 * len(members):
-                    best[t] = max(best.get(t, 0), len(block & members) / len(members))
-    return best
-
-
-def found_blocks(texts):
+def found_blocks(texts, templates=s.TEMPLATES):
     out = [{} for _ in texts]
-    index = s.Index({})
+    index = s.Index({}, templates)
     for i, _, data, offsets in s.w.slices(pa.array(texts)):
         for d, m in s.block_matches(index, s.w.split_words(data, offsets, s.w.LETTERS_DIGITS)):
             out[i + d][m["template"]] = max(out[i + d].get(m["template"], 0), m["containment"])
@@ -112,15 +95,35 @@ def test_wrapped_notices(spark, tmp_path):
     assert [label in g[6].split(",") for (label, _), g in zip(WRAPPED, got, strict=True)] == [True] * 4
 
 
-def test_best_of_neighbouring_windows_and_every_passage():
+def test_every_passage_once():
     mit = s.TEMPLATES[1][1].split()
-    pad = lambda n: ["x"] * n
-    text = " ".join(pad(110) + mit + pad(300) + mit)  # the first window misses the notice's last words
-    index = s.Index({})
-    (_, _, data, offsets), = s.w.slices(pa.array([text]))
-    got = [m for _, m in s.block_matches(index, s.w.split_words(data, offsets, s.w.LETTERS_DIGITS)) if m["template"] == 1]
-    assert [m["containment"] for m in got] == [1.0, 1.0] and got[0]["first_word"] == 64 and got[1]["first_word"] > 300
-    assert found_blocks([text]) == [brute_blocks(text)]
+    text = " ".join(["x"] * 110 + mit + ["x"] * 3 + mit + ["x"] * 300 + mit[:-1])
+    ((_, _, data, offsets),) = s.w.slices(pa.array([text]))
+    got = [m for _, m in s.block_matches(s.Index({}), s.w.split_words(data, offsets, s.w.LETTERS_DIGITS)) if m["template"] == 1]
+    assert [(m["first_word"], m["last_word"]) for m in got][::2] == [(110, 109 + len(mit)), (110 + 2 * len(mit) + 303, 110 + 3 * len(mit) + 301)]
+
+
+def test_templates_of_any_length_at_any_place():
+    """One-line notices, notices with a word a line, and such with other words between, at every offset."""
+    draw = random.Random(5)
+    for size in (1, 2, 3, 20, 82, 96, 128, 150, 400):
+        template = [("t", " ".join(f"term{i}" for i in range(size)))]
+        words = template[0][1].split()
+        texts = []
+        for offset in [*range(0, 300, 7), 100, 127, 128]:
+            said = [x for x in words for x in ([x, "other"] if size > 3 and draw.random() < 0.3 else [x])]
+            texts.append(draw.choice([" ", "\n"]).join(["x"] * offset + said + ["y"] * draw.randrange(200)))
+        got = found_blocks(texts, template)
+        assert got == [brute_blocks(t, template) for t in texts] and all(got)
+        lost = [x for x in words if draw.random() < 0.8]
+        assert found_blocks([" ".join(lost)], template) == [brute_blocks(" ".join(lost), template)]
+
+
+def test_repeated_template_words():
+    templates = [("a", "of the of the of the end"), ("b", "the the the"), ("c", "end of")]
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["of", "the", "end", "x"]) for _ in range(rng.randrange(60))) for _ in range(200)]
+    assert found_blocks(texts, templates) == [brute_blocks(t, templates) for t in texts]
 
 
 def test_blocks_against_brute_force():
