@@ -5,14 +5,16 @@ documents. Windows are looked at where they can matter: near five-word shingles
 items of their size, if an item has enough of them there to reach the threshold at all (a window that passes
 holds at least ``threshold`` of the item's shingle weight, so this loses nothing). Every such window, as long
 as the items of one size, gets a 64-bit SimHash of its weighted shingles. A multi-index over blocks of the
-fingerprints then names the candidates: all items of that size within ``RADIUS`` bits (by the pigeonhole
+fingerprints then names the candidates: all items of that size within the item's radius (by the pigeonhole
 principle one block differs in few bits). Exact weighted-shingle similarity (sum of smaller over sum of larger
 counts) decides, after a bound from the number of shared places in the window.
 
-At similarity 0.75 the fingerprints of 64 bits differ in about 11 bits (standard deviation 3); the radius
-leaves five standard deviations. A block of 7 bits may then differ in 2, which most random values do, so it is
-the exact count of differing bits that parts most windows from an item (random ones differ in 32 bits,
-standard deviation 4).
+The radius is the item's own (``radius``). How many bits a window at the threshold can differ in depends on how far the
+item's sums of votes are from zero, and on how heavy the shingles may be that it loses or gains: a word more at the end of
+"x y x y x y ..." turns over a quarter of the bits. Each bit's chance to turn over follows from both, for the heaviest loss and the
+heaviest gain that the threshold allows, and the radius is the least that more bits exceed with a chance below ``MISSED``. Such
+radii are wide (30 to 50 of 64 bits for texts of 30 words and more, all 64 for the shortest), so it is the
+bound from shared places that parts most windows from an item.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,8 @@ from orbweave.llm.shared import table, whole_text
 
 SHINGLE = 5
 THRESHOLD = 0.75
-RADIUS = 26
+MISSED = 1e-12  # chance that a window at the threshold lies outside the radius
 BLOCKS = 9  # of the fingerprint: eight of 7 bits and one of 8
-BLOCK_RADIUS = RADIUS // BLOCKS
 BLOCK_ITEMS, BLOCK_CHARS = 4096, 8 << 20
 _SCHEMA = "doc_id long, item_id long, similarity double, start_word long, window_words long, hamming int"
 _BIT_AT = [*range(0, 56, 7), 56, 64]
@@ -68,28 +70,54 @@ def similarity(a: Counter, b: Counter) -> float:
     return low / high if high else 0.0
 
 
+def radius(bag: Counter, sums: np.ndarray) -> int:
+    """Bits in which windows as similar to an item as the threshold asks may differ from it (see above).
+
+    It may lose the heaviest shingles, a share of 1 - threshold of the item's weight in a document shorter than the item, and gain
+    one shingle again and again (a run of one word, with the SHINGLE - 1 shingles that lead into it).
+    """
+    weights = sorted(bag.values(), reverse=True)
+    part = int((1 - THRESHOLD) / (1 + THRESHOLD) * sum(weights))
+    lost, left = 0, int((1 - THRESHOLD) * sum(weights))
+    for x in weights:
+        lost += min(x, left) ** 2
+        left -= min(x, left)
+    gained = part if part < SHINGLE else (part - SHINGLE + 1) ** 2 + SHINGLE - 1
+    share = lost / sum(x * x for x in weights)  # of what the sums owe to the lost shingles
+    spread = lost * (1 - share) + gained
+    if not spread:
+        return 0
+    turns = [0.5 * erfc(abs(x) * (1 - share) / sqrt(2 * spread)) for x in sums.tolist()]
+    chance = np.array([1.0])  # of 0, 1, 2, ... bits turned over
+    for p in turns:
+        chance = np.append(chance * (1 - p), 0.0) + np.insert(chance * p, 0, 0.0)
+    beyond = np.cumsum(chance[::-1])[::-1]  # of as many or more
+    return int(np.flatnonzero(np.append(beyond[1:], 0.0) < MISSED)[0])
+
+
 @dataclass
 class HammingIndex:
-    """Items of one window size: which of them a block's value is near to."""
+    """Items of one window size, each with its radius: which of them a block's value is near to."""
 
     items: np.ndarray
     prints: np.ndarray
+    radii: np.ndarray
     near: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self):
         for lo, hi in zip(_BIT_AT, _BIT_AT[1:], strict=False):
             values = np.arange(1 << (hi - lo), dtype=np.uint64)
             mine = (self.prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
-            self.near.append(np.bitwise_count(values[:, None] ^ mine[None, :]) <= BLOCK_RADIUS)
+            self.near.append(np.bitwise_count(values[:, None] ^ mine[None, :]) <= self.radii // BLOCKS)
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all pairs within the radius."""
+        """(window, item, distance) of all pairs within the item's radius."""
         found = np.zeros((len(prints), len(self.items)), dtype=bool)
         for near, lo, hi in zip(self.near, _BIT_AT, _BIT_AT[1:], strict=False):
             found |= near[((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)]
         i, j = np.nonzero(found)
         far = np.bitwise_count(prints[i] ^ self.prints[j]).astype(np.int64)
-        ok = far <= RADIUS
+        ok = far <= self.radii[j]
         return i[ok], j[ok], far[ok]
 
 
@@ -116,7 +144,7 @@ class BenchmarkBlock:
         for n in {n for n in self.sizes if n}:
             items = np.array([k for k, m in enumerate(self.sizes) if m == n])
             sums = np.stack([(votes(np.array(list(b), dtype=np.uint64)) * np.array(list(b.values()))[:, None]).sum(axis=0) for b in (self.bags[k] for k in items)])
-            self.index[n] = HammingIndex(items, fingerprints(sums))
+            self.index[n] = HammingIndex(items, fingerprints(sums), np.array([radius(self.bags[k], x) for k, x in zip(items.tolist(), sums, strict=True)]))
 
     def shared(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, item) of all places whose shingle an item has."""
