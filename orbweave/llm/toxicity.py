@@ -1,18 +1,21 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-A text is cut into clauses and each word becomes a symbol with a weight by a lexicon transducer. Five small
+A text is cut into clauses and each word becomes a symbol by a lexicon; insults come in three grades. Five small
 weighted transducers, written down as arcs, rewrite the sequence of symbols one after the other:
 
-* negation: marks an insult or threat that stands within reach after a negation;
-* report: marks all of them as told if the clause holds a word of reporting, before or after;
-* target: marks all of them as aimed if the clause holds somebody to aim at, before or after;
-* threat: keeps aimed threats and lets the others pass for plain words;
-* insult: ends the chain: it writes one reading for each insult and threat left.
+* negation: an insult or threat within reach after a negation is read as negated, or as not meant by it;
+* report: if the clause holds a word of reporting, before or after, it is read as told, or not;
+* target: if the clause holds somebody to aim at, before or after, it is read as aimed, or not;
+* threat: keeps threats that are read as aimed and lets the others pass for plain words;
+* insult: ends the chain: each insult and threat left is live, and written as a reading, or lapses.
 
-They are composed by product construction into one machine. "Before or after" makes two of them
-nondeterministic: they guess, and only the right guess ends in a final state. The best path of a clause (by
-the sum of its weights) gives the clause's readings, and a document is scored by the readings of its matched
-clauses, not by isolated words; a logistic layer fits what each kind of reading weighs.
+They are composed by product construction into one machine. "Before or after" makes two of them guess, and only
+the right guess ends in a final state; each choice of reading is an arc with a weight of its own: for a negation by its
+distance, for reports and targets by their side, for a live reading by its grade and marks. So a clause has many
+accepted paths, and with the weights as log odds each is a share of them all. A clause is toxic with the share of the paths that
+hold a live reading, a document if one of its clauses is, or by a small chance of its own: 1 - (1 - leak) * product of
+(1 - share). The best path gives a clause's readings. Weights are fitted to the labels by maximum likelihood, with the paths as
+latent variables, and drawn to starting values (fixed, and used as they are where there are no labels).
 
 The lexicon comes from small fixed lists and from the labels: words, word beginnings and word endings that set
 toxic documents apart are taken greedily while each explains documents that the ones before do not.
@@ -23,10 +26,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from bisect import bisect
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, cached_property
+from math import exp, inf, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +55,10 @@ NEGATIONS = "not never no isn't aren't wasn't don't doesn't pas jamais nicht kei
 REPORTS = "said says wrote claimed quoted called dit écrit affirme sagte sagt schrieb behauptete dijo dice escribió afirmó".split()
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, WORD = "insult", "threat", "target", "negation", "report", "word"
-SYMBOLS = (INSULT, THREAT, TARGET, NEGATION, REPORT, WORD)
+GRADES = (0.0, 3.0, 4.5)  # least log odds of a term that sets toxic documents apart, for each grade of insult
+INSULTING = tuple(f"{INSULT} {k + 1}" for k in range(len(GRADES)))
+HOT = (*INSULTING, THREAT)
+SYMBOLS = (*HOT, TARGET, NEGATION, REPORT, WORD)
 NEGATED, TOLD, AIMED = "not", "told", "aimed"  # marks that follow a symbol
 NEGATION_REACH = 3
 _CLAUSE = re.compile(r"[.!?;:|\n]+")
@@ -58,13 +66,27 @@ _WORD = re.compile(r"[^\x00-\x26\x28-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD_BYTES = w.LETTERS_DIGITS.copy()  # the same words over bytes; both lose apostrophes at their ends
 WORD_BYTES[0x27] = True
 _LOWER = {c: c + 32 for c in range(65, 91)}
-FEATURES = ("asserted", "aimed", "negated", "told", "threats", "any")
-_MEMO, _TERM_MEMO = 50_000, 10_000  # words whose symbols, and whose terms, a task remembers
+#: Starting values of the arcs' weights, by name, and of the leak (its log odds, nearly).
+START_WEIGHTS = {
+    "not:1": 4.0, "not:2": 3.5, "not:3": 2.0, "told:earlier": 2.5, "told:later": 2.0, "aimed:earlier": 1.0, "aimed:later": 0.5,
+    "live insult 1": 0.0, "live insult 2": 1.0, "live insult 3": 2.0, "live threat": 1.0, "live not": -4.0, "live told": -3.0, "live aimed": 1.0, "leak": -3.0,
+}
+_MEMO, _TERM_MEMO = 50_000, 10_000  # words and clauses whose symbols and sums, and words whose terms, a task remembers
+
+
+def _log_add(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    if a < b:
+        a, b = b, a
+    return a if b == -inf else a + log1p(exp(b - a))
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A weighted finite-state transducer: arcs (state, input) -> [(next state, output, weight)], final weights by state."""
+    """A weighted finite-state transducer: arcs (state, input) -> [(next state, output, weight)], final weights by state.
+
+    A weight is a number, or a tuple of names of numbers, which ``weighed`` adds up.
+    """
 
     starts: tuple
     arcs: dict
@@ -105,19 +127,40 @@ class Transducer:
         arcs = {(number[p], x): [(number[to], y, a) for to, y, a in out if to in alive] for (p, x), out in self.arcs.items() if p in alive}
         return Transducer(tuple(number[p] for p in self.starts if p in alive), {k: v for k, v in arcs.items() if v}, {number[p]: v for p, v in self.final.items()})
 
-    def best(self, symbols: list[tuple[str, float]]) -> tuple[float, list[tuple[str, float]]] | None:
-        """(weight, [(output, the input's weight)]) of the heaviest accepted path over weighted inputs.
+    def weighed(self, values: dict[str, float]) -> Transducer:
+        """The same machine with numbers for names."""
+        number = lambda names: sum(values[n] for n in names)
+        return Transducer(self.starts, {k: [(to, y, number(a)) for to, y, a in out] for k, out in self.arcs.items()}, {p: number(a) for p, a in self.final.items()})
+
+    def sums(self, symbols: Iterable[str]) -> tuple[float, float]:
+        """(log of the sum over all accepted paths of exp(weight), the same over those that write nothing)."""
+        both = {p: (0.0, 0.0) for p in self.starts}
+        for x in symbols:
+            grown: dict = {}
+            for p, (every, silent) in both.items():
+                for to, y, a in self.arcs.get((p, x), ()):
+                    u, v = grown.get(to, (-inf, -inf))
+                    grown[to] = (_log_add(u, every + a), v if y else _log_add(v, silent + a))
+            both = grown
+        total = (-inf, -inf)
+        for p, (every, silent) in both.items():
+            if p in self.final:
+                total = (_log_add(total[0], every + self.final[p]), _log_add(total[1], silent + self.final[p]))
+        return total
+
+    def best(self, symbols: Iterable[str]) -> tuple[float, list[str]] | None:
+        """(weight, outputs) of the heaviest accepted path.
 
         Of equal paths the one through the least states stays. None if no path is accepted.
         """
         paths = {p: (0.0, None) for p in self.starts}
-        for x, weight in symbols:
+        for x in symbols:
             grown: dict = {}
             for p in sorted(paths):
                 total, tail = paths[p]
                 for to, y, a in self.arcs.get((p, x), ()):
-                    if to not in grown or total + weight + a > grown[to][0]:
-                        grown[to] = (total + weight + a, (tail, y, weight) if y else tail)
+                    if to not in grown or total + a > grown[to][0]:
+                        grown[to] = (total + a, (tail, y) if y else tail)
             paths = grown
         ended = [(total + self.final[p], tail) for p, (total, tail) in sorted(paths.items(), key=lambda e: e[0]) if p in self.final]
         if not ended:
@@ -125,10 +168,17 @@ class Transducer:
         total, tail = max(ended, key=lambda e: e[0])  # the first of equal ones
         out = []
         while tail is not None:
-            tail, y, weight = tail
-            out.append((y, weight))
+            tail, y = tail
+            out.append(y)
         return total, out[::-1]
 
+    def paths(self, symbols: tuple[str, ...]) -> list[tuple]:
+        """(weight, outputs) of every accepted path. Their number grows with that of choices."""
+        found = [(p, None, ()) for p in self.starts]
+        for x in symbols:
+            found = [(to, a if w is None else w + a, (*out, y) if y else out) for p, w, out in found for to, y, a in self.arcs.get((p, x), ())]
+        return [(self.final[p] if w is None else w + self.final[p], out) for p, w, out in found if p in self.final]
+
 
 def _marked(symbols: tuple, marks: tuple) -> list[str]:
     """The symbols with every combination of marks, in the order in which the machines add them."""
@@ -139,26 +189,28 @@ def _marked(symbols: tuple, marks: tuple) -> list[str]:
 
 
 def negation(reach: int = NEGATION_REACH) -> Transducer:
-    """State k: the next k words are negated."""
+    """State k: the next k words are within reach; a hot one is negated, at a weight by its distance, or not meant."""
     arcs = {}
     for k in range(reach + 1):
         for x in SYMBOLS:
-            y = f"{x} {NEGATED}" if k and x in (INSULT, THREAT) else x
-            arcs[k, x] = [(reach if x == NEGATION else max(k - 1, 0), y, 0.0)]
-    return Transducer((0,), arcs, dict.fromkeys(range(reach + 1), 0.0))
+            to = reach if x == NEGATION else max(k - 1, 0)
+            arcs[k, x] = [(to, x, ())]
+            if k and x in HOT:
+                arcs[k, x].append((to, f"{x} {NEGATED}", (f"{NEGATED}:{reach - k + 1}",)))
+    return Transducer((0,), arcs, dict.fromkeys(range(reach + 1), ()))
 
 
 def _context(sign: str, mark: str, before: tuple) -> Transducer:
-    """Marks insults and threats if ``sign`` stands anywhere: a guess at the start that the sign must bear out."""
-    hot = _marked((INSULT, THREAT), before)
+    """Lets hot symbols be marked if ``sign`` stands anywhere: a guess at the start that the sign must bear out."""
+    hot = _marked(HOT, before)
     arcs = {}
-    for x in [*hot, *(y for y in SYMBOLS if y not in (INSULT, THREAT))]:
-        y = f"{x} {mark}" if x in hot else x
+    for x in [*hot, *(y for y in SYMBOLS if y not in HOT)]:
+        ways = lambda to, side, x=x: [(to, x, ())] + ([(to, f"{x} {mark}", (f"{mark}:{side}",))] if x in hot else [])
         if x != sign:
-            arcs["absent", x] = [("absent", x, 0.0)]
-        arcs["awaited", x] = [("met" if x == sign else "awaited", y, 0.0)]
-        arcs["met", x] = [("met", y, 0.0)]
-    return Transducer(("absent", "awaited"), arcs, {"absent": 0.0, "met": 0.0})
+            arcs["absent", x] = [("absent", x, ())]
+        arcs["awaited", x] = ways("met" if x == sign else "awaited", "later")
+        arcs["met", x] = ways("met", "earlier")
+    return Transducer(("absent", "awaited"), arcs, {"absent": (), "met": ()})
 
 
 def report() -> Transducer:
@@ -169,20 +221,28 @@ def target() -> Transducer:
     return _context(TARGET, AIMED, (NEGATED, TOLD))
 
 
-def _relay(rule, before: tuple) -> Transducer:
-    """One state that rewrites each symbol by ``rule``."""
-    symbols = [*_marked((INSULT, THREAT), before), *(y for y in SYMBOLS if y not in (INSULT, THREAT))]
-    return Transducer((0,), {(0, x): [(0, rule(x), 0.0)] for x in symbols}, {0: 0.0})
+def _relay(ways, before: tuple) -> Transducer:
+    """One state that rewrites each symbol in some ``ways``: (output, weight) pairs."""
+    symbols = [*_marked(HOT, before), *(y for y in SYMBOLS if y not in HOT)]
+    return Transducer((0,), {(0, x): [(0, y, a) for y, a in ways(x)] for x in symbols}, {0: ()})
 
 
 def threat() -> Transducer:
     """A threat at nobody ("kill the process") is a plain word."""
-    return _relay(lambda x: WORD if x.startswith(THREAT) and not x.endswith(AIMED) else x, (NEGATED, TOLD, AIMED))
+    return _relay(lambda x: [(WORD if x.startswith(THREAT) and not x.endswith(AIMED) else x, ())], (NEGATED, TOLD, AIMED))
 
 
 def insult() -> Transducer:
-    """The chain's end: readings of insults and threats stay, all else falls silent."""
-    return _relay(lambda x: x if x.startswith((INSULT, THREAT)) else "", (NEGATED, TOLD, AIMED))
+    """The chain's end: an insult or threat is live, at a weight by its grade and marks, or lapses; all else falls silent."""
+
+    def ways(x: str) -> list:
+        if not x.startswith(HOT):
+            return [("", ())]
+        kind = next(h for h in HOT if x.startswith(h))
+        marks = [m for m in (NEGATED, TOLD, AIMED) if m in x.split() and not (m == AIMED and kind == THREAT)]
+        return [("", ()), (x, (f"live {kind}", *(f"live {m}" for m in marks)))]
+
+    return _relay(ways, (NEGATED, TOLD, AIMED))
 
 
 @cache
@@ -216,37 +276,36 @@ class Grammar:
         seen = Counter(t for x in set(words) for t in self._known(x)[1])
         return frozenset(t for t, n in seen.items() if n > 1)
 
-    def symbol(self, word: str, twice: frozenset[str] = frozenset()) -> tuple[str, float]:
-        """The lexicon's heaviest arc for a word."""
+    def symbol(self, word: str, twice: frozenset[str] = frozenset()) -> str:
+        """A word's symbol: by the fixed lists, or the grade of its weightiest term."""
         fixed, terms = self._known(word)
         if fixed:
-            return fixed, 0.0
+            return fixed
         best = max((max(self.insults.get(t, 0.0), self.insults.get(TWICE + t, 0.0) if t in twice else 0.0) for t in terms), default=0.0)
-        return (INSULT, best) if best > 0 else (WORD, 0.0)
+        return INSULTING[bisect(GRADES, best) - 1] if best > 0 else WORD
 
-    def clauses(self, text: str) -> Iterator[tuple[float, list[tuple[str, float]]]]:
-        """(path weight, readings) of the clauses in which the machine leaves an insult or threat."""
+    def clauses(self, text: str) -> Iterator[tuple[str, ...]]:
+        """The symbols of the clauses that hold an insult or threat, without plain words that are out of any reach."""
         text = text.translate(_LOWER)
         clauses = [[y for x in _WORD.findall(c) if (y := x.strip("'"))] for c in _CLAUSE.split(text)]
         twice = self.twice(x for c in clauses for x in c)
         for words in clauses:
-            symbols = [self.symbol(x, twice) for x in words]
-            if any(x in (INSULT, THREAT) for x, _ in symbols):
-                found = machine().best(symbols)
-                if found and found[1]:
-                    yield found
-
-    def features(self, text: str) -> np.ndarray:
-        """By document: weights of asserted insults, and numbers of clauses by what is read in them."""
-        total = dict.fromkeys(FEATURES, 0.0)
-        for _, readings in self.clauses(text):
-            total["any"] = 1.0
-            total["asserted"] += max((a for y, a in readings if y.startswith(INSULT) and NEGATED not in y and TOLD not in y), default=0.0)
-            total["aimed"] += any(y.startswith(INSULT) and y.endswith(AIMED) for y, _ in readings)
-            total["negated"] += any(NEGATED in y for y, _ in readings)
-            total["told"] += any(TOLD in y for y, _ in readings)
-            total["threats"] += any(y.startswith(THREAT) for y, _ in readings)
-        return np.array([np.log1p(v) if k != "any" else v for k, v in total.items()])
+            symbols, plain = [], 0
+            for x in (self.symbol(word, twice) for word in words):
+                plain = plain + 1 if x == WORD else 0
+                if plain <= NEGATION_REACH:
+                    symbols.append(x)
+            if any(x in HOT for x in symbols):
+                yield tuple(symbols)
+
+
+def views(clause: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
+    """A clause as clauses of one hot symbol each, with what bears on it; the product of their sums is the clause's."""
+    for i, x in enumerate(clause):
+        if x in HOT:
+            far = next((d for d in range(1, NEGATION_REACH + 1) if i >= d and clause[i - d] == NEGATION), None)
+            near = (NEGATION, *[WORD] * (far - 1)) if far else ()
+            yield (*(s for s in (REPORT, TARGET) if s in clause[:i]), *near, x, *(s for s in (REPORT, TARGET) if s in clause[i:]))
 
 
 _FIXED = {x: k for k, xs in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (THREAT, THREATS)) for x in xs}
@@ -406,29 +465,92 @@ def choose_terminals(candidates: list[str], rows: list[tuple[int, list[int]]]) -
     return chosen
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last weight is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = ridge * np.eye(x.shape[1])
-    penalty[-1, -1] = 1e-3
-    b = np.zeros(x.shape[1])
+def _log_sums(scores: np.ndarray) -> tuple[float, np.ndarray]:
+    """(log of the sum of exponentials, each one's share)."""
+    top = scores.max()
+    shares = np.exp(scores - top)
+    return top + float(np.log(shares.sum())), shares / shares.sum()
+
+
+def fit_weights(seen: list[tuple[int, dict[tuple[str, ...], int]]], ridge: float = 1.0, rounds: int = 60) -> dict[str, float]:
+    """Maximum-likelihood weights, with a ridge towards their starting values: Newton steps, halved until they gain.
+
+    ``seen``: for each document its label and how often it has each view.
+    """
+    names = list(START_WEIGHTS)
+    start = np.array(list(START_WEIGHTS.values()))
+    known = sorted({v for _, counts in seen for v in counts})
+    number = {v: i for i, v in enumerate(known)}
+    found = []  # by view: how often each path takes each weight, and which paths write nothing
+    for view in known:
+        paths = machine().paths(view)
+        found.append((np.array([[p.count(n) for n in names] for p, _ in paths], dtype=float), np.array([not out for _, out in paths])))
+    row = np.array([d for d, (_, counts) in enumerate(seen) for _ in counts], dtype=np.int64)
+    column = np.array([number[v] for _, counts in seen for v in counts], dtype=np.int64)
+    times = np.array([n for _, counts in seen for n in counts.values()], dtype=float)
+    y = np.array([label for label, _ in seen], dtype=float)
+    penalty = np.full(len(names), ridge)
+    penalty[names.index("leak")] = 1e-3
+
+    def loss(b: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slope = np.zeros(len(known)), np.zeros((len(known), len(names)))
+        for i, (uses, silent) in enumerate(found):
+            scores = uses @ b
+            (every, share), (nothing, rest) = _log_sums(scores), _log_sums(scores[silent])
+            value[i], slope[i] = every - nothing, share @ uses - rest @ uses[silent]
+        leak = np.logaddexp(0.0, b[-1])
+        t = np.maximum(leak + np.bincount(row, weights=times * value[column], minlength=len(y)), 1e-12)
+        by_t = (1 - y) - y / np.expm1(np.minimum(t, 500.0))
+        gradient = np.bincount(column, weights=times * by_t[row], minlength=len(known)) @ slope
+        gradient[-1] += by_t.sum() / (1 + np.exp(-b[-1]))
+        total = ((1 - y) * t - y * np.log(-np.expm1(-t))).sum() + 0.5 * (penalty * (b - start) ** 2).sum()
+        return float(total), gradient + penalty * (b - start)
+
+    b = start.copy()
+    now, gradient = loss(b)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ b)
-        b -= step
-        if np.abs(step).max() < 1e-9:
+        curve = np.stack([(loss(b + h)[1] - gradient) / 1e-5 for h in np.eye(len(b)) * 1e-5])
+        size, axes = np.linalg.eigh((curve + curve.T) / 2)
+        step = axes @ ((axes.T @ gradient) / np.maximum(np.abs(size), 1e-3))
+        scale = 1.0
+        while scale > 1e-6 and not loss(b - scale * step)[0] < now:
+            scale /= 2
+        if scale <= 1e-6:
+            break
+        b = b - scale * step
+        was, (now, gradient) = now, loss(b)
+        if was - now < 1e-9 * abs(was):
             break
-    return b
+    return dict(zip(names, b.tolist(), strict=True))
 
 
 @dataclass(frozen=True)
 class Model:
     grammar: Grammar
-    weights: tuple[float, ...]
+    weights: dict[str, float]
+    _sums: dict = field(default_factory=dict, compare=False, repr=False)
+
+    @cached_property
+    def machine(self) -> Transducer:
+        return machine().weighed(self.weights)
+
+    def doubt(self, clause: tuple[str, ...]) -> float:
+        """-log of the share of a clause's paths that hold no live reading."""
+        found = self._sums.get(clause)
+        if found is None:
+            if len(self._sums) >= _MEMO:
+                self._sums.clear()
+            every, silent = self.machine.sums(clause)
+            found = self._sums[clause] = every - silent
+        return found
 
     def score(self, text: str | None) -> float:
-        x = np.append(self.grammar.features(text or ""), 1.0)
-        return float(1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30))))
+        leak = float(np.logaddexp(0.0, self.weights["leak"]))
+        return -float(np.expm1(-leak - sum(map(self.doubt, self.grammar.clauses(text or "")))))
+
+    def readings(self, text: str | None) -> list[tuple[float, list[str]]]:
+        """(share of paths with a live reading, readings on the best path) of each clause with an insult or threat."""
+        return [(-float(np.expm1(-self.doubt(c))), self.machine.best(c)[1]) for c in self.grammar.clauses(text or "")]
 
     def to_json(self) -> str:
         return json.dumps({"insults": self.grammar.insults, "weights": self.weights})
@@ -438,7 +560,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most FIT_ROWS labelled rows outside the held-out fold (those least by a hash of doc_id).
 
     Equal texts of the sample count once, repeated labels included; rows with null labels or ids are left out.
-    Without any labelled rows, as in empty tables, the fixed lists alone score, with fixed weights. The sample's
+    Without labelled rows of both kinds, as in empty tables, the fixed lists score with the starting weights. The sample's
     texts are written to the shared folder once, so ``docs`` is read once.
     """
     sample = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -451,18 +573,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     candidates = [r["term"] for r in good.orderBy("term").select("term").collect()]  # terms of FIT_ROWS texts
     seen = [(int(r["toxic"]), list(r["hits"])) for r in rows.mapInArrow(_find_terms(candidates), "toxic long, hits array<int>").collect()]  # FIT_ROWS rows
     grammar = Grammar({x: 1.0 for x in INSULTS} | choose_terminals(candidates, seen))
-    made = rows.mapInArrow(_features(grammar), "toxic long, features array<double>").collect()
-    y = np.array([r["toxic"] for r in made], dtype=float)
-    if len(set(y.tolist())) < 2:
-        return Model(grammar, (2.0, 0.5, -0.5, -0.5, 2.0, 0.5, -3.0))
-    return Model(grammar, tuple(fit_logistic(np.array([r["features"] for r in made]), y).tolist()))
+    made = rows.mapInArrow(_views(grammar), "toxic long, views array<string>, times array<long>").collect()  # FIT_ROWS rows
+    if len({r["toxic"] for r in made}) < 2:
+        return Model(grammar, dict(START_WEIGHTS))
+    return Model(grammar, fit_weights([(r["toxic"], {tuple(v.split("|")): n for v, n in zip(r["views"], r["times"], strict=True)}) for r in made]))
 
 
-def _features(grammar: Grammar):
+def _views(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [grammar.features(t).tolist() for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(1).cast(pa.int64()), pa.array(made, pa.list_(pa.float64()))], names=["toxic", "features"])
+            made = [Counter("|".join(v) for c in grammar.clauses(t) for v in views(c)) for t in batch.column(0).to_pylist()]
+            yield pa.record_batch([batch.column(1).cast(pa.int64()), pa.array([list(c) for c in made], pa.list_(pa.string())), pa.array([list(c.values()) for c in made], pa.list_(pa.int64()))], names=["toxic", "views", "times"])
 
     return run
 

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 from orbweave.llm import toxicity as t
@@ -16,24 +17,41 @@ def test_held_out_accuracy(spark):
     assert wins >= 0.95 * len(bad) * len(good)
 
 
-def readings(g, text):
-    return [[y for y, _ in found] for _, found in g.clauses(text)]
+def model(insults, **changed):
+    return t.Model(t.Grammar(insults), t.START_WEIGHTS | {k.replace("_", " "): v for k, v in changed.items()})
+
+
+def readings(m, text):
+    return [found for _, found in m.readings(text)]
 
 
 def test_clauses():
-    g = t.Grammar({"idiot": 1.0, "^dumm": 2.0, "wurst$": 1.5})
-    assert readings(g, "You are an idiot.") == [["insult aimed"]]
-    assert readings(g, "You are not an idiot.") == [["insult not aimed"]]
-    assert readings(g, "He said you are an idiot.") == [["insult told aimed"]]
-    assert readings(g, "You are an idiot, she wrote") == [["insult told aimed"]]
-    assert readings(g, "not a very wise but an idiot") == [["insult"]]
-    assert readings(g, "I will kill you! Nice day.") == [["threat aimed"]]
-    assert readings(g, "I will not kill you, you idiot") == [["threat not aimed", "insult aimed"]]
-    assert readings(g, "Kill the process.") == []
-    assert readings(g, "idiot; fine. they said nothing") == [["insult"]]
-    assert readings(g, "DUMMkopf") == [["insult"]] and readings(g, "hanswurst") == [["insult"]]
-    assert g.symbol("dummheit") == (t.INSULT, 2.0) and g.symbol("you")[0] == t.TARGET and g.symbol("tree")[0] == t.WORD
-    assert [x for x, _ in g.clauses("a dummkopf and an idiot")] == [3.0]
+    m = model({"idiot": 5.0, "^dumm": 3.5, "wurst$": 1.5})
+    assert readings(m, "You are an idiot.") == [["insult 3 aimed"]]
+    assert readings(m, "You are not an idiot.") == [[]] and m.score("You are not an idiot.") < m.score("You are an idiot.")
+    assert readings(m, "I will kill you! Nice day.") == [["threat aimed"]]
+    assert readings(m, "Kill the process.") == [[]] and m.score("Kill the process.") == m.score("")
+    assert readings(m, "idiot; fine. they said nothing") == [["insult 3"]]
+    assert readings(m, "DUMMkopf") == [["insult 2"]] and m.grammar.symbol("hanswurst") == "insult 1"
+    assert m.grammar.symbol("dummheit") == "insult 2" and m.grammar.symbol("you") == t.TARGET and m.grammar.symbol("tree") == t.WORD
+    assert m.score("He said you are an idiot") < m.score("You are an idiot") and m.score("You are an idiot, she wrote") < m.score("You are an idiot")
+    assert m.score("not an idiot") < m.score("not an utter idiot") < m.score("not an utter and proper idiot") == m.score("an utter and proper idiot")
+
+
+def test_weights_decide_between_readings():
+    """Each kind of arc: with another weight a clause has another best reading, and the document another score."""
+    text = "He said you are not an idiot"
+    m = model({"idiot": 5.0})
+    clause = next(iter(m.grammar.clauses(text)))
+    every = {out for _, out in t.machine().paths(clause)}
+    marks = ("", " not", " told", " not told")
+    assert every == {()} | {(f"insult 3{a}{b}",) for a in marks for b in ("", " aimed")}
+    cases = {"not:2": (9.0, text), "told:earlier": (9.0, "he said idiot"), "told:later": (9.0, "idiot, he said"), "aimed:earlier": (-9.0, "you idiot"), "aimed:later": (-9.0, "idiot you"), "live insult 3": (-9.0, "idiot"), "live aimed": (-9.0, "you idiot"), "live threat": (-9.0, "kill you"), "live not": (9.0, "not idiot"), "live told": (9.0, "he said idiot")}
+    for name, (value, said) in cases.items():
+        other = t.Model(m.grammar, t.START_WEIGHTS | {name: value})
+        assert abs(other.score(said) - m.score(said)) > 0.02, name
+        assert readings(other, said) != readings(m, said) or name in ("not:2", "told:earlier", "told:later"), name
+    assert t.Model(m.grammar, t.START_WEIGHTS | {"live not": 9.0}).readings("not an idiot")[0][1] == ["insult 3 not"]
 
 
 def all_paths(m, symbols, state=None):
@@ -47,16 +65,57 @@ def all_paths(m, symbols, state=None):
 
 def test_the_composed_machine_is_the_chain_of_its_parts():
     parts = [t.negation(), t.report(), t.target(), t.threat(), t.insult()]
-    for n in range(5):
+    draw = random.Random(6)
+    values = {n: draw.uniform(-1, 1) for n in t.START_WEIGHTS}
+    weighed = t.machine().weighed(values)
+    for n in range(4):
         for clause in itertools.product(t.SYMBOLS, repeat=n):
-            found = [(0.0, clause)]
+            if n == 3 and draw.random() < 0.8:
+                continue
+            found = [((), clause)]
             for m in parts:
                 found = [(w + a, out) for w, x in found for a, out in all_paths(m, x)]
-            got = all_paths(t.machine(), clause)
-            assert len(got) == len(found) == 1  # the guesses leave one path
-            assert [y for y in got[0][1] if y] == [y for y in found[0][1] if y]
-            total, out = t.machine().best([(x, 0.5) for x in clause])
-            assert total == 0.5 * n and [y for y, _ in out] == [y for y in found[0][1] if y]
+            plain = sorted((sorted(w), [y for y in out if y]) for w, out in found)
+            assert sorted((sorted(w), list(out)) for w, out in t.machine().paths(clause)) == plain
+            assert (len(plain) > 1) == any(x in t.HOT and (x != t.THREAT or t.TARGET in clause) or x in t.HOT and (t.REPORT in clause or t.NEGATION in clause[:i]) for i, x in enumerate(clause))
+            total = {False: 0.0, True: 0.0}
+            for w, out in plain:
+                total[bool(out)] += math.exp(sum(values[x] for x in w))
+            every, silent = weighed.sums(clause)
+            assert abs(math.exp(every) - sum(total.values())) < 1e-9 * math.exp(every) and abs(math.exp(silent) - total[False]) < 1e-9 * math.exp(silent)
+            assert abs(weighed.best(clause)[0] - max(sum(values[x] for x in w) for w, _ in plain)) < 1e-9
+
+
+def test_a_clause_is_the_product_of_its_views():
+    draw = random.Random(7)
+    m = t.machine().weighed({n: draw.uniform(-2, 2) for n in t.START_WEIGHTS})
+    for _ in range(500):
+        clause = tuple(draw.choice(t.SYMBOLS) for _ in range(draw.randrange(12)))
+        doubt = lambda c: m.sums(c)[0] - m.sums(c)[1]
+        assert abs(doubt(clause) - sum(map(doubt, t.views(clause)))) < 1e-9
+    every, silent = m.sums([t.INSULTING[2]] * 5000)
+    assert every - silent > 1000 and math.isfinite(every)
+
+
+def test_weights_are_learnt():
+    """Labels drawn from a machine's own shares bring back its weights' effect: scores, and which kind of clause is toxic."""
+    draw = random.Random(11)
+    true = t.Model(t.Grammar({}), t.START_WEIGHTS | {"live not": 1.0, "live insult 1": -3.0, "live told": -6.0, "leak": -5.0})
+    seen, kinds = [], []
+    for _ in range(4000):
+        clause = tuple(draw.choice([*t.HOT, t.NEGATION, t.REPORT, t.TARGET, t.WORD]) for _ in range(draw.randrange(1, 4)))
+        counts = {}
+        for v in t.views(clause):
+            counts[v] = counts.get(v, 0) + 1
+        share = 1 - (1 - math.log1p(math.exp(-5.0))) * math.exp(-true.doubt(clause))
+        seen.append((int(draw.random() < share), counts))
+        kinds.append(clause)
+    got = t.Model(t.Grammar({}), t.fit_weights(seen, ridge=0.01))
+    gaps = [abs(math.exp(-got.doubt(c)) - math.exp(-true.doubt(c))) for c in kinds]
+    assert sum(gaps) / len(gaps) < 0.02
+    assert got.weights["live insult 1"] < got.weights["live insult 3"] - 2
+    again = t.fit_weights(seen[::-1], ridge=0.01)
+    assert all(abs(again[k] - v) < 1e-3 for k, v in got.weights.items())
 
 
 def test_best_path_is_the_heaviest_of_all():
@@ -65,12 +124,12 @@ def test_best_path_is_the_heaviest_of_all():
     both = a.compose(b).trim()
     for n in range(6):
         for clause in itertools.product("ab", repeat=n):
-            weights = [0.1 * i for i in range(n)]
-            plain = [(w + v + sum(weights), out) for w, x in all_paths(a, clause) for v, out in all_paths(b, x)]
-            got = both.best(list(zip(clause, weights)))
+            plain = [(w + v, out) for w, x in all_paths(a, clause) for v, out in all_paths(b, x)]
+            got = both.best(clause)
             assert (got is None) == (not plain)
             if plain:
                 assert abs(got[0] - max(w for w, _ in plain)) < 1e-9
+                assert abs(math.exp(both.sums(clause)[0]) - sum(math.exp(w) for w, _ in plain)) < 1e-6 * math.exp(both.sums(clause)[0])
 
 
 def spotted(g, texts):
