@@ -75,13 +75,15 @@ def event_timeline(reactions: DataFrame, roles: DataFrame, available: DataFrame,
     cut = cut.select(key, F.col("start").alias("source_start"), F.col("end").alias("source_end"), "support", start.alias("start"), end.alias("end")).where("end > start")
     numbered = cut.withColumn("event_id", F.format_string("event:reaction:%04d", F.row_number().over(Window.partitionBy(key).orderBy("start", "end")) - 1))
     bound = numbered.join(role_pairs(roles, key), key)
-    spans = available.select(F.col(key).alias("_key"), F.col("candidate_id").alias("_id"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    seen = bound.join(spans, (F.col(key) == F.col("_key")) & (F.col("proposed_id") == F.col("_id")), "left")
-    part = F.struct(F.greatest("start", "_s").alias("start"), F.least("end", "_e").alias("end"))
-    inside = F.col("_s").isNotNull() & (F.least("end", "_e") > F.greatest("start", "_s"))
-    onset = F.coalesce((F.col("_s") <= F.col("source_start")) & (F.col("source_start") < F.col("_e")), F.lit(False))
+    events = bound.select(key, "event_id", F.col("proposed_id").alias("candidate_id"), F.col("source_start").alias("start"), F.col("source_end").alias("end"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    seen = intervals.overlaps(events, available.select(key, "candidate_id", "start", "end"), [key, "candidate_id"])
+    part = F.struct(F.greatest("_s", "start_right").alias("start"), F.least("_e", "end_right").alias("end"))
+    inside = F.least("_e", "end_right") > F.greatest("_s", "start_right")
+    onset = (F.col("start_right") <= F.col("start")) & (F.col("start") < F.col("end_right"))
+    parts = seen.groupBy(key, "event_id").agg(F.bool_or(onset).alias("onset_available"), F.sort_array(F.collect_list(F.when(inside, part))).alias("available"))
+    none = F.array().cast(parts.schema["available"].dataType)
     names = [key, "event_id", "start", "end", "source_start", "source_end", "support", "current_id", "proposed_id"]
-    return seen.groupBy(*names).agg(F.bool_or(onset).alias("onset_available"), F.sort_array(F.collect_list(F.when(inside, part))).alias("available"))
+    return bound.join(parts, [key, "event_id"], "left").select(*names, F.coalesce("onset_available", F.lit(False)).alias("onset_available"), F.coalesce("available", none).alias("available"))
 
 
 def view_gain(decisions: DataFrame, reactions: DataFrame, roles: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,29 +34,73 @@ def runs_of(df: DataFrame, keys: list[str], order: list[str], value: str) -> Dat
     return df.withColumn("_changed", changed).withColumn("run", F.sum("_changed").over(w)).drop("_changed")
 
 
+_UNBOUNDED = 9999  # stands for the level of intervals without a finite length
+
+
+def _length_level() -> Column:
+    """The power of two that an interval's length doesn't exceed; null for intervals without one."""
+    length = F.col("end") - F.col("start")
+    finite = (F.abs("start") < float("inf")) & (F.abs("end") < float("inf"))
+    return F.when(~finite, _UNBOUNDED).when(length > 0, F.ceil(F.log2(length)).cast("int"))
+
+
+def _slot_levels(left: DataFrame, right: DataFrame) -> tuple[float, float, int, int, list[int], list[int]]:
+    """(least and greatest bound, level of short and of unbounded intervals, levels of either side), out of one pass over both.
+
+    The level of an interval is the power of two that its length doesn't exceed; what is shorter than half of all intervals
+    shares the base level. The pass gives a row for each side and level, so at most as many as there are exponents.
+    """
+    side = lambda df, n: df.select(F.lit(n).alias("side"), _length_level().alias("level"), *[F.when(F.abs(c) < float("inf"), F.col(c)).alias(c) for c in ("start", "end")])
+    rows = side(left, 0).unionAll(side(right, 1)).groupBy("side", "level").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("start", "end")).alias("low"), F.max(F.greatest("start", "end")).alias("high")).collect()
+    low, high = min((r["low"] for r in rows if r["low"] is not None), default=0.0), max((r["high"] for r in rows if r["high"] is not None), default=0.0)
+    known = sorted((r["level"], r["n"]) for r in rows if r["level"] not in (None, _UNBOUNDED))
+    base, below = math.ceil(math.log2((high - low) / max(sum(r["n"] for r in rows), 1))) if high > low else 0, 0
+    for level, n in known:
+        base, below = level, below + n
+        if 2 * below >= sum(x for _, x in known):
+            break
+    base = max(base, math.ceil(math.log2(max(abs(low), abs(high), 1.0))) - 50)  # slots are numbered within 64 bits
+    whole = max(base, math.ceil(math.log2(high - low)) if high > low else base)
+    of = lambda n: sorted({whole if r["level"] == _UNBOUNDED else max(base, base if r["level"] is None else r["level"]) for r in rows if r["side"] == n})
+    return low, high, base, whole, of(0), of(1)
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of half-open intervals of one key that overlap, with the part they share."""
-    a, b = left.alias("a"), right.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    """Pairs of half-open intervals of one key that overlap, with the part they share.
+
+    An equality join on slots of time, whose width grows with an interval's level (``_slot_levels``), so that each spans two
+    or three slots at its own level. A pair meets at the coarser of its two levels, in the slot where its common part
+    begins and in no other. So the intervals of one key are dealt to many tasks, and a short interval meets those near it
+    and the long ones over it, not all of its key. Bounds may be infinite; null bounds overlap nothing.
+    """
+    low, high, base, whole, of_left, of_right = _slot_levels(left, right)
+    clamped = lambda c: F.greatest(F.lit(low), F.least(F.lit(high), c))
+    slot = lambda t, level: F.floor(t / F.pow(F.lit(2.0), level)).cast("long")
+
+    def dealt(df: DataFrame, own: list[int], others: list[int]) -> DataFrame:
+        level = F.when(_length_level() == _UNBOUNDED, whole).otherwise(F.greatest(F.lit(base), F.coalesce(_length_level(), F.lit(base))))
+        meets = F.filter(F.array(*map(F.lit, sorted({*own, *others, base}))), lambda x: (x == F.col("_level")) | ((x > F.col("_level")) & x.isin(others)))
+        spread = df.where("start is not null and end is not null").withColumn("_level", level).withColumn("_at", F.explode(meets))
+        first, last = slot(clamped(F.col("start")), F.col("_at")), slot(clamped(F.greatest("start", "end")), F.col("_at"))
+        return spread.withColumn("_slot", F.explode(F.sequence(first, last)))
+
+    a, b = dealt(left, of_left, of_right).alias("a"), dealt(right, of_right, of_left).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "_at", "_slot"]]
     start, end = F.greatest("a.start", "b.start"), F.least("a.end", "b.end")
-    joined = a.join(b, [*on, F.col("a.start") < F.col("b.end"), F.col("b.start") < F.col("a.end")])
+    once = (F.greatest("a._level", "b._level") == F.col("a._at")) & (slot(clamped(start), F.col("a._at")) == F.col("a._slot"))
+    joined = a.join(b, [*on, F.col("a.start") < F.col("b.end"), F.col("b.start") < F.col("a.end"), once])
     kept = [F.col(f"a.{c}").alias(c) for c in left.columns] + [F.col(f"b.{c}").alias(c if c not in left.columns else f"{c}_right") for c in right.columns if c not in keys]
     return joined.select(*kept, start.alias("clip_start"), end.alias("clip_end"))
 
 
-def starts_inside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``left`` whose start lies in some half-open interval of the same key."""
-    a, b = left.alias("a"), right.alias("b")
-    return a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], F.col("a.start") >= F.col("b.start"), F.col("a.start") < F.col("b.end")], "left_semi")
-
-
 def elementary_cover(spans: DataFrame, overlays: DataFrame, key: str, value: str, default: str) -> DataFrame:
     """Spans cut at the overlays' bounds, each piece with the overlay's value or the default; equal neighbours join.
 
     Overlays of one key are disjoint and inside its span, so a piece is its lower bound's overlay or none.
     """
-    cuts = spans.select(key, F.col("start").alias("t"), F.lit(default).alias("v")).unionAll(spans.select(key, F.col("end").alias("t"), F.lit(None).cast("string").alias("v")))
-    cuts = cuts.unionAll(overlays.select(key, F.col("start").alias("t"), F.col(value).cast("string").alias("v"))).unionAll(overlays.select(key, F.col("end").alias("t"), F.lit(default).alias("v")))
+    cut = lambda t, v: F.struct(F.col(t).alias("t"), v.cast("string").alias("v"))
+    bounds = lambda df, at_start, at_end: df.select(key, F.inline(F.array(cut("start", at_start), cut("end", at_end))))
+    cuts = bounds(spans, F.lit(default), F.lit(None)).unionAll(bounds(overlays, F.col(value), F.lit(default)))
     # at one bound an overlay's begin wins over another's end, and the span's end over both
     best = cuts.groupBy(key, "t").agg(F.max(F.struct(F.when(F.col("v").isNull(), 2).when(F.col("v") == default, 0).otherwise(1).alias("p"), "v")).alias("b"))
     w = Window.partitionBy(key).orderBy("t")
