@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.operators import folds, groups, tracking
+from orbweave.operators.staging import staged
 from orbweave.plans import relations as r
 from orbweave.plans.catalog import _STATES, _TRACK, _track, query, rounded
 
@@ -17,17 +18,20 @@ _KEPT = ("source", "frame", "candidate_id", "yaw", "pitch", "h_fov", "candidate_
 @query()
 def st06_association(spark: SparkSession, sf: str) -> DataFrame:
     """ST-06, JOIN-02, JOIN-03, SET-03: every frame's candidates with their tracks, group views and fallback (tested against plain rules)."""
-    frames = tracking.associate(r.sighting(spark, sf), "source")
+    s = r.sighting(spark, sf)
+    every = tracking.whole_range(s, "source")
+    frames = staged(tracking.associate(s, "source", frames=every), "association")
     shown = frames.where("observed and candidate_type in ('click', 'view')")
     views = groups.group_shots(shown.select("source", "frame", F.col("candidate_id").alias("id"), "yaw", "pitch", F.col("h_fov").alias("extent"), F.lit(None).alias("pitch_min"), F.lit(None).alias("pitch_max")), ["source", "frame"])
-    return rounded(tracking.with_context(frames, views, "source").select(*_KEPT), "yaw", "pitch", "h_fov")
+    return rounded(tracking.with_context(frames, views, "source", every).select(*_KEPT), "yaw", "pitch", "h_fov")
 
 
 @query()
 def st07_tracklets(spark: SparkSession, sf: str) -> DataFrame:
     """ST-07: tracks acquired from unambiguous geometry (tested against plain rules)."""
     s = r.sighting(spark, sf).withColumn("at", (F.col("frame") * 21600).cast("double"))
-    return rounded(tracking.tracklets(s, "source", "at", math.radians(25), 2, 21600.0, 2), "yaw", "pitch")
+    samples = tracking.whole_range(s, "source").select("source", (F.col("frame") * 21600).cast("double").alias("at"))
+    return rounded(tracking.tracklets(s, "source", "at", math.radians(25), 2, 21600.0, 2, samples), "yaw", "pitch")
 
 
 @query(f"""WITH {r.CANDIDATE}, k AS (SELECT frame, id, row_number() OVER (PARTITION BY frame ORDER BY kind, round_even(yaw, 12), round_even(pitch, 12), round_even(h_fov, 12), id) AS place FROM candidate) SELECT frame, id, place FROM k""")
@@ -37,10 +41,10 @@ def top09_observation_order(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("frame", "id", F.row_number().over(Window.partitionBy("frame").orderBy(*tracking.OBSERVATION_ORDER)).cast("long").alias("place"))
 
 
-@query(f"""WITH {r.CANDIDATE}, f AS (SELECT kind AS source, frame, row_number() OVER (PARTITION BY kind ORDER BY frame) AS n FROM (SELECT DISTINCT kind, frame FROM candidate)) SELECT source, frame, 'context:forward' AS candidate_id, n AS observed_frames, n AS age_frames, round({r.sql_wrap("4.0::DOUBLE")}, 6) AS yaw FROM f""")
+@query(f"""WITH {r.CANDIDATE}, f AS (SELECT kind AS source, frame, row_number() OVER (PARTITION BY kind ORDER BY frame) AS n FROM (SELECT kind, unnest(range(min(frame), max(frame) + 1)) AS frame FROM candidate GROUP BY kind)) SELECT source, frame, 'context:forward' AS candidate_id, n AS observed_frames, n AS age_frames, round({r.sql_wrap("4.0::DOUBLE")}, 6) AS yaw FROM f""")
 def set03_fallback_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """SET-03: the view ahead as a candidate of every frame."""
-    numbered = tracking.frames_in_order(r.candidate(spark, sf).withColumnRenamed("kind", "source"), "source")
+    """SET-03: the view ahead as a candidate of every frame, those in which nothing was seen as well."""
+    numbered = tracking.frames_in_order(tracking.whole_range(r.candidate(spark, sf).withColumnRenamed("kind", "source"), "source"), "source")
     return rounded(tracking.fallback_rows(numbered, "source", yaw=4.0).select("source", "frame", "candidate_id", "observed_frames", "age_frames", "yaw"), "yaw")
 
 

@@ -12,12 +12,26 @@ _FRAMES = f"provenance struct<adapterId:string,adapterVersion:string,backendId:s
 _SOUND = "source_id string, start double, duration double, classifications array<struct<label:string,confidence:double>>"
 
 
+def _frame_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_FRAMES).option("multiLine", True).json(path).select("provenance", F.explode("frames").alias("f"))
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, frame_index, ts, candidates): every frame of frame documents once, with the number of its candidates, 0 included.
+
+    What follows candidates through a sequence takes this beside ``read_candidates``, as a frame in which nothing is seen counts.
+    """
+    rows = _frame_documents(spark, path).select(F.col("f.sourceId").alias("source_id"), F.col("f.frameIndex").alias("frame_index"), F.col("f.timestampSeconds").alias("ts"), F.coalesce(F.size("f.candidates"), F.lit(0)).alias("n"))
+    return rows.groupBy("source_id", "frame_index", "ts").agg(F.sum(F.greatest("n", F.lit(0))).alias("candidates"))
+
+
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """One row a candidate of a frame document; frames that share source, index and time are one frame.
 
-    A frame without candidates gives no row. ``viewport_count`` counts the viewports its rows come from.
+    A frame without candidates gives no row here; ``read_frames`` lists it. ``viewport_count`` counts the viewports its
+    rows come from.
     """
-    frames = spark.read.schema(_FRAMES).option("multiLine", True).json(path).select("provenance", F.explode("frames").alias("f"))
+    frames = _frame_documents(spark, path)
     rows = frames.select(F.col("f.sourceId").alias("source_id"), F.col("f.frameIndex").alias("frame_index"), F.col("f.timestampSeconds").alias("ts"), F.col("provenance.adapterId").alias("adapter_id"), F.explode("f.candidates").alias("c"))
     flat = rows.select(
         "source_id", "frame_index", "ts", "adapter_id", F.col("c.id").alias("candidate_id"), F.col("c.kind").alias("kind"), F.col("c.confidence").alias("confidence"), F.col("c.yawRadians").alias("yaw"),
