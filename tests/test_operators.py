@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from orbweave.operators import folds, intervals, rotation, validation
-from orbweave.plans import catalog, documents, events, frames, geometry, motion, rules, sequences, summaries, tracking  # noqa: F401
+from orbweave.plans import artifacts, catalog, documents, events, frames, geometry, motion, rules, sequences, summaries, tracking  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
