@@ -130,41 +130,67 @@ def band_residuals(samples: DataFrame, fits: DataFrame, keys: list[str], view: s
 
 class Chain:
     def __init__(self):
-        self.at, self.connected = np.array([0.0, 0.0, 0.0, 1.0]), True
+        self.at, self.connected, self.n, self.end = np.array([0.0, 0.0, 0.0, 1.0]), True, 0, None
 
 
 def source_motion(fits: DataFrame, key: str, order: str, start: str, end: str, views: int) -> DataFrame:
-    """Absolute orientation along a source's pairs (WIN-16): key, order, t, x, y, z, w, confidence, coverage, state, reason.
-
-    ``fits``: key, order, start, end, rotation x..w (null if the pair failed), confidence, contributing (views),
-    failure_reason. A measured step turns the orientation on; the first pair that failed, or doesn't begin where the one
-    before ended, disconnects the path for good: what follows keeps the last orientation and is invalid.
+    """Absolute orientation along a source's pairs (WIN-16): key, sample, order, start, t, x, y, z, w, confidence,
+    inlier_ratio, coverage, residual, state, reason.
+
+    ``fits``: key, order, start, end, rotation x..w (null if the pair failed), confidence, inlier_ratio, residual,
+    contributing (views), failure_reason. Sample 0 is where the first pair begins: the identity, measured. A measured step
+    turns the orientation on; the first pair that failed disconnects the path for good: what follows keeps the last
+    orientation and is invalid, with the figures of its own fit. A failed pair's residual is half a turn. A pair that doesn't
+    begin where the one before ended is such a failure here (``pairs_not_contiguous``), not an error of the whole.
     """
-    rows = fits.select(key, order, start, end, "x", "y", "z", "w", "confidence", "contributing", "failure_reason")
+    rows = fits.select(key, order, start, end, "x", "y", "z", "w", "confidence", "inlier_ratio", "residual", "contributing", "failure_reason")
 
     def step(chain: Chain, row: tuple):
-        of, at, begins, ends, x, y, z, w, confidence, contributing, reason = row
-        last = getattr(chain, "end", begins)
-        chain.end = ends
-        if not chain.connected:
-            why = reason or "disconnected_absolute_path"
-        elif reason or w is None:
-            why = reason or "rotation_fit_failed"
-        else:
-            why = None if abs(begins - last) <= 1e-9 and ends > begins else "pairs_not_contiguous"
+        of, at, begins, ends, x, y, z, w, confidence, inliers, residual, contributing, reason = row
+        if not chain.n:
+            yield of, 0, at, begins, begins, *map(float, chain.at), 1.0, 1.0, 1.0, 0.0, "measured", None
+            chain.end = begins
+        contiguous, chain.end, chain.n = abs(begins - chain.end) <= 1e-9 and ends > begins, ends, chain.n + 1
+        failed = reason or ("rotation_fit_failed" if w is None else None if contiguous else "pairs_not_contiguous")
+        why = failed or (None if chain.connected else "disconnected_absolute_path")
         chain.connected &= why is None
-        coverage = contributing / views if reason is None and contributing is not None else 0.0
         if why is None:
             turned = multiply(chain.at, np.array([x, y, z, w]))
             turned /= np.linalg.norm(turned)
             chain.at = turned if turned @ chain.at >= 0 else -turned
+        coverage = 0.0 if failed else (contributing or 0) / views
         sure = confidence * math.sqrt(coverage) if why is None else 0.0
-        yield of, at, ends, *map(float, chain.at), sure, coverage, "invalid" if why else "measured", why
+        yield of, chain.n, at, begins, ends, *map(float, chain.at), sure, 0.0 if failed else inliers, coverage, math.pi if failed else residual, "invalid" if why else "measured", why
 
-    kinds = f"{key} {kind_of(fits, key)}, {order} {kind_of(fits, order)}, t double, x double, y double, z double, w double, confidence double, coverage double, state string, reason string"
+    kinds = f"{key} {kind_of(fits, key)}, sample long, {order} {kind_of(fits, order)}, start double, t double, x double, y double, z double, w double, confidence double, inlier_ratio double, coverage double, residual double, state string, reason string"
     return fold(rows, [key], [order], Chain, step, kinds)
 
 
+def motion_gaps(samples: DataFrame, key: str) -> DataFrame:
+    """(key, start, end, reason): the pairs of ``source_motion`` without a measured sample."""
+    return samples.where("state = 'invalid'").select(key, "start", F.col("t").alias("end"), "reason")
+
+
+def aligned_views(observations: DataFrame, declared: DataFrame, key: str, index: str, view: str, slack: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+    """(aligned, violations): observations of many views, joined by index (JOIN-17).
+
+    ``observations``: key, index, view, previous, current, and what else a view has; ``declared``: key, view. An index is
+    aligned if every declared view has one observation of it, no other view has any, and all give the moments of the
+    first view (by name) to within ``slack``; then its rows stay. Violations: (rule_id, key, index, view) with
+    ``missing_view``, ``undeclared_view``, ``repeated_view`` or ``timestamps_disagree``.
+    """
+    names = [key, index, view]
+    asked = observations.select(key, index).distinct().join(declared.select(key, view), key)
+    seen = observations.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.min("previous").alias("_p"), F.min("current").alias("_c"))
+    both = asked.withColumn("_asked", F.lit(True)).join(seen, names, "full")
+    first = F.min_by(F.struct("_p", "_c"), F.when(F.col("_asked") & F.col("_n").isNotNull(), F.col(view))).over(Window.partitionBy(key, index))
+    judged = both.withColumn("_first", first)
+    off = (F.abs(F.col("_p") - F.col("_first._p")) > slack) | (F.abs(F.col("_c") - F.col("_first._c")) > slack)
+    rules = {"missing_view": F.col("_n").isNull(), "undeclared_view": F.col("_asked").isNull(), "repeated_view": F.col("_n") > 1, "timestamps_disagree": off}
+    bad = judged.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("rule_id"), *names)
+    return observations.join(bad.select(key, index).distinct(), [key, index], "left_anti"), bad
+
+
 def continuous(path: DataFrame, key: str, order: str) -> DataFrame:
     """``path`` with each rotation in the hemisphere of the one before, as one running count of sign changes."""
     w = Window.partitionBy(key).orderBy(order)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from orbweave.functions import quaternion as quat
 from orbweave.operators.ordered import fold, kind_of
+from orbweave.operators.staging import staged
 
 FIT = "x double, y double, z double, w double, inlier_ratio double, inlier_count long, matches long, iterations int, residual double, confidence double, fit_failure string"
 
@@ -109,9 +116,61 @@ def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([*(a[3] * b[:3] + b[3] * a[:3] + np.cross(a[:3], b[:3])), a[3] * b[3] - a[:3] @ b[:3]])
 
 
-class Segment:
-    number, inside = 0, False
-    at = np.array([0.0, 0.0, 0.0, 1.0])
+class Stretch:
+    """A source's rows within one task: its number, what stands open at its end, and what it has begun and broken."""
+
+    def __init__(self, of, number: int):
+        self.of, self.number = of, number
+        self.at, self.inside, self.led, self.broke, self.begun = IDENTITY, True, False, False, 0
+
+
+IDENTITY = np.array([0.0, 0.0, 0.0, 1.0])
+_LOCAL = "block long, local int, t double, x double, y double, z double, w double, state string, anchor boolean, led boolean, broke boolean, inside boolean"
+
+
+def _local_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each stretch as if it began inside a segment (local 0) at the identity, and a closing row (order null) for each."""
+    base, made, stretch, schema = TaskContext.get().partitionId() << 33, 0, None, None
+
+    def row(s: Stretch, at, local, t, q, state, anchor, closing=False):
+        return (s.of, at, s.number, local, t, *map(float, q), state, anchor, s.led, s.broke if closing else None, s.inside if closing else None)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        if schema is None:
+            kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+            schema = pa.schema([batch.schema.field(0), batch.schema.field(1), *(pa.field(n, kinds[k]) for n, k in (x.split() for x in _LOCAL.split(", ")))])
+        out = []
+        for of, at, start, end, state, *q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if stretch is None or of != stretch.of:
+                if stretch is not None:
+                    out.append(row(stretch, None, stretch.begun, None, stretch.at, None, False, closing=True))
+                stretch, made = Stretch(of, base + made), made + 1
+            s = stretch
+            if state not in ("measured", "interpolated") or q[0] is None:
+                s.inside, s.at, s.broke = False, IDENTITY, True
+                continue
+            if not s.broke and not s.led:
+                s.led = True
+                out.append(row(s, at, 0, start, IDENTITY, "segment_anchor", True))  # stays if no segment reaches into the stretch
+            elif not s.inside:
+                s.inside, s.begun = True, s.begun + 1
+                out.append(row(s, at, s.begun, start, IDENTITY, "segment_anchor", False))
+            q = np.array(q)
+            new = multiply(s.at, q / np.linalg.norm(q))
+            new /= np.linalg.norm(new)
+            s.at = new if new @ s.at >= 0 else -new
+            out.append(row(s, at, s.begun, end, s.at, state, False))
+        if out:
+            yield batch_of(out)
+    if stretch is not None:
+        yield batch_of([row(stretch, None, stretch.begun, None, stretch.at, None, False, closing=True)])
+
+
+class Before:
+    number, inside, at = 0, False, IDENTITY
 
 
 def relative_segments(steps: DataFrame, key: str, order: str) -> DataFrame:
@@ -120,21 +179,30 @@ def relative_segments(steps: DataFrame, key: str, order: str) -> DataFrame:
     ``steps``: key, order, start, end, state, x, y, z, w. Measured and interpolated steps with a rotation are usable;
     any other ends the segment. A segment begins with an anchor (the identity, at its first step's start), and each
     step gives the product so far, in the hemisphere of the one before.
+
+    A scan by blocks: steps are dealt by ranges of (key, order), so a long source is several tasks' work. Each task turns its
+    stretches as if they began at the identity; as products are associative, a pass over one row for each stretch tells
+    the orientation and the segment's number at its beginning, and its leading rows are turned by that (the hemisphere
+    stays, as turning keeps the sign of neighbours' products).
     """
-    rows = steps.select(key, order, "start", "end", "state", *"xyzw")
-
-    def step(s: Segment, row: tuple):
-        of, at, start, end, state, *q = row
-        if state not in ("measured", "interpolated") or q[0] is None:
-            s.inside, s.at = False, Segment.at
-            return
-        if not s.inside:
-            s.inside, s.number = True, s.number + 1
-            yield of, s.number, at, start, 0.0, 0.0, 0.0, 1.0, "segment_anchor"
-        q = np.array(q)
-        new = multiply(s.at, q / np.linalg.norm(q))
-        new /= np.linalg.norm(new)
-        s.at = new if new @ s.at >= 0 else -new
-        yield of, s.number, at, end, *map(float, s.at), state
-
-    return fold(rows, [key], [order], Segment, step, f"{key} {kind_of(steps, key)}, segment int, {order} {kind_of(steps, order)}, t double, x double, y double, z double, w double, state string")
+    kinds = f"{key} {kind_of(steps, key)}, {order} {kind_of(steps, order)}"
+    dealt = steps.select(key, order, "start", "end", "state", *"xyzw").repartitionByRange(key, order).sortWithinPartitions(key, order)
+    local = staged(dealt.mapInArrow(_local_segments, f"{kinds}, {_LOCAL}"), "local-segments")
+
+    def step(b: Before, row: tuple):
+        _, block, begun, x, y, z, w, led, broke, inside = row
+        yield block, b.number, b.inside, *map(float, b.at)
+        opened = b.number + int(led and not b.inside)
+        if broke:
+            b.number, b.inside = opened + begun, inside
+            b.at = np.array([x, y, z, w]) if inside else IDENTITY
+        else:
+            b.number, b.inside, b.at = opened, True, multiply(b.at, np.array([x, y, z, w]))
+
+    closing = local.where("state is null").select(key, "block", "local", *"xyzw", "led", "broke", "inside")
+    before = fold(closing, [key], ["block"], Before, step, "block long, number int, reaches boolean, bx double, by double, bz double, bw double")
+    joined = local.where("state is not null").join(before, "block").where("not (anchor and reaches)")
+    segment = F.col("number") + F.when(F.col("led") & ~F.col("reaches"), 1).otherwise(0) + F.col("local")
+    turned = quat.multiply([F.col(c) for c in ("bx", "by", "bz", "bw")], [F.col(c) for c in "xyzw"])
+    leading = (F.col("local") == 0) & F.col("reaches")
+    return joined.select(key, segment.cast("int").alias("segment"), order, "t", *[F.when(leading, t).otherwise(F.col(c)).alias(c) for t, c in zip(turned, "xyzw", strict=True)], "state")

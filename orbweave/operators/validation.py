@@ -80,6 +80,25 @@ def planner_rules() -> dict[str, Column]:
     return {"unique_candidate": F.col("same") == 1, **geometry_rules(), "component_range": F.col("normalized").between(0, 1)}
 
 
+def _finite(*names: str) -> Column:
+    ok = F.lit(True)
+    for n in names:
+        ok = ok & ~F.isnan(n) & (F.abs(n) < float("inf"))
+    return ok
+
+
+def keyframe_rules() -> dict[str, Column]:
+    """Rows time, yaw, pitch, h_fov, before (the time of the keyframe ahead, null for the first)."""
+    time = F.col("time")
+    return {"finite": _finite("time", "yaw", "pitch", "h_fov"), "time_order": (time >= 0) & (F.col("before").isNull() | (time > F.col("before"))), **geometry_rules()}
+
+
+def refresh_rules() -> dict[str, Column]:
+    """Rows timestamp, track_id, before (the timestamp of the refresh ahead, null for the first)."""
+    at = F.col("timestamp")
+    return {"finite_timestamp": _finite("timestamp"), "timestamp_order": F.col("before").isNull() | (at > F.col("before")), "track_id": F.length("track_id") > 0}
+
+
 def duration_ladder(df: DataFrame, available: str, declared: str, ladder: Column) -> DataFrame:
     """``df`` with ``expected``, the ladder's durations that are available, and ``matches``."""
     return df.withColumn("expected", F.filter(ladder, lambda d: d <= F.col(available))).withColumn("matches", F.col("expected") == F.col(declared))

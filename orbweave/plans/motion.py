@@ -127,12 +127,48 @@ def agg16_band_residuals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(motion.band_residuals(samples, fits, PAIR, "view"), "rms")
 
 
-@query()
-def win16_source_motion(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN-16, JOIN-17: a source's orientation along its pairs, until the first pair that fails."""
+def _source_motion(spark, sf):
     judged, _ = _judged(spark, sf)
     steps = judged.where("variant = 'causal'").withColumn("start", F.col("pair").cast("double")).withColumn("end", F.col("pair") + 1.0)
-    return rounded(motion.source_motion(steps, "source", "pair", "start", "end", 6), "x", "y", "z", "w", "confidence", "coverage")
+    return motion.source_motion(steps, "source", "pair", "start", "end", 6)
+
+
+@query()
+def win16_source_motion(spark: SparkSession, sf: str) -> DataFrame:
+    """WIN-16: a source's orientation along its pairs from its first moment, until the first pair that fails, with each fit's figures."""
+    return rounded(_source_motion(spark, sf), "x", "y", "z", "w", "confidence", "inlier_ratio", "coverage", "residual")
+
+
+@query()
+def win16_motion_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """WIN-16: the pairs that a source's motion path has no measured sample of, and why."""
+    return motion.motion_gaps(_source_motion(spark, sf), "source")
+
+
+_VIEWED = f"""{r.REGISTRATION}, seen AS (SELECT source, pair, view, vec_id, pair * 0.04::DOUBLE + CASE WHEN vec_id % 23 = 0 THEN 0.01 ELSE 0 END AS previous, pair * 0.04::DOUBLE + 0.04::DOUBLE AS current FROM registration WHERE vec_id % 29 <> 0),
+ declared AS (SELECT DISTINCT source, view FROM seen WHERE NOT (source = 1 AND view = 5)), asked AS (SELECT p.source, p.pair, d.view FROM (SELECT DISTINCT source, pair FROM seen) p JOIN declared d USING (source)),
+ first AS (SELECT source, pair, arg_min(previous, view) AS p FROM seen s SEMI JOIN declared d USING (source, view) GROUP BY source, pair),
+ broken AS (SELECT 'missing_view' AS rule_id, source, pair, view FROM asked a ANTI JOIN seen s USING (source, pair, view) UNION ALL SELECT 'undeclared_view', source, pair, view FROM seen s ANTI JOIN declared d USING (source, view) UNION ALL SELECT 'timestamps_disagree', source, pair, view FROM seen JOIN first USING (source, pair) WHERE abs(previous - p) > 1e-9)"""
+
+
+def _aligned(spark, sf):
+    v = r.registration(spark, sf).where("vec_id % 29 != 0")
+    at = F.col("pair") * F.lit(0.04)
+    seen = v.select("source", "pair", "view", "vec_id", (at + F.when(F.col("vec_id") % 23 == 0, 0.01).otherwise(0.0)).alias("previous"), (at + 0.04).alias("current"))
+    declared = seen.select("source", "view").distinct().where("not (source = 1 and view = 5)")
+    return motion.aligned_views(seen, declared, "source", "pair", "view")
+
+
+@query(f"""WITH {_VIEWED} SELECT source, pair, view, vec_id, round(previous, 6) AS previous FROM seen ANTI JOIN broken USING (source, pair)""")
+def join17_aligned_views(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN-17: the pairs of frames that all declared views saw at the same moments."""
+    return rounded(_aligned(spark, sf)[0].select("source", "pair", "view", "vec_id", "previous"), "previous")
+
+
+@query(f"""WITH {_VIEWED} SELECT * FROM broken""")
+def join17_view_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN-17: views that are missing, not declared, or of another moment."""
+    return _aligned(spark, sf)[1]
 
 
 _STEPS = f"{_ROTATIONS}, step AS (SELECT source, vec_id // 4 AS i, CASE WHEN (vec_id // 4) % 9 IN (4, 5) OR (vec_id // 4) % 31 BETWEEN 7 AND 11 THEN 'invalid' ELSE 'measured' END AS state, x, y, z, w FROM rotation)"

@@ -159,3 +159,30 @@ def fil18_checksums(spark: SparkSession, sf: str) -> DataFrame:
     return validation.checksum_mismatches(d, manifest, "doc_id", "text")
 
 
+
+
+_KEYED = f"""{r.SIGNAL}, keyed AS (SELECT s.id, s.source_id, s.t, CASE WHEN s.id % 17 = 3 THEN -1.0::DOUBLE WHEN s.id % 19 = 4 THEN 'nan'::DOUBLE ELSE s.t - s.t % 20000 END AS time, CASE WHEN s.id % 23 = 5 THEN 'inf'::DOUBLE ELSE s.score END AS yaw, s.score * 3.2::DOUBLE - 1.6::DOUBLE AS pitch, s.score * 3.5::DOUBLE - 0.1::DOUBLE AS h_fov FROM signal s),
+ led AS (SELECT *, lag(time) OVER (PARTITION BY source_id ORDER BY t, id) AS before FROM keyed)"""
+
+
+def _keyed(spark, sf):
+    i, t = F.col("id"), F.col("t")
+    rows = r.signal(spark, sf).withColumn("time", F.when(i % 17 == 3, -1.0).when(i % 19 == 4, float("nan")).otherwise(t - t % 20000)).withColumn("yaw", F.when(i % 23 == 5, float("inf")).otherwise(F.col("score")))
+    rows = rows.withColumn("pitch", F.col("score") * 3.2 - 1.6).withColumn("h_fov", F.col("score") * 3.5 - 0.1)
+    return rows.withColumn("before", F.lag("time").over(Window.partitionBy("source_id").orderBy("t", "id")))
+
+
+@query(f"""WITH {_KEYED} SELECT 'finite' AS rule_id, id::VARCHAR AS key FROM led WHERE isnan(time) OR isinf(yaw) UNION ALL SELECT 'time_order', id::VARCHAR FROM led WHERE NOT (time >= 0 AND (before IS NULL OR time > before))
+ UNION ALL SELECT 'pitch_range', id::VARCHAR FROM led WHERE NOT pitch BETWEEN -pi() / 2 AND pi() / 2 UNION ALL SELECT 'fov_range', id::VARCHAR FROM led WHERE NOT (h_fov > 0 AND h_fov < pi())""")
+def fil12_keyframe_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """FIL-12: keyframes are finite and in order of time, with pitch and field of view in range."""
+    return validation.violations(_keyed(spark, sf), "id", validation.keyframe_rules())
+
+
+@query(f"""WITH {_KEYED}, named AS (SELECT *, CASE WHEN id % 13 = 0 THEN '' WHEN id % 29 = 1 THEN NULL ELSE 'track' END AS track_id FROM led) SELECT 'finite_timestamp' AS rule_id, id::VARCHAR AS key FROM named WHERE isnan(time) UNION ALL SELECT 'timestamp_order', id::VARCHAR FROM named WHERE NOT (before IS NULL OR time > before)
+ UNION ALL SELECT 'track_id', id::VARCHAR FROM named WHERE track_id IS NULL OR track_id = ''""")
+def st05_trace_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-05: refreshes of a trace come in order, each of a named track."""
+    i = F.col("id")
+    rows = _keyed(spark, sf).withColumn("timestamp", F.col("time")).withColumn("track_id", F.when(i % 13 == 0, "").when(i % 29 != 1, "track"))
+    return validation.violations(rows, "id", validation.refresh_rules())

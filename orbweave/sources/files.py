@@ -48,21 +48,26 @@ def read_sound_windows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scene_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, timestamp_seconds, scene_score, valid) from text of frame lines and score lines.
+    """(path, line, timestamp_seconds, scene_score, valid) from text of frame lines and score lines (lines from 0).
 
     A score belongs to the frame line before it and uses it up, so a score counts when the last line of either
-    kind was a frame. Lines of other kinds don't matter. ``valid``: time at least 0, score from 0 to 1. A file
-    describes one recording and is read whole.
+    kind was a frame. Lines of other kinds don't matter. ``valid``: time at least 0, score from 0 to 1.
+
+    A file is read in splits: lines are numbered within their split, and a table of one row for each split says how many
+    lines stand before it and what the last known line before it was, so a score finds its frame across the border.
     """
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    lines = files.select("path", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line", "said")).withColumn("said", F.trim("said"))
+    lines = spark.read.text(path).select(F.trim("value").alias("said"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
     number = lambda pattern: F.expr(f"try_cast(nullif(regexp_extract(said, '{pattern}', 1), '') as double)")
     # The two kinds of line.
     marked = lines.withColumn("at", number(r"^frame:\\d+\\s+pts:\\S+\\s+pts_time:([0-9.eE+-]+)$")).withColumn("score", number(r"^lavfi\\.scene_score=([0-9.eE+-]+)$"))
-    known = marked.where("at is not null or score is not null")
-    known = known.withColumn("frame_at", F.lag("at").over(Window.partitionBy("path").orderBy("line")))
-    rows = known.where("score is not null and frame_at is not null")
-    return rows.select("path", "line", F.col("frame_at").alias("timestamp_seconds"), F.col("score").alias("scene_score"), ((F.col("frame_at") >= 0) & F.col("score").between(0, 1)).alias("valid"))
+    known = F.when(F.col("at").isNotNull() | F.col("score").isNotNull(), F.struct("at"))
+    inside = Window.partitionBy("path", "block").orderBy("place")
+    rows = marked.withColumn("n", F.row_number().over(inside)).withColumn("ahead", F.last(known, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    blocks = marked.groupBy("path", "block").agg(F.count(F.lit(1)).alias("lines"), F.max_by(known, F.when(known.isNotNull(), F.col("place"))).alias("last"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"), F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    found = rows.where("score is not null").join(blocks, ["path", "block"]).withColumn("frame_at", F.coalesce("ahead", "carried")["at"]).where("frame_at is not null")
+    return found.select("path", (F.col("before") + F.col("n") - 1).cast("int").alias("line"), F.col("frame_at").alias("timestamp_seconds"), F.col("score").alias("scene_score"), ((F.col("frame_at") >= 0) & F.col("score").between(0, 1)).alias("valid"))
 
 
 def read_timestamps(spark: SparkSession, path: str) -> DataFrame:

@@ -15,10 +15,52 @@ def test_source_motion_disconnects_for_good(spark):
     a = math.radians(5)
     turn = (0.0, math.sin(a / 2), 0.0, math.cos(a / 2))
     none = (None,) * 4
-    rows = [(1, 0, 0.0, 1.0, *turn, 0.8, 6, None), (1, 1, 1.0, 2.0, *turn, 0.8, 3, None), (1, 2, 2.0, 3.0, *none, 0.0, 0, "rotation_fit_failed"), (1, 3, 3.0, 4.0, *turn, 0.8, 6, None), (2, 0, 0.0, 1.0, *turn, 0.5, 6, None), (2, 1, 1.5, 2.0, *turn, 0.5, 6, None)]
-    df = spark.createDataFrame(rows, "s int, p int, a double, b double, x double, y double, z double, w double, confidence double, contributing int, failure_reason string")
-    got = sorted((r["s"], r["p"], r["state"], r["reason"] or "", round(2 * math.degrees(math.atan2(r["y"], r["w"])), 6), round(r["confidence"], 6)) for r in motion.source_motion(df, "s", "p", "a", "b", 6).collect())
-    assert got == [(1, 0, "measured", "", 5.0, 0.8), (1, 1, "measured", "", 10.0, round(0.8 * math.sqrt(0.5), 6)), (1, 2, "invalid", "rotation_fit_failed", 10.0, 0.0), (1, 3, "invalid", "disconnected_absolute_path", 10.0, 0.0), (2, 0, "measured", "", 5.0, 0.5), (2, 1, "invalid", "pairs_not_contiguous", 5.0, 0.0)]
+    rows = [(1, 0, 0.0, 1.0, *turn, 0.8, 0.9, 0.01, 6, None), (1, 1, 1.0, 2.0, *turn, 0.8, 0.9, 0.01, 3, None), (1, 2, 2.0, 3.0, *none, 0.0, 0.0, None, 0, "rotation_fit_failed"), (1, 3, 3.0, 4.0, *turn, 0.8, 0.7, 0.02, 3, None), (2, 0, 0.5, 1.0, *turn, 0.5, 0.9, 0.01, 6, None), (2, 1, 1.5, 2.0, *turn, 0.5, 0.9, 0.01, 6, None)]
+    df = spark.createDataFrame(rows, "s int, p int, a double, b double, x double, y double, z double, w double, confidence double, inlier_ratio double, residual double, contributing int, failure_reason string")
+    made = motion.source_motion(df, "s", "p", "a", "b", 6)
+    got = sorted((r["s"], r["sample"], r["t"], r["state"], r["reason"] or "", round(2 * math.degrees(math.atan2(r["y"], r["w"])), 6), round(r["confidence"], 6), r["inlier_ratio"], r["coverage"], round(r["residual"], 6)) for r in made.collect())
+    assert got == [
+        (1, 0, 0.0, "measured", "", 0.0, 1.0, 1.0, 1.0, 0.0), (1, 1, 1.0, "measured", "", 5.0, 0.8, 0.9, 1.0, 0.01), (1, 2, 2.0, "measured", "", 10.0, round(0.8 * math.sqrt(0.5), 6), 0.9, 0.5, 0.01), (1, 3, 3.0, "invalid", "rotation_fit_failed", 10.0, 0.0, 0.0, 0.0, round(math.pi, 6)),
+        (1, 4, 4.0, "invalid", "disconnected_absolute_path", 10.0, 0.0, 0.7, 0.5, 0.02), (2, 0, 0.5, "measured", "", 0.0, 1.0, 1.0, 1.0, 0.0), (2, 1, 1.0, "measured", "", 5.0, 0.5, 0.9, 1.0, 0.01), (2, 2, 2.0, "invalid", "pairs_not_contiguous", 5.0, 0.0, 0.0, 0.0, round(math.pi, 6)),
+    ]
+    gaps = sorted(tuple(r) for r in motion.motion_gaps(made, "s").collect())
+    assert gaps == [(1, 2.0, 3.0, "rotation_fit_failed"), (1, 3.0, 4.0, "disconnected_absolute_path"), (2, 1.5, 2.0, "pairs_not_contiguous")]
+
+
+def test_segments_of_one_source_in_several_tasks(spark):
+    """The block scan gives the rows of a plain loop, however the source is cut: inside segments, at their ends, and where all fails."""
+    r = np.random.default_rng(6)
+    rows = []
+    for s, n in ((1, 300), (2, 40), (3, 1), (4, 30)):
+        for i in range(n):
+            state = "invalid" if s == 4 else r.choice(["measured", "interpolated", "invalid"], p=[0.8, 0.15, 0.05] if s == 1 else [0.3, 0.2, 0.5])
+            q = r.normal(size=4) * (1 if i % 2 else 0.2) + np.array([0, 0, 0, 2.0])
+            rows.append((s, i, float(i), i + 1.0, str(state), *((None,) * 4 if state == "invalid" else map(float, q))))
+    want = []
+    for s in (1, 2, 3, 4):
+        number, at = 0, None
+        for _, i, a, b, state, *q in [x for x in rows if x[0] == s]:
+            if state == "invalid":
+                at = None
+                continue
+            if at is None:
+                number, at = number + 1, np.array([0, 0, 0, 1.0])
+                want.append((s, number, i, a, "segment_anchor", at))
+            new = rotation.multiply(at, np.array(q) / np.linalg.norm(q))
+            new /= np.linalg.norm(new)
+            at = new if new @ at >= 0 else -new
+            want.append((s, number, i, b, state, at))
+    df = spark.createDataFrame(rows, "s int, i int, start double, end double, state string, x double, y double, z double, w double").repartition(5)
+    for parts in ("1", "4", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = sorted(((x["s"], x["segment"], x["i"], x["t"], x["state"], np.array([x[c] for c in "xyzw"])) for x in rotation.relative_segments(df, "s", "i").collect()), key=lambda x: x[:4])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert [x[:5] for x in got] == [x[:5] for x in sorted(want, key=lambda x: x[:4])]
+        assert all(np.allclose(a[5], b[5], atol=1e-9) for a, b in zip(got, sorted(want, key=lambda x: x[:4]), strict=True))
 
 
 def test_registration_of_a_pure_rotation_is_fitted_back(spark):

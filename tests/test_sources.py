@@ -36,6 +36,34 @@ def test_scene_scores_follow_their_frames(spark, tmp_path):
     assert sorted((r["rule_id"], r["line"]) for r in bad.collect()) == [("below_threshold", 7), ("out_of_range", 9)]
 
 
+def test_one_scene_file_in_several_tasks(spark, tmp_path):
+    """Wherever a file is cut, between a frame and its score too, it reads as a plain loop reads it."""
+    said = []
+    for k in range(400):
+        said += [f"frame:{k} pts:{k * 40} pts_time:{k / 25}"] * (k % 3 > 0) + ["", "other"] * (k % 5 == 0) + [f"lavfi.scene_score={k % 11 / 10}"] * (1 + (k % 4 == 0))
+    for name, end in (("a", "\n"), ("b", "\r\n")):
+        (tmp_path / f"{name}.txt").write_bytes((end.join(said) + end).encode())
+    want, frame = [], None
+    for n, line in enumerate(said):
+        if line.startswith("frame:"):
+            frame = float(line.rsplit(":", 1)[1])
+        elif line.startswith("lavfi"):
+            if frame is not None:
+                want.append((n, frame, float(line.split("=")[1])))
+            frame = None
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("97", "1000", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = files.read_scene_metadata(spark, str(tmp_path))
+            rows = sorted((r.path[-5:], r.line, r.timestamp_seconds, r.scene_score) for r in got.collect())
+            assert rows == [(f"{x}.txt", *w) for x in "ab" for w in want]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+
+
 def test_timestamp_lists(spark, tmp_path):
     (tmp_path / "t.txt").write_text("# seconds\n1.5\n\n 20 \n#3\n")
     assert sorted(r.ts for r in files.read_timestamps(spark, str(tmp_path)).collect()) == [1.5, 20.0]
