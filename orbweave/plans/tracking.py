@@ -26,9 +26,52 @@ def st06_association(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(tracking.with_context(frames, views, "source", every).select(*_KEPT), "yaw", "pitch", "h_fov")
 
 
-@query()
+_SIGHTED = f"""{r.SIGNAL}, {r.CANDIDATE}, sighting AS (SELECT s.id, s.source_id % 16 AS source, CAST(floor(s.t / 21600) AS BIGINT) AS frame, c.kind, c.yaw, c.pitch, c.h_fov, CASE WHEN s.kind = 'purchase' THEN 'up-' || (s.id % 9) END AS upstream FROM signal s JOIN candidate c USING (id)),
+ every AS (SELECT source, unnest(range(min(frame), max(frame) + 1)) AS frame FROM sighting GROUP BY source),
+ listed AS (SELECT source, frame, list(struct_pack(kind := kind, upstream := upstream, yaw := yaw, pitch := pitch, h_fov := h_fov, id := id) ORDER BY kind, round_even(yaw, 12), round_even(pitch, 12), round_even(h_fov, 12), id) AS seen FROM sighting GROUP BY source, frame),
+ sampled AS (SELECT e.source, e.frame, row_number() OVER (PARTITION BY e.source ORDER BY e.frame) AS n, coalesce(l.seen, []) AS seen FROM every e LEFT JOIN listed l USING (source, frame))"""
+_FIRST_TRACKS = "list_transform(seen, lambda o, k: struct_pack(name := k, kind := o.kind, upstream := o.upstream, yaw := o.yaw, pitch := o.pitch, h_fov := o.h_fov, begun := frame, times := 1::BIGINT, missing := 0::BIGINT, source_candidate := o.id))"
+# pairs of open tracks and rows in order; each is taken unless one of its sides is
+_TAKEN = f"""list_reduce([[struct_pack(far := -1.0::DOUBLE, name := -1::BIGINT, place := -1::BIGINT)]] || list_transform(list_sort(flatten(list_transform(f.tracks, lambda t: list_transform(list_filter(range(1, len(s.seen) + 1), lambda i: s.seen[i].kind = t.kind AND s.seen[i].upstream IS NOT DISTINCT FROM t.upstream AND (t.upstream IS NOT NULL OR {r.sql_distance("t", "s.seen[i]")} <= radians(25.0::DOUBLE))),
+ lambda i: struct_pack(far := CASE WHEN t.upstream IS NULL THEN {r.sql_distance("t", "s.seen[i]")} ELSE 0 END::DOUBLE, name := t.name, place := i))))), lambda p: [p]), lambda acc, p: CASE WHEN len(list_filter(acc, lambda a: a.name = p[1].name OR a.place = p[1].place)) > 0 THEN acc ELSE acc || p END)"""
+
+
+@query(f"""WITH RECURSIVE {_SIGHTED}, f AS (SELECT source, n, frame, len(seen)::BIGINT + 1 AS fresh, {_FIRST_TRACKS} AS tracks FROM sampled WHERE n = 1
+ UNION ALL SELECT source, n, frame, fresh + len(rest), list_filter(list_transform(tracks, lambda t: CASE WHEN len(list_filter(taken, lambda a: a.name = t.name)) > 0 THEN list_transform(list_filter(taken, lambda a: a.name = t.name), lambda a: struct_pack(name := t.name, kind := t.kind, upstream := t.upstream, yaw := seen[a.place].yaw, pitch := seen[a.place].pitch, h_fov := seen[a.place].h_fov, begun := t.begun, times := t.times + 1, missing := 0::BIGINT, source_candidate := seen[a.place].id))[1]
+  ELSE struct_pack(name := t.name, kind := t.kind, upstream := t.upstream, yaw := t.yaw, pitch := t.pitch, h_fov := t.h_fov, begun := t.begun, times := t.times, missing := t.missing + 1, source_candidate := NULL::BIGINT) END), lambda t: t.missing <= 2)
+  || list_transform(rest, lambda i, k: struct_pack(name := fresh + k - 1, kind := seen[i].kind, upstream := seen[i].upstream, yaw := seen[i].yaw, pitch := seen[i].pitch, h_fov := seen[i].h_fov, begun := frame, times := 1::BIGINT, missing := 0::BIGINT, source_candidate := seen[i].id))
+  FROM (SELECT *, list_filter(range(1, len(seen) + 1), lambda i: len(list_filter(taken, lambda a: a.place = i)) = 0) AS rest FROM (SELECT s.source, s.n, s.frame, s.seen, f.fresh, f.tracks, {_TAKEN} AS taken FROM f JOIN sampled s ON s.source = f.source AND s.n = f.n + 1)))
+ SELECT source, frame, format('track:{{:06d}}', t.name) AS candidate_id, round(t.yaw, 6) AS yaw, t.kind AS candidate_type, t.source_candidate IS NOT NULL AS observed, t.times AS observed_frames, frame - t.begun + 1 AS age_frames, t.missing AS missing_frames, t.source_candidate AS source_candidate FROM (SELECT source, frame, unnest(tracks) AS t FROM f)
+ UNION ALL SELECT source, frame, 'context:forward', 0, 'context', true, n, n, 0, NULL FROM sampled""")
+def st06_grace_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-06, JOIN-02, JOIN-03, SET-03: tracks over every frame of a source, seen in or not, with grace rows and the fallback."""
+    s = r.sighting(spark, sf)
+    every = tracking.whole_range(s, "source")
+    made = tracking.with_context(tracking.associate(s, "source", frames=every), None, "source", every)
+    return rounded(made.select("source", "frame", "candidate_id", "yaw", "candidate_type", "observed", "observed_frames", "age_frames", "missing_frames", "source_candidate"), "yaw")
+
+
+_NEAR = f"h.kind = seen[i].kind AND {r.sql_distance('h', 'seen[i]')} <= radians(25.0::DOUBLE)"
+_NO_HYPOTHESES = "[]::STRUCT(name BIGINT, kind VARCHAR, yaw DOUBLE, pitch DOUBLE, since DOUBLE, seen BIGINT, missing BIGINT, track BIGINT)[]"
+_HELD = "struct_pack(name := h.name, kind := h.kind, yaw := {yaw}, pitch := {pitch}, since := h.since, seen := h.seen + {more}, missing := {missing}, track := {track})"
+_MATCHED = _HELD.format(yaw="seen[own[k]].yaw", pitch="seen[own[k]].pitch", more="1", missing="0::BIGINT", track="CASE WHEN fits[k] THEN next_track + len(list_filter(fits[1:k], lambda x: x)) - 1 ELSE h.track END")
+_MISSED = _HELD.format(yaw="h.yaw", pitch="h.pitch", more="0", missing="h.missing + 1", track="h.track")
+
+
+@query(f"""WITH RECURSIVE {_SIGHTED}, ordered AS (SELECT source, frame, list(struct_pack(kind := kind, yaw := yaw, pitch := pitch, id := id) ORDER BY kind, yaw, pitch, id) AS seen FROM sighting GROUP BY source, frame),
+ sample AS (SELECT e.source, (e.frame * 21600)::DOUBLE AS moment, row_number() OVER (PARTITION BY e.source ORDER BY e.frame) AS n, coalesce(o.seen, []) AS seen FROM every e LEFT JOIN ordered o USING (source, frame)),
+ f AS (SELECT DISTINCT source, 0::BIGINT AS n, 0.0::DOUBLE AS moment, 1::BIGINT AS fresh, 1::BIGINT AS next_track, {_NO_HYPOTHESES} AS hyps, {_NO_HYPOTHESES} AS acquired, {_NO_HYPOTHESES} AS ended, 0::BIGINT AS observations, 0::BIGINT AS unsure_hyps, 0::BIGINT AS unsure_rows FROM sample
+ UNION ALL SELECT source, n, moment, fresh + len(fresh_rows), next_track + len(list_filter(fits, lambda x: x)), list_filter(moved, lambda h: h.missing = 0 OR (h.track IS NOT NULL AND h.missing <= 2)) || list_transform(fresh_rows, lambda i, k: struct_pack(name := fresh + k - 1, kind := seen[i].kind, yaw := seen[i].yaw, pitch := seen[i].pitch, since := moment, seen := 1::BIGINT, missing := 0::BIGINT, track := NULL::BIGINT)),
+  list_filter(moved, lambda h: h.track >= next_track), list_filter(moved, lambda h: h.track IS NOT NULL AND h.missing > 2), len(seen), len(list_filter(partners, lambda p: len(p) > 1)), len(list_filter(suitors, lambda x: x > 1))
+ FROM (SELECT *, list_transform(hyps, lambda h, k: CASE WHEN own[k] IS NOT NULL THEN {_MATCHED} ELSE {_MISSED} END) AS moved, list_filter(range(1, len(seen) + 1), lambda i: suitors[i] = 0) AS fresh_rows
+ FROM (SELECT *, list_transform(hyps, lambda h, k: own[k] IS NOT NULL AND h.track IS NULL AND h.seen + 1 >= 2 AND moment - h.since >= 21600) AS fits
+ FROM (SELECT *, list_transform(partners, lambda p: CASE WHEN len(p) = 1 AND suitors[p[1]] = 1 THEN p[1] END) AS own
+ FROM (SELECT *, list_transform(range(1, len(seen) + 1), lambda i: len(list_filter(partners, lambda p: list_contains(p, i)))) AS suitors
+ FROM (SELECT s.source, s.n, s.moment, s.seen, f.fresh, f.next_track, f.hyps, list_transform(f.hyps, lambda h: list_filter(range(1, len(s.seen) + 1), lambda i: {_NEAR.replace("seen[i]", "s.seen[i]")})) AS partners FROM f JOIN sample s ON s.source = f.source AND s.n = f.n + 1))))))
+ SELECT source, moment AS at, event, format('semantic-track:{{:06d}}', h.track) AS track_id, h.kind AS kind, round(h.yaw, 6) AS yaw, round(h.pitch, 6) AS pitch, h.seen AS seen, h.missing AS missing, NULL::BIGINT AS count FROM (SELECT source, moment, 'acquired' AS event, unnest(acquired) AS h FROM f UNION ALL SELECT source, moment, 'terminated', unnest(ended) FROM f UNION ALL SELECT source, moment, 'active', unnest(list_filter(hyps, lambda h: h.track IS NOT NULL)) FROM f)
+ UNION ALL SELECT source, moment, event, NULL, NULL, NULL, NULL, NULL, NULL, count FROM (SELECT source, moment, unnest(['observations', 'ambiguous_hypotheses', 'ambiguous_observations']) AS event, unnest([observations, unsure_hyps, unsure_rows]) AS count FROM f WHERE n > 0)""")
 def st07_tracklets(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-07: tracks acquired from unambiguous geometry (tested against plain rules)."""
+    """ST-07: tracks acquired from unambiguous geometry, over every sample of a source."""
     s = r.sighting(spark, sf).withColumn("at", (F.col("frame") * 21600).cast("double"))
     samples = tracking.whole_range(s, "source").select("source", (F.col("frame") * 21600).cast("double").alias("at"))
     return rounded(tracking.tracklets(s, "source", "at", math.radians(25), 2, 21600.0, 2, samples), "yaw", "pitch")
