@@ -3,7 +3,7 @@
 A hidden chain of states emits word classes, a class emits its words: p(word | state) = p(class | state) *
 p(word | class). The most frequent words are classes of their own; the others share a class by the hash of
 their last bytes. Word counts are over the whole corpus: every task sends its distinct words with counts to
-owner tasks, which sum them and send the totals back, so a word costs one entry a chunk however often it
+owner tasks, which merge them as they come, and a second pass answers what each asks for, so a word costs one entry a chunk however often it
 stands there, and no vocabulary passes the driver or a broadcast.
 
 Baum-Welch runs over all training documents: tasks add up expected starts, transitions and emissions of their
@@ -38,6 +38,7 @@ TAIL_BYTES = 3
 BLOCK = 512  # tokens that advance one after the other
 RESCALE = 8  # steps that products go without a new scale
 BATCH_TOKENS = 1 << 18
+MERGE_WORDS = 1 << 21  # words that wait to be merged in a bucket's task
 _CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, words binary, counts binary, tails binary, tokens binary"
 
 
@@ -109,24 +110,32 @@ def _ask(buckets: int):
     return run
 
 
+_OWNED = "kind int, bucket int, words binary, totals binary, number long, a long, b long"
+_OWNED_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, their counts, their tail classes) of several tables."""
+    words, counts, tails = (np.concatenate(x) for x in zip(*parts, strict=True))
+    known, first, which = np.unique(words, return_index=True, return_inverse=True)
+    return known, np.bincount(which, weights=counts, minlength=len(known)).astype(np.int64), tails[first]
+
+
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in bucket order. Replies (kind 0), and for the whole bucket its tail classes (1) and its most frequent words (2)."""
-    held, asked = None, []
+    """Rows in bucket order, merged as they come, so that a task holds distinct words and not a row for each chunk.
+
+    The bucket's words with their counts (kind 0), its tail classes (1) and its most frequent words (2).
+    """
+    held, parts, waiting, least = None, [], 0, 0
 
-    def rows(kind, chunk, blob, number, a, b):
+    def rows(kind, words, totals, number, a, b):
         n = len(kind)
-        return pa.record_batch([pa.array(kind, pa.int32()), pa.array(chunk, pa.int64()), pa.array([held] * n, pa.int32()), pa.array(blob, pa.binary()), pa.array(number, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "chunk", "bucket", "totals", "number", "a", "b"])
+        return pa.record_batch([pa.array(v, k) for v, k in zip((kind, [held] * n, words, totals, number, a, b), _OWNED_KINDS, strict=True)], names=[c.split()[0] for c in _OWNED.split(", ")])
 
     def close():
-        chunks, words, counts, tails = zip(*asked, strict=True)
-        known, first, which = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
-        total = np.bincount(which, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
-        cut = np.concatenate([[0], np.cumsum([len(x) for x in words])])
-        for i in range(0, len(chunks), 64):
-            part = range(i, min(i + 64, len(chunks)))
-            n = len(part)
-            yield rows([0] * n, [chunks[k] for k in part], [_pack(total[which[cut[k] : cut[k + 1]]].astype("<u8")) for k in part], [None] * n, [None] * n, [None] * n)
-        tail = np.concatenate(tails)[first].astype(np.int64)
+        known, total, tail = _merged(parts)
+        tail = tail.astype(np.int64)
+        yield rows([0], [known.astype("<u8").tobytes()], [_pack(total.astype("<u8"))], [None], [None], [None])
         live = total > 0
         mass, kinds = np.bincount(tail, weights=total, minlength=TAILS).astype(np.int64), np.bincount(tail[live], minlength=TAILS)
         at = np.flatnonzero(kinds)
@@ -134,18 +143,38 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.lexsort((known, -total))[: TOP + 1]
         best = best[total[best] > 0]
         yield rows([2] * len(best), [None] * len(best), [None] * len(best), known[best].view(np.int64), total[best], tail[best])
-        asked.clear()
 
     for batch in batches:
-        for bucket, chunk, words, counts, tails in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if bucket != held and asked:
-                yield from close()
-            held = bucket
-            asked.append((chunk, np.frombuffer(words, "<u8"), np.frombuffer(counts, "<u4"), np.frombuffer(tails, "u1")))
-    if asked:
+        for bucket, words, counts, tails in zip(*(batch.column(n).to_pylist() for n in ("bucket", "words", "counts", "tails")), strict=True):
+            if bucket != held:
+                if parts:
+                    yield from close()
+                held, parts, waiting, least = bucket, [], 0, 0
+            parts.append((np.frombuffer(words, "<u8"), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(tails, "u1")))
+            waiting += len(parts[-1][0])
+            if waiting > max(MERGE_WORDS, least):
+                parts = [_merged(parts)]
+                waiting, least = 0, len(parts[0][0])
+    if parts:
         yield from close()
 
 
+def _reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in bucket order, the bucket's words (kind 0) before the chunks' questions (1): the counts that each asks for."""
+    known, total = np.zeros(0, "<u8"), np.zeros(0, "<u8")
+    for batch in batches:
+        chunks, buckets, answers = [], [], []
+        for bucket, kind, chunk, words, totals in zip(*(batch.column(n).to_pylist() for n in ("bucket", "kind", "chunk", "words", "totals")), strict=True):
+            words = np.frombuffer(words, "<u8")
+            if kind == 0:
+                known, total = words, _unpack(totals, "<u8")
+            else:
+                chunks.append(chunk)
+                buckets.append(bucket)
+                answers.append(_pack(total[np.searchsorted(known, words)]))
+        yield pa.record_batch([pa.array(chunks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(answers, pa.binary())], names=["chunk", "bucket", "totals"])
+
+
 @dataclass(frozen=True)
 class Counts:
     """What the whole corpus says about classes: fixed size."""
@@ -478,9 +507,17 @@ def train(docs: DataFrame, trains_on=None) -> Trained:
     ends, words = chunks.select(F.sum(F.size(F.filter("held", lambda x: ~x))), F.sum(F.octet_length("words"))).first()
     buckets = max(parts, -(-(words or 0) // (32 << 20)))
     asked = chunks.select("chunk", "words", "counts", "tails").mapInArrow(_ask(buckets), "bucket int, chunk long, words binary, counts binary, tails binary")
-    owned = stage(asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_own, "kind int, chunk long, bucket int, totals binary, number long, a long, b long"), "hmm-counts")
+    owned = stage(asked.drop("chunk").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_own, _OWNED), "hmm-counts")
     counts = corpus_counts(owned, int(ends or 0))
-    return Trained(chunks, owned.where("kind = 0").select("chunk", "bucket", "totals"), counts, baum_welch(chunks, counts))
+    return Trained(chunks, replies_of(owned, asked, parts), counts, baum_welch(chunks, counts))
+
+
+def replies_of(owned: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
+    """(chunk, bucket, totals): the corpus counts of each chunk's words, bucket by bucket."""
+    none = F.lit(None)
+    known = owned.where("kind = 0").select("bucket", "kind", none.cast("long").alias("chunk"), "words", "totals")
+    both = known.unionAll(asked.select("bucket", F.lit(1), "chunk", "words", none.cast("binary")))
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_reply, "chunk long, bucket int, totals binary")
 
 
 def score_documents(docs: DataFrame, trains_on=None) -> DataFrame:

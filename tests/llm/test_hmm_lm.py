@@ -109,7 +109,7 @@ def test_training_raises_the_likelihood(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", m.F.lit(False).alias("held"))
     chunks = docs.select("doc_id", "held", "text").mapInArrow(m._chunks, m._CHUNK).cache()
     asked = chunks.select("chunk", "words", "counts", "tails").mapInArrow(m._ask(3), "bucket int, chunk long, words binary, counts binary, tails binary")
-    owned = asked.repartition(2, "bucket").sortWithinPartitions("bucket").mapInArrow(m._own, "kind int, chunk long, bucket int, totals binary, number long, a long, b long")
+    owned = asked.repartition(2, "bucket").sortWithinPartitions("bucket").mapInArrow(m._own, m._OWNED)
     counts = m.corpus_counts(owned, docs.count())
     row = chunks.first()
     classes = counts.classes(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tails"], "u1"))[m._tokens(row["tokens"], len(row["words"]) // 8)]
@@ -123,3 +123,32 @@ def test_nothing_to_learn_from(spark):
     assert m.score_documents(docs.where("false")).collect() == []
     got = m.score_documents(docs, trains_on=m.F.lit(False)).collect()
     assert {r["train_tokens"] for r in got} == {0} and {r["n_known"] for r in got} == {0} and all(abs(r["base_score"]) < 1e-9 for r in got)
+
+
+def test_buckets_merge_as_rows_come(monkeypatch):
+    """A word of every chunk: however few words may wait, totals and replies are those of a plain count."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows, total, tail = [], {}, {}
+    for chunk in range(50):
+        words = np.unique(np.concatenate([[7], rng.integers(0, 400, 30)])).astype("<u8")
+        counts = rng.integers(0, 9, len(words)).astype("<u4")
+        tails = (words % m.TAILS).astype("u1")
+        for b in (0, 1):
+            mine = words % 2 == b
+            rows.append((b, chunk, words[mine].tobytes(), counts[mine].tobytes(), tails[mine].tobytes()))
+        for w, c in zip(words.tolist(), counts.tolist()):
+            total[w] = total.get(w, 0) + c
+    rows.sort(key=lambda r: r[0])
+    batch = lambda some: pa.RecordBatch.from_pylist([dict(zip(("bucket", "chunk", "words", "counts", "tails"), r)) for r in some])
+    for most in (10, 1 << 21):
+        monkeypatch.setattr(m, "MERGE_WORDS", most)
+        out = [r for made in m._own(batch(rows[i : i + 7]) for i in range(0, len(rows), 7)) for r in made.to_pylist()]
+        known = [r for r in out if r["kind"] == 0]
+        assert {w: c for r in known for w, c in zip(np.frombuffer(r["words"], "<u8").tolist(), m._unpack(r["totals"], "<u8").tolist())} == total
+        assert sum(r["a"] for r in out if r["kind"] == 1) == sum(total.values()) and len([r for r in out if r["kind"] == 2]) == 2 * min(m.TOP + 1, 200)
+        both = sorted([dict(bucket=r["bucket"], kind=0, chunk=None, words=r["words"], totals=r["totals"]) for r in known] + [dict(bucket=b, kind=1, chunk=c, words=w, totals=None) for b, c, w, *_ in rows], key=lambda r: (r["bucket"], r["kind"]))
+        for made in m._reply([pa.RecordBatch.from_pylist(both)]):
+            for r, q in zip(made.to_pylist(), [x for x in both if x["kind"]]):
+                assert m._unpack(r["totals"], "<u8").tolist() == [total[w] for w in np.frombuffer(q["words"], "<u8").tolist()] and r["chunk"] == q["chunk"]
