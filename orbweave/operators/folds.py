@@ -150,19 +150,21 @@ def causal_reliability(df: DataFrame, key: str, order: str, view: str, distance:
 
 
 @dataclass
-class EventPaths:
-    """Best paths that end without a proposal (None) or in the last proposed candidate; a path is linked backwards."""
+class TwoWays:
+    """The best totals of a source's events so far that end with the current candidate kept, and with a cut.
 
-    states: dict = field(default_factory=lambda: {None: (0.0, None)})
-    events: list = field(default_factory=list)
+    ``order``: the sign of comparing the two ways' candidate ids; ``back``: for each event what both ways came from.
+    """
 
+    keep: float = 0.0
+    cut: float = -math.inf
+    proposed: str | None = None
+    order: int = 0
+    back: list = field(default_factory=list)
 
-def _forward(path) -> list:
-    out = []
-    while path is not None:
-        path, choice = path
-        out.append(choice)
-    return out[::-1]
+    def better(self, keep: float, cut: float) -> int:
+        """0 if the way that kept is the one to go on from, 1 if the one that cut is."""
+        return int(cut > keep or (cut == keep and self.order > 0))
 
 
 def choose_events(events: DataFrame, key: str, order: str, *, switch: float, angular: float, repeat: float, least_dwell: float, least_advantage: float) -> DataFrame:
@@ -172,37 +174,38 @@ def choose_events(events: DataFrame, key: str, order: str, *, switch: float, ang
     proposal's semantics) and angle (between the two views). A proposal is eligible if it is observed, lasts
     ``least_dwell`` and is better by ``least_advantage``. It costs twice ``switch`` and twice ``angular`` times
     the angle, and ``repeat`` if the event before chose the same candidate. Equal totals go to the path of
-    lesser candidate ids. Events of one source are sparse; their choices are held until its last one.
+    lesser candidate ids. Events of one source are sparse; what each came from is held until its last one.
+
+    As an event proposes one candidate, there are two ways to end in it, and a step is a 2 x 2 product in (max, +):
+    keep' = here + max(keep, cut), cut' = there - cost + max(keep, cut - repeat). Of ways with equal totals the order of
+    their ids is carried along, so nothing is walked back before the end.
     """
     names = ["start", "end", "current_id", "proposed_id", "current_total", "proposed_total", "observed", "angle"]
     rows = events.select(key, order, *names)
 
-    def step(plan: EventPaths, row: tuple):
+    def step(ways: TwoWays, row: tuple):
         start, end, current, proposed, here, there, observed, angle = row[2:]
         eligible = bool(observed) and end - start >= least_dwell and there >= here + least_advantage
-        fixed, turned = 2.0 * switch, 2.0 * angle * angular
-        grown: dict = {}
-        for before, (score, path) in plan.states.items():
-            options = [(None, current, here, 0.0)]
-            if eligible:
-                options.append((proposed, proposed, there, fixed + turned + (repeat if before == proposed else 0.0)))
-            for state, chosen, utility, cost in options:
-                total, made = score + utility - cost, (path, (chosen, cost))
-                held = grown.get(state)
-                if held is None or total > held[0] or (total == held[0] and [c for c, _ in _forward(made)] < [c for c, _ in _forward(held[1])]):
-                    grown[state] = (total, made)
-        plan.states = grown
-        plan.events.append((row[0], row[1], eligible))
+        costs = [2.0 * (switch + angular * angle)] * 2  # of a cut after a kept event, and after another cut
+        costs[1] += repeat if ways.proposed == proposed else 0.0
+        to_keep = [ways.keep + here, ways.cut + here]
+        to_cut = [ways.keep + there - costs[0], ways.cut + there - costs[1]] if eligible else [-math.inf] * 2
+        via = [ways.better(*to_keep), ways.better(*to_cut)]
+        ways.back.append((*row[:2], eligible, (current, proposed), via, costs))
+        ahead = 0 if via[0] == via[1] else ways.order * (1 - 2 * via[0])
+        ways.order = ahead or (current > proposed) - (current < proposed)
+        ways.keep, ways.cut, ways.proposed = to_keep[via[0]], to_cut[via[1]], proposed
         return ()
 
-    def finish(plan: EventPaths):
-        paths = [(-total, _forward(path)) for total, path in plan.states.values()]
-        worth, path = min(paths, key=lambda p: (p[0], [c for c, _ in p[1]]))
-        for (of, at, eligible), (chosen, cost) in zip(plan.events, path, strict=True):
-            yield of, at, chosen, cost, eligible, -worth
+    def finish(ways: TwoWays):
+        at, objective, chosen = ways.better(ways.keep, ways.cut), max(ways.keep, ways.cut), []
+        for of, when, eligible, ids, via, costs in reversed(ways.back):
+            chosen.append((of, when, ids[at], costs[via[1]] if at else 0.0, eligible, objective))
+            at = via[at]
+        yield from reversed(chosen)
 
     kinds = f"{key} {kind_of(events, key)}, {order} {kind_of(events, order)}, selected string, cost double, eligible boolean, objective double"
-    return fold(rows, [key], [order], EventPaths, step, kinds, finish=finish)
+    return fold(rows, [key], [order], TwoWays, step, kinds, finish=finish)
 
 
 @dataclass

@@ -59,37 +59,44 @@ def errors_of(q: np.ndarray, source: np.ndarray, target: np.ndarray) -> np.ndarr
     return np.arctan2(np.sqrt(x * x + y * y + z * z), a[0] * b[0] + a[1] * b[1] + a[2] * b[2])
 
 
+def tukey(error: np.ndarray, threshold: float) -> np.ndarray:
+    """Weights of matches by their errors: 1 at none, 0 from a bound on that follows the errors' own scale."""
+    deviation = np.abs(error - middle(error))
+    bound = max(threshold, TUKEY * max(MAD_TO_SIGMA * middle(deviation), threshold / FLOOR_PART))
+    return np.square(np.clip(1 - np.square(error / bound), 0.0, None))
+
+
+def reweighted(source: np.ndarray, target: np.ndarray, rounds: int, threshold: float) -> tuple[np.ndarray, int]:
+    """(rotation, rounds taken): fits and weights in turn, until weights settle or leave fewer than two matches."""
+    weights = [np.ones(len(source))]
+    while True:
+        q = davenport(source, target, weights[-1])
+        fresh = tukey(errors_of(q, source, target), threshold)
+        if (fresh > 0).sum() < 2:
+            return q, len(weights)
+        if np.abs(fresh - weights[-1]).max() < SETTLED:
+            return davenport(source, target, fresh), len(weights)
+        if len(weights) == rounds:
+            return q, rounds
+        weights.append(fresh)
+
+
 def fit_rotation(source: np.ndarray, target: np.ndarray, rounds: int = ROUNDS, threshold: float = INLIER) -> tuple:
     """Reweighted fit with Tukey's weights (x, y, z, w, and the columns of FIT after them).
 
     Confidence is inlier share x angular coverage x fit quality. Fewer than two matches, or source rays along one
     line, give no rotation and a reason.
     """
-    none = (None,) * 4 + (0.0, 0, len(source), 0, float(np.pi), 0.0)
-    if len(source) < 2:
-        return (*none, "insufficient_correspondences")
-    if spread(source)[0] < LEAST_DIVERSITY:
-        return (*none, "insufficient_angular_diversity")
-    weight, done = np.ones(len(source)), 0
-    for done in range(1, rounds + 1):  # noqa: B007
-        q = davenport(source, target, weight)
-        error = errors_of(q, source, target)
-        sigma = max(MAD_TO_SIGMA * middle(np.abs(error - middle(error))), threshold / FLOOR_PART)
-        ratio = error / max(threshold, TUKEY * sigma)
-        fresh = np.where(ratio < 1, (1 - ratio**2) ** 2, 0.0)
-        if np.count_nonzero(fresh) < 2:
-            break
-        change, weight = float(np.abs(fresh - weight).max()), fresh
-        if change < SETTLED:
-            q = davenport(source, target, weight)
-            break
+    n = len(source)
+    lacks = "insufficient_correspondences" if n < 2 else "insufficient_angular_diversity" if spread(source)[0] < LEAST_DIVERSITY else None
+    if lacks:
+        return (None, None, None, None, 0.0, 0, n, 0, float(np.pi), 0.0, lacks)
+    q, taken = reweighted(source, target, rounds, threshold)
     error = errors_of(q, source, target)
-    inside = error <= threshold
-    share = float(inside.mean())
-    residual = float(np.sqrt((error[inside] ** 2).mean())) if inside.any() else float(np.pi)
-    coverage = min(1.0, spread(source[inside])[1] / (np.pi / 2)) if inside.sum() > 1 else 0.0
-    confidence = float(np.clip(share * coverage * max(0.0, 1 - residual / threshold), 0, 1))
-    return (*q.tolist(), share, int(inside.sum()), len(source), done, residual, confidence, None)
+    kept = np.flatnonzero(error <= threshold)
+    residual = float(np.sqrt(np.mean(np.square(error[kept])))) if len(kept) else float(np.pi)
+    parts = [len(kept) / n, min(1.0, spread(source[kept])[1] / (np.pi / 2)) if len(kept) > 1 else 0.0, max(0.0, 1 - residual / threshold)]
+    return (*q.tolist(), parts[0], len(kept), n, taken, residual, float(np.clip(np.prod(parts), 0, 1)), None)
 
 
 def fit_rotations(matches: DataFrame, *keys: str) -> DataFrame:
