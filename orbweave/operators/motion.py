@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import matrix, sphere
 from orbweave.functions import quaternion as quat
+from orbweave.operators import rotation
 from orbweave.operators.intervals import near_in_time
 from orbweave.operators.ordered import fold, kind_of
 from orbweave.operators.rotation import multiply
+from orbweave.operators.staging import staged
 
 SOURCE, TARGET = ("sx", "sy", "sz"), ("tx", "ty", "tz")
 
@@ -44,6 +46,32 @@ def registration_samples(df: DataFrame, homography: str, columns: int = 5, rows:
     return moved.select(*[c for c in df.columns if c != homography], *place, *[c.alias(n) for c, n in zip((*s, *t), (*SOURCE, *TARGET), strict=True)])
 
 
+def native_samples(df: DataFrame, homography: str, columns: int = 5, rows: int = 3, tile: tuple[str, str, str, str] | None = None) -> DataFrame:
+    """``registration_samples`` of registrations as a native library gives them (GEO-16): from target to source, with the origin
+    at the bottom left."""
+    height = F.col("height") if tile is None else F.col(tile[3])
+    turned = F.array(*matrix.from_native_registration(matrix.of(F.col(homography)), height))
+    return registration_samples(df.withColumn(homography, turned), homography, columns, rows, tile)
+
+
+def global_motion(samples: DataFrame, keys: list[str], row_id: str, viewport: str, radius: float, least: int, viewports: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fits, members, motions) of a pair from the ray matches of all tiles of all its viewports (PLN-15, PLN-19).
+
+    Each tile is fitted by itself (AGG-20); tiles near their medoid are chosen, ``least`` of them from as many ``viewports``
+    (AGG-19); one fit over the matches of the chosen, from target to source, is the pair's motion. Motions have the verdict's
+    columns, and the fit's where the verdict is ``selected``.
+    """
+    names = [*keys, viewport, row_id]
+    samples = staged(samples.select(*names, *SOURCE, *TARGET), "tile-samples")
+    fits = rotation.fit_rotations(samples, *names)
+    members, verdicts = consensus(fits.where("w is not null"), keys, row_id, radius, least, "insufficient_global_tile_consensus", (viewport, viewports, "insufficient_global_viewport_coverage"))
+    members = staged(members, "tile-members")
+    chosen = samples.join(members.where("selected").select(*keys, row_id), [*keys, row_id], "left_semi")
+    chosen = chosen.join(verdicts.where("state = 'selected'").select(*keys), keys, "left_semi")
+    back = chosen.select(*keys, *[F.col(t).alias(s) for s, t in zip(SOURCE + TARGET, TARGET + SOURCE, strict=True)])
+    return fits, members, verdicts.join(rotation.fit_rotations(back, *keys), keys, "left")
+
+
 def fit_variants(samples: DataFrame, keys: list[str], view: str, chosen: dict[str, DataFrame]) -> DataFrame:
     """``samples`` once for each variant of a fit (PLN-14): all views, all but one of them, and each named choice.
 

@@ -99,6 +99,28 @@ def agg21_tile_motion(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(verdicts.select(*PAIR, "medoid", "n_selected", "covered", "failure_reason").join(whole, PAIR, "left"), "x", "y", "z", "w", "inlier_ratio", "residual", "confidence")
 
 
+@query()
+def pln15_global_motion(spark: SparkSession, sf: str) -> DataFrame:
+    """PLN-15, PLN-19, GEO-16, AGG-19, AGG-20: a moment's motion from the native registrations of all tiles of all viewports: converted, fitted one
+    by one, chosen by their medoid over enough viewports, and fitted together the other way round (tested against a plain loop)."""
+    samples = motion.native_samples(r.registration(spark, sf), "homography")
+    _, _, motions = motion.global_motion(samples, ["pair"], "vec_id", "view", math.radians(20), 4, 3)
+    judged = motion.judge_fits(motions.drop("failure_reason").withColumnRenamed("state", "consensus"), math.radians(12), 0.02, 0.15, math.radians(2.5))
+    return rounded(judged.select("pair", "medoid", "n_selected", "covered", "consensus", "x", "y", "z", "w", "inlier_ratio", "residual", "confidence", "state", "failure_reason"), "x", "y", "z", "w", "inlier_ratio", "residual", "confidence")
+
+
+_FITTED = "fitted AS (SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE 1 - abs(embedding[1]::DOUBLE) / 30 END AS w, abs(embedding[2]::DOUBLE) * 4 AS confidence, 1 - abs(embedding[3]::DOUBLE) * 4 AS inlier_ratio, abs(embedding[4]::DOUBLE) / 6 AS residual FROM embeddings)"
+
+
+@query(f"""WITH {_FITTED}, s AS (SELECT *, 2 * acos(least(abs(w), 1)) AS step FROM fitted), j AS (SELECT vec_id, step, CASE WHEN w IS NULL THEN 'rotation_fit_failed' WHEN step > 0.1 THEN 'rotation_step_exceeds_configured_bound' WHEN confidence < 0.2 THEN 'rotation_fit_confidence_below_bound' WHEN inlier_ratio < 0.5 THEN 'rotation_fit_inlier_ratio_below_bound' WHEN residual > 0.03 THEN 'rotation_fit_residual_exceeds_bound' END AS failure_reason FROM s)
+ SELECT vec_id, round(step, 6) AS step, failure_reason, CASE WHEN failure_reason IS NULL THEN 'measured' ELSE 'invalid' END AS state FROM j""")
+def fil06_fit_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """FIL-06: the first bound that a fit breaks, of its step, confidence, inliers and residual."""
+    e = lambda i: F.abs(F.element_at("embedding", i).cast("double"))
+    fits = r.table(spark, sf, "embeddings").select("vec_id", F.when(F.col("vec_id") % 13 != 0, 1 - e(1) / 30).alias("w"), (e(2) * 4).alias("confidence"), (1 - e(3) * 4).alias("inlier_ratio"), (e(4) / 6).alias("residual"))
+    return rounded(motion.judge_fits(fits, 0.1, 0.2, 0.5, 0.03).select("vec_id", "step", "failure_reason", "state"), "step")
+
+
 def _judged(spark, sf):
     samples = staged(_samples(spark, sf), "ray-samples")
     views = rotation.fit_rotations(samples, *PAIR, "view").where("w is not null")

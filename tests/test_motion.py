@@ -134,3 +134,40 @@ def test_seed_boxes_are_cut_by_a_pixel_at_most(spark):
     made = sphere.seed_box(*[F.col(c) for c in ("x", "top", "w", "h")], 640, 360, 1.0)
     got = [tuple(None if v is None else round(v, 6) for v in r) for r in df.select(*[c.alias(n) for n, c in made.items()]).collect()]
     assert got == [(0.5, 0.0, 0.5, 0.5), (0.9, 0.3, 0.1, 0.2), (None,) * 4, (None,) * 4, (0.1, 0.0, 0.1, 0.1), (None,) * 4]
+
+
+def test_global_motion_of_native_tiles(spark):
+    """Tiles of a camera that turns by two degrees, given as a native library gives them, and two that saw something else: the motion is the turn back."""
+    w, h, fov, angle = 640, 360, math.radians(90), math.radians(2)
+    f = w / 2 / math.tan(fov / 2)
+    k = np.array([[f, 0, w / 2 - 0.5], [0, f, h / 2 - 0.5], [0, 0, 1]])
+    flip = np.array([[1, 0, 0], [0, -1, h - 1.0], [0, 0, 1]])
+    axis = np.array([0.3, 0.9, -0.2]) / np.linalg.norm([0.3, 0.9, -0.2])  # of the world's turn
+
+    def rotation_of(q):
+        x, y, z, s = q
+        return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * s), 2 * (x * z + y * s)], [2 * (x * y + z * s), 1 - 2 * (x * x + z * z), 2 * (y * z - x * s)], [2 * (x * z - y * s), 2 * (y * z + x * s), 1 - 2 * (x * x + y * y)]])
+
+    world = np.array([*(axis * math.sin(angle / 2)), math.cos(angle / 2)])
+    other = np.array([math.sin(0.4), 0.0, 0.0, math.cos(0.4)])
+    rows = []
+    for tile in range(8):
+        yaw = math.radians(60 * tile)
+        frame = np.array([[math.cos(yaw), 0, math.sin(yaw)], [0, 1, 0], [-math.sin(yaw), 0, math.cos(yaw)]])  # camera to world, x right, y up, z ahead
+        image = np.diag([1.0, -1.0, 1.0])  # an image's y goes down
+        turn = rotation_of(other if tile > 5 else world)
+        m = k @ image @ frame.T @ turn @ frame @ image @ np.linalg.inv(k)  # source to target pixels, from the top left
+        native = flip @ np.linalg.inv(m) @ flip
+        rows.append((1, tile, tile % 4, (native / native[2, 2]).ravel().tolist(), float(w), float(h), yaw, 0.0, fov, 0.0))
+    df = spark.createDataFrame(rows, "pair long, tile long, view long, homography array<double>, width double, height double, yaw double, pitch double, h_fov double, roll double")
+    samples = motion.native_samples(df, "homography", 7, 5)
+    fits, members, motions = motion.global_motion(samples, ["pair"], "tile", "view", math.radians(3), 4, 3)
+    assert {x["tile"] for x in members.where("selected").collect()} == set(range(6))
+    for x in fits.collect():
+        want = other if x["tile"] > 5 else world
+        assert abs(abs(np.dot([x[c] for c in "xyzw"], want)) - 1) < 1e-9
+    got = motions.first()
+    back = np.array([*-world[:3], world[3]])
+    assert got["state"] == "selected" and abs(abs(np.dot([got[c] for c in "xyzw"], back)) - 1) < 1e-9 and got["n_selected"] == 6 and got["covered"] == 4
+    few = motion.global_motion(samples.where("tile in (0, 4, 1, 5)"), ["pair"], "tile", "view", math.radians(3), 4, 3)[2].first()
+    assert few["failure_reason"] == "insufficient_global_viewport_coverage" and few["w"] is None
