@@ -36,6 +36,7 @@ LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words
 SUBSUMED = 80  # per cent of a phrase's occurrences that a longer one must have to stand for it
 TOP = 2000  # phrases of each language
+TOP_PARTS = 16  # parts of a language whose first ones meet in its last window
 CHUNK_BYTES = 4 << 20
 MERGE_ENTRIES = 1 << 21  # pairs that wait to be merged in a bucket's task
 _ID_BITS = np.uint64(32)
@@ -312,9 +313,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, su
         found.append(_scored(own, k))
     every = reduce(DataFrame.unionAll, found)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = Window.partitionBy("lang", "part").orderBy(*order)  # a language's first ones are among the first ones of its parts
-    best = every.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts))).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)
+    best = every
+    for parts in (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), TOP_PARTS):  # a language's first ones are among the first ones of its parts
+        some = Window.partitionBy("lang", "part").orderBy(*order)
+        best = best.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts))).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
