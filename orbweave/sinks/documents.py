@@ -8,7 +8,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,12 +47,13 @@ def documents(df: DataFrame, keys: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, document string, sha256 string")
 
 
-def known_motion(spark: SparkSession, seconds: float, fps: float, turn_rate: float, amplitude: float, retention: float) -> DataFrame:
-    """SRC-16: a camera that turns evenly, with a shake from frame to frame, and what a stabiliser leaves of it, in degrees."""
-    n = int(round(seconds * fps))
-    t = F.col("id") / fps
-    shake = F.when(F.col("id") % 2 == 0, amplitude).otherwise(-amplitude)
-    rows = spark.range(n).select(t.alias("time_seconds"), (turn_rate * t).alias("intentional_yaw_degrees"), shake.alias("injected_shake_degrees"))
+def known_motion(sources: DataFrame, key: str, fps: float, turn_rate: float, amplitude: float, retention: float) -> DataFrame:
+    """SRC-16: for each source (key, seconds) a camera that turns evenly, with a shake from frame to frame, and what a
+    stabiliser leaves of it, in degrees. A source shorter than a frame has none."""
+    frames = F.when(F.round(F.col("seconds") * fps) >= 1, F.sequence(F.lit(0), F.round(F.col("seconds") * fps).cast("int") - 1))
+    t = F.col("_i") / fps
+    shake = F.when(F.col("_i") % 2 == 0, amplitude).otherwise(-amplitude)
+    rows = sources.select(key, F.explode(frames).alias("_i")).select(key, t.alias("time_seconds"), (turn_rate * t).alias("intentional_yaw_degrees"), shake.alias("injected_shake_degrees"))
     yaw, off = F.col("intentional_yaw_degrees"), F.col("injected_shake_degrees")
     return rows.withColumn("raw_yaw_degrees", yaw + off).withColumn("stabilized_yaw_degrees", yaw + retention * off)
 

@@ -155,7 +155,7 @@ def test_canonical_documents(spark, tmp_path):
         assert row["document"].endswith("\n") and list(json.loads(row["document"])) == ["list", "n", "name"] and row["sha256"] == hashlib.sha256(row["document"].encode()).hexdigest()
     with pytest.raises(Exception, match="NaN"):
         documents.documents(spark.createDataFrame([(1, float("nan"))], "id int, x double"), ["id"]).collect()
-    motion = documents.known_motion(spark, 1.0, 4.0, 8.0, 1.0, 0.5)
+    motion = documents.known_motion(spark.createDataFrame([(1, 1.0), (2, 0.1)], "k int, seconds double"), "k", 4.0, 8.0, 1.0, 0.5)
     documents.write_motion(motion, str(tmp_path / "m"), "time_seconds")
     got = spark.read.option("header", True).csv(str(tmp_path / "m")).orderBy("time_seconds").collect()
     assert [float(r["raw_yaw_degrees"]) for r in got] == [1.0, 1.0, 5.0, 5.0]
