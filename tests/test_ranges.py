@@ -118,8 +118,6 @@ def test_sources_at_one_time_never_merge(spark):
 def test_pairs_looked_at_grow_with_neighbours(spark):
     """A frame of 20,000 spread candidates: cells keep the join to some neighbours each, where all pairs would be 200 million."""
     df = spark.range(20_000).selectExpr("1L as frame", "id", "'p' as kind", "(id * 2.399963) % 6.283185 - 3.141592 as yaw", "asin(2 * (id + 0.5) / 20000 - 1) as pitch", "0.01 as h_fov")
-    own, looked = spatial._cells(math.radians(2))
-    at = (spatial.F.col("yaw"), spatial.F.col("pitch"))
-    a = df.select(own(*at).alias("c"))
-    assert a.join(df.select(spatial.F.explode(looked(*at)).alias("c")), "c").count() < 20_000 * 60
+    placed, looking = spatial._cells(math.radians(2))
+    assert placed(df).select("_cell").join(looking(df).select("_cell"), "_cell").count() < 20_000 * 60
     assert spatial.close_pairs(df, math.radians(2), math.radians(2), 1.0).count() > 0
