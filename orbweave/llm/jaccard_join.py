@@ -9,15 +9,20 @@ Pairs of classes are found without a cross join:
 2. Two sets that reach the threshold share a shingle among the first n - ceil(t*n) + 1 of that order. Map
    tasks send those prefixes to hash buckets; equal shingles there give candidate edges along runs of
    compatible sizes (linear in the postings; runs are shortened before the shuffle too).
-3. Components of the candidate edges are cut into tiles: bands of sizes within the threshold's ratio, split
+3. What is too much for one tile of a component gets new candidates, from counters of such components' sets alone: once
+   there are many more shingles than counters, all counters are much alike, and sets that share no more than a
+   passage meet. There a bitmap of eight places a shingle, or of 2^MARK_BITS, also parts shingles that no other set
+   has from the rest. That is repeated while it halves the shingles of these components.
+4. Components of the candidate edges are cut into tiles: bands of sizes within the threshold's ratio, split
    into blocks of bounded size. In a tile the signatures' bit counts bound each overlap from above; what
    remains is decided by exact intersection of sorted arrays. Pairs already connected aren't compared again.
-4. Components over the verified links give each class, and through it each document, its component.
+5. Components over the verified links give each class, and through it each document, its component.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +32,17 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
 from orbweave.llm.components import connected_components
-from orbweave.llm.shared import look_up, settle, stage, table, text_digest, whole_text
+from orbweave.llm.shared import discard, look_up, settle, stage, table, text_digest, whole_text
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 COUNTER_BITS, BLOCK_BITS = 24, 16
 BUCKET_POSTINGS = 1 << 20
-TILE_SETS, TILE_SHINGLES = 256, 1 << 20
+TILE_SETS, TILE_SHINGLES = 1024, 1 << 20
+FILTER_BITS, MARK_BITS = 26, 29
 SIGNATURE_WORDS = 16
 _POSTING = np.dtype([("shingle", "<u8"), ("set_id", "<i8"), ("n", "<u4")])
+_BEYOND = np.dtype([("at", "<u2"), ("count", "<u4")])
 
 
 def document_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -52,41 +59,74 @@ def set_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return w.mix(total[first[1:]] - total[first[:-1]] + n * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, digest, n, set_id), and at the end the partition's shingle counters by block."""
-    counters = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
-    names = ["doc_id", "digest", "n", "set_id", "block", "at", "counts"]
+class _Counters:
+    """Counts of shingles by their first COUNTER_BITS bits."""
 
-    def rows(ids, digests, n, sets, block, at, counts):
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(block, pa.int32()), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], names=names)
+    def __init__(self):
+        self.counts = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
+        self.waiting, self.size = [], 0
 
-    waiting, size = [], 0
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append((hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.uint32))
+        self.size += len(hashes)
+        if self.size > 1 << 21:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            at, c = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.counts[at] += c.astype(np.uint32)
+        self.waiting.clear()
+        self.size = 0
+
+    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(block, its counts up to 255 as deflated bytes, what larger ones have beyond that)."""
+        self.settle()
+        for b in range(1 << (COUNTER_BITS - BLOCK_BITS)):
+            part = self.counts[b << BLOCK_BITS : (b + 1) << BLOCK_BITS]
+            if part.any():
+                at = np.flatnonzero(part > 255)
+                beyond = np.zeros(len(at), dtype=_BEYOND)
+                beyond["at"], beyond["count"] = at, part[at] - 255
+                deflate = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)  # small counts are a bit or two each
+                yield b, deflate.compress(np.minimum(part, 255).astype(np.uint8).tobytes()) + deflate.flush(), beyond.tobytes()
 
-    def add():
-        if waiting:
-            at, c = np.unique(np.concatenate(waiting), return_counts=True)
-            counters[at] += c.astype(np.uint32)
-            waiting.clear()
+
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, digest, n, set_id), and at the end the partition's shingle counters by block."""
+    counters = _Counters()
+    names = ["doc_id", "digest", "n", "set_id", "block", "counts", "beyond"]
+
+    def rows(ids, digests, n, sets, block, counts, beyond):
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(block, pa.int32()), pa.array(counts, pa.binary()), pa.array(beyond, pa.binary())], names=names)
 
     for batch in batches:
         ids, digests, n, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
         for _, hashes, first in document_sets(batch.column(2)):
-            waiting.append((hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.uint32))
-            size += len(hashes)
+            counters.add(hashes)
             k = np.diff(first)
             n += k.tolist()
             sets += [s if x else None for s, x in zip(set_ids(hashes, first).tolist(), k, strict=True)]
-            if size > 1 << 21:
-                add()
-                size = 0
         none = [None] * len(ids)
         yield rows(ids, digests, n, sets, none, none, none)
-    add()
-    for b in range(1 << (COUNTER_BITS - BLOCK_BITS)):
-        part = counters[b << BLOCK_BITS : (b + 1) << BLOCK_BITS]
-        at = np.flatnonzero(part)
-        if len(at):
-            yield rows([None], [None], [None], [None], [b], [at.astype("<u2").tobytes()], [part[at].astype("<u4").tobytes()])
+    for b, counts, beyond in counters.blocks():
+        yield rows([None], [None], [None], [None], [b], [counts], [beyond])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The partition's counters of (text, component), as ``_profile`` gives them."""
+    counters = _Counters()
+    for batch in batches:
+        for i, hashes, first in document_sets(batch.column(0)):
+            counters.add(_within(hashes, first, batch.column(1), i))
+    for b, counts, beyond in counters.blocks():
+        yield pa.record_batch([pa.array([b], pa.int32()), pa.array([counts], pa.binary()), pa.array([beyond], pa.binary())], names=["block", "counts", "beyond"])
+
+
+def _within(hashes: np.ndarray, first: np.ndarray, components: pa.Array, start: int) -> np.ndarray:
+    """Shingles as those of the documents' components, so that equal ones of two components differ."""
+    own = components.slice(start, len(first) - 1).to_numpy().view(np.uint64)
+    return w.mix(hashes ^ np.repeat(w.mix(own), np.diff(first)))
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +138,15 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array([held], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "levels"])
 
     for batch in batches:
-        for block, at, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for block, counts, beyond in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if held != block:
                 if held is not None:
                     yield out()
                 held = block
                 total[:] = 0
-            total[np.frombuffer(at, "<u2")] += np.frombuffer(counts, "<u4")
+            total += np.frombuffer(zlib.decompress(counts), np.uint8)
+            more = np.frombuffer(beyond, _BEYOND)
+            total[more["at"]] += more["count"]
     if held is not None:
         yield out()
 
@@ -137,7 +179,68 @@ def _shorten(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(edges, axis=0), p[stands]
 
 
-def _send(levels, buckets: int):
+def _places(bits: int):
+    """(block, places) of the shingles of (text, component) among 2**bits."""
+
+    def rows(slots: np.ndarray) -> pa.RecordBatch:
+        slots.sort()
+        block = slots >> np.uint64(BLOCK_BITS)
+        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        places = (slots & np.uint64((1 << BLOCK_BITS) - 1)).astype("<u2")
+        return pa.record_batch([pa.array(block[cut].astype(np.int32), pa.int32()), pa.array([places[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(slots)), strict=True)], pa.binary())], names=["block", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            for i, hashes, first in document_sets(batch.column(0)):
+                waiting.append(_within(hashes, first, batch.column(1), i) >> np.uint64(64 - bits))
+                size += len(hashes)
+                if size > 1 << 22:
+                    yield rows(np.concatenate(waiting))
+                    waiting, size = [], 0
+        if size:
+            yield rows(np.concatenate(waiting))
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in block order: a bitmap of the block's places that came more than once."""
+    held, once, again = None, np.zeros(1 << BLOCK_BITS, dtype=bool), np.zeros(1 << BLOCK_BITS, dtype=bool)
+
+    def out():
+        return pa.record_batch([pa.array([held], pa.int32()), pa.array([np.packbits(again, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+    for batch in batches:
+        for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held != block:
+                if held is not None:
+                    yield out()
+                held = block
+                once[:] = again[:] = False
+            p = np.frombuffer(blob, "<u2")  # sorted
+            again[p[1:][p[1:] == p[:-1]]] = True
+            again[p] |= once[p]
+            once[p] = True
+    if held is not None:
+        yield out()
+
+
+def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of 2**bits places whose blocks ``rows`` (block, bits) hold."""
+    bitmap, size = np.zeros((1 << bits) // 8, dtype=np.uint8), (1 << BLOCK_BITS) // 8
+    for b, made in rows.collect():  # 2**bits bits in all
+        bitmap[b * size : (b + 1) * size] = np.frombuffer(made, np.uint8)
+    return bitmap
+
+
+def _is_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _send(levels, buckets: int, marks=None, bits: int = 0):
+    """``marks``: a bitmap of 2**bits places, of shingles that more than one set may have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = levels.value
         waiting, size, seen = [], 0, set()
@@ -154,8 +257,10 @@ def _send(levels, buckets: int):
                 yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([edges.astype("<i8").tobytes()], pa.binary())], names=["bucket", "postings"])
 
         for batch in batches:
-            for _, hashes, first in document_sets(batch.column(0)):
+            for i, hashes, first in document_sets(batch.column(0)):
                 sets, n = set_ids(hashes, first), np.diff(first)
+                if batch.num_columns > 1:
+                    hashes = _within(hashes, first, batch.column(1), i)
                 fresh = np.zeros(len(n), dtype=bool)
                 for d, s in enumerate(sets.tolist()):
                     if n[d] and s not in seen:
@@ -165,6 +270,8 @@ def _send(levels, buckets: int):
                     seen.clear()
                 owner = np.repeat(np.arange(len(n)), n)
                 level = common[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                if marks is not None:
+                    level = level.astype(np.int64) + 256 * _is_set(marks.value, (hashes >> np.uint64(64 - bits)).astype(np.int64))
                 order = np.lexsort((hashes, level, owner))
                 rank = np.arange(len(owner)) - first[owner]  # owners are in order before and after
                 prefix = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
@@ -285,6 +392,47 @@ def _link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+def _mark_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, bit) in block order to one bitmap for each block."""
+    held, bits = None, np.zeros(1 << BLOCK_BITS, dtype=bool)
+
+    def out():
+        return pa.record_batch([pa.array([held], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+    for batch in batches:
+        block, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
+        for i, j in zip(cut, np.append(cut[1:], len(block)), strict=True):
+            if held != block[i]:
+                if held is not None:
+                    yield out()
+                held = int(block[i])
+                bits[:] = False
+            bits[bit[i:j]] = True
+    if held is not None:
+        yield out()
+
+
+def _asked_for(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` without most rows whose digest no row of ``wanted`` has, by a bitmap of FILTER_BITS hash values.
+
+    No wanted row goes; of the others more stay as the bitmap fills.
+    """
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bit = F.pmod("digest", F.lit(1 << FILTER_BITS)).cast("int")
+    marks = wanted.select(F.shiftright(bit, BLOCK_BITS).alias("block"), bit.bitwiseAND((1 << BLOCK_BITS) - 1).alias("bit")).distinct()
+    bitmap = _bitmap(marks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_mark_bits, "block int, bits binary"), FILTER_BITS)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(_is_set(found, batch.column("digest").to_numpy() & ((1 << FILTER_BITS) - 1))))
+
+    return texts.mapInArrow(kept, texts.schema)
+
+
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(set_id, tiles, text) to (set_id, tiles, shingles), for texts that have the wanted set.
 
@@ -303,48 +451,91 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(blobs, pa.binary())], names=["set_id", "tiles", "shingles"])
 
 
+def _blocks(members: DataFrame, *key: str) -> DataFrame:
+    """(key, blocks): in how many blocks of a tile's bounds the sets of ``key`` are split."""
+    sums = members.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    return sums.select(*key, F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int").alias("blocks"))
+
+
 def _tiles(members: DataFrame) -> DataFrame:
     """(component, band, i, j, block, guest, set_id, doc_id, digest) for (component, set_id, doc_id, digest, n)."""
-    whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-    blocks = lambda: F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
-    sized = members.join(whole.select("component", (blocks() > 1).alias("wide")), "component")
+    sized = members.join(_blocks(members, "component").select("component", (F.col("blocks") > 1).alias("wide")), "component")
     band = F.floor(F.log("n") / F.lit(math.log(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
     # a set is an owner of its band and a guest of the band below: sizes within the ratio are at most one band apart
     roles = F.when(F.col("wide"), F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band - 1).alias("band"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.lit(-1).alias("band"), F.lit(False).alias("guest"))))
     placed = sized.withColumn("role", F.explode(roles)).select("component", "role.*", "set_id", "doc_id", "digest", "n")
-    count = placed.groupBy("component", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).select("component", "band", blocks().alias("blocks"))
-    placed = placed.join(count, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    placed = placed.join(_blocks(placed, "component", "band"), ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return placed.withColumn("other", other).select("component", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "set_id", "doc_id", "digest")
 
 
+def _near(texts: DataFrame, blocks: DataFrame, total: int) -> DataFrame:
+    """(node, component) of the sets of ``texts`` (text, and component if sets meet within components only) by candidate edges.
+
+    ``blocks`` are counters of their ``total`` shingles, by partition.
+    """
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    levels = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
+    for b, made in blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block int, levels binary").collect():  # 2**COUNTER_BITS bytes in all
+        levels[b << BLOCK_BITS : (b + 1) << BLOCK_BITS] = np.frombuffer(made, np.uint8)
+    buckets = max(parts, -(-total // (4 * BUCKET_POSTINGS)))
+    marks, bits = None, 0
+    if "component" in texts.columns:
+        bits = min(max(BLOCK_BITS, (8 * total - 1).bit_length()), MARK_BITS)
+        placed = texts.mapInArrow(_places(bits), "block int, places binary").repartition(parts, "block").sortWithinPartitions("block")
+        marks = spark.sparkContext.broadcast(_bitmap(placed.mapInArrow(_repeated, "block int, bits binary"), bits))
+    sent = texts.mapInArrow(_send(spark.sparkContext.broadcast(levels), buckets, marks, bits), "bucket int, postings binary")
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("postings")).otherwise(F.col("bucket"))
+    return connected_components(sent.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long"))
+
+
+def _spoken(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (with doc_id and digest) beside the texts they name."""
+    # one plan at every size: Spark would broadcast the wanted rows while they are few
+    named = _asked_for(texts, wanted).withColumnsRenamed({"doc_id": "id", "digest": "own"})
+    return named.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest")))
+
+
+def _narrowed(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (component, set_id, doc_id, digest, n), staged, with components of several blocks split by new candidates.
+
+    Sets without a candidate have no link, and go. Components are compared by shingles of their own, so none meets another.
+    """
+    members, before = stage(members, "jaccard-members"), None
+    while True:
+        large = _blocks(members, "component").where("blocks > 1").select("component")
+        wide = stage(members.join(large, "component"), "jaccard-wide")
+        total = wide.agg(F.sum("n")).first()[0] or 0
+        if not total or before is not None and 2 * total > before:
+            discard(wide)
+            return members
+        before = total
+        spoken = stage(_spoken(texts, wide).select("text", "component"), "jaccard-wide-texts")
+        near = _near(spoken, spoken.mapInArrow(_count, "block int, counts binary, beyond binary"), total)
+        split = wide.drop("component").join(near.withColumnRenamed("node", "set_id"), "set_id").select(*members.columns)
+        was, members = members, stage(members.join(large, "component", "left_anti").unionAll(split), "jaccard-members")
+        for done in (was, wide, spoken):
+            discard(done)
+
+
 def _components(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, digest, n, set_id, and ``best``: the row that speaks for its component."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), whole_text().alias("text"))
-    profile = stage(texts.mapInArrow(_profile, "doc_id long, digest long, n long, set_id long, block int, at binary, counts binary"), "jaccard-profile")
+    profile = stage(texts.mapInArrow(_profile, "doc_id long, digest long, n long, set_id long, block int, counts binary, beyond binary"), "jaccard-profile")
     rows = profile.where("block is null").select("doc_id", "digest", "n", "set_id")
-    blocks = profile.where("block is not null").select("block", "at", "counts")
-    levels = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
-    for b, made in blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block int, levels binary").collect():  # 2**COUNTER_BITS bytes in all
-        levels[b << BLOCK_BITS : (b + 1) << BLOCK_BITS] = np.frombuffer(made, np.uint8)
     total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = max(parts, -(-total // (4 * BUCKET_POSTINGS)))
-    sent = texts.select("text").mapInArrow(_send(spark.sparkContext.broadcast(levels), buckets), "bucket int, postings binary")
-    spread = F.when(F.col("bucket") < 0, F.xxhash64("postings")).otherwise(F.col("bucket"))
-    edges = sent.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long")
-    near = connected_components(edges)
+    near = _near(texts.select("text"), profile.where("block is not null").select("block", "counts", "beyond"), total)
     # one row speaks for its class: of those with an id, if there are any, the one with the least
     speaker = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "digest")
     sets = rows.where("set_id is not null").groupBy("set_id").agg(F.min(speaker).alias("own"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")).select("set_id", "own", "own.doc_id", "own.digest", "n", "rows")
-    members = near.withColumnRenamed("node", "set_id").join(sets, "set_id")
-    tiles = stage(_tiles(members), "jaccard-tiles")
+    members = near.withColumnRenamed("node", "set_id").join(sets, "set_id").select("component", "set_id", "doc_id", "digest", "n")
+    tiles = stage(_tiles(_narrowed(texts, members)), "jaccard-tiles")
     # the speaker's text is fetched once for all its tiles; its id alone may stand for several texts
     wanted = tiles.groupBy("set_id", "doc_id", "digest").agg(F.collect_list(F.struct("component", "band", "i", "j", "block", "guest")).alias("tiles"))
-    # one plan at every size: Spark would broadcast the wanted rows while they are few
-    spoken = texts.withColumnsRenamed({"doc_id": "id", "digest": "own"}).join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest")))
-    arrays = spoken.select("set_id", "tiles", "text").mapInArrow(_arrays, "set_id long, tiles array<struct<component:long,band:int,i:int,j:int,block:int,guest:boolean>>, shingles binary")
+    arrays = _spoken(texts, wanted).select("set_id", "tiles", "text").mapInArrow(_arrays, "set_id long, tiles array<struct<component:long,band:int,i:int,j:int,block:int,guest:boolean>>, shingles binary")
     dealt = arrays.select("set_id", "shingles", F.explode("tiles").alias("t")).select("t.*", "set_id", "shingles")
     key = ["component", "band", "i", "j"]
     links = dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_link_tiles, "a long, b long")

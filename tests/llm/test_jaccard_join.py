@@ -140,3 +140,69 @@ def test_a_run_is_stood_for_by_few_sets():
     _, rest = j._shorten(np.array([(1, k, 1000 + k) for k in range(100_000)], dtype=j._POSTING))
     n = rest["n"].astype(int)
     assert n[0] == 1000 and n[-1] == 100_999 and len(n) < 40 and (100 * n[:-1] >= 75 * n[1:]).all()
+
+
+def test_sets_that_candidates_join_by_chance_are_parted_before_tiles(spark, monkeypatch):
+    """What counters that are all alike do: one component of everything."""
+    texts, copies = variants(20)
+    rows = list(enumerate([*texts, *copies]))
+    ids = [int(s) for _, hashes, first in j.document_sets(pa.array([t for _, t in rows])) for s in j.set_ids(hashes, first)]
+    found, real, sizes = [], j.stage, []
+
+    def all_in_one(edges):
+        found.append(edges)
+        return connected_components(spark.createDataFrame([(s, ids[0]) for s in ids[1:]], "a long, b long") if len(found) == 1 else edges)
+
+    def staged(df, what):
+        made = real(df, what)
+        if what == "jaccard-tiles":
+            sizes.extend(r["n"] for r in made.groupBy("component").agg({"set_id": "count"}).toDF("component", "n").collect())
+        return made
+
+    monkeypatch.setattr(j, "TILE_SETS", 4)
+    monkeypatch.setattr(j, "connected_components", all_in_one)
+    monkeypatch.setattr(j, "stage", staged)
+    assert ran(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert sizes == [2] * 20
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_marks_part_sets_of_one_passage_where_counters_are_alike():
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = pa.array([f"{t} {passage}" for t in variants(16)[0]])
+    batch = pa.record_batch([texts, pa.array([7] * 16, pa.int64())], names=["text", "component"])
+    alike = Shared(np.zeros(1 << j.COUNTER_BITS, np.uint8))
+
+    def pairs(*marks):
+        sent = list(j._send(alike, 1, *marks)(iter([batch])))
+        sent.sort(key=lambda b: b.column(0)[0].as_py())
+        return sum(b.num_rows for b in j._meet(iter(sent)))
+
+    size = (1 << j.BLOCK_BITS) // 8
+    bitmap = np.zeros((1 << 20) // 8, np.uint8)
+    placed = sorted((r["block"], r["places"]) for b in j._places(20)(iter([batch])) for r in b.to_pylist())
+    placed = pa.record_batch([pa.array([b for b, _ in placed], pa.int32()), pa.array([p for _, p in placed], pa.binary())], names=["block", "places"])
+    for b in j._repeated(iter([placed])):
+        at = b.column(0)[0].as_py()
+        bitmap[at * size : (at + 1) * size] = np.frombuffer(b.column(1)[0].as_py(), np.uint8)
+    assert pairs() >= 8 and pairs(Shared(bitmap), 20) == 0
+
+
+def test_counters_pass_what_a_byte_holds():
+    counters = j._Counters()
+    hashes = np.repeat(np.array([1, 2, 3], np.uint64) << np.uint64(64 - j.COUNTER_BITS), [1, 255, 70_000])
+    counters.add(hashes)
+    blocks = [pa.record_batch([pa.array([b]), pa.array([c]), pa.array([m])], names=["block", "counts", "beyond"]) for b, c, m in counters.blocks()]
+    (made,) = j._sum_blocks(iter([*blocks, *blocks]))
+    levels = np.frombuffer(made.column(1)[0].as_py(), np.uint8)
+    assert levels[:5].tolist() == [0, *(int(np.ceil(8 * np.log2(1 + 2 * n))) for n in (1, 255, 70_000)), 0]
+
+
+def test_only_texts_that_are_asked_for_are_fetched(spark):
+    texts = spark.range(2000).selectExpr("id as doc_id", "xxhash64(id) as digest", "cast(id as string) as text")
+    kept = {r["doc_id"] for r in j._asked_for(texts, texts.where("doc_id % 200 = 0")).collect()}
+    assert kept >= set(range(0, 2000, 200)) and len(kept) < 100
