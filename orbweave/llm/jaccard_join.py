@@ -12,7 +12,8 @@ Pairs of classes are found without a cross join:
 3. What is too much for one tile of a component gets new candidates, from counters of such components' sets alone: once
    there are many more shingles than counters, all counters are much alike, and sets that share no more than a
    passage meet. There a bitmap of eight places a shingle, or of 2^MARK_BITS, also parts shingles that no other set
-   has from the rest. That is repeated while it halves the shingles of these components.
+   has from the rest. Sets stay together that both candidates join. That is repeated while it halves the shingles of
+   these components.
 4. Components of the candidate edges are cut into tiles: bands of sizes within the threshold's ratio, split
    into blocks of bounded size. In a tile the signatures' bit counts bound each overlap from above; what
    remains is decided by exact intersection of sorted arrays. Pairs already connected aren't compared again.
@@ -31,15 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
+from orbweave.llm.bitmaps import BLOCK_BITS, among, gather, is_set
 from orbweave.llm.components import connected_components
-from orbweave.llm.shared import discard, look_up, settle, stage, table, text_digest, whole_text
+from orbweave.llm.shared import discard, freed, look_up, settle, stage, table, text_digest, whole_text
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-COUNTER_BITS, BLOCK_BITS = 24, 16
+COUNTER_BITS, MARK_BITS = 24, 29
 BUCKET_POSTINGS = 1 << 20
 TILE_SETS, TILE_SHINGLES = 1024, 1 << 20
-FILTER_BITS, MARK_BITS = 26, 29
 SIGNATURE_WORDS = 16
 _POSTING = np.dtype([("shingle", "<u8"), ("set_id", "<i8"), ("n", "<u4")])
 _BEYOND = np.dtype([("at", "<u2"), ("count", "<u4")])
@@ -114,21 +115,15 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The partition's counters of (text, component), as ``_profile`` gives them."""
+    """The partition's counters of texts, as ``_profile`` gives them."""
     counters = _Counters()
     for batch in batches:
-        for i, hashes, first in document_sets(batch.column(0)):
-            counters.add(_within(hashes, first, batch.column(1), i))
+        for _, hashes, _ in document_sets(batch.column(0)):
+            counters.add(hashes)
     for b, counts, beyond in counters.blocks():
         yield pa.record_batch([pa.array([b], pa.int32()), pa.array([counts], pa.binary()), pa.array([beyond], pa.binary())], names=["block", "counts", "beyond"])
 
 
-def _within(hashes: np.ndarray, first: np.ndarray, components: pa.Array, start: int) -> np.ndarray:
-    """Shingles as those of the documents' components, so that equal ones of two components differ."""
-    own = components.slice(start, len(first) - 1).to_numpy().view(np.uint64)
-    return w.mix(hashes ^ np.repeat(w.mix(own), np.diff(first)))
-
-
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum a block's counters over all partitions and keep them on a logarithmic scale of one byte."""
     held, total = None, np.zeros(1 << BLOCK_BITS, dtype=np.int64)
@@ -180,7 +175,7 @@ def _shorten(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _places(bits: int):
-    """(block, places) of the shingles of (text, component) among 2**bits."""
+    """(block, places) of the texts' shingles among 2**bits."""
 
     def rows(slots: np.ndarray) -> pa.RecordBatch:
         slots.sort()
@@ -192,8 +187,8 @@ def _places(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for batch in batches:
-            for i, hashes, first in document_sets(batch.column(0)):
-                waiting.append(_within(hashes, first, batch.column(1), i) >> np.uint64(64 - bits))
+            for _, hashes, _ in document_sets(batch.column(0)):
+                waiting.append(hashes >> np.uint64(64 - bits))
                 size += len(hashes)
                 if size > 1 << 22:
                     yield rows(np.concatenate(waiting))
@@ -226,18 +221,6 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of 2**bits places whose blocks ``rows`` (block, bits) hold."""
-    bitmap, size = np.zeros((1 << bits) // 8, dtype=np.uint8), (1 << BLOCK_BITS) // 8
-    for b, made in rows.collect():  # 2**bits bits in all
-        bitmap[b * size : (b + 1) * size] = np.frombuffer(made, np.uint8)
-    return bitmap
-
-
-def _is_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _send(levels, buckets: int, marks=None, bits: int = 0):
     """``marks``: a bitmap of 2**bits places, of shingles that more than one set may have."""
 
@@ -257,10 +240,8 @@ def _send(levels, buckets: int, marks=None, bits: int = 0):
                 yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([edges.astype("<i8").tobytes()], pa.binary())], names=["bucket", "postings"])
 
         for batch in batches:
-            for i, hashes, first in document_sets(batch.column(0)):
+            for _, hashes, first in document_sets(batch.column(0)):
                 sets, n = set_ids(hashes, first), np.diff(first)
-                if batch.num_columns > 1:
-                    hashes = _within(hashes, first, batch.column(1), i)
                 fresh = np.zeros(len(n), dtype=bool)
                 for d, s in enumerate(sets.tolist()):
                     if n[d] and s not in seen:
@@ -271,7 +252,7 @@ def _send(levels, buckets: int, marks=None, bits: int = 0):
                 owner = np.repeat(np.arange(len(n)), n)
                 level = common[(hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                 if marks is not None:
-                    level = level.astype(np.int64) + 256 * _is_set(marks.value, (hashes >> np.uint64(64 - bits)).astype(np.int64))
+                    level = level.astype(np.int64) + 256 * is_set(marks.value, (hashes >> np.uint64(64 - bits)).astype(np.int64))
                 order = np.lexsort((hashes, level, owner))
                 rank = np.arange(len(owner)) - first[owner]  # owners are in order before and after
                 prefix = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
@@ -392,45 +373,9 @@ def _link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _mark_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, bit) in block order to one bitmap for each block."""
-    held, bits = None, np.zeros(1 << BLOCK_BITS, dtype=bool)
-
-    def out():
-        return pa.record_batch([pa.array([held], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
-    for batch in batches:
-        block, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
-        for i, j in zip(cut, np.append(cut[1:], len(block)), strict=True):
-            if held != block[i]:
-                if held is not None:
-                    yield out()
-                held = int(block[i])
-                bits[:] = False
-            bits[bit[i:j]] = True
-    if held is not None:
-        yield out()
-
-
 def _asked_for(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``texts`` without most rows whose digest no row of ``wanted`` has, by a bitmap of FILTER_BITS hash values.
-
-    No wanted row goes; of the others more stay as the bitmap fills.
-    """
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bit = F.pmod("digest", F.lit(1 << FILTER_BITS)).cast("int")
-    marks = wanted.select(F.shiftright(bit, BLOCK_BITS).alias("block"), bit.bitwiseAND((1 << BLOCK_BITS) - 1).alias("bit")).distinct()
-    bitmap = _bitmap(marks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_mark_bits, "block int, bits binary"), FILTER_BITS)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array(_is_set(found, batch.column("digest").to_numpy() & ((1 << FILTER_BITS) - 1))))
-
-    return texts.mapInArrow(kept, texts.schema)
+    """``texts`` without most rows whose doc_id and digest no row of ``wanted`` has; no wanted row goes."""
+    return texts.where(among(wanted, ["doc_id", "digest"], ["doc_id", "digest"]))
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,22 +414,23 @@ def _tiles(members: DataFrame) -> DataFrame:
     return placed.withColumn("other", other).select("component", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", "set_id", "doc_id", "digest")
 
 
-def _near(texts: DataFrame, blocks: DataFrame, total: int) -> DataFrame:
-    """(node, component) of the sets of ``texts`` (text, and component if sets meet within components only) by candidate edges.
+def _near(texts: DataFrame, blocks: DataFrame, total: int, marked: bool = False) -> DataFrame:
+    """(node, component) of the sets of ``texts`` (text) by candidate edges.
 
-    ``blocks`` are counters of their ``total`` shingles, by partition.
+    ``blocks`` are counters of their ``total`` shingles, by partition; ``marked``: a bitmap tells shingles that no other set has.
     """
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     levels = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
-    for b, made in blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block int, levels binary").collect():  # 2**COUNTER_BITS bytes in all
-        levels[b << BLOCK_BITS : (b + 1) << BLOCK_BITS] = np.frombuffer(made, np.uint8)
-    buckets = max(parts, -(-total // (4 * BUCKET_POSTINGS)))
     marks, bits = None, 0
-    if "component" in texts.columns:
-        bits = min(max(BLOCK_BITS, (8 * total - 1).bit_length()), MARK_BITS)
-        placed = texts.mapInArrow(_places(bits), "block int, places binary").repartition(parts, "block").sortWithinPartitions("block")
-        marks = spark.sparkContext.broadcast(_bitmap(placed.mapInArrow(_repeated, "block int, bits binary"), bits))
+    with freed(spark):
+        for b, made in blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block int, levels binary").collect():  # 2**COUNTER_BITS bytes in all
+            levels[b << BLOCK_BITS : (b + 1) << BLOCK_BITS] = np.frombuffer(made, np.uint8)
+        if marked:
+            bits = min(max(BLOCK_BITS, (8 * total - 1).bit_length()), MARK_BITS)
+            placed = texts.mapInArrow(_places(bits), "block int, places binary").repartition(parts, "block").sortWithinPartitions("block")
+            marks = spark.sparkContext.broadcast(gather(placed.mapInArrow(_repeated, "block int, bits binary"), bits))
+    buckets = max(parts, -(-total // (4 * BUCKET_POSTINGS)))
     sent = texts.mapInArrow(_send(spark.sparkContext.broadcast(levels), buckets, marks, bits), "bucket int, postings binary")
     spread = F.when(F.col("bucket") < 0, F.xxhash64("postings")).otherwise(F.col("bucket"))
     return connected_components(sent.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long"))
@@ -500,7 +446,8 @@ def _spoken(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _narrowed(texts: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` (component, set_id, doc_id, digest, n), staged, with components of several blocks split by new candidates.
 
-    Sets without a candidate have no link, and go. Components are compared by shingles of their own, so none meets another.
+    Sets that no other of their component meets again have no link, and go. The texts are read where they lie, three times
+    a round: a shuffle or a copy of them would be most of the disk.
     """
     members, before = stage(members, "jaccard-members"), None
     while True:
@@ -511,11 +458,14 @@ def _narrowed(texts: DataFrame, members: DataFrame) -> DataFrame:
             discard(wide)
             return members
         before = total
-        spoken = stage(_spoken(texts, wide).select("text", "component"), "jaccard-wide-texts")
-        near = _near(spoken, spoken.mapInArrow(_count, "block int, counts binary, beyond binary"), total)
-        split = wide.drop("component").join(near.withColumnRenamed("node", "set_id"), "set_id").select(*members.columns)
+        named = _asked_for(texts, wide).select("text")
+        near = _near(named, named.mapInArrow(_count, "block int, counts binary, beyond binary"), total, marked=True).toDF("set_id", "near")
+        # linked sets are in one component both times; a hash that two such pairs share would only join two tiles
+        both = wide.join(near, "set_id").withColumn("component", F.xxhash64("component", "near"))
+        met = both.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("component")
+        split = both.join(met, "component").select(*members.columns)
         was, members = members, stage(members.join(large, "component", "left_anti").unionAll(split), "jaccard-members")
-        for done in (was, wide, spoken):
+        for done in (was, wide):
             discard(done)
 
 
@@ -525,14 +475,17 @@ def _components(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), whole_text().alias("text"))
     profile = stage(texts.mapInArrow(_profile, "doc_id long, digest long, n long, set_id long, block int, counts binary, beyond binary"), "jaccard-profile")
-    rows = profile.where("block is null").select("doc_id", "digest", "n", "set_id")
+    rows = stage(profile.where("block is null").select("doc_id", "digest", "n", "set_id"), "jaccard-rows")
     total = rows.agg(F.sum("n")).first()[0] or 0
     near = _near(texts.select("text"), profile.where("block is not null").select("block", "counts", "beyond"), total)
+    discard(profile)
     # one row speaks for its class: of those with an id, if there are any, the one with the least
     speaker = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "digest")
     sets = rows.where("set_id is not null").groupBy("set_id").agg(F.min(speaker).alias("own"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")).select("set_id", "own", "own.doc_id", "own.digest", "n", "rows")
     members = near.withColumnRenamed("node", "set_id").join(sets, "set_id").select("component", "set_id", "doc_id", "digest", "n")
-    tiles = stage(_tiles(_narrowed(texts, members)), "jaccard-tiles")
+    narrowed = _narrowed(texts, members)
+    tiles = stage(_tiles(narrowed), "jaccard-tiles")
+    discard(narrowed)
     # the speaker's text is fetched once for all its tiles; its id alone may stand for several texts
     wanted = tiles.groupBy("set_id", "doc_id", "digest").agg(F.collect_list(F.struct("component", "band", "i", "j", "block", "guest")).alias("tiles"))
     arrays = _spoken(texts, wanted).select("set_id", "tiles", "text").mapInArrow(_arrays, "set_id long, tiles array<struct<component:long,band:int,i:int,j:int,block:int,guest:boolean>>, shingles binary")
@@ -540,6 +493,7 @@ def _components(docs: DataFrame) -> DataFrame:
     key = ["component", "band", "i", "j"]
     links = dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_link_tiles, "a long, b long")
     joined = connected_components(links).withColumnRenamed("node", "set_id")
+    discard(tiles)
     named = joined.join(sets.select("set_id", "own"), "set_id")
     least = named.groupBy("component").agg(F.min("own").alias("best"))
     linked = named.select("set_id", "component").join(least, "component").select("set_id", "best")

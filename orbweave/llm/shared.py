@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.llm.bitmaps import among
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -26,10 +30,23 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go as soon as the query that wrote them ends, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stage(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    with freed(df.sparkSession):
+        df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.staged_at = path
     return made
@@ -89,7 +106,8 @@ def settle(df: DataFrame, decided: DataFrame, digest) -> DataFrame:
     """``df`` without what ``decided`` (doc_id, digest, kept) rejects, and one of the rows that repeat both.
 
     ``digest`` makes the digest of a row of ``df``. Decisions hold for an id with its text: other texts of the
-    id stay, and null ids match null ids. Rows that aren't decided stay; columns keep names and order.
+    id stay, and null ids match null ids. Rows that aren't decided stay; columns keep names and order. Only
+    rows that may be decided on are shuffled, by a bitmap of the digests; ``df`` is read twice for that.
     """
     marks = decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
     marks = stage(marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__made"), "kept"), "decided")
@@ -99,8 +117,10 @@ def settle(df: DataFrame, decided: DataFrame, digest) -> DataFrame:
     def matched(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
         return rows.join(others, rows["doc_id"].eqNullSafe(others["__id"]) & (rows[made] == others["__made"]), how)
 
+    asked = fresh_name(marked.columns, "asked")
+    parted = marked.withColumn(asked, among(marks, ["__made"], [made]))
+    rest = matched(parted.where(asked), marks.where("not kept"), "left_anti")
     again = marks.where("kept")
-    rest = matched(marked, marks.where("not kept"), "left_anti")
     if not again.isEmpty():
         rest = matched(rest, again, "left_anti").unionAll(matched(rest, again, "left_semi").dropDuplicates(["doc_id", made]))
-    return rest.drop(made)
+    return parted.where(~F.col(asked)).unionAll(rest).drop(made, asked)

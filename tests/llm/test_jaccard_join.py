@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
@@ -206,3 +208,19 @@ def test_only_texts_that_are_asked_for_are_fetched(spark):
     texts = spark.range(2000).selectExpr("id as doc_id", "xxhash64(id) as digest", "cast(id as string) as text")
     kept = {r["doc_id"] for r in j._asked_for(texts, texts.where("doc_id % 200 = 0")).collect()}
     assert kept >= set(range(0, 2000, 200)) and len(kept) < 100
+
+
+def test_components_of_many_tiles_leave_no_texts_and_little_behind(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{i}" for i in range(3 * k, 3 * k + 60))) for k in range(40)]
+    real, made = j.stage, []
+
+    def staged(df, what):
+        made.append((what, real(df, what)))
+        return made[-1][1]
+
+    monkeypatch.setattr(j, "TILE_SETS", 4)
+    monkeypatch.setattr(j, "stage", staged)
+    assert ran(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert "jaccard-wide" in [what for what, _ in made]
+    assert all("text" not in df.columns for _, df in made)
+    assert {what for what, df in made if os.path.exists(df.staged_at.removeprefix("file:"))} == {"jaccard-rows", "jaccard-sets"}
