@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
+from orbweave.llm.memory import trimmed
 from orbweave.llm.shared import table, whole_text
 
 SHINGLE = 5
@@ -226,6 +227,7 @@ def _hits(block: BenchmarkBlock, texts: pa.Array) -> list[tuple[int, int, tuple]
 
 
 def _scan(shared_block):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: BenchmarkBlock = shared_block.value
         for batch in batches:
@@ -238,6 +240,7 @@ def _scan(shared_block):
 
 
 def _reject(shared_block, text: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = np.ones(batch.num_rows, dtype=bool)

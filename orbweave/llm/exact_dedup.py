@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.llm.memory import trimmed
 from orbweave.llm.shared import look_up, settle, shared_folder, table, whole_text
 
 PREFIX_BITS = 16
@@ -57,6 +58,7 @@ def grow_directory(counts: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _fold(directory: np.ndarray, shift: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
         size = 0
@@ -92,6 +94,7 @@ def _fold(directory: np.ndarray, shift: int):
     return run
 
 
+@trimmed
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in key order: the chain of one key is in memory, a single text for all but colliding keys."""
     done: list[tuple] = []

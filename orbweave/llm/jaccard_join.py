@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
-from orbweave.llm.bitmaps import BLOCK_BITS, among, gather, is_set
+from orbweave.llm.bitmaps import BLOCK_BITS, among, gather, is_set, marks_of
 from orbweave.llm.components import connected_components
+from orbweave.llm.memory import trimmed
 from orbweave.llm.shared import discard, freed, look_up, settle, stage, table, text_digest, whole_text
 
 SHINGLE = 5
@@ -93,6 +94,7 @@ class _Counters:
                 yield b, deflate.compress(np.minimum(part, 255).astype(np.uint8).tobytes()) + deflate.flush(), beyond.tobytes()
 
 
+@trimmed
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, digest, n, set_id), and at the end the partition's shingle counters by block."""
     counters = _Counters()
@@ -114,6 +116,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([None], [None], [None], [None], [b], [counts], [beyond])
 
 
+@trimmed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The partition's counters of texts, as ``_profile`` gives them."""
     counters = _Counters()
@@ -124,6 +127,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([b], pa.int32()), pa.array([counts], pa.binary()), pa.array([beyond], pa.binary())], names=["block", "counts", "beyond"])
 
 
+@trimmed
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum a block's counters over all partitions and keep them on a logarithmic scale of one byte."""
     held, total = None, np.zeros(1 << BLOCK_BITS, dtype=np.int64)
@@ -184,6 +188,7 @@ def _places(bits: int):
         places = (slots & np.uint64((1 << BLOCK_BITS) - 1)).astype("<u2")
         return pa.record_batch([pa.array(block[cut].astype(np.int32), pa.int32()), pa.array([places[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(slots)), strict=True)], pa.binary())], names=["block", "places"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for batch in batches:
@@ -199,6 +204,7 @@ def _places(bits: int):
     return run
 
 
+@trimmed
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in block order: a bitmap of the block's places that came more than once."""
     held, once, again = None, np.zeros(1 << BLOCK_BITS, dtype=bool), np.zeros(1 << BLOCK_BITS, dtype=bool)
@@ -224,6 +230,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _send(levels, buckets: int, marks=None, bits: int = 0):
     """``marks``: a bitmap of 2**bits places, of shingles that more than one set may have."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = levels.value
         waiting, size, seen = [], 0, set()
@@ -276,6 +283,7 @@ def _edge_rows(edges: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(edges[:, 0], pa.int64()), pa.array(edges[:, 1], pa.int64())], names=["a", "b"])
 
 
+@trimmed
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in bucket order: a bucket's postings meet; its memory is bounded, as long runs were shortened."""
     held, parts, size = None, [], 0
@@ -353,6 +361,7 @@ def link_tile(arrays: list[np.ndarray], side: np.ndarray, guest: np.ndarray, cro
     return found
 
 
+@trimmed
 def _link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in tile order: one tile's sets are in memory at a time."""
     held, sets = None, {}
@@ -373,11 +382,16 @@ def _link_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _asked_for(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``texts`` without most rows whose doc_id and digest no row of ``wanted`` has; no wanted row goes."""
-    return texts.where(among(wanted, ["doc_id", "digest"], ["doc_id", "digest"]))
+def _asked_for(texts: DataFrame, wanted: DataFrame, bitmap: DataFrame | None = None) -> DataFrame:
+    """``texts`` without most rows whose doc_id and digest no row of ``wanted`` has; no wanted row goes.
+
+    ``bitmap``: that of ``wanted``, where several queries use it.
+    """
+    key = ["doc_id", "digest"]
+    return among(texts, marks_of(wanted, key) if bitmap is None else bitmap, key, "asked").where("asked").drop("asked")
 
 
+@trimmed
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(set_id, tiles, text) to (set_id, tiles, shingles), for texts that have the wanted set.
 
@@ -458,14 +472,15 @@ def _narrowed(texts: DataFrame, members: DataFrame) -> DataFrame:
             discard(wide)
             return members
         before = total
-        named = _asked_for(texts, wide).select("text")
+        bitmap = stage(marks_of(wide, ["doc_id", "digest"]), "bitmap")
+        named = _asked_for(texts, wide, bitmap).select("text")
         near = _near(named, named.mapInArrow(_count, "block int, counts binary, beyond binary"), total, marked=True).toDF("set_id", "near")
         # linked sets are in one component both times; a hash that two such pairs share would only join two tiles
         both = wide.join(near, "set_id").withColumn("component", F.xxhash64("component", "near"))
         met = both.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("component")
         split = both.join(met, "component").select(*members.columns)
         was, members = members, stage(members.join(large, "component", "left_anti").unionAll(split), "jaccard-members")
-        for done in (was, wide):
+        for done in (was, wide, bitmap):
             discard(done)
 
 

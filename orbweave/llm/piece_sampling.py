@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from orbweave.llm import words as w
+from orbweave.llm.memory import trimmed
 from orbweave.llm.shared import fresh_name, table, whole_text
 
 MARK, SPACE = "▁", 0x20
@@ -341,6 +342,7 @@ def _sampled(sampler: Sampler, keys: pa.Array, texts: pa.Array) -> Iterator[tupl
 
 
 def _encode(vocabulary, seed: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(vocabulary.value, seed)
         for batch in batches:
@@ -369,6 +371,7 @@ def encode(docs: DataFrame, path: str, seed: int = SEED, sharpness: float = SHAR
 
 
 def _decode(vocabulary):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for batch in batches:
@@ -400,6 +403,7 @@ def vocabulary_path() -> str:
 
 
 def _round_trip(vocabulary, seed: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         sampler = Sampler(v, seed)

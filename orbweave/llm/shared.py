@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.bitmaps import among
+from orbweave.llm.bitmaps import among, marks_of
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -118,7 +118,7 @@ def settle(df: DataFrame, decided: DataFrame, digest) -> DataFrame:
         return rows.join(others, rows["doc_id"].eqNullSafe(others["__id"]) & (rows[made] == others["__made"]), how)
 
     asked = fresh_name(marked.columns, "asked")
-    parted = marked.withColumn(asked, among(marks, ["__made"], [made]))
+    parted = among(marked, stage(marks_of(marks, ["__made"]), "bitmap"), [made], asked)
     rest = matched(parted.where(asked), marks.where("not kept"), "left_anti")
     again = marks.where("kept")
     if not again.isEmpty():

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import words as w
+from orbweave.llm.memory import trimmed
 from orbweave.llm.shared import stage, table, whole_text
 
 THRESHOLD = 0.3
@@ -397,6 +398,7 @@ def text_terms(text: str, memo: dict | None = None) -> list[str]:
     return [*seen, *(TWICE + t for t, n in seen.items() if n > 1)]
 
 
+@trimmed
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic documents, clean documents) of a partition of the bounded sample."""
     counts: dict[str, list[int]] = {}
@@ -419,6 +421,7 @@ def _find_terms(candidates: list[str]):
     known = set(candidates)
     number = {t: i for i, t in enumerate(candidates)}
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
@@ -580,6 +583,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _views(grammar: Grammar):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [Counter("|".join(v) for c in grammar.clauses(t) for v in views(c)) for t in batch.column(0).to_pylist()]
@@ -603,6 +607,7 @@ def _scorer(model: Model):
 
 
 def _score(model: Model):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(model)
         for batch in batches:
@@ -612,6 +617,7 @@ def _score(model: Model):
 
 
 def _reject(model: Model, text: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(model)
         for batch in batches:
