@@ -114,11 +114,11 @@ def sparse_keyframes(df: DataFrame, key: str, order: str, selected: str, yaw: st
 
 
 def _angle(yaw_a: float, pitch_a: float, yaw_b: float, pitch_b: float) -> float:
-    """Great-circle distance of two directions, as ``sphere.distance``."""
+    """Great-circle distance of two directions, as ``sphere.distance``; to the last bit as SQL has it, so no hypot."""
     ax, ay, az = math.cos(pitch_a) * math.sin(yaw_a), math.sin(pitch_a), math.cos(pitch_a) * math.cos(yaw_a)
     bx, by, bz = math.cos(pitch_b) * math.sin(yaw_b), math.sin(pitch_b), math.cos(pitch_b) * math.cos(yaw_b)
-    cross = (ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx)
-    return math.atan2(math.hypot(*cross), ax * bx + ay * by + az * bz)
+    cx, cy, cz = ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
+    return math.atan2(math.sqrt(cx * cx + cy * cy + cz * cz), ax * bx + ay * by + az * bz)
 
 
 @dataclass
