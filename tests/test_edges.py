@@ -3,7 +3,10 @@
 import math
 from collections import defaultdict
 
+import duckdb
+
 from orbweave.operators import folds, paths, spatial
+from orbweave.plans import catalog, geometry
 
 TURN = 2 * math.pi
 
@@ -42,3 +45,15 @@ def test_refresh_matches_at_the_very_limit(spark):
 def test_angle_has_the_arithmetic_of_sql():
     rows = list(_rows())
     assert all(folds._angle(a[1], a[2], b[1], b[2]) == _far(a, b) for a in rows for b in rows)
+
+
+def test_command_lines_keep_the_sign_of_what_rounds_to_zero(spark, tmp_path):
+    """A source's path leaves pitch 0 downwards just before a frame."""
+    rows = [(60, 0), (181, 43_199), (59, 86_399)]  # ids give pitches of 0, 0 and -1 degree
+    df = spark.createDataFrame([(i, 3, "view", 0.0, s) for i, s in rows], "event_id long, user_id long, event_type string, value double, s long")
+    df.selectExpr("event_id", "timestamp_seconds(s) as ts", "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.SQL["snk04_command_lines"]).fetchall())
+    assert sorted(map(tuple, geometry.snk04_command_lines(spark, str(tmp_path)).collect())) == want
+    assert any("pitch -0.000000000" in line for *_, line in want)
