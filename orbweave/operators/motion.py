@@ -121,7 +121,7 @@ def consensus(rotations: DataFrame, keys: list[str], row_id: str, radius: float,
     extra = [cover[0]] if cover else []
     a, b = rotations.alias("a"), rotations.alias("b")
     q = lambda k: [F.col(f"{k}.{c}") for c in "xyzw"]
-    far = quat.angle(quat.unit(q("a")), quat.unit(q("b")))
+    far = quat.angle(quat.kept_unit(q("a")), quat.kept_unit(q("b")))
     pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{row_id}").alias("_from"), F.col(f"b.{row_id}").alias(row_id), *[F.col(f"b.{c}").alias(c) for c in extra], far.alias("distance"))
     totals = pairs.groupBy(*keys, "_from").agg(F.round(F.sum("distance"), 9).alias("_total"))
     medoids = totals.groupBy(*keys).agg(F.min_by("_from", F.struct("_total", "_from")).alias("medoid"))

@@ -1,12 +1,13 @@
 """Distances that lie on a limit of the same grid of degrees: the last bit decides, as the C library (and SQL) has it."""
 
 import math
+import random
 from collections import defaultdict
 
 import duckdb
 
 from orbweave.operators import folds, paths, spatial
-from orbweave.plans import catalog, geometry
+from orbweave.plans import catalog, geometry, motion
 
 TURN = 2 * math.pi
 
@@ -57,3 +58,15 @@ def test_command_lines_keep_the_sign_of_what_rounds_to_zero(spark, tmp_path):
     want = sorted(con.execute(catalog.SQL["snk04_command_lines"]).fetchall())
     assert sorted(map(tuple, geometry.snk04_command_lines(spark, str(tmp_path)).collect())) == want
     assert any("pitch -0.000000000" in line for *_, line in want)
+
+
+def test_medoids_of_two_tiles(spark, tmp_path):
+    """Two tiles have one distance, so what rounding leaves of a tile's distance from itself names the medoid."""
+    rng = random.Random(5)
+    rows = [(24 * k + i, [rng.gauss(0, 0.2) for _ in range(8)], 0) for k in range(60) for i in (0, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(f"select pair, medoid, n_selected, covered from ({catalog.SQL['agg19_global_consensus']})").fetchall())
+    made = motion.agg19_global_consensus(spark, str(tmp_path)).select("pair", "medoid", "n_selected", "covered")
+    assert sorted(map(tuple, made.collect())) == want
