@@ -331,7 +331,8 @@ def bridge_gaps(steps: DataFrame, key: str, order: str, most: int = 3) -> DataFr
     ok = F.col("state") == "measured"
     numbered = steps.withColumn("_i", F.row_number().over(w))
     known = F.when(ok, F.struct("_i", *names))
-    around = numbered.withColumn("_a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(key).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)  # frames to the end would be read anew for each row
+    around = numbered.withColumn("_a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(known, ignorenulls=True).over(back))
     frames = F.col("_b._i") - F.col("_a._i") - 1
     fraction = (F.col("_i") - F.col("_a._i")) / (frames + 1)
     inner = F.col("_a").isNotNull() & F.col("_b").isNotNull()

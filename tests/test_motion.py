@@ -171,3 +171,11 @@ def test_global_motion_of_native_tiles(spark):
     assert got["state"] == "selected" and abs(abs(np.dot([got[c] for c in "xyzw"], back)) - 1) < 1e-9 and got["n_selected"] == 6 and got["covered"] == 4
     few = motion.global_motion(samples.where("tile in (0, 4, 1, 5)"), ["pair"], "tile", "view", math.radians(3), 4, 3)[2].first()
     assert few["failure_reason"] == "insufficient_global_viewport_coverage" and few["w"] is None
+
+
+def test_gaps_read_no_frame_to_the_end_for_each_row(spark):
+    steps = spark.createDataFrame([("a", i, "measured" if i % 5 < 3 else "invalid", 0.0, 0.0, math.sin(i / 40), math.cos(i / 40)) for i in range(20)], "s string, i int, state string, x double, y double, z double, w double")
+    made = motion.bridge_gaps(steps, "s", "i")
+    assert "unboundedfollowing" not in made._jdf.queryExecution().executedPlan().toString().lower()  # Spark reads such a frame again for every row
+    rows = made.where("gap_class = 'bridge_candidate'").collect()
+    assert len(rows) == 6 and all(r.z == pytest.approx(math.sin(r.i / 40)) for r in rows)
